@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refloom.llm.common import SLICE_BYTES, text_slices, texts_of
+from refloom.llm.common import SLICE_BYTES, small_batches, text_slices, texts_of
 
 
 def byte_characters() -> list[str]:
@@ -58,6 +58,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: st
     [start, end) of the text that each token touches. A token that holds part of a character's bytes has that character's place.
     Null and empty texts have no tokens; rows are never dropped, repeated rows are encoded each; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = source.schema["id"].dataType

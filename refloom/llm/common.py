@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every word definition here: space, tab, newline, vertical tab, form feed, return.
@@ -51,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches hold whole texts, so fewer rows each bound the memory of executors and their Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches so that each part has about `limit` bytes of text at most.
 
@@ -103,24 +110,39 @@ def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up = powers(base, len(values))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64) * up[:-1], dtype=np.uint64)])
-    return mixed((sums[width:] - sums[:n]) * up[len(values) - np.arange(n)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64) * powers(base, len(values) - 1), dtype=np.uint64)])
+    return mixed((sums[width:] - sums[:n]) * powers(pow(base, -1, 1 << 64), n - 1))  # base is odd, so it has an inverse
 
 
-def lowest_in_windows(values: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the lowest value (leftmost of equals) of every run of `width` values, each once, ascending."""
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """For every run of `width` values, the position of its lowest value (the leftmost of equals)."""
     n = len(values)
     if n < width:
         return np.zeros(0, np.int64)
     # a window's minimum is that of two overlapping runs whose length is a power of two
-    at, run = np.arange(n), 1
-    best = at
+    best, run = np.arange(n), 1
     while run * 2 <= width:
         left, right = best[: len(best) - run], best[run:]
         best = np.where(values[right] < values[left], right, left)
         run *= 2
-    shift = width - run
-    left, right = best[: n - width + 1], best[shift : shift + n - width + 1]
-    best = np.where(values[right] < values[left], right, left)
-    return best[np.concatenate([[True], best[1:] != best[:-1]])]
+    left, right = best[: n - width + 1], best[width - run : n - run + 1]
+    return np.where(values[right] < values[left], right, left)
+
+
+def changes(values: np.ndarray) -> np.ndarray:
+    """Positions at which a value differs from the one before; the first one counts."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def bounded_sample(rows: DataFrame, by: str, per_class: int, id_column: str = "doc_id") -> DataFrame:
+    """About per_class rows of each value of `by`, per_class at most, chosen by a hash of the id: the same ones in every run.
+
+    A class keeps each row with a chance of twice its share before the rows are ranked, so a huge class is thinned before any shuffle.
+    Adds class_size, the class's row count. Rows with a null class or id are left out.
+    """
+    rows = rows.where(F.col(by).isNotNull() & F.col(id_column).isNotNull())
+    sizes = rows.groupBy(by).agg(F.count("*").alias("class_size"))
+    draw = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    thinned = rows.join(sizes, by).where(draw * F.col("class_size") < 2 * per_class + 16)
+    order = Window.partitionBy(by).orderBy(draw, F.col(id_column), "text")
+    return thinned.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")

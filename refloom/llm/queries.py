@@ -8,8 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import byte_bpe, simhash
-from refloom.llm.common import table
+from refloom.llm import byte_bpe, lz_dedup, ppm_language, sharding, simhash, zstd_quality
+from refloom.llm.common import held_out, table
+
+
+def op2_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lz_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+def op4_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = zstd_quality.score(docs, zstd_quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = ppm_language.identify(docs, ppm_language.learn(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +36,21 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lz_dedup": op2_lz_dedup,
+    "op4_zstd_quality": op4_zstd_quality,
+    "op6_ppm_language": op6_ppm_language,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_sharding": op7_sharding,
     "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}

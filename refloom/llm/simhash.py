@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refloom.llm.common import cut, text_slices, texts_of
+from refloom.llm.common import cut, small_batches, text_slices, texts_of
 from refloom.llm.components import components
 
 SEED = 42
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     A bit is 1 if it is set in over half of the shingles' XXH64, repeats included. Fewer words than a shingle: the whole sequence is one;
     no words, an empty or a null text: zero.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
