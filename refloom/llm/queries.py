@@ -8,15 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import byte_bpe, lz_dedup, ppm_language, sharding, simhash, zstd_quality
+from refloom.llm import byte_bpe, lz_dedup, ppm_language, secret_scan, sharding, simhash, suffix_dedup, zstd_quality
 from refloom.llm.common import held_out, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS long) AS n_{k}") for k in ("assign", "access", "hex")]
+    more = F.expr("cast(size(filter(found, x -> x.kind = 'random')) AS long) AS n_random")
+    return found.select("doc_id", *counts, F.sha2(F.expr(secret_scan.listed("base")), 256).alias("base_sha256"), F.expr(secret_scan.listed("found")).alias("spans"), more)
+
+
 def op2_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lz_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = zstd_quality.score(docs, zstd_quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -46,7 +58,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_lz_dedup": op2_lz_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_zstd_quality": op4_zstd_quality,
     "op6_ppm_language": op6_ppm_language,
     "op5_byte_bpe": op5_byte_bpe,
