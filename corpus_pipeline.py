@@ -1,7 +1,69 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, secrets, byte-level BPE."""
 
-STAGES = []
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refloom.llm import byte_bpe, decontaminate, ppm_language, secret_scan, simhash
+from refloom.llm.common import cut, table
+
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: texts that are null or have no letter go. The model is fitted on a bounded sample of docs itself."""
+    names = docs.columns
+    model = ppm_language.learn(docs)
+    found = ppm_language.identify(docs, model, carry=tuple(n for n in names if n != "doc_id"))
+    return found.where(F.col("lang_pred") != ppm_language.UNDETERMINED).select(*names)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id, once. Rows without an id can't be named as copies and stay."""
+    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret replaced by a mask; n_chars follows the text."""
+    done = secret_scan.redact(docs)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text (little-endian unsigned 32-bit), their number and digest, and the digest of what they decode to."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(TOKENIZER))
+    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, offsets=False).withColumn("ids_sha256", F.sha2("ids", 256))
+    decoded = byte_bpe.decode(encoded, ranks, carry=("n_tokens", "ids_sha256", "ids"), text=False)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("ids"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("secret_scans", redact_secrets),
+    ("byte_bpe", tokenize),
+]
+
+#: The models and hashes have no SQL form; tests compare the stages with brute-force versions.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's result is written to the shared folder before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

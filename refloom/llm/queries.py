@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import byte_bpe, lz_dedup, ppm_language, secret_scan, sharding, simhash, suffix_dedup, zstd_quality
+from refloom.llm import byte_bpe, decontaminate, fingerprint, lz_dedup, ppm_language, secret_scan, sharding, simhash, suffix_dedup, zstd_quality
 from refloom.llm.common import held_out, table
 
 
@@ -52,11 +52,21 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+    sketches = [fingerprint.shown(F.col("sketch")).alias("fingerprint"), fingerprint.shown(F.col("edited_sketch")).alias("edited_fingerprint")]
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *sketches, "near_edited", "near_next", "n_shingles", "kept_share")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lz_dedup": op2_lz_dedup,
@@ -65,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ppm_language": op6_ppm_language,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_sharding": op7_sharding,
+    "op8_fingerprint": op8_fingerprint,
     "op9_simhash": op9_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
