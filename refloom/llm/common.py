@@ -134,15 +134,16 @@ def changes(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def bounded_sample(rows: DataFrame, by: str, per_class: int, id_column: str = "doc_id") -> DataFrame:
-    """About per_class rows of each value of `by`, per_class at most, chosen by a hash of the id: the same ones in every run.
+def bounded_sample(rows: DataFrame, by: str, per_class: int, id_column: str = "doc_id", max_classes: int = 200) -> DataFrame:
+    """per_class rows at most of each of the max_classes most frequent values of `by`, chosen by a hash of the id: the same ones in every run.
 
     A class keeps each row with a chance of twice its share before the rows are ranked, so a huge class is thinned before any shuffle.
     Adds class_size, the class's row count. Rows with a null class or id are left out.
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(id_column).isNotNull())
-    sizes = rows.groupBy(by).agg(F.count("*").alias("class_size"))
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(max_classes).collect()
+    known = F.create_map(*[F.lit(x) for r in sizes for x in r]) if sizes else F.lit(None).cast("map<string,long>")
     draw = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    thinned = rows.join(sizes, by).where(draw * F.col("class_size") < 2 * per_class + 16)
+    thinned = rows.withColumn("class_size", F.try_element_at(known, F.col(by))).where(draw * F.col("class_size") < 2 * per_class + 16)
     order = Window.partitionBy(by).orderBy(draw, F.col(id_column), "text")
     return thinned.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")

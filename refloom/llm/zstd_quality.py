@@ -92,7 +92,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
     own = own.where(~held_out("doc_id"))
     texts = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     sample = bounded_sample(own.withColumn("text", F.lit("")), "label", per_class).drop("text")
-    rows = texts.join(sample, "doc_id").where(F.octet_length("text") <= longest).select("doc_id", "label", "class_size", "text")
+    rows = texts.where(F.octet_length("text") <= longest).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "class_size", "text")
     found = sorted((r.label, r.doc_id, r.text.encode(), r.class_size) for r in rows.collect())  # 2 * per_class rows at most, but for repeated ids
     by = {k: [r for r in found if r[0] == k] for k in (0, 1)}
     (bad, raw_bad), (good, raw_good) = (_dictionary([b for r in by[k][::2] for b in (r[2][i : i + block] for i in range(0, len(r[2]), block)) if len(b) > 8], dictionary_bytes) for k in (0, 1))
