@@ -1,0 +1 @@
+"""Sources and sinks of documents, records and reports."""
