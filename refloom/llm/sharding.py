@@ -108,7 +108,7 @@ def shards(docs: DataFrame, count: int = 16, law: str = "bytes", id_column: str
         small = F.col("group_bytes") <= total / count / 100
         middle = F.when(small, F.col("group_start") + F.col("group_bytes") / 2).otherwise(F.col("start") + F.col("size") / 2)
         shard = F.floor(middle * count / F.lit(max(float(total), 1.0)))
-    ranked = cut(ranked.withColumn("shard", F.least(shard, F.lit(count - 1)).cast("int")).select("own_id", "size", "crc", "shard", "rank"))
+    ranked = ranked.withColumn("shard", F.least(shard, F.lit(count - 1)).cast("int")).select("own_id", "size", "crc", "shard", "rank")
     firsts = {r.shard: r.first for r in ranked.groupBy("shard").agg(F.min("rank").alias("first")).collect()}  # `count` rows
     first = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(firsts.items()) for x in pair]), F.col("shard")) if firsts else F.lit(0)
     return ranked.select(F.col("own_id").alias(id_column), "size", F.col("crc").alias("text_crc32"), F.lit(law).alias("law"), "shard", (F.col("rank") - first).alias("slot"))
