@@ -1,0 +1 @@
+"""Keyed state over event streams, and windowed totals."""
