@@ -18,24 +18,20 @@ BROADCAST_SEEDS = 1_000_000
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def seed_hashes(words: Column) -> Column:
-    """Hashes of all seeds: those of the first mask at each position, then those of the next; no seeds if there are fewer tokens than a mask spans."""
-
-    def of(h: Column, number: int, mask: str) -> Column:
-        read = [k for k, bit in enumerate(mask) if bit == "1"]
-        return F.transform(F.sequence(F.lit(0), F.size(h) - SPAN), lambda i: F.xxhash64(F.lit(number), *(F.get(h, i + k) for k in read)))
-
-    bound = F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.when(F.size(h) >= SPAN, F.concat(*(of(h, n, m) for n, m in enumerate(MASKS)))).otherwise(F.array().cast("array<bigint>")))
-    return F.get(bound, F.lit(0))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def seeds(rows: DataFrame, key: str, words: str, place: str) -> DataFrame:
-    """key, place (of the seed's first token), seed."""
-    hashed = rows.select(key, F.size(words).alias("_n"), seed_hashes(F.col(words)).alias("_seeds"))
-    return hashed.select(key, "_n", F.posexplode("_seeds").alias("_at", "seed")).select(key, (F.col("_at") % (F.col("_n") - (SPAN - 1))).alias(place), "seed")
+    """key, place (of the seed's first token), seed: a hash for each mask at each position; rows with fewer tokens than a mask spans have none.
+
+    The token array is zipped with itself, shifted by each of a mask's positions, so that hashing runs on plain columns in generated code; a
+    function over the array would be interpreted for each token.
+    """
+    n = F.greatest(F.size(words) - (SPAN - 1), F.lit(0))
+    shifted = F.arrays_zip(*(F.slice(words, F.lit(k + 1), n).alias(f"t{k}") for k in range(SPAN)))
+    spread = rows.select(key, F.posexplode(shifted).alias(place, "_t"))
+    made = [F.xxhash64(F.lit(number), *(F.col(f"_t.t{k}") for k, bit in enumerate(mask) if bit == "1")) for number, mask in enumerate(MASKS)]
+    return spread.select(key, place, F.explode(F.array(*made)).alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -56,15 +52,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
     small = item_seeds.count() <= BROADCAST_SEEDS
     hits = own_seeds.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     aligned = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    # the tokens of both at each alignment; those beyond an end agree with nothing
-    pairs = aligned.join(items, "item").join(own, "id").withColumn("words", tokens(F.col("text")))
-    equal = F.transform("item_words", lambda w, i: F.when(F.get(F.col("words"), F.when(i + F.col("shift") >= 0, i + F.col("shift"))) == w, 1).otherwise(0))
-    pairs = pairs.select("id", "item", equal.alias("equal")).withColumn("n", F.size("equal"))
-    stretch = F.least(F.lit(STRETCH), F.col("n"))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - stretch + 1), lambda s: F.aggregate(F.slice("equal", s, stretch), F.lit(0), lambda a, x: a + x)))
-    agreed = pairs.withColumn("_best", best).where(F.col("_best") >= F.ceil(stretch * AGREE))
-    total = F.aggregate("equal", F.lit(0), lambda a, x: a + x)
-    found = agreed.groupBy("id", "item").agg(F.max("n").cast("long").alias("n_tokens"), F.max(total).cast("long").alias("n_equal"))
+    # the document's tokens from the alignment on, as many as the item has; beyond an end there is nothing, which agrees with nothing
+    pairs = aligned.join(items, "item").join(own, "id")
+    shift, n = F.col("shift"), F.size("item_words")
+    beside = F.slice(F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-shift, F.lit(0)).cast("int")), tokens(F.col("text"))), (F.greatest(shift, F.lit(0)) + 1).cast("int"), n)
+    equal = F.zip_with(F.slice(beside, F.lit(1), n), F.col("item_words"), lambda t, w: F.when(t == w, 1).otherwise(0))
+    stretch = F.least(F.lit(STRETCH), n)
+
+    def judged(e: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(1), n - stretch + 1), lambda s: F.aggregate(F.slice(e, s, stretch), F.lit(0), lambda x, y: x + y))
+        return F.struct(F.array_max(sums).alias("best"), F.aggregate(e, F.lit(0), lambda x, y: x + y).alias("total"))
+
+    # bound once, as the only element of an array: the text is split once for each pair
+    pairs = pairs.select("id", "item", n.alias("n"), stretch.alias("stretch"), F.explode(F.transform(F.array(equal), judged)).alias("_j"))
+    agreed = pairs.where(F.col("_j.best") >= F.ceil(F.col("stretch") * AGREE))
+    found = agreed.groupBy("id", "item").agg(F.max("n").cast("long").alias("n_tokens"), F.max("_j.total").cast("long").alias("n_equal"))
     return found.select(F.col("id").alias(id_column), F.col("item").alias(item_column), "n_tokens", "n_equal", (F.col("n_equal") / F.col("n_tokens")).alias("share"))
 
 
