@@ -150,26 +150,26 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_
     parsed, found = factors(source, window, anchor)
     firsts = parsed.where("id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("first"))
     copies = parsed.where((F.col("id").isNotNull()) & (F.col("n_words") >= window)).join(firsts, ["s1", "s2"]).where("id > first").select("id", "s1", F.lit(True).alias("entire")).distinct()
-    plans = copies.join(found, ["id", "s1"], "full")
-    joined = source.join(plans, "id", "left").select("id", "text", "s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    plans = copies.join(found, ["id", "s1"], "full").select("id", F.struct("s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).alias("plan"))
+    joined = source.join(plans.groupBy("id").agg(F.collect_list("plan").alias("plans")), "id", "left").select("id", "text", "plans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in text_slices(batches):
             out: list[tuple] = []
-            plan = rows.select(["id", "s1", "entire", "starts", "ends"]).to_pylist()
-            for p, text in zip(plan, texts_of(bounds, data), strict=True):
+            for i, plans, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), texts_of(bounds, data), strict=True):
                 words = text.split()
-                mine = p["s1"] is None or p["s1"] == signature(words)[0]
+                sign = signature(words)[0] if plans else None  # rows with one id can have several texts
+                p = next((x for x in plans or () if x["s1"] == sign), None)
                 keep = np.ones(len(words), bool)
                 parts: list[tuple[int, int]] = []
-                if mine and p["entire"]:
+                if p and p["entire"]:
                     parts = [(0, len(words))]
-                elif mine and p["starts"]:
+                elif p:
                     parts = greedy_factors(np.array(p["starts"]), np.array(p["ends"]))
                 for a, b in parts:
                     keep[a:b] = False
                 left = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k) if parts else b" ".join(words)
-                out.append((p["id"], len(words), int((~keep).sum()), len(parts), left.decode(), mine))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], ["id", "n_words", "n_removed", "n_factors", "kept_words", "mine"])
+                out.append((i, len(words), int((~keep).sum()), len(parts), left.decode()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], ["id", "n_words", "n_removed", "n_factors", "kept_words"])
 
-    return joined.mapInArrow(work, "id long, n_words long, n_removed long, n_factors long, kept_words string, mine boolean").where("mine").drop("mine").withColumnRenamed("id", id_column)
+    return joined.mapInArrow(work, "id long, n_words long, n_removed long, n_factors long, kept_words string").withColumnRenamed("id", id_column)

@@ -73,6 +73,9 @@ def build(counts: list[tuple[str, int, int]]) -> Model:
     They share it as the next shorter context gives it, less what the longer one has. A context that a language never had is skipped.
     """
     languages = sorted({lang for lang, _, _ in counts})
+    if not languages:
+        none = np.zeros(1, np.int32)
+        return Model([], np.zeros(256, np.int32), 1, none, none, none, np.zeros((1, 0), np.float32))
     seen = np.unique([gram & 255 for _, gram, _ in counts if gram >> 40 == 1]).astype(np.int64) if counts else np.zeros(0, np.int64)
     width = len(seen) + 1
     symbols = np.full(256, width - 1, np.int32)

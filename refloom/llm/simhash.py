@@ -65,7 +65,8 @@ def anchors_of(values: np.ndarray, width: int) -> list[np.ndarray]:
     """All anchors within COVER_RADIUS + BLOCK_THRESHOLD = 2 bits of each block value, as arrays of the same length (-1: none).
 
     The nearest anchor flips the covered bit that the syndrome names. The others within 2 bits flip two covered bits whose syndromes
-    add up to it, or one bit of the rest besides the nearest anchor's flip.
+    add up to it, or one bit of the rest besides the nearest anchor's flip. Anchors that differ in two bits of the rest are nearest to no value
+    within one bit, so no pair meets there and they are left out.
     """
     low = values & ((1 << COVERED) - 1)
     syndrome = np.zeros(len(values), np.int64)

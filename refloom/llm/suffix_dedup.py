@@ -21,7 +21,6 @@ ANCHOR_BASE, WINDOW_BASE, CORE_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0x
 PART_BYTES = 750_000
 #: Windows of one core: those whose anchor lies in the same stretch of so many offsets.
 CORE_STEP = 16
-LEAST = -(1 << 63)
 
 
 def signature(text: bytes) -> tuple[int, int]:
@@ -245,23 +244,25 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_co
     an equal text, loses all if the text is that long. Null ids are ids like others.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("id"), whole(text_column).alias("text"))
+    text = whole(text_column)
+    own = docs.select(F.col(id_column).cast("long").alias("own"), F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text, F.lit("no id"))).alias("id"), text.alias("text"))
+    source = own.select("id", "text")
     parsed, found = repeats(source, width, anchor, part_bytes)
     several = parsed.where(F.col("n_bytes") >= width).groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2")
     copies = parsed.join(several, ["s1", "s2"]).select("id", "s1", F.lit(True).alias("entire")).distinct()
-    plans = copies.join(found, ["id", "s1"], "full")
-    joined = source.join(plans, "id", "left").select("id", "text", "s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    plans = copies.join(found, ["id", "s1"], "full").select("id", F.struct("s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).alias("plan"))
+    joined = own.join(plans.groupBy("id").agg(F.collect_list("plan").alias("plans")), "id", "left").select("own", "text", "plans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in text_slices(batches):
             out: list[tuple] = []
-            plan = rows.select(["id", "s1", "entire", "starts", "ends"]).to_pylist()
-            for p, text in zip(plan, texts_of(bounds, data), strict=True):
-                mine = p["s1"] is None or p["s1"] == signature(text)[0]
+            for i, plans, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), texts_of(bounds, data), strict=True):
+                sign = signature(text)[0] if plans else None  # rows with one id can have several texts
+                p = next((x for x in plans or () if x["s1"] == sign), None)
                 runs: list[list[int]] = []
-                if mine and p["entire"]:
+                if p and p["entire"]:
                     runs = [[0, len(text)]]
-                elif mine and p["starts"]:
+                elif p:
                     for a, b in sorted(zip(p["starts"], p["ends"], strict=True)):
                         if runs and a <= runs[-1][1]:
                             runs[-1][1] = max(runs[-1][1], b - 1 + width)
@@ -269,7 +270,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_co
                             runs.append([a, b - 1 + width])
                 edges = [0, *(x for run in runs for x in run), len(text)]
                 left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((None if p["id"] == LEAST else p["id"], len(text), len(text) - len(left), len(runs), left, mine))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept", "mine"])
+                out.append((i, len(text), len(text) - len(left), len(runs), left))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(work, "id long, n_bytes long, n_removed long, n_spans long, kept binary, mine boolean").where("mine").drop("mine").withColumnRenamed("id", id_column)
+    return joined.mapInArrow(work, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_column)

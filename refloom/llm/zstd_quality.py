@@ -33,6 +33,8 @@ class Model:
 
 def _dictionary(blocks: list[bytes], size: int) -> tuple[bytes, bool]:
     """A trained dictionary; where there is too little text to train on, the text itself."""
+    if not blocks:
+        return b"", True
     try:
         return zstandard.train_dictionary(size, blocks).as_bytes(), False
     except zstandard.ZstdError:
