@@ -18,8 +18,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with a language: texts that are null or have no letter go. The model is fitted on a bounded sample of docs itself."""
     names = docs.columns
     model = ppm_language.learn(docs)
-    found = ppm_language.identify(docs, model, carry=tuple(n for n in names if n != "doc_id"))
-    return found.where(F.col("lang_pred") != ppm_language.UNDETERMINED).select(*names)
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(n) for n in names)).alias("_row"))
+    found = ppm_language.identify(rows, model, carry=("_row",))
+    return found.where(F.col("lang_pred") != ppm_language.UNDETERMINED).select(*(F.col("_row")[n].alias(n) for n in names))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32-bit), their number and digest, and the digest of what they decode to."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path(TOKENIZER))
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, offsets=False).withColumn("ids_sha256", F.sha2("ids", 256))
-    decoded = byte_bpe.decode(encoded, ranks, carry=("n_tokens", "ids_sha256", "ids"), text=False)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("ids"))
+    coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, offsets=False, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

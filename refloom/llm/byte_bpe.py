@@ -51,11 +51,11 @@ def byte_table(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
     """Token ids of whole texts.
 
-    Returns id_column, ids (binary: little-endian unsigned 32-bit), n_tokens and, with offsets, starts and ends: the code points
-    [start, end) of the text that each token touches. A token that holds part of a character's bytes has that character's place.
+    Returns id_column, ids (binary: little-endian unsigned 32-bit), n_tokens, with decoded the bytes that the ids decode to, and with offsets
+    starts and ends: the code points [start, end) of the text that each token touches. A token that holds part of a character's bytes has that character's place.
     Null and empty texts have no tokens; rows are never dropped, repeated rows are encoded each; other columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -63,6 +63,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: st
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = source.schema["id"].dataType
     fields = [T.StructField("id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    if decoded:  # in the same pass, so that the ids need no second Python process
+        fields.append(T.StructField("decoded", T.BinaryType()))
     places = [T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("starts", "ends")] if offsets else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,14 +72,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: st
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         tokenizer = build_tokenizer(*shared.value)
+        token = byte_table(shared.value[0]).__getitem__
         run = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
-        for rows, bounds, data in text_slices(batches, limit=SLICE_BYTES // 4):
+        for rows, bounds, data in text_slices(batches, limit=SLICE_BYTES // 16):  # an encoding is many times as large as its text
             found = run([t.decode() for t in texts_of(bounds, data)], add_special_tokens=False)
             ids = [np.array(x.ids, "<u4") for x in found]
             out = [rows.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+            if decoded:
+                out.append(pa.array([b"".join(map(token, x.tolist())) for x in ids], pa.binary()))
             if offsets:
                 out += [pa.array([[p[k] for p in x.offsets] for x in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(out, ["id", "ids", "n_tokens", *(f.name for f in places)])
+            yield pa.RecordBatch.from_arrays(out, [f.name for f in fields + places])
 
     return source.mapInArrow(work, T.StructType(fields + places)).withColumnRenamed("id", id_column)
 

@@ -43,9 +43,8 @@ def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, offsets=False)
-    decoded = byte_bpe.decode(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), ranks, carry=("n_tokens", "ids_sha256"), text=False)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, offsets=False, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +78,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {}
+SECRETS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, 0 AS kind_no, 'assign' AS kind, string_split_regex(t, '{assign}') AS gaps, regexp_extract_all(t, '{assign}') AS vals FROM t
+  UNION ALL SELECT doc_id, 1, 'access', string_split_regex(t, '{access}'), regexp_extract_all(t, '{access}') FROM t
+  UNION ALL SELECT doc_id, 2, 'hex', string_split_regex(t, '{hex}'), regexp_extract_all(t, '{hex}') FROM t
+  UNION ALL SELECT doc_id, 3, 'random', string_split_regex(t, '{random}'), regexp_extract_all(t, '{random}') FROM t),
+flat AS (SELECT doc_id, kind_no, kind, unnest(gaps[:len(vals)]) AS gap, unnest(vals) AS v, generate_subscripts(vals, 1) AS i FROM found WHERE len(vals) > 0),
+placed AS (SELECT doc_id, kind_no, kind, v, CAST(sum(length(gap) + length(v)) OVER (PARTITION BY doc_id, kind_no ORDER BY i) AS BIGINT) AS e FROM flat),
+spans AS (SELECT doc_id, kind_no, kind, v, e - length(v) AS s, e FROM placed WHERE CASE kind_no WHEN 0 THEN length(regexp_extract(v, '{assign}', 1)) >= 6 WHEN 1 THEN length(v) >= 20 ELSE true END),
+base AS (SELECT * FROM spans WHERE kind_no < 3),
+fresh AS (SELECT c.*, row_number() OVER () AS c, CASE WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN 16 WHEN regexp_full_match(v, '[A-Z2-7]+') THEN 32 WHEN regexp_full_match(v, '[0-9A-Za-z]+') THEN 62 ELSE 64 END AS k
+  FROM spans c WHERE kind_no = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
+symbols AS (SELECT c, k, length(v) AS n, unnest(range(1, length(v) + 1)) AS i, unnest(string_split(v, '')) AS ch FROM fresh),
+indexed AS (SELECT c, k, n, i, CASE k WHEN 16 THEN instr('0123456789abcdef', lower(ch)) - 1 WHEN 32 THEN instr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ch) - 1
+  ELSE least(instr('0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_', ch) - 1, 63) END AS x FROM symbols),
+stepped AS (SELECT *, x >= k / 2 AS high, lag(x >= k / 2) OVER (PARTITION BY c ORDER BY i) AS before, avg(x) OVER (PARTITION BY c) AS mean, lag(x) OVER (PARTITION BY c ORDER BY i) AS last FROM indexed),
+counts AS (SELECT c, sum(m * m) AS squares FROM (SELECT c, x, count(*) AS m FROM indexed GROUP BY 1, 2) GROUP BY 1),
+tests AS (SELECT c, any_value(k) AS k, any_value(n) AS n, count_if(high) AS high, 1 + count_if(before IS NOT NULL AND high <> before) AS runs, sum(pow(x - mean, 2)) AS spread, coalesce(sum((x - mean) * (last - mean)), 0) AS serial FROM stepped GROUP BY c),
+zs AS (SELECT c, (pow(greatest(squares * k / n - n, 1e-9) / (k - 1), 1 / 3.0) - (1 - 2 / (9.0 * (k - 1)))) / sqrt(2 / (9.0 * (k - 1))) AS z1, 2 * high * (n - high) / n + 1 AS mu, runs, n, spread, serial FROM tests JOIN counts USING (c)),
+ps AS (SELECT c, z1, CASE WHEN mu <= 2 THEN 9 ELSE abs((runs - mu) / sqrt((mu - 1) * (mu - 2) / (n - 1))) END AS z2, CASE WHEN spread <= 0 THEN 9 ELSE abs(serial / spread * sqrt(n)) END AS z3 FROM zs),
+tails AS (SELECT c, 1 / (1 + exp(1.5976 * z1 + 0.07056 * pow(z1, 3))) AS p1, least(1, 2 / (1 + exp(1.5976 * z2 + 0.07056 * pow(z2, 3)))) AS p2, least(1, 2 / (1 + exp(1.5976 * z3 + 0.07056 * pow(z3, 3)))) AS p3 FROM ps),
+fisher AS (SELECT c, -ln(greatest(p1, 1e-300)) - ln(greatest(p2, 1e-300)) - ln(greatest(p3, 1e-300)) AS f FROM tails),
+ranked AS (SELECT fresh.*, exp(-f) * (1 + f + f * f / 2) AS p FROM fresh JOIN fisher USING (c)),
+shares AS (SELECT *, p * count(*) OVER (PARTITION BY doc_id) / count(*) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM ranked),
+adjusted AS (SELECT *, least(1, min(q) OVER (PARTITION BY doc_id ORDER BY p DESC)) AS a FROM shares),
+random AS (SELECT doc_id, kind_no, kind, v, s, e FROM adjusted WHERE a >= greatest(0.01, least(0.2, 0.2 * pow(0.05, (length(v) - 20) / 44.0)))),
+per AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) FILTER (kind_no < 3) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) AS a,
+  count_if(kind_no = 0) AS n0, count_if(kind_no = 1) AS n1, count_if(kind_no = 2) AS n2, count_if(kind_no = 3) AS n3 FROM (SELECT * FROM base UNION ALL SELECT * FROM random) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, CAST(coalesce(n3, 0) AS BIGINT) AS n_random
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+FACTORS_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS k, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM w WHERE len(w) >= 50),
+first AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, k + j AS i FROM h JOIN first USING (h), range(0, 50) AS r(j) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+#: Thirteen tokens of which eleven agree have four in a row that do, so runs of four find every alignment that counts.
+LEAKS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS d FROM documents WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS b FROM benchmark WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(range(1, len(d) - 2)) AS i, unnest(list_transform(range(1, len(d) - 2), lambda i: array_to_string(d[i:i + 3], ' '))) AS g FROM d WHERE len(d) >= 4),
+bg AS (SELECT item_id, unnest(range(1, len(b) - 2)) AS j, unnest(list_transform(range(1, len(b) - 2), lambda i: array_to_string(b[i:i + 3], ' '))) AS g FROM b WHERE len(b) >= 13),
+aligned AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM dg JOIN bg USING (g)),
+e AS (SELECT doc_id, item_id, list_transform(range(1, len(b) + 1), lambda k: CASE WHEN k + shift >= 1 AND d[k + shift] = b[k] THEN 1 ELSE 0 END) AS e FROM aligned JOIN d USING (doc_id) JOIN b USING (item_id)),
+judged AS (SELECT doc_id, item_id, len(e) AS n, list_sum(e) AS total, list_max(list_transform(range(1, len(e) - 11), lambda s: list_sum(e[s:s + 12]))) AS best FROM e)
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_tokens, CAST(max(total) AS BIGINT) AS n_equal, CAST(max(total) AS DOUBLE) / max(n) AS share FROM judged WHERE best >= 11 GROUP BY 1, 2
+"""
+
+
+def _secrets_sql() -> str:
+    patterns = {"assign": secret_scan.ASSIGN, "access": secret_scan.ACCESS, "hex": secret_scan.HEX, "random": secret_scan.CANDIDATE}
+    sql = SECRETS_SQL
+    for name, pattern in patterns.items():
+        sql = sql.replace("{" + name + "}", pattern.replace("'", "''"))
+    return sql
+
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secrets_sql(), "op2_lz_dedup": FACTORS_SQL, "op10_decontaminate": LEAKS_SQL}
