@@ -142,7 +142,9 @@ def bounded_sample(rows: DataFrame, by: str, per_class: int, id_column: str = "d
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(id_column).isNotNull())
     sizes = rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(max_classes).collect()
-    known = F.create_map(*[F.lit(x) for r in sizes for x in r]) if sizes else F.lit(None).cast("map<string,long>")
+    if not sizes:
+        return rows.withColumn("class_size", F.lit(0).cast("long")).where("false")
+    known = F.create_map(*[F.lit(x) for r in sizes for x in r])
     draw = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     thinned = rows.withColumn("class_size", F.try_element_at(known, F.col(by))).where(draw * F.col("class_size") < 2 * per_class + 16)
     order = Window.partitionBy(by).orderBy(draw, F.col(id_column), "text")

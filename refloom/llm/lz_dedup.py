@@ -103,10 +103,11 @@ def greedy_factors(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]
     return out
 
 
-def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Duplicate factors of every document (columns id, text): runs of words whose windows all start in a document with a smaller id too.
 
-    Returns (parsed, found): parsed as parsed_documents() has it; found has id, s1, spans (array of first word, end, smallest source id).
+    Returns (parsed, firsts, found): parsed as parsed_documents() has it; firsts has s1, s2 and the smallest id with that text; found has id, s1,
+    spans (array of first word, end, smallest source id).
 
     1. Texts with the same words are one: only the first takes part, the others are duplicates as a whole.
     2. Each window has an anchor that depends on its words alone, so equal windows have equal anchors. An anchor that one document
@@ -114,28 +115,28 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
     3. The windows of one anchor form a block. A block that an earlier document has is a factor as a whole.
     4. Where a block has no such source, a factor begins or ends in it: its windows are looked up one by one among those of all blocks
        with this anchor.
-    Blocks and windows are grouped with partial aggregation, then joined: a passage in very many documents is one row before the join, and
-    Spark splits what joins it.
+    Blocks and windows are grouped with partial aggregation, then joined: a passage in very many documents is one row before the join. What is
+    grouped is written first, so that both sides of the join are plain exchanges, and Spark splits the hot keys of the other side.
     """
     parsed = cut(parsed_documents(docs, window, anchor))
     known = parsed.where("id IS NOT NULL")
-    firsts = known.groupBy("s1", "s2").agg(F.min("id").alias("id"))
+    firsts = cut(known.groupBy("s1", "s2").agg(F.min("id").alias("id")))
     anchors = known.where(F.col("n_words") >= window).join(firsts, ["s1", "s2", "id"], "left_semi").select("id", "s1", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     live = anchors.join(shared, "anchor").groupBy("id", "s1").agg(F.collect_set("anchor").alias("anchors"))
     blocks = cut(reference_blocks(docs, live, window, anchor))
 
     variants = blocks.groupBy("anchor", "block").agg(F.min("id").alias("first"))
-    several = variants.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    several = cut(variants.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     placed = blocks.join(variants, ["anchor", "block"])
     end = F.col("start") + F.size("windows") - 1 + window
     entire = placed.where("id > first").select("id", "s1", F.struct(F.col("start"), end.alias("end"), F.col("first").alias("source")).alias("span"))
     edges = placed.where("id = first").join(several, "anchor", "left_semi").select("anchor", "id", "s1", F.posexplode("windows").alias("k", "w"), "start")
-    lowest = edges.groupBy("anchor", "w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor", "w", "low")
+    lowest = cut(edges.groupBy("anchor", "w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor", "w", "low"))
     at = F.col("start") + F.col("k")
     single = edges.join(lowest, ["anchor", "w"]).where("id > low").select("id", "s1", F.struct(at.alias("start"), (at + window).alias("end"), F.col("low").alias("source")).alias("span"))
     found = entire.unionByName(single).groupBy("id", "s1").agg(F.collect_list("span").alias("spans"))
-    return parsed, found
+    return parsed, firsts, found
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -147,9 +148,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("id"), whole(text_column).alias("text"))
-    parsed, found = factors(source, window, anchor)
-    firsts = parsed.where("id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("first"))
-    copies = parsed.where((F.col("id").isNotNull()) & (F.col("n_words") >= window)).join(firsts, ["s1", "s2"]).where("id > first").select("id", "s1", F.lit(True).alias("entire")).distinct()
+    parsed, firsts, found = factors(source, window, anchor)
+    copies = parsed.where((F.col("id").isNotNull()) & (F.col("n_words") >= window)).join(firsts.withColumnRenamed("id", "first"), ["s1", "s2"]).where("id > first").select("id", "s1", F.lit(True).alias("entire")).distinct()
     plans = copies.join(found, ["id", "s1"], "full").select("id", F.struct("s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).alias("plan"))
     joined = source.join(plans.groupBy("id").agg(F.collect_list("plan").alias("plans")), "id", "left").select("id", "text", "plans")
 

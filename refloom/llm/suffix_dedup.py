@@ -226,7 +226,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, part_byte
     found = cut(_repeats(rows.repartition(n_parts, "part").sortWithinPartitions("part"), width, anchor)) if total else spark.createDataFrame([], FOUND)
 
     spans = found.where("kind = 0").select("id", "s1", F.struct("start", "end").alias("span"))
-    several = variants.where("n > 1").select("anchor", "d1", "d2")
+    several = cut(variants.where("n > 1").select("anchor", "d1", "d2"))
     entire = regions.join(several, ["anchor", "d1", "d2"]).select("id", "s1", F.struct("start", (F.col("start") + F.col("size") - width + 1).alias("end")).alias("span"))
     cores = found.where("kind = 1").select("anchor", "core", "id", "s1", "windows", "open")
     common = cores.groupBy("anchor", "core").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "core")
@@ -248,7 +248,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_co
     own = docs.select(F.col(id_column).cast("long").alias("own"), F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text, F.lit("no id"))).alias("id"), text.alias("text"))
     source = own.select("id", "text")
     parsed, found = repeats(source, width, anchor, part_bytes)
-    several = parsed.where(F.col("n_bytes") >= width).groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2")
+    several = cut(parsed.where(F.col("n_bytes") >= width).groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2"))  # written, so that the join with it can split a text with very many copies
     copies = parsed.join(several, ["s1", "s2"]).select("id", "s1", F.lit(True).alias("entire")).distinct()
     plans = copies.join(found, ["id", "s1"], "full").select("id", F.struct("s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).alias("plan"))
     joined = own.join(plans.groupBy("id").agg(F.collect_list("plan").alias("plans")), "id", "left").select("own", "text", "plans")
