@@ -80,15 +80,6 @@ def texts_of(bounds: np.ndarray, data: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def kept(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(name)) for name in names]
-
-
-def plain(frame: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names can't matter."""
-    return frame.select(*names)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit depends on all bits (multiply and shift, twice)."""
     x = x ^ (x >> np.uint64(30))

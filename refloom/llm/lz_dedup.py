@@ -126,7 +126,7 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
     live = anchors.join(shared, "anchor").groupBy("id", "s1").agg(F.collect_set("anchor").alias("anchors"))
     blocks = cut(reference_blocks(docs, live, window, anchor))
 
-    variants = blocks.groupBy("anchor", "block").agg(F.min("id").alias("first"))
+    variants = cut(blocks.groupBy("anchor", "block").agg(F.min("id").alias("first")))
     several = cut(variants.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     placed = blocks.join(variants, ["anchor", "block"])
     end = F.col("start") + F.size("windows") - 1 + window
