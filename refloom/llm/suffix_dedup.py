@@ -19,6 +19,8 @@ ANCHOR = 100
 ANCHOR_BASE, WINDOW_BASE, CORE_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 #: Bytes of regions that one part sorts, unless one region alone is longer.
 PART_BYTES = 750_000
+#: Parts that a task goes through one after the other, so that there are fewer and larger files.
+PARTS_PER_TASK = 8
 #: Windows of one core: those whose anchor lies in the same stretch of so many offsets.
 CORE_STEP = 16
 
@@ -223,7 +225,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, part_byte
     salt = F.when(F.col("salts") > 1, F.pmod("d1", "salts")).otherwise(F.lit(-1))
     chosen = variants.join(groups, "anchor").select("anchor", "d1", "d2", "pick.*", (F.col("n") == 1).alias("own"), (F.col("salts") > 1).alias("salted"), F.pmod(F.xxhash64("anchor", salt), F.lit(n_parts)).alias("part"))
     rows = regions.join(chosen, ["anchor", "d1", "d2", "id", "s1", "start"]).select("part", "anchor", "id", "s1", "start", "offset", "own", "salted", "bytes")
-    found = cut(_repeats(rows.repartition(n_parts, "part").sortWithinPartitions("part"), width, anchor)) if total else spark.createDataFrame([], FOUND)
+    tasks = max(1, n_parts // PARTS_PER_TASK)
+    found = cut(_repeats(rows.repartition(tasks, "part").sortWithinPartitions("part"), width, anchor)) if total else spark.createDataFrame([], FOUND)
 
     spans = found.where("kind = 0").select("id", "s1", F.struct("start", "end").alias("span"))
     several = cut(variants.where("n > 1").select("anchor", "d1", "d2"))
