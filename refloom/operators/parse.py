@@ -55,6 +55,7 @@ VOLUME_REWRITES = (
 SERIAL = r"[가-힣A-Za-z一-鿿&:：\-·\s]{2,60}?"
 SERIAL_TAIL = rf"(?iU)^(.*?)({SERIAL})[,\s]+(\d{{1,4}})\s*(?:\((\d{{1,3}})\))?\s*[,:：\s]\s*(paper\s*\d+|e\d{{3,7}}|\d{{1,5}}\s*[-–]\s*\d{{1,5}}|\d{{1,5}})\s*\.?\s*$"
 SERIAL_NO_PAGES = rf"(?U)^(.*?)({SERIAL})[,\s]+(\d{{1,4}})\s*\((\d{{1,3}})\)\s*[,.]?\s*$"
+SEPARATOR = "\x1e"
 BOOK_TAIL = r"(?U)^(.+?)[.?]?\s*(?:\(([^)]*(?:판|ed\.)[^)]*)\))?\s*[.]?\s*([가-힣A-Za-z.\s]{1,25}?)\s*[:：]\s*([^.]+)\.?$"
 THESIS = r"(?iU)(석사\s*학위\s*논문|박사\s*학위\s*논문|Doctoral dissertation|Master'?s thesis)\s*,?\s*([^,.]+)?(?:,\s*([^.]+))?"
 REPORT_TAIL = r"(?U)^(.+?)\s*(?:\(([^)]+)\))?\s*\.\s*([^.]+)?\.?$"
@@ -186,15 +187,25 @@ def two_parts(c: Column) -> tuple[Column, Column]:
     return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
 
 
+def serial_parts(c: Column) -> Column:
+    """Head, container, volume, issue and pages of an article's tail, or the first four of one without pages, or the string alone.
+
+    The patterns try many splits, so each is matched once: the match is rewritten with separators between its groups.
+    """
+    full = F.split(F.regexp_replace(c, SERIAL_TAIL, SEPARATOR.join(f"${k}" for k in range(1, 6))), SEPARATOR)
+    short = F.split(F.regexp_replace(c, SERIAL_NO_PAGES, SEPARATOR.join(f"${k}" for k in range(1, 5))), SEPARATOR)
+    return F.get(F.transform(F.array(full), lambda p: F.when(F.size(p) == 5, p).otherwise(short)), F.lit(0))
+
+
 def journal_fields() -> dict[str, Column]:
-    r = col("_serial")
-    full, short = r.rlike(SERIAL_TAIL), r.rlike(SERIAL_NO_PAGES)
+    r, parts = col("_serial"), col("_parts")
+    full, short = F.size(parts) == 5, F.size(parts) == 4
 
     def part(k: int) -> Column:
-        return F.when(full, group(r, SERIAL_TAIL, k)).otherwise(group(r, SERIAL_NO_PAGES, k))
+        return F.coalesce(F.get(parts, F.lit(k - 1)), F.lit(""))
 
     found = full | short
-    page = group(r, SERIAL_TAIL, 5)
+    page = part(5)
     article = page.rlike("(?i)^(paper|e[0-9])")
     first, second = two_parts(r)
     head = rstrip(strip(part(1)), ".,")
@@ -316,6 +327,7 @@ def type_fields(rows: DataFrame) -> DataFrame:
     for pattern, new in VOLUME_REWRITES:
         serial = sub(serial, pattern, new)
     rows = rows.withColumn("_serial", F.when(col("type") == "journal", serial).otherwise(""))
+    rows = rows.withColumn("_parts", F.when(col("type") == "journal", serial_parts(col("_serial"))))
     made = {name: make() for name, make in BY_TYPE.items()}
     other = other_fields()
     none = F.array().cast("array<string>")

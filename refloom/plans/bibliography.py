@@ -39,6 +39,8 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     who = F.concat("first", F.when(F.col("second") == "", "").otherwise(F.concat(F.lit(" & "), "second")))
     link = F.when(F.col("doi") == "", "").otherwise(F.concat(F.lit(" https://doi.org/"), "doi"))
+    # few bytes, much work: each row is rendered and parsed, so the rows are dealt to all cores
+    rows = rows.repartition(spark.sparkContext.defaultParallelism)
     return rows.withColumn("raw", F.concat(who, F.lit(" ("), "year", F.lit("). "), "title", F.lit(". "), "container", F.lit(", "), "volume", F.lit("("), "issue", F.lit("), "), "pages", F.lit("."), link))
 
 

@@ -159,8 +159,9 @@ def test_streams_decide_as_tables_do(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 30 : part * 30 + 30], schema).coalesce(1).write.json(f"{tmp_path}/in", mode="append")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
-    run = limits.throttled(stream).writeStream.format("memory").queryName("throttled").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run = limits.throttled(stream).writeStream.format("memory").queryName("throttled").option("checkpointLocation", f"{tmp_path}/state").start()
+    run.processAllAvailable()
+    run.stop()
     assert {(r.event_id, r.allowed) for r in spark.table("throttled").collect()} == {(r.event_id, r.allowed) for r in limits.throttled(spark.createDataFrame(rows, schema)).collect()}
 
 
@@ -169,8 +170,9 @@ def test_daily_totals_of_a_stream(spark, tmp_path):
     table = spark.read.parquet(f"{tmp_path}/e")
     assert sorted((str(r.day), r.n, r.total) for r in windows.daily_totals(table, ["k"], "v").collect()) == [("2024-01-01", 2, 3.0), ("2024-01-03", 1, 4.0)]
     stream = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/e")
-    run = windows.daily_totals(stream, ["k"], "v").writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run = windows.daily_totals(stream, ["k"], "v").writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").start()
+    run.processAllAvailable()
+    run.stop()
     assert spark.table("daily").count() == 2
 
 
