@@ -3,6 +3,7 @@
 import difflib
 import io
 import random
+import time
 import zipfile
 
 import pytest
@@ -160,7 +161,9 @@ def test_streams_decide_as_tables_do(spark, tmp_path):
         spark.createDataFrame(rows[part * 30 : part * 30 + 30], schema).coalesce(1).write.json(f"{tmp_path}/in", mode="append")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
     run = limits.throttled(stream).writeStream.format("memory").queryName("throttled").option("checkpointLocation", f"{tmp_path}/state").start()
-    run.processAllAvailable()
+    end = time.time() + 90
+    while spark.table("throttled").count() < len(rows) and time.time() < end and run.isActive:  # timeouts keep such a query busy, so it never idles
+        time.sleep(0.5)
     run.stop()
     assert {(r.event_id, r.allowed) for r in spark.table("throttled").collect()} == {(r.event_id, r.allowed) for r in limits.throttled(spark.createDataFrame(rows, schema)).collect()}
 
