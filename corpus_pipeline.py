@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import byte_bpe, decontaminate, ppm_language, secret_scan, simhash
+from refloom.llm import byte_bpe, decontaminate, near_copies, ppm_language, secret_scan
 from refloom.llm.common import cut, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -24,9 +24,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, once. Rows without an id can't be named as copies and stay."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near-duplicates the document with the smallest id, once. Rows without an id can't be named as copies and stay.
+
+    Near-duplicates share 0.8 of their five-word shingles. Rows with one id are the same document only if their shingles are the same too.
+    """
+    rows = near_copies.grouped(docs)
+    node, least = F.col(near_copies.NODE), F.col(near_copies.LEAST)
+    kept = rows.where((F.col("doc_id") == least["id"]) & (node == least[near_copies.NODE])).dropDuplicates(["doc_id", near_copies.NODE])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
