@@ -89,22 +89,24 @@ flat AS (SELECT doc_id, kind_no, kind, unnest(gaps[:len(vals)]) AS gap, unnest(v
 placed AS (SELECT doc_id, kind_no, kind, v, CAST(sum(length(gap) + length(v)) OVER (PARTITION BY doc_id, kind_no ORDER BY i) AS BIGINT) AS e FROM flat),
 spans AS (SELECT doc_id, kind_no, kind, v, e - length(v) AS s, e FROM placed WHERE CASE kind_no WHEN 0 THEN length(regexp_extract(v, '{assign}', 1)) >= 6 WHEN 1 THEN length(v) >= 20 ELSE true END),
 base AS (SELECT * FROM spans WHERE kind_no < 3),
-fresh AS (SELECT c.*, row_number() OVER () AS c, CASE WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN 16 WHEN regexp_full_match(v, '[A-Z2-7]+') THEN 32 WHEN regexp_full_match(v, '[0-9A-Za-z]+') THEN 62 ELSE 64 END AS k
+fresh AS (SELECT c.*, row_number() OVER () AS c, length(v) AS n, CASE WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN 16 WHEN regexp_full_match(v, '[A-Z2-7]+') THEN 32 WHEN regexp_full_match(v, '[0-9a-z]+|[0-9A-Z]+') THEN 36
+    WHEN regexp_full_match(v, '[0-9A-Za-z]+') THEN 62 ELSE 64 END AS k
   FROM spans c WHERE kind_no = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
-symbols AS (SELECT c, k, length(v) AS n, unnest(range(1, length(v) + 1)) AS i, unnest(string_split(v, '')) AS ch FROM fresh),
-indexed AS (SELECT c, k, n, i, CASE k WHEN 16 THEN instr('0123456789abcdef', lower(ch)) - 1 WHEN 32 THEN instr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ch) - 1
-  ELSE least(instr('0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_', ch) - 1, 63) END AS x FROM symbols),
-stepped AS (SELECT *, x >= k / 2 AS high, lag(x >= k / 2) OVER (PARTITION BY c ORDER BY i) AS before, avg(x) OVER (PARTITION BY c) AS mean, lag(x) OVER (PARTITION BY c ORDER BY i) AS last FROM indexed),
-counts AS (SELECT c, sum(m * m) AS squares FROM (SELECT c, x, count(*) AS m FROM indexed GROUP BY 1, 2) GROUP BY 1),
-tests AS (SELECT c, any_value(k) AS k, any_value(n) AS n, count_if(high) AS high, 1 + count_if(before IS NOT NULL AND high <> before) AS runs, sum(pow(x - mean, 2)) AS spread, coalesce(sum((x - mean) * (last - mean)), 0) AS serial FROM stepped GROUP BY c),
-zs AS (SELECT c, (pow(greatest(squares * k / n - n, 1e-9) / (k - 1), 1 / 3.0) - (1 - 2 / (9.0 * (k - 1)))) / sqrt(2 / (9.0 * (k - 1))) AS z1, 2 * high * (n - high) / n + 1 AS mu, runs, n, spread, serial FROM tests JOIN counts USING (c)),
-ps AS (SELECT c, z1, CASE WHEN mu <= 2 THEN 9 ELSE abs((runs - mu) / sqrt((mu - 1) * (mu - 2) / (n - 1))) END AS z2, CASE WHEN spread <= 0 THEN 9 ELSE abs(serial / spread * sqrt(n)) END AS z3 FROM zs),
-tails AS (SELECT c, 1 / (1 + exp(1.5976 * z1 + 0.07056 * pow(z1, 3))) AS p1, least(1, 2 / (1 + exp(1.5976 * z2 + 0.07056 * pow(z2, 3)))) AS p2, least(1, 2 / (1 + exp(1.5976 * z3 + 0.07056 * pow(z3, 3)))) AS p3 FROM ps),
-fisher AS (SELECT c, -ln(greatest(p1, 1e-300)) - ln(greatest(p2, 1e-300)) - ln(greatest(p3, 1e-300)) AS f FROM tails),
-ranked AS (SELECT fresh.*, exp(-f) * (1 + f + f * f / 2) AS p FROM fresh JOIN fisher USING (c)),
-shares AS (SELECT *, p * count(*) OVER (PARTITION BY doc_id) / count(*) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM ranked),
-adjusted AS (SELECT *, least(1, min(q) OVER (PARTITION BY doc_id ORDER BY p DESC)) AS a FROM shares),
-random AS (SELECT doc_id, kind_no, kind, v, s, e FROM adjusted WHERE a >= greatest(0.01, least(0.2, 0.2 * pow(0.05, (length(v) - 20) / 44.0)))),
+symbols AS (SELECT c, k, unnest(range(1, n + 1)) AS i, unnest(string_split(v, '')) AS ch FROM fresh),
+numbered AS (SELECT c, i, ch, CAST(CASE k WHEN 16 THEN instr('0123456789abcdef', lower(ch)) - 1 WHEN 32 THEN instr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ch) - 1 WHEN 36 THEN instr('0123456789abcdefghijklmnopqrstuvwxyz', lower(ch)) - 1
+  ELSE least(instr('0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_', ch) - 1, 63) END AS DOUBLE) AS x,
+  CASE WHEN ch BETWEEN '0' AND '9' THEN 0 WHEN ch BETWEEN 'a' AND 'z' THEN 1 WHEN ch BETWEEN 'A' AND 'Z' THEN 2 ELSE 3 END AS kind FROM symbols),
+stepped AS (SELECT *, lag(kind) OVER w AS before, lag(x) OVER w AS last, avg(x) OVER (PARTITION BY c) AS mean FROM numbered WINDOW w AS (PARTITION BY c ORDER BY i)),
+equal AS (SELECT c, sum(m * (m - 1) / 2) AS pairs FROM (SELECT c, ch, CAST(count(*) AS DOUBLE) AS m FROM symbols GROUP BY 1, 2) GROUP BY 1),
+walked AS (SELECT c, CAST(count_if(kind <> before) AS DOUBLE) AS changes, sum(pow(x - mean, 2)) AS spread, sum((x - mean) * (last - mean)) AS serial FROM stepped GROUP BY c),
+own AS (SELECT fresh.*, pairs, changes, spread, serial, CASE k WHEN 16 THEN {hex_pairs} ELSE {equal_pairs} END AS q, CASE k WHEN 16 THEN {hex_triples} ELSE {equal_triples} END AS t,
+  {ordinary} * CASE k {changes} END AS p, n * (n - 1.0) / 2 AS m2, n * (n - 1.0) * (n - 2.0) AS m3 FROM fresh JOIN equal USING (c) JOIN walked USING (c)),
+scored AS (SELECT *, ((m2 * q - pairs) / sqrt(m2 * (q - q * q) + m3 * (t - q * q)) + (changes - (n - 1) * p) / sqrt((n - 1) * p * (1 - p))
+  + CASE WHEN spread <= 0 THEN {serial} - 1 ELSE {serial} - abs(serial / spread) END * sqrt(n)) / sqrt(3.0) AS z, least(2.0, greatest(0.5, n / 40.0)) AS weight FROM own),
+tails AS (SELECT *, exp(-pow(least(abs(z), 37), 2) / 2) / (2.5066282746 * (0.661 * least(abs(z), 37) + 0.339 * sqrt(pow(least(abs(z), 37), 2) + 5.51))) AS far FROM scored),
+steps AS (SELECT *, CAST(greatest(0, least({last_step}, floor({steps} * (ln(weight) - CASE WHEN z >= 0 THEN ln(far) ELSE ln(1 - far) END)))) AS INTEGER) AS step FROM tails),
+line AS (SELECT min(step) AS line FROM (SELECT step, count(*) OVER (ORDER BY step DESC) AS at_least, sum(weight) OVER () AS total FROM steps) WHERE exp(-step / CAST({steps} AS DOUBLE)) * total <= {rate} * at_least),
+random AS (SELECT doc_id, kind_no, kind, v, s, e FROM steps WHERE step >= (SELECT line FROM line)),
 per AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) FILTER (kind_no < 3) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) AS a,
   count_if(kind_no = 0) AS n0, count_if(kind_no = 1) AS n1, count_if(kind_no = 2) AS n2, count_if(kind_no = 3) AS n3 FROM (SELECT * FROM base UNION ALL SELECT * FROM random) GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, CAST(coalesce(n3, 0) AS BIGINT) AS n_random
@@ -135,10 +137,12 @@ SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_tokens, CAST(max(total) AS B
 
 
 def _secrets_sql() -> str:
-    patterns = {"assign": secret_scan.ASSIGN, "access": secret_scan.ACCESS, "hex": secret_scan.HEX, "random": secret_scan.CANDIDATE}
+    scan = secret_scan
+    values = {"assign": scan.ASSIGN, "access": scan.ACCESS, "hex": scan.HEX, "random": scan.CANDIDATE, "hex_pairs": scan.HEX_PAIRS, "equal_pairs": scan.EQUAL_PAIRS, "hex_triples": scan.HEX_TRIPLES, "equal_triples": scan.EQUAL_TRIPLES}
+    values |= {"ordinary": scan.ORDINARY_CHANGES, "serial": scan.SERIAL, "last_step": scan.LAST_STEP, "steps": scan.STEPS, "rate": scan.FALSE_DISCOVERY, "changes": " ".join(f"WHEN {k} THEN {v}" for k, v in scan.CHANGES.items())}
     sql = SECRETS_SQL
-    for name, pattern in patterns.items():
-        sql = sql.replace("{" + name + "}", pattern.replace("'", "''"))
+    for name, value in values.items():
+        sql = sql.replace("{" + name + "}", str(value).replace("'", "''"))
     return sql
 
 

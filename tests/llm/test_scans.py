@@ -54,6 +54,60 @@ def test_randomness(spark):
     assert sum(found[k] for k in range(len(keys), len(keys) + len(plain))) == 0
 
 
+SYLLABLES = "the in re on ti er an de le que ung sch ver con tion mar ta lo es en vo ra mi pre cal ste por ment ous ing".split()
+
+
+def ordinary(rng):
+    """A name, path or slug of words and numbers, as they stand in text."""
+    while True:
+        words = ["".join(rng.choices(SYLLABLES, k=rng.randint(1, 3))) for _ in range(rng.randint(2, 8))]
+        for _ in range(rng.randint(1, 3)):
+            words.insert(rng.randint(1, len(words)), rng.choice([str(rng.randint(1990, 2030)), str(rng.randint(0, 99)), f"2{rng.randint(0, 999):03d}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"v{rng.randint(1, 9)}", str(rng.randint(0, 999999))]))
+        style = rng.randrange(5)
+        token = "".join(w.capitalize() for w in words) if style == 0 else ("_", "-", "/", "")[style - 1].join(words)
+        if len(token) >= 20 and re.search("[0-9]", token):
+            return token
+
+
+def test_false_discoveries_and_recall_by_length(spark):
+    """Of what is reported among many ordinary tokens, a twentieth at most is ordinary; long keys are all found, short ones as far as the tests can tell them."""
+    rng = random.Random(21)
+    alphabets = ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    keys = [(n, a, "1k" + random_key(rng, n - 2, a) if a[0] == "0" and "z" in a else "A2" + random_key(rng, n - 2, a)) for n in (20, 24, 32, 40, 64) for a in alphabets for _ in range(40)]
+    tokens_ = [k for _, _, k in keys] + [ordinary(rng) for _ in range(3000)]
+    tokens_.append("x9Kq2LmZp8Rt4Wv7Yb1Nc6Hd")
+    order = rng.sample(range(len(tokens_)), len(tokens_))
+    lines = [(k // 7, tokens_[i]) for k, i in enumerate(order)]
+    docs = spark.createDataFrame([(g, "\n".join(t for h, t in lines[7 * g : 7 * g + 7])) for g in range(-(-len(lines) // 7))], "doc_id long, text string")
+    texts_of = {r.doc_id: r.text for r in docs.collect()}
+    found = {texts_of[r.doc_id][x.start : x.end] for r in secret_scan.scan(docs).collect() for x in r.found if x.kind == "random"}
+    plain = set(tokens_[len(keys) : -1])
+    assert len(found & plain) <= 0.05 * len(found) and tokens_[-1] in found
+    recall = {(n, k): sum(t in found for m, a, t in keys if (m, a) == (n, alphabets[k])) / 40 for n in (20, 24, 32, 40, 64) for k in range(len(alphabets))}
+    assert all(recall[64, k] >= 0.9 for k in range(5)) and all(recall[n, k] >= 0.9 for n in (32, 40) for k in (0, 1)) and all(recall[24, k] >= 0.6 for k in (0, 1))
+    assert all(recall[20, k] < recall[40, k] for k in range(5))
+
+
+def test_nothing_is_found_among_ordinary_tokens(spark):
+    rng = random.Random(22)
+    docs = spark.createDataFrame([(k, ordinary(rng)) for k in range(1500)], "doc_id long, text string")
+    assert secret_scan.scan(docs).selectExpr("sum(size(filter(found, x -> x.kind = 'random'))) AS n").first().n <= 3
+
+
+def test_many_candidates_in_one_text(spark):
+    """Ten thousand keys and as many base secrets in one text: work grows little faster than their number."""
+    import time
+
+    rng = random.Random(23)
+    text = " ".join(f"{random_key(rng, 30)} token={random_key(rng, 8)}" for _ in range(10_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = secret_scan.scan(docs).selectExpr("size(base) AS b", "size(found) AS f").first()
+    assert row.b == 10_000 and row.f > 19_000 and time.perf_counter() - began < 60
+    redacted = secret_scan.redact(docs).first().text
+    assert redacted.count("[SECRET]") == row.f and "token=" not in redacted
+
+
 def test_redaction(spark):
     rows = [(1, "a token=abcdef1 b", 7), (2, "clean", 5), (3, None, 0), (4, "secret: " + "0123456789abcdef" * 2, 1), (5, "password=abcdefgh", 1)]
     done = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, found int")).collect()}
