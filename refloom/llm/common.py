@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +33,52 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """The shared folder that the cluster names. A temporary one only where none is named and all runs on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="refloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    The result has no lineage, so a lost executor costs no more than the reads of it.
+    The result has no lineage, so a lost executor costs no more than the reads of it. The files stay until the folder goes, or until the temporary()
+    block ends in which they were written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What cut() writes inside the block is deleted at its end, but for what the block's function is given and writes."""
+    first, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = cut(df)
+        kept.add(_written[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in [p for p in _written[first:] if p not in kept]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        _written[first:] = [p for p in _written[first:] if p in kept]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches hold whole texts, so fewer rows each bound the memory of executors and their Python workers."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -125,18 +153,21 @@ def changes(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def bounded_sample(rows: DataFrame, by: str, per_class: int, id_column: str = "doc_id", max_classes: int = 200) -> DataFrame:
-    """per_class rows at most of each of the max_classes most frequent values of `by`, chosen by a hash of the id: the same ones in every run.
+def bounded_sample(rows: DataFrame, by: str, per_class: int, id_column: str = "doc_id", max_classes: int = 2000) -> DataFrame:
+    """per_class rows at most of each class of `by`, chosen by a hash of the id: the same ones in every run.
 
     A class keeps each row with a chance of twice its share before the rows are ranked, so a huge class is thinned before any shuffle.
-    Adds class_size, the class's row count. Rows with a null class or id are left out.
+    Adds class_size, the class's row count. Rows with a null class or id are left out. More than max_classes classes, which bound the driver's
+    list of them, are an error: none is left out silently.
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(id_column).isNotNull())
-    sizes = rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(max_classes).collect()
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n")).limit(max_classes + 1).collect()
+    if len(sizes) > max_classes:
+        raise ValueError(f"{by} has more than {max_classes} classes")
     if not sizes:
         return rows.withColumn("class_size", F.lit(0).cast("long")).where("false")
-    known = F.create_map(*[F.lit(x) for r in sizes for x in r])
+    known = F.map_from_arrays(F.lit([r[by] for r in sizes]), F.lit([r.n for r in sizes]))
     draw = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    thinned = rows.withColumn("class_size", F.try_element_at(known, F.col(by))).where(draw * F.col("class_size") < 2 * per_class + 16)
+    thinned = rows.withColumn("class_size", F.try_element_at(known, F.col(by)).cast("long")).where(draw * F.col("class_size") < 2 * per_class + 16)
     order = Window.partitionBy(by).orderBy(draw, F.col(id_column), "text")
     return thinned.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")

@@ -51,11 +51,12 @@ def context_counts(sample: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Frozen statistics: code lengths in bits of every symbol after every context, for each language.
+    """Frozen statistics: code lengths in bits, a column for each language.
 
     symbols maps bytes to 0 ... width - 1, of which the last stands for all bytes that were never seen. first, second and third give the
-    row of the longest known context for the last one, two and three symbols; row 0 is the empty context. bits has a row for each
-    context and symbol, a column for each language.
+    row of the longest known context for the last one, two and three symbols; row 0 is the empty context. runs gives the row of a context and a
+    symbol in bits, -1 if no language has that run; then escapes has the bits of the step to the context's `shorter` one. Only runs that some
+    language has take a row in bits, so the tables don't grow with languages times contexts times symbols.
     """
 
     languages: list[str]
@@ -64,7 +65,10 @@ class Model:
     first: np.ndarray
     second: np.ndarray
     third: np.ndarray
+    runs: np.ndarray
     bits: np.ndarray
+    escapes: np.ndarray
+    shorter: np.ndarray
 
 
 def build(counts: list[tuple[str, int, int]]) -> Model:
@@ -75,42 +79,51 @@ def build(counts: list[tuple[str, int, int]]) -> Model:
     languages = sorted({lang for lang, _, _ in counts})
     if not languages:
         none = np.zeros(1, np.int32)
-        return Model([], np.zeros(256, np.int32), 1, none, none, none, np.zeros((1, 0), np.float32))
-    seen = np.unique([gram & 255 for _, gram, _ in counts if gram >> 40 == 1]).astype(np.int64) if counts else np.zeros(0, np.int64)
+        return Model([], np.zeros(256, np.int32), 1, none, none, none, none, np.zeros((1, 0), np.float32), np.zeros((1, 0), np.float32), none)
+    lang_of = {lang: k for k, lang in enumerate(languages)}
+    table = np.array([(lang_of[lang], gram >> 40, gram & 0xFFFFFFFF, n) for lang, gram, n in counts], np.int64).reshape(-1, 4)
+    seen = np.unique(table[table[:, 1] == 1, 2])
     width = len(seen) + 1
     symbols = np.full(256, width - 1, np.int32)
     symbols[seen] = np.arange(len(seen))
     rest = 256 - len(seen)
     base = np.append(np.full(len(seen), 1 / 256), rest / 256)
 
-    lang_of = {lang: k for k, lang in enumerate(languages)}
-    table = np.array([(lang_of[lang], gram >> 40, gram & 0xFFFFFFFF, n) for lang, gram, n in counts], np.int64).reshape(-1, 4)
     contexts: dict[tuple[int, int], int] = {(0, 0): 0}
     for length in range(2, ORDER + 2):
         for value in np.unique(table[table[:, 1] == length, 2] >> 8).tolist():
             contexts[length - 1, value] = len(contexts)
-    probability = np.empty((len(contexts), len(languages), width), np.float32)
+    orders = np.array([order for order, _ in contexts], np.int64)
     shorter = np.array([0 if order < 1 else contexts.get((order - 1, value & ((1 << 8 * (order - 1)) - 1)), 0) for order, value in contexts], np.int64)
-    count = np.zeros((len(contexts), width), np.float64)
-    for k in range(len(languages)):
-        mine = table[table[:, 0] == k]
+    row_of = np.array([contexts[length - 1, gram >> 8] for length, gram in table[:, 1:3].tolist()], np.int64)
+    places = row_of * width + symbols[table[:, 2] & 255]
+    used = np.unique(np.concatenate([places, np.arange(width)]))  # the empty context has all symbols
+    runs = np.full(len(contexts) * width, -1, np.int32)
+    runs[used] = np.arange(len(used))
+    bits = np.zeros((len(used), len(languages)), np.float32)
+    escapes = np.zeros((len(contexts), len(languages)), np.float32)
+    probability, count = np.empty((len(contexts), width)), np.zeros((len(contexts), width))
+    for k in range(len(languages)):  # one language at a time has a dense table
+        mine = table[:, 0] == k
         count[:] = 0
-        row = np.array([contexts[length - 1, gram >> 8] for length, gram in mine[:, 1:3].tolist()], np.int64)
-        count[row, symbols[mine[:, 2] & 255]] = mine[:, 3]
+        count.reshape(-1)[places[mine]] = table[mine, 3]
         total, kinds = count.sum(1), (count > 0).sum(1)
         for order in range(ORDER + 1):
-            rows = np.array([r for (o, _), r in contexts.items() if o == order], np.int64)
-            below = base[None, :] if order == 0 else probability[shorter[rows], k, :]
+            rows = np.flatnonzero(orders == order)
+            below = np.broadcast_to(base, (1, width)) if order == 0 else probability[shorter[rows]]
             c, n, d = count[rows], total[rows][:, None], kinds[rows][:, None]
             left = np.where(c > 0, 0, below)
             spare = left.sum(1, keepdims=True)
             with np.errstate(invalid="ignore", divide="ignore"):
-                mixed = np.where(c > 0, c / (n + d), d / (n + d) * left / spare)
+                share = d / (n + d) / spare
+                mixed = np.where(c > 0, c / (n + d), share * left)
                 mixed = np.where(spare > 0, mixed, c / n)
-            probability[rows, k, :] = np.where(n > 0, mixed, below)
-    if rest:
-        probability[:, :, -1] /= rest
-    bits = -np.log2(np.maximum(probability, 1e-12)).transpose(0, 2, 1).reshape(-1, len(languages)).astype(np.float32)
+                escapes[rows, k] = np.where((n > 0) & (spare > 0), -np.log2(np.maximum(share, 1e-12)), 0)[:, 0]
+            probability[rows] = np.where(n > 0, mixed, below)
+        flat = probability.reshape(-1)[used]
+        if rest:  # each of the bytes that were never seen has its part
+            flat = np.where(used % width == width - 1, flat / rest, flat)
+        bits[:, k] = -np.log2(np.maximum(flat, 1e-12))
 
     first = np.zeros(width, np.int32)
     second = np.zeros((width, width), np.int32)
@@ -121,7 +134,7 @@ def build(counts: list[tuple[str, int, int]]) -> Model:
         for (o, value), row in contexts.items():
             if o == order:
                 array[tuple(symbols[value >> 8 * (order - 1 - i) & 255] for i in range(order))] = row
-    return Model(languages, symbols, width, first, second.reshape(-1), third.reshape(-1), np.ascontiguousarray(bits))
+    return Model(languages, symbols, width, first, second.reshape(-1), third.reshape(-1), runs, bits, escapes, shorter.astype(np.int32))
 
 
 def code_lengths(model: Model, bounds: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -136,7 +149,15 @@ def code_lengths(model: Model, bounds: np.ndarray, data: np.ndarray) -> np.ndarr
     row[at + 1] = model.first[s[at]]
     at = starts[starts + 2 < ends]
     row[at + 2] = model.second[s[at].astype(np.int64) * w + s[at + 1]]
-    bits = model.bits[row * w + s]
+    place = model.runs[row * w + s]
+    bits = np.zeros((len(s), len(model.languages)), np.float32)
+    left = np.flatnonzero(place < 0)
+    while len(left):  # ORDER times at most: the empty context has every symbol
+        bits[left] += model.escapes[row[left]]
+        row[left] = model.shorter[row[left]]
+        place[left] = model.runs[row[left] * w + s[left]]
+        left = left[place[left] < 0]
+    bits += model.bits[place]
     out = np.zeros((len(starts), len(model.languages)))
     used = starts < ends
     if used.any():
@@ -144,14 +165,15 @@ def code_lengths(model: Model, bounds: np.ndarray, data: np.ndarray) -> np.ndarr
     return out
 
 
-def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = 300, longest: int = 1 << 20, max_grams: int = 400_000) -> Model:
+def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = 300, longest: int = 1 << 20, max_grams: int = 400_000, max_languages: int = 2000) -> Model:
     """Fit on a bounded sample: per_language whole texts of each language at most, none of over `longest` bytes, none of the held-out fold.
 
-    Runs of ORDER + 1 bytes that occur once are dropped, and of the rest the max_grams most frequent are kept: the model's bound.
+    Runs of ORDER + 1 bytes that occur once are dropped, and of the rest the max_grams most frequent are kept, shorter ones first: the model's bound.
+    More than max_languages languages are an error.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(lang_column).alias("lang"), lowered(text_column).alias("text"))
     rows = rows.where(~held_out("doc_id") & (F.octet_length("text") <= longest))
-    counts = context_counts(bounded_sample(rows, "lang", per_language))
+    counts = context_counts(bounded_sample(rows, "lang", per_language, max_classes=max_languages))
     counts = counts.where((F.col("n") > 1) | (F.shiftright("gram", 40) <= ORDER))
     top = counts.orderBy(F.shiftright("gram", 40), F.desc("n"), "lang", "gram").limit(max_grams)
     return build([(r.lang, r.gram, r.n) for r in top.collect()])

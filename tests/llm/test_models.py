@@ -154,3 +154,42 @@ def test_bounded_sample(spark):
     assert counts == {"big": 50, "small": 50}
     first = {r.doc_id for r in bounded_sample(docs, "lang", 50).collect()}
     assert first == {r.doc_id for r in bounded_sample(docs.repartition(7), "lang", 50).collect()}
+
+
+def test_three_hundred_languages(spark):
+    """No language is left out, whatever their number, and the tables stay small; more than the bound are an error."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)]
+        rows += [(8 * k + j, " ".join(rng.choices(syllables, k=25)), f"l{k:03d}") for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = ppm_language.learn(docs)
+    assert len(model.languages) == 300 and sum(x.nbytes for x in (model.bits, model.runs, model.escapes, model.third)) < 150 << 20
+    found = {r.doc_id: r.lang_pred for r in ppm_language.identify(docs, model).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert np.mean([found[i] == lang for i, _, lang in held]) >= 0.95
+    with pytest.raises(ValueError, match="classes"):
+        ppm_language.learn(docs, max_languages=299)
+
+
+def test_without_a_shared_folder(spark, monkeypatch):
+    """On a cluster no machine's own folder stands in for the shared one; temporary tables go, kept ones stay."""
+    from pathlib import Path
+
+    from refloom.llm import common
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf, sparkContext = Conf(), type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Cluster())
+    with common.temporary(spark) as keep:
+        gone = common.cut(spark.range(3))
+        stays = keep(gone.where("id > 0"))
+    assert stays.count() == 2
+    assert not any(Path(f.removeprefix("file:")).exists() for f in gone.inputFiles())
