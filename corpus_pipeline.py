@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.llm import byte_bpe, decontaminate, near_copies, ppm_language, secret_scan
-from refloom.llm.common import cut, table
+from refloom.llm.common import table, temporary
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -70,5 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written to the shared folder before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with temporary(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
