@@ -123,16 +123,20 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-#: Thirteen tokens of which eleven agree have four in a row that do, so runs of four find every alignment that counts.
+#: Thirteen tokens of which eleven agree have four in a row that do, so runs of four find every alignment that counts; shorter items are aligned at each
+#: token.
 LEAKS_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS d FROM documents WHERE text IS NOT NULL),
 b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS b FROM benchmark WHERE text IS NOT NULL),
-dg AS (SELECT doc_id, unnest(range(1, len(d) - 2)) AS i, unnest(list_transform(range(1, len(d) - 2), lambda i: array_to_string(d[i:i + 3], ' '))) AS g FROM d WHERE len(d) >= 4),
-bg AS (SELECT item_id, unnest(range(1, len(b) - 2)) AS j, unnest(list_transform(range(1, len(b) - 2), lambda i: array_to_string(b[i:i + 3], ' '))) AS g FROM b WHERE len(b) >= 13),
+short AS (SELECT DISTINCT unnest(b) AS w FROM b WHERE len(b) < 13),
+dg AS (SELECT doc_id, unnest(range(1, len(d) - 2)) AS i, unnest(list_transform(range(1, len(d) - 2), lambda i: array_to_string(d[i:i + 3], ' '))) AS g FROM d WHERE len(d) >= 4
+  UNION ALL SELECT doc_id, i, w FROM (SELECT doc_id, unnest(range(1, len(d) + 1)) AS i, unnest(d) AS w FROM d WHERE (SELECT count(*) FROM short) > 0) JOIN short USING (w)),
+bg AS (SELECT item_id, unnest(range(1, len(b) - 2)) AS j, unnest(list_transform(range(1, len(b) - 2), lambda i: array_to_string(b[i:i + 3], ' '))) AS g FROM b WHERE len(b) >= 13
+  UNION ALL SELECT item_id, unnest(range(1, len(b) + 1)), unnest(b) FROM b WHERE len(b) < 13),
 aligned AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM dg JOIN bg USING (g)),
 e AS (SELECT doc_id, item_id, list_transform(range(1, len(b) + 1), lambda k: CASE WHEN k + shift >= 1 AND d[k + shift] = b[k] THEN 1 ELSE 0 END) AS e FROM aligned JOIN d USING (doc_id) JOIN b USING (item_id)),
-judged AS (SELECT doc_id, item_id, len(e) AS n, list_sum(e) AS total, list_max(list_transform(range(1, len(e) - 11), lambda s: list_sum(e[s:s + 12]))) AS best FROM e)
-SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_tokens, CAST(max(total) AS BIGINT) AS n_equal, CAST(max(total) AS DOUBLE) / max(n) AS share FROM judged WHERE best >= 11 GROUP BY 1, 2
+judged AS (SELECT doc_id, item_id, len(e) AS n, list_sum(e) AS total, list_max(list_transform(range(1, len(e) - least(13, len(e)) + 2), lambda s: list_sum(e[s:s + least(13, len(e)) - 1]))) AS best FROM e)
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_tokens, CAST(max(total) AS BIGINT) AS n_equal, CAST(max(total) AS DOUBLE) / max(n) AS share FROM judged WHERE best * 5 >= least(13, n) * 4 GROUP BY 1, 2
 """
 
 

@@ -206,32 +206,83 @@ def leaks(rows, items):
         for item, text in items:
             w = tokens(text)
             n = min(13, len(w))
-            for shift in range(-len(w) + 1, len(d)) if len(w) >= 9 else ():
+            for shift in range(-len(w) + 1, len(d)) if w else ():
                 equal = [0 <= j + shift < len(d) and d[j + shift] == x for j, x in enumerate(w)]
-                if any(sum(equal[k : k + n]) >= -(-n * 8 // 10) for k in range(len(w) - n + 1)):
+                if any(5 * sum(equal[k : k + n]) >= 4 * n for k in range(len(w) - n + 1)):
                     out.add((i, item))
     return out
 
 
-def test_passages_with_replaced_tokens(spark):
-    rng = random.Random(11)
+def leaky_rows(rng, lengths, count):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
-    items = [(k, " ".join(word() for _ in range(rng.choice([5, 13, 14, 20, 40])))) for k in range(12)]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate(lengths)]
     rows = []
-    for k in range(60):
+    for k in range(count):
         passage = rng.choice(items)[1].split()
         a = rng.randint(0, max(0, len(passage) - 13))
         part = passage[a : a + rng.choice([10, 13, 18, 40])]
         for _ in range(rng.randint(0, max(1, len(part) // 4))):
             part[rng.randrange(len(part))] = word()
         rows.append((k, " ".join([*(word() for _ in range(rng.randint(0, 30))), ", ".join(part).upper(), *(word() for _ in range(rng.randint(0, 9)))])))
-    rows += [(100, None), (101, ""), (102, rows[3][1]), (None, rows[3][1])]
-    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
-    expected = {p for p in leaks([r for r in rows if r[0] is not None], items)}
+    return rows, items
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_passages_with_replaced_tokens(spark, monkeypatch, broadcast):
+    """Items of 1 to 13 tokens and more, with tokens replaced; with seeds broadcast and shuffled; with chunks of few alignments."""
+    rng = random.Random(11)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    monkeypatch.setattr(decontaminate, "CHUNK", 2)
+    rows, items = leaky_rows(rng, [*range(1, 14), 5, 9, 10, 11, 12, 14, 20, 40, 13, 20], 150)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows += [(1000, None), (1001, ""), (1002, rows[3][1]), (None, rows[3][1]), (1003, items[19][1]), (1003, word()), (1004, " ".join([items[19][1]] * 3)), (1005, " ".join(items[20][1].split()[3:16]))]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (50, None), (51, ""), (52, items[19][1]), items[19], (None, items[18][1])], "item_id long, text string")
+    expected = leaks([r for r in rows if r[0] is not None], [*items, (52, items[19][1])])
     found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, benchmark).collect()}
-    assert found == expected and len(expected) > 15
+    assert found == expected and len({i for _, i in expected}) > 20
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, benchmark, shortest=9).collect()} == {(d, i) for d, i in expected if len(tokens(dict([*items, (52, items[19][1])])[i])) >= 9}
+    bad = {t for i, t in rows if t and leaks([(i, t)], [x for x in items if len(tokens(x[1])) >= 5])}
     kept = decontaminate.clean(docs, benchmark)
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in rows if i not in {p[0] for p in expected})
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, t) for i, t in rows if t not in bad)
+
+
+def test_every_pattern_of_replaced_tokens(spark):
+    """All ways to replace as many tokens as the rule allows, for items of each length up to 13."""
+    from itertools import combinations
+
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 14)]
+    rows = []
+    for n, text in items:
+        words = text.split()
+        for gone in combinations(range(n), n - -(-4 * n // 5)):
+            rows.append((len(rows), n, "before " + " ".join("other" if k in gone else w for k, w in enumerate(words)) + " after"))
+    docs = spark.createDataFrame(rows, "doc_id long, n long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, n) for i, n, _ in rows}
+
+
+def test_leaks_sql_agrees(spark, tmp_path):
+    """The oracle and the operator, on items of all lengths."""
+    import duckdb
+    import pandas as pd
+
+    rows, items = leaky_rows(random.Random(12), [*range(1, 14), 9, 10, 11, 12, 25], 120)
+    documents, benchmark = pd.DataFrame(rows, columns=["doc_id", "text"]), pd.DataFrame(items, columns=["item_id", "text"])
+    for name, frame in (("documents", documents), ("benchmark", benchmark)):
+        spark.createDataFrame(frame).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = ["doc_id", "item_id", "n_tokens", "n_equal", "share"]
+    expected = {tuple(r[k] for k in names) for r in duckdb.sql(queries.ORACLE_SQL["op10_decontaminate"]).df().to_dict("records")}
+    assert {tuple(r[k] for k in names) for r in queries.op10_decontaminate(spark, str(tmp_path)).collect()} == expected and len(expected) > 60
+
+
+def test_leaks_among_any_rows(spark, docs, texts, no_docs):
+    """Null and empty texts, null ids, repeated rows, long texts, clashing names and empty tables on both sides."""
+    items = spark.createDataFrame([(1, texts[30][1]), (2, None), (3, " ".join(texts[45][1].split()[5:40]))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()}
+    assert found == leaks([r for r in texts if r[0] is not None], [(1, texts[30][1]), (3, " ".join(texts[45][1].split()[5:40]))])
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and decontaminate.clean(docs, items.limit(0)).count() == len(texts)
+    assert decontaminate.overlaps(no_docs, items).count() == decontaminate.clean(no_docs, items).count() == decontaminate.overlaps(docs, items.limit(0)).count() == 0
 
 
 def test_masks_hit_any_two_replacements():
