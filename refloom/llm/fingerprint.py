@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,17 +66,45 @@ def merge(sketches: DataFrame, by: list[str], column: str = "sketch", keep: int
     return hashes.groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias(column))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", order: tuple[str, ...] = ("text",), rows_per_bucket: int = 1000) -> DataFrame:
+def _splitters(keys: DataFrame, rows: int, buckets: int, draws: int) -> list[tuple]:
+    """Keys (known, id, head) that cut the rows into so many buckets of about the same size: quantiles of a sample of `draws` for each bucket."""
+    if buckets < 2:
+        return []
+    chance = F.pmod(F.xxhash64("known", "id", "head", F.lit("splitter")), F.lit(1 << 40))
+    sample = sorted(tuple(r) for r in keys.where(chance < F.lit(int((1 << 40) * min(1.0, draws * buckets / rows)))).collect())
+    return sorted({sample[len(sample) * k // buckets] for k in range(1, buckets)}) if sample else []
+
+
+def _bucket_of(key: Column, splitters: list[tuple]) -> Column:
+    """Number of splitters at or before a key: those of a coarse choice are counted, then those of one stretch of the rest."""
+    if not splitters:
+        return F.lit(0)
+    step = math.isqrt(len(splitters)) + 1
+    kind = "struct<known:boolean,id:bigint,head:string>"
+
+    def listed(value: list, ddl: str) -> Column:
+        return F.from_json(F.lit(json.dumps(value)), ddl)
+
+    named = [dict(zip(("known", "id", "head"), s, strict=True)) for s in splitters]
+    stretches = listed([{"s": named[k : k + step]} for k in range(0, len(named), step)], f"array<struct<s:array<{kind}>>>")
+    coarse = F.size(F.filter(listed(named[::step], f"array<{kind}>"), lambda s: s <= key))
+    fine = F.size(F.filter(F.get(stretches, F.greatest(coarse - 1, F.lit(0)))["s"], lambda s: s <= key))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
+
+
+def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", order: tuple[str, ...] = ("text",), rows_per_bucket: int = 1000, max_buckets: int = 16_384, draws: int = 16) -> DataFrame:
     """docs with next_<column> for each of columns: the value in the next row by ascending id (ties: by `order`); after the last comes the first.
 
-    Ids fall into buckets of equal width. Within a bucket a window looks ahead; a bucket's last row takes the first of the next
-    bucket that has rows, of which only the buckets' numbers meet in one task. Null ids come first.
+    Rows fall into ranges of about the same number of rows, whatever the ids' spread: the splitters are quantiles of a sample of ids and, for rows that
+    share an id, the first characters of the first column of `order`. Within a range a window looks ahead; a range's last row takes the first of the
+    next range that has rows, for which the ranges' numbers, max_buckets at most, meet in one task. Null ids come first. The driver sees the sample of
+    `draws` keys a range.
     """
-    low, high, n = docs.agg(F.min(id_column), F.max(id_column), F.count("*")).first()
-    width = max(1, -(-(int(high) - int(low) + 1) * rows_per_bucket // max(n, 1))) if n and low is not None else 1
-    bucket = F.when(F.col(id_column).isNull(), F.lit(-1)).otherwise(F.floor((F.col(id_column) - F.lit(low if low is not None else 0)) / F.lit(width)).cast("long"))
+    key = F.struct(F.col(id_column).isNotNull().alias("known"), F.coalesce(F.col(id_column).cast("long"), F.lit(0)).alias("id"), F.substring(F.coalesce(F.col(order[0]).cast("string"), F.lit("")), 1, 12).alias("head"))
+    n = docs.count()
+    splitters = _splitters(docs.select(key.alias("k")).select("k.*"), n, min(max_buckets, n // rows_per_bucket), draws)
     ahead = Window.partitionBy("_bucket").orderBy(id_column, *order)
-    rows = docs.withColumn("_bucket", bucket)
+    rows = docs.withColumn("_bucket", _bucket_of(key, splitters))
     rows = rows.withColumns({f"_next_{c}": F.lead(F.struct(c), 1).over(ahead) for c in columns} | {"_row": F.row_number().over(ahead)})
     firsts = rows.where("_row = 1").select(F.col("_bucket").alias("_following"), *(F.struct(c).alias(f"_first_{c}") for c in columns))
     every = Window.orderBy("_bucket")

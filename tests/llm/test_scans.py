@@ -186,6 +186,21 @@ def test_next_row_across_buckets(spark):
         assert found == {i: rows[(k + 1) % 40][1] for k, (i, _) in enumerate(rows)}
 
 
+def test_next_row_whatever_the_ids(spark):
+    """Ids far apart, null ids and one id for many rows: the next row is right, and no range holds much more than its share."""
+    rng = random.Random(31)
+    rows = [(k, f"a{k}") for k in range(300)] + [(10**15, "far"), (-(10**15), "near")] + [(None, f"{rng.random():.9f}") for _ in range(500)] + [(77, f"{rng.random():.9f}") for _ in range(400)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    docs = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(5)
+    found = fingerprint.with_next(docs, ["text"], rows_per_bucket=20, draws=1000)
+    assert {(r.doc_id, r.text): r.next_text for r in found.collect()} == {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    key = "struct(doc_id IS NOT NULL AS known, coalesce(doc_id, 0) AS id, substring(text, 1, 12) AS head)"
+    keys = docs.selectExpr(f"{key} AS k")
+    splitters = fingerprint._splitters(keys.select("k.*"), len(rows), len(rows) // 20, 1000)
+    sizes = keys.groupBy(fingerprint._bucket_of(keys.k, splitters).alias("b")).count().collect()
+    assert len(sizes) == len(rows) // 20 and max(r["count"] for r in sizes) <= 25
+
+
 def test_merged_sketches(spark):
     docs = spark.createDataFrame([(k % 2, " ".join(f"w{k}_{j}" for j in range(60))) for k in range(10)], "g int, text string")
     parts = docs.select("g", fingerprint.sketch(docs.text, 32).alias("sketch"))
