@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -62,7 +63,7 @@ def shards(docs: DataFrame, count: int = 16, law: str = "bytes", id_column: str
 
     law bytes: sizes near equal; law rows: counts at most one apart. Splitters are quantiles of a sample in which a record's chance grows
     with its size. Ranges that hold over twice their share (one text with very many copies, above all) are subdivided by splitters
-    of (hash, id) from a second sample. A record's place follows from the exact totals of the ranges before its own and a running sum
+    from a second sample: of hash and id inside a large group, of the hash alone elsewhere. A record's place follows from the exact totals of the ranges before its own and a running sum
     within it; the driver sees a row a range, max_ranges times three at most, and the samples, which are as bounded.
 
     A group of equal texts of up to a hundredth of a shard stays in one shard under law bytes; larger groups are cut where shards end.
@@ -76,6 +77,7 @@ def shards(docs: DataFrame, count: int = 16, law: str = "bytes", id_column: str
     n, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(1, min(max_ranges, n // rows_per_range))
     share = max(total / ranges, 1.0)
+    small_group = total / count / 100
 
     def sampled(rows: DataFrame, salt: str) -> list[tuple]:
         drawn = rows.select("h", "id", _draws(F.col("size") * F.lit(draws_per_range / share), salt).alias("draws")).where("draws > 0")
@@ -90,9 +92,13 @@ def shards(docs: DataFrame, count: int = 16, law: str = "bytes", id_column: str
         inside = slim.withColumn("part", _range_of(splitters)("h", "id")).where(F.col("part").isin(*pieces))
         drawn = sorted(sampled(inside, "second"))
         keys = [r[:2] for r in drawn]
+        wanted: list[tuple[int, int]] = []
         for part, k in pieces.items():
-            own = drawn[bisect.bisect_left(keys, bounds[part]) : bisect.bisect_left(keys, bounds[part + 1])]
-            splitters = sorted({*splitters, *_quantiles(own, k)})
+            wanted += _quantiles(drawn[bisect.bisect_left(keys, bounds[part]) : bisect.bisect_left(keys, bounds[part + 1])], k)
+        # a group is cut by id only if it is a large one; a splitter inside a smaller group goes to the group's start
+        several = [h for h, k in Counter(h for h, _ in wanted).items() if k > 1]
+        large = {r.h for r in inside.where(F.col("h").isin(several)).groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > small_group).collect()} if several else set()
+        splitters = sorted({*splitters, *(key if key[0] in large else (key[0], LEAST) for key in wanted)})
     placed = slim.withColumn("part", _range_of(splitters)("h", "id"))
     stats = _offsets(placed)
     before = slim.sparkSession.createDataFrame(stats[["part", "rows_before", "bytes_before"]], "part int, rows_before long, bytes_before long")
@@ -105,7 +111,7 @@ def shards(docs: DataFrame, count: int = 16, law: str = "bytes", id_column: str
     else:
         ranked = ranked.withColumn("start", F.col("bytes_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         ranked = ranked.withColumn("group_bytes", F.sum("size").over(group)).withColumn("group_start", F.min("start").over(group))
-        small = F.col("group_bytes") <= total / count / 100
+        small = F.col("group_bytes") <= small_group
         middle = F.when(small, F.col("group_start") + F.col("group_bytes") / 2).otherwise(F.col("start") + F.col("size") / 2)
         shard = F.floor(middle * count / F.lit(max(float(total), 1.0)))
     ranked = ranked.withColumn("shard", F.least(shard, F.lit(count - 1)).cast("int")).select("own_id", "size", "crc", "shard", "rank")

@@ -146,6 +146,16 @@ def test_many_copies_are_spread(spark):
     assert sum(len(s) > 1 for s in alone.values()) <= 1  # the copies, which are more than a shard holds
 
 
+def test_small_groups_beside_a_hot_text_stay_whole(spark):
+    rows = [(k, "copy of a text that half of all rows have") for k in range(3000)] + [(3000 + k, f"group {k % 600} with five copies of this text") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for per in (5, 20, 100):
+        places = {}
+        for r in sharding.shards(docs, 8, rows_per_range=per).collect():
+            places.setdefault(r.text_crc32, set()).add(r.shard)
+        assert sorted(len(p) for p in places.values())[-2] == 1 and max(map(len, places.values())) >= 4
+
+
 def test_shards_of_nothing(no_docs):
     assert sharding.shards(no_docs).count() == 0
 
