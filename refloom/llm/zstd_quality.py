@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,8 +83,9 @@ def _calibrate(features: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
     return center, scale, w
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", per_class: int = 1200, dictionary_bytes: int = 65536, block: int = 512, longest: int = 1 << 20) -> Model:
-    """Fit the model on a bounded sample: per_class texts of each label at most, none of over `longest` bytes, none of the held-out fold.
+def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", per_class: int = 1200, dictionary_bytes: int = 65536, block: int = 512, longest: int = 1 << 20, sample_bytes: int = 64 << 20) -> Model:
+    """Fit the model on a bounded sample: per_class texts of each label at most, none of over `longest` bytes, none of the held-out fold, and
+    sample_bytes of text for both labels together, which is what the driver holds.
 
     Half of the sample makes the dictionaries; the other half calibrates, weighted to the labels' real shares. Labels other than 0 and 1,
     null labels and labels without a document are ignored; repeated labels of one id count once each. With one class or none the
@@ -95,7 +96,10 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
     texts = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     sample = bounded_sample(own.withColumn("text", F.lit("")), "label", per_class).drop("text")
     rows = texts.where(F.octet_length("text") <= longest).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "class_size", "text")
-    found = sorted((r.label, r.doc_id, r.text.encode(), r.class_size) for r in rows.collect())  # 2 * per_class rows at most, but for repeated ids
+    # texts of a label in a fixed random order, as many as the bytes allow
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("bytes")), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_bytes", F.sum(F.octet_length("text") + 1).over(order)).where(F.col("_bytes") <= sample_bytes // 2)
+    found = sorted((r.label, r.doc_id, r.text.encode(), r.class_size) for r in rows.collect())
     by = {k: [r for r in found if r[0] == k] for k in (0, 1)}
     (bad, raw_bad), (good, raw_good) = (_dictionary([b for r in by[k][::2] for b in (r[2][i : i + block] for i in range(0, len(r[2]), block)) if len(b) > 8], dictionary_bytes) for k in (0, 1))
     sizes = Sizes(good, bad, (raw_good, raw_bad), block)

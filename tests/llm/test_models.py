@@ -193,3 +193,63 @@ def test_without_a_shared_folder(spark, monkeypatch):
         stays = keep(gone.where("id > 0"))
     assert stays.count() == 2
     assert not any(Path(f.removeprefix("file:")).exists() for f in gone.inputFiles())
+
+
+def test_scores_by_a_plain_loop(spark):
+    """Every score against sizes that are taken one block after the other, by the definition of the model's features; long texts included."""
+    import zstandard
+
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    rows = [(k, " ".join((w.upper() if k % 3 else w) for w in rng.choices(words, k=rng.choice([1, 5, 60, 300])))) for k in range(300)]
+    rows += [(400, None), (401, ""), (402, "漢字🙂" * 300), (403, " ".join(rng.choices(words, k=200_000))), rows[5], (None, rows[6][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int")
+    m = zstd_quality.learn(docs, marks, per_class=80)
+    options = {"level": zstd_quality.LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    kinds = [zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT for raw in m.raw]
+    good, bad = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=k), **options) for d, k in zip((m.good, m.bad), kinds, strict=True))
+    plain = zstandard.ZstdCompressor(**options)
+
+    def expected(text):
+        raw = (text or "").encode()
+        blocks = [raw[k : k + m.block] for k in range(0, len(raw), m.block)]
+        g, b, p = (sum(len(c.compress(x)) for x in blocks) for c in (good, bad, plain))
+        d, r = ((b - g) / (b + g), p / (len(raw) + 9 * len(blocks))) if blocks else (0.0, 0.0)
+        z = sum(w * (f - c) / s for w, f, c, s in zip(m.weights, (1, d, r, d * r, d * d, r * r), m.center, m.scale, strict=True))
+        return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
+
+    found = zstd_quality.score(docs, m).collect()
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    assert len(found) == len(rows)
+    for r in found:
+        assert any(r.score == pytest.approx(expected(t), abs=1e-9) and r.n_bytes == len((t or "").encode()) for t in texts[r.doc_id])
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(k, ("good words here " if k % 2 else "BAD!! ") * 500) for k in range(400)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(zstd_quality, "_dictionary", lambda blocks, size: (seen.append(sum(map(len, blocks))) or b"".join(blocks)[-size:], True))
+    found = {r.doc_id: r.score for r in zstd_quality.score(docs, zstd_quality.learn(docs, marks, sample_bytes=100_000)).collect()}
+    assert sum(seen) <= 100_000 and min(seen) > 10_000
+    assert all((found[k] > 0.5) == bool(k % 2) for k in range(400))
+
+
+def test_tokens_with_several_splits(ranks, oracle):
+    """Random runs of pieces of long tokens: what tokenizers merges by pairs is what the ranks alone decide."""
+    rng = random.Random(15)
+    tokenizer = byte_bpe.build_tokenizer(ranks, public_tokenizers.PATTERN)
+    long = [t.decode() for t in ranks if 4 <= len(t) <= 12 and t.isalpha() and t.isascii()]
+    several = [t for t in long if sum(t[:i].encode() in ranks and t[i:].encode() in ranks for i in range(1, len(t))) > 2]
+    assert len(several) > 1000
+    for _ in range(4000):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            t = rng.choice(several)
+            i, j = sorted(rng.choices(range(len(t) + 1), k=2))
+            words.append(rng.choice([t + t[:i], t[i:] + rng.choice(several), t[i:j] + t, t[:j] + rng.choice(long)[i:], t]))
+        text = rng.choice(["", " "]) + rng.choice([" ", ""]).join(words)
+        assert tokenizer.encode(text, add_special_tokens=False).ids == oracle.encode_ordinary(text)
