@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,36 @@ from refloom.llm.common import cut, small_batches, text_slices, texts_of
 from refloom.llm.components import components
 
 SEED = 42
-#: The 64 bits fall into three blocks; of two fingerprints that differ in up to 5 bits, some block differs in one at most.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: The lowest 15 bits of a block are covered by the Hamming code of that length, the others by themselves: every value has an anchor within 1 bit.
-COVERED, COVER_RADIUS, BLOCK_THRESHOLD = 15, 1, 1
+#: Schemes: the 64 bits fall into so many blocks, of which so many together make a value. Of two fingerprints that differ in up to 4 bits, some choice of
+#: blocks differs in one bit at most (with the first scheme, in up to 5 bits): longer values have smaller groups, and more choices.
+SCHEMES = ((3, 1), (5, 2), (6, 3))
+#: The lowest 15 bits of a value are covered by the Hamming code of that length, the others by themselves: every value has an anchor within 1 bit.
+COVERED, COVER_RADIUS, VALUE_THRESHOLD = 15, 1, 1
 #: Members of an anchor beyond this many are compared tile by tile.
 TILE = 2048
+#: Cost of a row at an anchor (dealing and sorting) as a multiple of one comparison.
+ROW_COST = 300
+
+
+def choices(scheme: tuple[int, int]) -> list[list[tuple[int, int]]]:
+    """The (start, width) blocks of each value of a scheme."""
+    blocks, chosen = scheme
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    return [[(edges[k], edges[k + 1] - edges[k]) for k in c] for c in combinations(range(blocks), chosen)]
+
+
+def scheme_for(n: int, threshold: int = 4) -> tuple[int, int]:
+    """The scheme that costs least for n distinct fingerprints of evenly spread bits: rows at anchors, and comparisons of nearest with all members."""
+
+    def cost(scheme: tuple[int, int]) -> float:
+        total = 0.0
+        for blocks in choices(scheme):
+            width = sum(w for _, w in blocks)
+            rows = 1 + (width - COVERED) + COVERED // 2
+            total += rows * ROW_COST + n * rows / 2.0 ** (width - 4)
+        return total
+
+    return min(SCHEMES[: 1 if threshold > 4 else None], key=cost)
 
 
 def text_fingerprint(text: bytes, shingle: int) -> int:
@@ -62,7 +87,7 @@ def hamming_columns() -> np.ndarray:
 
 
 def anchors_of(values: np.ndarray, width: int) -> list[np.ndarray]:
-    """All anchors within COVER_RADIUS + BLOCK_THRESHOLD = 2 bits of each block value, as arrays of the same length (-1: none).
+    """All anchors within COVER_RADIUS + VALUE_THRESHOLD = 2 bits of each value, as arrays of the same length (-1: none); the nearest comes first.
 
     The nearest anchor flips the covered bit that the syndrome names. The others within 2 bits flip two covered bits whose syndromes
     add up to it, or one bit of the rest besides the nearest anchor's flip. Anchors that differ in two bits of the rest are nearest to no value
@@ -83,31 +108,38 @@ def anchors_of(values: np.ndarray, width: int) -> list[np.ndarray]:
     return out
 
 
-def anchor_rows(fps: DataFrame) -> DataFrame:
-    """One row (anchor, fp) for each fingerprint and each anchor within reach; the anchor's number holds its block."""
+def anchor_rows(fps: DataFrame, scheme: tuple[int, int] = SCHEMES[0]) -> DataFrame:
+    """One row (choice, anchor, fp, near) for each fingerprint and each anchor within reach of one of its values; near marks the nearest anchor."""
+    wanted = choices(scheme)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 20_000):
                 fp = batch.column(0).slice(k, 20_000).to_numpy(zero_copy_only=False)
-                for block, (start, width) in enumerate(BLOCKS):
-                    values = ((fp.view(np.uint64) >> np.uint64(start)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                bits = fp.view(np.uint64)
+                for number, blocks in enumerate(wanted):
+                    values, width = np.zeros(len(fp), np.int64), 0
+                    for start, size in blocks:
+                        values |= (((bits >> np.uint64(start)) & np.uint64((1 << size) - 1)).astype(np.int64)) << width
+                        width += size
                     found = np.stack(anchors_of(values, width))
-                    used = found >= 0
-                    yield pa.RecordBatch.from_arrays([pa.array(found[used] | block << 24), pa.array(np.broadcast_to(fp, found.shape)[used])], ["anchor", "fp"])
+                    used, near = found >= 0, np.zeros(found.shape, bool)
+                    near[0] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(found[used] | number << 40), pa.array(np.broadcast_to(fp, found.shape)[used]), pa.array(near[used])], ["anchor", "fp", "near"])
 
-    return fps.select("fp").mapInArrow(work, "anchor long, fp long")
+    return fps.select("fp").mapInArrow(work, "anchor long, fp long, near boolean")
 
 
-def forest(values: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all values within threshold bits of each other, directly or in steps: each value to its group's first."""
+def forest(values: np.ndarray, near: np.ndarray, member: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all near values with all members within threshold bits of them: each value to the first that it reaches in steps."""
     label = np.arange(len(values))
-    left, right = [], []
-    for k in range(0, len(values), 256):
-        a, b = np.nonzero(np.bitwise_count(values[k : k + 256, None] ^ values[None, k:]) <= threshold)
-        keep = a < b
-        left.append(a[keep] + k)
-        right.append(b[keep] + k)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    own, others = np.flatnonzero(near), np.flatnonzero(member)
+    for k in range(0, len(own), 256):
+        a, b = np.nonzero(np.bitwise_count(values[own[k : k + 256], None] ^ values[None, others]) <= threshold)
+        a, b = own[a + k], others[b]
+        left.append(np.minimum(a, b)[a != b])
+        right.append(np.maximum(a, b)[a != b])
     a, b = np.concatenate(left), np.concatenate(right)
     while len(a):
         before = label.copy()
@@ -120,51 +152,54 @@ def forest(values: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[label[moved]]
 
 
-def near_links(fps: DataFrame, threshold: int = 4, tile: int = TILE) -> DataFrame:
+def near_links(fps: DataFrame, threshold: int = 4, tile: int = TILE, scheme: tuple[int, int] | None = None) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp), enough to join all that are within threshold bits, 5 at most.
 
-    Fingerprints are copied to every anchor within the covering radius plus the block's threshold and compared per anchor. An anchor
-    with over `tile` members is cut into tiles, each pair of which meets in a task of its own; no anchor is capped. Of a group
-    that is linked anyway only a spanning forest is emitted.
+    Fingerprints are copied to every anchor within the covering radius plus the value's threshold. Of two values within one bit, each lies within the radius
+    of its nearest anchor, which the other reaches too, so per anchor those that it is nearest to are compared with all its members. The scheme
+    follows from the table's size, so groups stay small; every scheme finds all pairs. An anchor with over `tile` members is cut into tiles, each of
+    which meets the nearest ones in a task of its own; no anchor is capped. Of a group that is linked anyway only a spanning forest is emitted.
     """
     if threshold > 5:
         raise ValueError("three blocks with one differing bit each cover 5 bits at most")
-    rows = anchor_rows(fps)
-    hot = rows.groupBy("anchor").count().where(F.col("count") > tile).select("anchor", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    rows = anchor_rows(fps, scheme or scheme_for(fps.count(), threshold))
+    hot = cut(rows.groupBy("anchor").count().where(F.col("count") > tile).select("anchor", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
     own = F.pmod(F.xxhash64("fp"), "tiles").cast("int")
     placed = rows.join(hot, "anchor", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", own)
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.select("anchor", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
-    parts = placed.repartition("anchor", "x", "y").sortWithinPartitions("anchor", "x", "y", "fp")
+    placed = placed.withColumn("x", F.explode(F.when(F.col("near"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("own"))))
+    placed = placed.select("anchor", "x", "fp", "near", (F.col("x") == F.col("own")).alias("member"))
+    parts = placed.repartition("anchor", "x").sortWithinPartitions("anchor", "x", "fp")
 
-    def compared(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compared(key: np.ndarray, fp: np.ndarray, near: np.ndarray, member: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """key: group number, ascending. Small groups are compared by shifted copies, large ones on their own."""
         size = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]]))
         small = np.repeat(size <= 48, size)
         starts = np.cumsum(size) - size
-        k, f = key[small], fp[small]
+        k, f, e = key[small], fp[small], near[small]
         for shift in range(1, int(size[size <= 48].max(initial=1))):
-            near = (k[shift:] == k[:-shift]) & (np.bitwise_count(f[shift:] ^ f[:-shift]) <= threshold)
-            if near.any():
-                yield f[shift:][near], f[:-shift][near]
+            found = (k[shift:] == k[:-shift]) & (e[shift:] | e[:-shift]) & (np.bitwise_count(f[shift:] ^ f[:-shift]) <= threshold)
+            if found.any():
+                yield f[shift:][found], f[:-shift][found]
         for s, n in zip(starts[size > 48], size[size > 48], strict=True):
-            yield forest(fp[s : s + n], threshold)
+            yield forest(fp[s : s + n], near[s : s + n], member[s : s + n], threshold)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_keys, kept_fp = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+        held = (np.zeros((0, 2), np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool))
         for batch in _with_end(batches):
             if batch is not None:
-                keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-                keys, fp = np.concatenate([kept_keys, keys]), np.concatenate([kept_fp, batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)])
-                new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
-                done = int(new[-1]) + 1 if len(new) else 0
-                kept_keys, kept_fp, keys, fp = keys[done:], fp[done:], keys[:done], fp[:done]
+                keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)], axis=1)
+                new = (keys, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64), *(batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (3, 4)))
+                held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+                starts = np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1))
+                done = int(starts[-1]) + 1 if len(starts) else 0
             else:
-                keys, fp = kept_keys, kept_fp
+                done = len(held[0])
+            keys, fp, near, member = (x[:done] for x in held)
+            held = tuple(x[done:] for x in held)
             if not len(keys):
                 continue
             group = np.cumsum(np.concatenate([[False], (keys[1:] != keys[:-1]).any(axis=1)]))
-            for a, b in compared(group, fp):
+            for a, b in compared(group, fp, near, member):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 

@@ -133,12 +133,12 @@ def test_simhash_without_rows(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("tile", [2048, 8])
-def test_near_links_join_all_that_are_near(spark, tile):
-    """Clusters around random centres; with small tiles every hot anchor is cut."""
+@pytest.mark.parametrize(("tile", "scheme", "clusters"), [(2048, None, 12), (8, None, 12), (2048, (5, 2), 12), (8, (6, 3), 12), (2048, None, 60), (2048, (6, 3), 60)])
+def test_near_links_join_all_that_are_near(spark, tile, scheme, clusters):
+    """Clusters around random centres, of two sizes and by all schemes; with small tiles every hot anchor is cut. All pairs within the threshold are joined."""
     rng = np.random.default_rng(5)
     values = set()
-    for _ in range(12):
+    for _ in range(clusters):
         centre = int(rng.integers(0, 1 << 63)) * 2 + 1
         for _ in range(40):
             x = centre
@@ -147,7 +147,7 @@ def test_near_links_join_all_that_are_near(spark, tile):
             values.add(x)
     values = sorted(values)
     fps = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in values], "fp long")
-    links = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.near_links(fps, 4, tile).collect()]
+    links = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.near_links(fps, 4, tile, scheme).collect()]
     assert all((a ^ b).bit_count() <= 12 for a, b in links)
     label = {x: x for x in values}
 
@@ -162,6 +162,19 @@ def test_near_links_join_all_that_are_near(spark, tile):
     assert [values.index(root(x)) for x in values] == expected
 
 
+def test_schemes_leave_one_bit():
+    """However up to four bits that differ fall into the blocks, some choice of blocks has one of them at most; larger tables get longer values."""
+    from itertools import combinations_with_replacement
+
+    for scheme in simhash.SCHEMES:
+        wanted = simhash.choices(scheme)
+        assert sorted(sum((list(range(s, s + w)) for s, w in {b for c in wanted for b in c}), [])) == list(range(64))
+        for places in combinations_with_replacement(sorted({b for c in wanted for b in c}), 4):
+            assert any(sum(p in c for p in places) <= 1 for c in wanted)
+    sizes = [simhash.scheme_for(n) for n in (0, 10**4, 10**7, 10**9, 10**11)]
+    assert sizes[0] == simhash.SCHEMES[0] and sizes[-1] == simhash.SCHEMES[-1] and sizes == sorted(sizes) and simhash.scheme_for(10**11, 5) == simhash.SCHEMES[0]
+
+
 def test_anchors_cover_two_bits():
     values = np.arange(0, 1 << 17, 1237, dtype=np.int64)
     code = np.flatnonzero([not simhash_syndrome(v) for v in range(1 << 15)])
