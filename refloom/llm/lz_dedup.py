@@ -91,30 +91,52 @@ def reference_blocks(docs: DataFrame, live: DataFrame, window: int, anchor: int)
     return joined.mapInArrow(work, "anchor long, block long, id long, s1 long, start int, windows array<long>")
 
 
-def greedy_factors(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Left to right: from each uncovered position take what reaches furthest, and go on while the next factor meets it."""
-    order = np.lexsort((-ends, starts))
-    out: list[tuple[int, int]] = []
-    for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
+def greedy_factors(starts: list[int], ends: list[int], sources: list[int], places: list[int]) -> list[tuple[int, int, int, int]]:
+    """Relative Lempel-Ziv parse of one document: (start, end, source, place in the source) of its factors from left to right; literals lie between them.
+
+    Matches with one source along one shift are one longer match where they overlap or meet. From each position that is reached, the match goes on
+    that reaches furthest to the right; where none begins, words are literals up to the next one.
+    """
+    longest: list[list[int]] = []
+    by_shift = sorted(zip(sources, (p - a for p, a in zip(places, starts, strict=True)), starts, ends, strict=True))
+    for source, shift, a, b in by_shift:
+        if longest and longest[-1][2:] == [source, shift] and a <= longest[-1][1]:
+            longest[-1][1] = max(longest[-1][1], b)
         else:
-            out.append((a, b))
-    return out
+            longest.append([a, b, source, shift])
+    longest.sort()
+    out: list[tuple[int, int, int, int]] = []
+    at, k = 0, 0
+    while True:
+        best = None
+        while k < len(longest) and longest[k][0] <= at:
+            if longest[k][1] > at and (best is None or longest[k][1] > best[1]):
+                best = longest[k]
+            k += 1
+        if best is None:
+            while k < len(longest) and longest[k][1] <= at:
+                k += 1
+            if k == len(longest):
+                return out
+            at = longest[k][0]
+            continue
+        out.append((at, best[1], best[2], at + best[3]))
+        at = best[1]
 
 
 def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Duplicate factors of every document (columns id, text): runs of words whose windows all start in a document with a smaller id too.
+    """Matches of every document (columns id, text) with documents of smaller ids, each of `window` words or more.
 
     Returns (parsed, firsts, found): parsed as parsed_documents() has it; firsts has s1, s2 and the smallest id with that text; found has id, s1,
-    spans (array of first word, end, smallest source id).
+    spans (array of first word, end, smallest source id, first word there). greedy_factors() extends them over block edges and parses the document.
 
     1. Texts with the same words are one: only the first takes part, the others are duplicates as a whole.
     2. Each window has an anchor that depends on its words alone, so equal windows have equal anchors. An anchor that one document
        has is no reference; its windows are literals.
-    3. The windows of one anchor form a block. A block that an earlier document has is a factor as a whole.
-    4. Where a block has no such source, a factor begins or ends in it: its windows are looked up one by one among those of all blocks
-       with this anchor.
+    3. The windows of one anchor form a block. A block that an earlier document has matches as a whole, at its place there; so do the next ones
+       along the same shift, and together they are a factor.
+    4. Where a block has no such source, a factor begins or ends in it: there alone its windows are looked up one by one among those of all
+       blocks with this anchor.
     Blocks and windows are grouped with partial aggregation, then joined: a passage in very many documents is one row before the join. What is
     grouped is written first, so that both sides of the join are plain exchanges, and Spark splits the hot keys of the other side.
     """
@@ -126,21 +148,23 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
     live = anchors.join(shared, "anchor").groupBy("id", "s1").agg(F.collect_set("anchor").alias("anchors"))
     blocks = cut(reference_blocks(docs, live, window, anchor))
 
-    variants = cut(blocks.groupBy("anchor", "block").agg(F.min("id").alias("first")))
+    variants = cut(blocks.groupBy("anchor", "block").agg(F.min(F.struct("id", "start")).alias("first")))
     several = cut(variants.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     placed = blocks.join(variants, ["anchor", "block"])
     end = F.col("start") + F.size("windows") - 1 + window
-    entire = placed.where("id > first").select("id", "s1", F.struct(F.col("start"), end.alias("end"), F.col("first").alias("source")).alias("span"))
-    edges = placed.where("id = first").join(several, "anchor", "left_semi").select("anchor", "id", "s1", F.posexplode("windows").alias("k", "w"), "start")
-    lowest = cut(edges.groupBy("anchor", "w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor", "w", "low"))
+    entire = placed.where("id > first.id").select("id", "s1", F.struct(F.col("start"), end.alias("end"), F.col("first.id").alias("source"), F.col("first.start").alias("place")).alias("span"))
+    edges = placed.where("id = first.id").join(several, "anchor", "left_semi").select("anchor", "id", "s1", F.posexplode("windows").alias("k", "w"), "start")
     at = F.col("start") + F.col("k")
-    single = edges.join(lowest, ["anchor", "w"]).where("id > low").select("id", "s1", F.struct(at.alias("start"), (at + window).alias("end"), F.col("low").alias("source")).alias("span"))
+    lowest = cut(edges.groupBy("anchor", "w").agg(F.min(F.struct("id", at.alias("place"))).alias("low"), F.max("id").alias("high")).where("low.id < high").select("anchor", "w", "low"))
+    single = edges.join(lowest, ["anchor", "w"]).where("id > low.id").select("id", "s1", F.struct(at.alias("start"), (at + window).alias("end"), F.col("low.id").alias("source"), F.col("low.place").alias("place")).alias("span"))
     found = entire.unionByName(single).groupBy("id", "s1").agg(F.collect_list("span").alias("spans"))
     return parsed, firsts, found
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every row's id_column, n_words, n_removed, n_factors, kept_words (the words left, joined by one space).
+    """Every row's id_column, n_words, n_removed, factors, kept_words (the words left, joined by one space).
+
+    factors: the duplicate spans as an array of start, end (words), source (a smaller id) and place (first word there).
 
     Words are runs of other bytes than the six ASCII blanks. A word goes if a window of `window` words that covers it also starts in a
     row with a smaller id; windows are judged on the input. Null texts have no words. Rows with a null id neither lose words nor take
@@ -149,8 +173,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("id"), whole(text_column).alias("text"))
     parsed, firsts, found = factors(source, window, anchor)
-    copies = parsed.where((F.col("id").isNotNull()) & (F.col("n_words") >= window)).join(firsts.withColumnRenamed("id", "first"), ["s1", "s2"]).where("id > first").select("id", "s1", F.lit(True).alias("entire")).distinct()
-    plans = copies.join(found, ["id", "s1"], "full").select("id", F.struct("s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).alias("plan"))
+    copies = parsed.where((F.col("id").isNotNull()) & (F.col("n_words") >= window)).join(firsts.withColumnRenamed("id", "first"), ["s1", "s2"]).where("id > first").select("id", "s1", F.col("first").alias("entire")).distinct()
+    plans = copies.join(found, ["id", "s1"], "full").select("id", F.struct("s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), F.col("spans.source").alias("sources"), F.col("spans.place").alias("places")).alias("plan"))
     joined = source.join(plans.groupBy("id").agg(F.collect_list("plan").alias("plans")), "id", "left").select("id", "text", "plans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +185,16 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_
                 sign = signature(words)[0] if plans else None  # rows with one id can have several texts
                 p = next((x for x in plans or () if x["s1"] == sign), None)
                 keep = np.ones(len(words), bool)
-                parts: list[tuple[int, int]] = []
-                if p and p["entire"]:
-                    parts = [(0, len(words))]
+                parts: list[tuple[int, int, int, int]] = []
+                if p and p["entire"] is not None:
+                    parts = [(0, len(words), p["entire"], 0)]
                 elif p:
-                    parts = greedy_factors(np.array(p["starts"]), np.array(p["ends"]))
-                for a, b in parts:
+                    parts = greedy_factors(p["starts"], p["ends"], p["sources"], p["places"])
+                for a, b, _, _ in parts:
                     keep[a:b] = False
                 left = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k) if parts else b" ".join(words)
-                out.append((i, len(words), int((~keep).sum()), len(parts), left.decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], ["id", "n_words", "n_removed", "n_factors", "kept_words"])
+                out.append((i, len(words), int((~keep).sum()), [dict(zip(("start", "end", "source", "place"), x, strict=True)) for x in parts], left.decode()))
+            kinds = (*[pa.int64()] * 3, pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "source", "place")])), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "n_words", "n_removed", "factors", "kept_words"])
 
-    return joined.mapInArrow(work, "id long, n_words long, n_removed long, n_factors long, kept_words string").withColumnRenamed("id", id_column)
+    return joined.mapInArrow(work, "id long, n_words long, n_removed long, factors array<struct<start:long,end:long,source:long,place:long>>, kept_words string").withColumnRenamed("id", id_column)

@@ -42,6 +42,28 @@ def test_lz_dedup(docs, texts, window, anchor):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_words) for r in found) == windows_removed(texts, window)
 
 
+def test_factors_are_matches_with_their_sources(docs, texts):
+    """Each factor stands word by word at its place in a source with a smaller id; factors don't overlap and cover all that is removed."""
+    by = {}
+    for i, t in texts:
+        by.setdefault(i, []).append(split(t))
+    n = 0
+    for r in lz_dedup.deduplicate(docs, 12, 5).collect():
+        own = next((w for w in by[r.doc_id] if len(w) == r.n_words), [])
+        for f in r.factors:
+            n += 1
+            assert f.source < r.doc_id and any(own[f.start : f.end] == w[f.place : f.place + f.end - f.start] for w in by[f.source])
+        assert all(a.end <= b.start for a, b in zip(r.factors, r.factors[1:])) and sum(f.end - f.start for f in r.factors) == r.n_removed
+    assert n > 20
+
+
+def test_factors_go_on_over_block_edges():
+    """Matches along one shift are one factor; from each position the one that reaches furthest goes on."""
+    assert lz_dedup.greedy_factors([0, 30, 60], [50, 90, 110], [1, 1, 1], [5, 35, 65]) == [(0, 110, 1, 5)]
+    assert lz_dedup.greedy_factors([0, 10, 40, 200], [50, 70, 95, 260], [1, 2, 3, 4], [0, 0, 7, 9]) == [(0, 50, 1, 0), (50, 95, 3, 17), (200, 260, 4, 9)]
+    assert lz_dedup.greedy_factors([0, 0], [50, 80], [1, 2], [0, 3]) == [(0, 80, 2, 3)] and lz_dedup.greedy_factors([], [], [], []) == []
+
+
 def test_lz_dedup_without_rows(no_docs):
     assert lz_dedup.deduplicate(no_docs).count() == 0
 
