@@ -56,7 +56,7 @@ def placed(text: str, pattern: str, matches: str) -> str:
     pieces = f"filter(zip_with(split({text}, '{_quoted(pattern)}', -1), {matches}, (g, v) -> struct(g AS gap, v AS value)), x -> x.value IS NOT NULL)"
     step = "named_struct('s', a.v.s + length(x.gap) + length(x.value), 'b', a.v.b + octet_length(x.gap) + octet_length(x.value))"
     out = "named_struct('s', a.v.s + length(x.gap), 'from', a.v.b + octet_length(x.gap), 'value', x.value)"
-    return running(pieces, PLACED, "named_struct('s', 0, 'b', 0)", step, out)
+    return f"CASE WHEN size({matches}) = 0 THEN cast(array() AS {PLACED}) ELSE {running(pieces, PLACED, "named_struct('s', 0, 'b', 0)", step, out)} END"
 
 
 def normal_tail(z: str) -> str:
