@@ -1,4 +1,5 @@
-"""Near-copies by exact Jaccard likeness of word shingles: MinHash bands propose pairs, the whole shingle sets decide."""
+"""Near-copies by exact Jaccard likeness of word shingles: operator 9's SimHash anchors and, for pairs beyond their reach, MinHash bands propose pairs;
+the whole shingle sets decide."""
 
 from __future__ import annotations
 
@@ -13,14 +14,18 @@ from pyspark.sql import types as T
 
 from refloom.llm.common import changes, cut, mixed, rolling, small_batches, text_slices, texts_of
 from refloom.llm.components import components
+from refloom.llm.simhash import majority, near_links
 
 SEED = 42
 #: Words of a shingle; two texts are near-copies if their sets have 4 of 5 shingles of both in common.
 SHINGLE, ALIKE = 5, (4, 5)
 #: Bands of MinHash values. A pair at the limit of 0.8 meets in no band with a chance of (1 - 0.8 ** 4) ** 40 = 7e-10, one above it more rarely.
 BANDS, ROWS = 40, 4
+#: Bits that SimHash fingerprints of the shingle sets may differ in for a pair to be proposed. At a likeness of 0.8 they differ in 10 of 64 on average, which no
+#: covering code reaches at bearable cost; so bands propose the rest.
+BITS = 4
 WORD_BASE = 0x9E3779B97F4A7C15
-NODE, KEYS, LEAST = "_near_node", "_near_keys", "_near_least"
+NODE, KEYS, PRINT, LEAST = "_near_node", "_near_keys", "_near_print", "_near_least"
 _draw = np.random.default_rng(SEED)
 MASKS, FACTORS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64), _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -49,7 +54,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def coded(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with NODE, a hash of the text's shingle set, and KEYS, its bands' keys as bytes (empty for a text without words)."""
+    """docs with NODE, a hash of the text's shingle set, KEYS, its bands' keys as bytes (empty for a text without words), and PRINT, its SimHash fingerprint."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,9 +65,18 @@ def coded(docs: DataFrame, text_column: str = "text") -> DataFrame:
             keys = [b""] * len(sets)
             for k, own in zip(used, band_keys([sets[k] for k in used]) if used else (), strict=True):
                 keys[k] = own.tobytes()
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(nodes), pa.array(keys, pa.binary())], [*rows.schema.names, NODE, KEYS])
+            prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(nodes), pa.array(keys, pa.binary()), pa.array(prints)], [*rows.schema.names, NODE, KEYS, PRINT])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField(NODE, T.LongType()), T.StructField(KEYS, T.BinaryType())]))
+    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField(NODE, T.LongType()), T.StructField(KEYS, T.BinaryType()), T.StructField(PRINT, T.LongType())]))
+
+
+def printed_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes that the fingerprints propose: each with the first of its fingerprint, and the firsts of linked fingerprints. nodes: NODE, PRINT."""
+    firsts = cut(nodes.groupBy(F.col(PRINT).alias("fp")).agg(F.min(NODE).alias("first")))
+    equal = nodes.join(firsts, nodes[PRINT] == firsts["fp"]).select(F.col(NODE).alias("x"), F.col("first").alias("y"))
+    linked = near_links(firsts.select("fp"), BITS).distinct().join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return equal.unionByName(linked.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
@@ -123,14 +137,17 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(rows: DataFrame, text_column: str = "text") -> DataFrame:
     """Links a, b between nodes, all with a likeness of ALIKE at least, enough to join all that have it. rows: what coded() gives, written.
 
-    Each bucket is first compared with one member, the one that meets most others: near-copies of one text are joined by that text. Then all
-    pairs of a bucket are compared that are not joined yet, so a large group of near-copies doesn't cost its square.
+    Pairs that the fingerprints propose come first, with the pairs of each bucket's one member that meets most others: near-copies of one text are joined by
+    that text. Then all pairs of a bucket are compared that are not joined yet, so a large group of near-copies doesn't cost its square.
     """
-    nodes = rows.where(F.length(KEYS) > 0).groupBy(NODE).agg(F.first(KEYS).alias(KEYS))
+    nodes = cut(rows.where(F.length(KEYS) > 0).groupBy(NODE).agg(F.first(KEYS).alias(KEYS), F.first(PRINT).alias(PRINT)))
     buckets = cut(bucket_rows(nodes))
-    shared = cut(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
+    full = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(buckets.join(full, "bucket"))
     met = shared.groupBy("node").agg(F.sum("n").alias("met"))
-    texts = rows.join(met.select(F.col("node").alias(NODE)), NODE, "left_semi").groupBy(NODE).agg(F.first(text_column).alias("text"), F.first(KEYS).alias("keys"))
+    printed = cut(printed_pairs(nodes))
+    used = met.select("node").unionByName(printed.select(F.col("a").alias("node"))).unionByName(printed.select(F.col("b").alias("node"))).distinct()
+    texts = rows.join(used.withColumnRenamed("node", NODE), NODE, "left_semi").groupBy(NODE).agg(F.first(text_column).alias("text"), F.first(KEYS).alias("keys"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds, data in text_slices(batches):
@@ -140,7 +157,7 @@ def links(rows: DataFrame, text_column: str = "text") -> DataFrame:
     sets = cut(texts.select(NODE, "text", "keys").mapInArrow(work, "node long, keys binary, shingles array<long>"))
     centre = shared.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
     stars = shared.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    stars = cut(stars.distinct())
+    stars = cut(stars.unionByName(printed).distinct())
     first = cut(alike(stars, sets))
     labelled = shared.join(components(first), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
     labelled = cut(labelled)
@@ -158,4 +175,4 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     own = rows.groupBy(NODE).agg(F.min(id_column).alias("id"))
     joined = cut(own.join(components(links(rows, text_column)).withColumnRenamed("node", NODE), NODE, "left").withColumn("component", F.coalesce("component", NODE)))
     least = joined.groupBy("component").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", NODE))).alias(LEAST))
-    return rows.drop(KEYS).join(joined.join(least, "component").select(NODE, LEAST), NODE)
+    return rows.drop(KEYS, PRINT).join(joined.join(least, "component").select(NODE, LEAST), NODE)

@@ -57,7 +57,11 @@ def text_fingerprint(text: bytes, shingle: int) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[k : k + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
