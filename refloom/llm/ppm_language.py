@@ -16,6 +16,7 @@ from refloom.llm.common import bounded_sample, held_out, small_batches, text_sli
 #: Longest context in bytes.
 ORDER = 3
 UNDETERMINED = "und"
+LETTER = r"\p{L}"
 
 
 def lowered(column: str) -> Column:
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_column).alias("id"), *(F.col(c) for c in carry), lowered(text_column).alias("_text"), F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    source = docs.select(F.col(id_column).alias("id"), *(F.col(c) for c in carry), lowered(text_column).alias("_text"), F.coalesce(F.col(text_column).rlike(LETTER), F.lit(False)).alias("_letters"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -334,6 +334,11 @@ def test_pipeline(spark, docs, texts, no_docs, tmp_path):
     assert len([i for i in ids if i in (82, 83)]) <= 1
 
 
+def test_pipeline_keeps_texts_when_no_language_is_known(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
 def test_every_query_is_registered():
     import __spark_entry__
 
