@@ -15,9 +15,12 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: texts that are null or have no letter go. The model is fitted on a bounded sample of docs itself."""
+    """Documents with a language: texts that are null or have no letter go. The model is fitted on a bounded sample of docs itself; where docs name no
+    language that could be learned, no text is rejected for that."""
     names = docs.columns
     model = ppm_language.learn(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(ppm_language.LETTER))
     rows = docs.select("doc_id", "text", F.struct(*(F.col(n) for n in names)).alias("_row"))
     found = ppm_language.identify(rows, model, carry=("_row",))
     return found.where(F.col("lang_pred") != ppm_language.UNDETERMINED).select(*(F.col("_row")[n].alias(n) for n in names))
@@ -26,7 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id, once. Rows without an id can't be named as copies and stay.
 
-    Near-duplicates share 0.8 of their five-word shingles. Rows with one id are the same document only if their shingles are the same too.
+    Near-duplicates share 0.8 of their five-word shingles: operator 9's anchors propose pairs, bands those that lie beyond its reach, and the whole sets decide.
+    Rows with one id are the same document only if their shingles are the same too.
     """
     rows = near_copies.grouped(docs)
     node, least = F.col(near_copies.NODE), F.col(near_copies.LEAST)
