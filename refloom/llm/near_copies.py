@@ -24,6 +24,8 @@ BANDS, ROWS = 40, 4
 #: Bits that SimHash fingerprints of the shingle sets may differ in for a pair to be proposed. At a likeness of 0.8 they differ in 10 of 64 on average, which no
 #: covering code reaches at bearable cost; so bands propose the rest.
 BITS = 4
+#: Shingles are counted in so many slots, as a power of two; the counts order them, so a coarse count costs work and not results.
+SLOT_BITS = 16
 WORD_BASE = 0x9E3779B97F4A7C15
 NODE, KEYS, PRINT, LEAST = "_near_node", "_near_keys", "_near_print", "_near_least"
 _draw = np.random.default_rng(SEED)
@@ -91,39 +93,75 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select(NODE, KEYS).mapInArrow(work, "bucket long, node long")
 
 
-def apart(rows: DataFrame) -> DataFrame:
-    """Pairs a, b of one bucket with unlike labels, each in the first bucket that holds both. rows: bucket, label, node, keys."""
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, by the top SLOT_BITS bits of their hashes: a bounded array, counted in each task before anything moves."""
 
-    def pairs(label: np.ndarray, node: np.ndarray, keys: np.ndarray, band: int) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(slots(batch.column(0).flatten().to_numpy()), minlength=1 << SLOT_BITS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in sets.select("shingles").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row for each slot at most
+        out[r.slot] = r.n
+    return out
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def apart(sets: DataFrame) -> DataFrame:
+    """Pairs a, b with unlike labels that can be alike, all of them. sets: node, label, shingles.
+
+    Prefix filter: in one order of all shingles, the rarest first, sets with a likeness of ALIKE share one of their first few: of n, the first n minus ALIKE of n,
+    and one more. Copies of one text that have too little in common differ in their rarest shingles, so a large group of them makes few pairs.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, size, found = [], [], []
+            for k, own in enumerate(batch.column(2)):
+                own = own.values.to_numpy()
+                n = len(own) - -(-ALIKE[0] * len(own) // ALIKE[1]) + 1
+                found.append(own[np.lexsort((own, counts.value[slots(own)]))[:n]])
+                owner.append(np.full(n, k))
+                size.append(np.full(n, len(own)))
+            if found:
+                rows = batch.take(pa.array(np.concatenate(owner)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), rows.column(0), rows.column(1), pa.array(np.concatenate(size))], ["shingle", "node", "label", "size"])
+
+    def pairs(node: np.ndarray, label: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         step = max(1, 200_000 // len(node))
         for k in range(0, len(node), step):
-            a, b = np.nonzero(label[k : k + step, None] != label[None, k:])
-            a, b = a[a < b] + k, b[a < b] + k
-            new = ~(keys[a, :band] == keys[b, :band]).any(axis=1)
-            if new.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])[new]), pa.array(np.maximum(node[a], node[b])[new])], ["a", "b"])
+            low, high = np.minimum(size[k : k + step, None], size[None]), np.maximum(size[k : k + step, None], size[None])
+            a, b = np.nonzero((label[k : k + step, None] != label[None]) & (ALIKE[1] * low >= ALIKE[0] * high))
+            a, b = node[a[a + k < b] + k], node[b[a + k < b]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
+        held = [np.zeros(0, np.int64)] * 4
 
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            bucket, label, node = (table.column(i).to_numpy() for i in range(3))
-            keys = np.array([np.frombuffer(k, np.uint32) for k in table.column(3).to_pylist()]).reshape(-1, BANDS)
-            ends = [*changes(bucket).tolist(), len(bucket)]
+        def done(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            ends = [*changes(columns[0]).tolist(), len(columns[0])]
             for s, e in zip(ends[:-1], ends[1:], strict=True):
-                yield from pairs(label[s:e], node[s:e], keys[s:e], int(bucket[s] >> 32))
+                if e - s > 1:
+                    yield from pairs(*(c[s:e] for c in columns[1:]))
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            kept = table if kept is None else pa.concat_tables([kept, table])
-            if cuts := changes(kept.column(0).to_numpy())[-1:].tolist():
-                if cuts[0]:
-                    yield from done(kept.slice(0, cuts[0]))
-                    kept = kept.slice(cuts[0])
-        if kept is not None and len(kept):
-            yield from done(kept)
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            last = int(changes(held[0])[-1])
+            if last:
+                yield from done([h[:last] for h in held])
+                held = [h[last:] for h in held]
+        yield from done(held)
 
-    return rows.select("bucket", "label", "node", "keys").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long")
+    rows = sets.select("node", "label", "shingles").mapInArrow(prefixes, "shingle long, node long, label long, size long")
+    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(work, "a long, b long").distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -138,7 +176,7 @@ def links(rows: DataFrame, text_column: str = "text") -> DataFrame:
     """Links a, b between nodes, all with a likeness of ALIKE at least, enough to join all that have it. rows: what coded() gives, written.
 
     Pairs that the fingerprints propose come first, with the pairs of each bucket's one member that meets most others: near-copies of one text are joined by
-    that text. Then all pairs of a bucket are compared that are not joined yet, so a large group of near-copies doesn't cost its square.
+    that text. Nodes that then share a bucket with one they are not joined with go through apart(), so no group costs its square.
     """
     nodes = cut(rows.where(F.length(KEYS) > 0).groupBy(NODE).agg(F.first(KEYS).alias(KEYS), F.first(PRINT).alias(PRINT)))
     buckets = cut(bucket_rows(nodes))
@@ -147,23 +185,23 @@ def links(rows: DataFrame, text_column: str = "text") -> DataFrame:
     met = shared.groupBy("node").agg(F.sum("n").alias("met"))
     printed = cut(printed_pairs(nodes))
     used = met.select("node").unionByName(printed.select(F.col("a").alias("node"))).unionByName(printed.select(F.col("b").alias("node"))).distinct()
-    texts = rows.join(used.withColumnRenamed("node", NODE), NODE, "left_semi").groupBy(NODE).agg(F.first(text_column).alias("text"), F.first(KEYS).alias("keys"))
+    texts = rows.join(used.withColumnRenamed("node", NODE), NODE, "left_semi").groupBy(NODE).agg(F.first(text_column).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds, data in text_slices(batches):
             own = [shingles(t).view(np.int64) for t in texts_of(bounds, data)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.list_(pa.int64()))], ["node", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    sets = cut(texts.select(NODE, "text", "keys").mapInArrow(work, "node long, keys binary, shingles array<long>"))
+    sets = cut(texts.select(NODE, "text").mapInArrow(work, "node long, shingles array<long>"))
     centre = shared.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
     stars = shared.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     stars = cut(stars.unionByName(printed).distinct())
     first = cut(alike(stars, sets))
     labelled = shared.join(components(first), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
     labelled = cut(labelled)
-    mixed_ones = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    left = labelled.join(mixed_ones, "bucket").join(sets.select("node", "keys"), "node")
-    return first.unionByName(alike(cut(apart(left).join(stars, ["a", "b"], "left_anti")), sets))
+    unlike = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    left = labelled.join(cut(unlike), "bucket").select("node", "label").distinct()
+    return first.unionByName(alike(cut(apart(sets.join(left, "node")).join(stars, ["a", "b"], "left_anti")), sets))
 
 
 def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
