@@ -131,8 +131,9 @@ def apart(sets: DataFrame) -> DataFrame:
                 owner.append(np.full(n, k))
                 size.append(np.full(n, len(own)))
             if found:
-                rows = batch.take(pa.array(np.concatenate(owner)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), rows.column(0), rows.column(1), pa.array(np.concatenate(size))], ["shingle", "node", "label", "size"])
+                rows = np.concatenate(owner)
+                node, label = (batch.column(i).to_numpy()[rows] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found), node, label, np.concatenate(size))], ["shingle", "node", "label", "size"])
 
     def pairs(node: np.ndarray, label: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         step = max(1, 200_000 // len(node))
