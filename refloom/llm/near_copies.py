@@ -25,7 +25,7 @@ BANDS, ROWS = 40, 4
 #: covering code reaches at bearable cost; so bands propose the rest.
 BITS = 4
 #: Shingles are counted in so many slots, as a power of two; the counts order them, so a coarse count costs work and not results.
-SLOT_BITS = 16
+SLOT_BITS = 18
 WORD_BASE = 0x9E3779B97F4A7C15
 NODE, KEYS, PRINT, LEAST = "_near_node", "_near_keys", "_near_print", "_near_least"
 _draw = np.random.default_rng(SEED)
@@ -103,9 +103,9 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
 
+    found = sets.select("shingles").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row for each slot at most
     out = np.zeros(1 << SLOT_BITS, np.int64)
-    for r in sets.select("shingles").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row for each slot at most
-        out[r.slot] = r.n
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out
 
 
@@ -117,35 +117,39 @@ def apart(sets: DataFrame) -> DataFrame:
     """Pairs a, b with unlike labels that can be alike, all of them. sets: node, label, shingles.
 
     Prefix filter: in one order of all shingles, the rarest first, sets with a likeness of ALIKE share one of their first few: of n, the first n minus ALIKE of n,
-    and one more. Copies of one text that have too little in common differ in their rarest shingles, so a large group of them makes few pairs.
+    and one more. Where the first shingle that two sets share stands, what follows it bounds what they have in common. Copies of one text that have too
+    little in common begin with shingles of their own, so a large group of them makes few pairs.
     """
     counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, size, found = [], [], []
+            owner, size, rest, found = [], [], [], []
             for k, own in enumerate(batch.column(2)):
                 own = own.values.to_numpy()
                 n = len(own) - -(-ALIKE[0] * len(own) // ALIKE[1]) + 1
                 found.append(own[np.lexsort((own, counts.value[slots(own)]))[:n]])
                 owner.append(np.full(n, k))
                 size.append(np.full(n, len(own)))
+                rest.append(len(own) - np.arange(n))
             if found:
                 rows = np.concatenate(owner)
                 node, label = (batch.column(i).to_numpy()[rows] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found), node, label, np.concatenate(size))], ["shingle", "node", "label", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found), node, label, np.concatenate(size), np.concatenate(rest))], ["shingle", "node", "label", "size", "rest"])
 
-    def pairs(node: np.ndarray, label: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(node: np.ndarray, label: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
         step = max(1, 200_000 // len(node))
         for k in range(0, len(node), step):
-            low, high = np.minimum(size[k : k + step, None], size[None]), np.maximum(size[k : k + step, None], size[None])
-            a, b = np.nonzero((label[k : k + step, None] != label[None]) & (ALIKE[1] * low >= ALIKE[0] * high))
+            part = slice(k, k + step)
+            low, high = np.minimum(size[part, None], size[None]), np.maximum(size[part, None], size[None])
+            enough = sum(ALIKE) * np.minimum(rest[part, None], rest[None]) >= ALIKE[0] * (low + high)  # alike sets share so much of their sum
+            a, b = np.nonzero((label[part, None] != label[None]) & (ALIKE[1] * low >= ALIKE[0] * high) & enough)
             a, b = node[a[a + k < b] + k], node[b[a + k < b]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
 
         def done(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             ends = [*changes(columns[0]).tolist(), len(columns[0])]
@@ -161,7 +165,7 @@ def apart(sets: DataFrame) -> DataFrame:
                 held = [h[last:] for h in held]
         yield from done(held)
 
-    rows = sets.select("node", "label", "shingles").mapInArrow(prefixes, "shingle long, node long, label long, size long")
+    rows = sets.select("node", "label", "shingles").mapInArrow(prefixes, "shingle long, node long, label long, size long, rest long")
     return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(work, "a long, b long").distinct()
 
 
