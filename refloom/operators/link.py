@@ -41,26 +41,49 @@ def duplicates(entries: DataFrame, id_column: str = "doc_id", seq_column: str =
     return same_doi.unionByName(equal).unionByName(near).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def title_words(rows: DataFrame, title: str) -> DataFrame:
-    """rows once for each distinct word of a title."""
-    return rows.withColumn("_word", F.explode(F.array_distinct(F.split(title_key(F.col(title)), " ")))).where("_word <> ''")
+def block_keys(titles: list[Column]) -> Column:
+    """Array of (kind, key): the distinct words and character runs of titles. Runs of five letters, or of two if there is Hangul, survive a typo elsewhere."""
 
+    def cut_out(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x["solid"]) - x["size"] + 1, F.lit(1))), lambda i: F.substring(x["solid"], i, x["size"]))
 
-def rarest(rows: DataFrame, frequency: DataFrame, keys: list[str], title: str, n: int = 3) -> DataFrame:
-    """keys and _word: the n words of each title that the fewest authority titles have, of those that any has."""
-    order = Window.partitionBy(*keys).orderBy("_count", "_word")
-    ranked = title_words(rows.select(*keys, title), title).join(frequency, "_word").withColumn("_n", F.row_number().over(order))
-    return ranked.where(F.col("_n") <= n).select(*keys, "_word")
+    def runs_of(solid: Column) -> Column:
+        # bound once, as the only element of an array, so that the key isn't made for each run
+        bound = F.transform(F.array(solid), lambda s: F.struct(s.alias("solid"), F.when(s.rlike("[가-힣]"), 2).otherwise(5).alias("size")))
+        return F.get(F.transform(bound, cut_out), F.lit(0))
 
+    def named(kind: int, keys: list[Column]) -> Column:
+        return F.transform(F.array_distinct(F.concat(*keys)), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
 
-def candidates(entries: DataFrame, authority: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
-    """Entries beside the authority rows (pos and more) that share one of their rarest title words, each pair once. Authority columns get c_.
+    words = [F.split(title_key(t), " ") for t in titles]
+    runs = [runs_of(F.replace(title_key(t), F.lit(" "), F.lit(""))) for t in titles]
+    return F.filter(F.concat(named(0, words), named(1, runs)), lambda x: x["key"] != "")
 
-    Rare words keep blocks small however common the others are.
+
+def rarest(rows: DataFrame, frequency: DataFrame, keys: list[str], titles: list[Column], n: tuple[int, int]) -> DataFrame:
+    """keys, kind, key: the n words and the n runs of each title that the fewest authority titles have, of those that any has."""
+    order = Window.partitionBy(*keys, "kind").orderBy("_count", "key")
+    ranked = rows.select(*keys, F.explode(block_keys(titles)).alias("_k")).select(*keys, "_k.kind", "_k.key").join(frequency, ["kind", "key"]).withColumn("_n", F.row_number().over(order))
+    return ranked.where(F.col("_n") <= F.when(F.col("kind") == 0, n[0]).otherwise(n[1])).select(*keys, "kind", "key")
+
+
+def candidates(entries: DataFrame, authority: DataFrame, keys: list[str], n: tuple[int, int] = (3, 6)) -> DataFrame:
+    """Entries beside the authority rows (pos and more) that share one of their rarest title words or character runs, each pair once. Authority columns
+    get c_. A record with a subtitle is also found by its title and subtitle together.
+
+    A pair shares one word or, of a title that has many runs, two runs. Rare keys keep blocks small however common the others are; where an entry's rarest key is common, its block is as large as that. Words find titles in
+    another order or with more words, runs find those with typos in any word. tests/test_candidates.py measures the recall.
     """
-    frequency = title_words(authority.select("title"), "title").groupBy("_word").agg(F.count("*").alias("_count"))
-    known = rarest(authority.select("pos", "title"), frequency, ["pos"], "title", n).withColumnRenamed("pos", "c_pos")
-    pairs = rarest(entries, frequency, keys, "title", n).join(known, "_word").select(*keys, "c_pos").distinct()
+    titles = [F.col("title")] + ([F.concat_ws(" ", "title", F.nullif("subtitle", F.lit("")))] if "subtitle" in authority.columns else [])
+    keyed = authority.select("pos", *(t.alias(f"_t{k}") for k, t in enumerate(titles)))
+    titles = [F.coalesce(f"_t{k}", F.lit("")) for k in range(len(titles))]
+    frequency = keyed.select(F.explode(block_keys(titles)).alias("_k")).groupBy("_k.kind", "_k.key").agg(F.count("*").alias("_count"))
+    # a record keeps its rarest keys of the title and those of title and subtitle
+    known = [rarest(keyed, frequency, ["pos"], [t], n) for t in titles]
+    known = (known[0] if len(known) == 1 else known[0].unionByName(known[1]).distinct()).withColumnRenamed("pos", "c_pos")
+    asked = rarest(entries, frequency, keys, [F.coalesce("title", F.lit(""))], n).withColumn("_few", F.count("*").over(Window.partitionBy(*keys, "kind")) < n[1])
+    met = asked.join(known, ["kind", "key"]).groupBy(*keys, "c_pos").agg(F.count("*").alias("_met"), F.bool_or((F.col("kind") == 0) | F.col("_few")).alias("_sure"))
+    pairs = met.where("_sure OR _met > 1").select(*keys, "c_pos")
     named = authority.select(*(F.col(c).alias(f"c_{c}") for c in authority.columns))
     return pairs.join(named, "c_pos").join(entries, keys)
 
