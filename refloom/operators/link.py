@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,13 +143,11 @@ def doi_cascade(entries: DataFrame, tiers: list[tuple[str, float, DataFrame]], k
 
 
 def cascade(entries: DataFrame, keys: list[str], tiers: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
-    """Matches of the first tier that has one for an entry: keys, tier and what all tiers return. Each tier sees only what those before left."""
-    left, out = entries, None
-    for name, find in tiers:
-        matched = find(left).withColumn("tier", F.lit(name))
-        out = matched if out is None else out.unionByName(matched, allowMissingColumns=True)
-        left = left.join(matched.select(*keys), keys, "left_anti")
-    return out
+    """Matches of the first tier that has one for an entry: keys, tier and what all tiers return. Every tier is asked for all entries and the first one's
+    match is kept, so no tier's plan holds those before it."""
+    matched = (find(entries).withColumns({"tier": F.lit(name), "_tier": F.lit(n)}) for n, (name, find) in enumerate(tiers))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), matched)
+    return top(every, keys, [F.col("_tier")]).drop("_tier")
 
 
 def verify(entries: DataFrame, authorities: dict[str, DataFrame], keys: list[str], links: DataFrame | None = None, failed: tuple[str, ...] = ()) -> DataFrame:

@@ -5,10 +5,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from refloom.plans import wider
 from refloom.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = Path("/root/testdata/sf0.001")
-CHECKED = ["page_text", "entry_fields", "sorted_entries", "cited_not_listed", "doi_cascade", "usage_by_period", "cost_log", "latest_state", "ris_records", "user_sessions", "finished_lists"]
+CHECKED = ["page_text", "entry_fields", "sorted_entries", "cited_not_listed", "doi_cascade", "usage_by_period", "cost_log", "latest_state", "ris_records", "user_sessions", "finished_lists"] + [n for n, f in QUERIES.items() if f.__module__ == wider.__name__]
 
 
 def rows(records):
