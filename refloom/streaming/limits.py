@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,13 +50,32 @@ def _decided(step: Step, key: str, rows: pd.DataFrame, times: list[float]) -> tu
     return pd.DataFrame(out, columns=["key", "event_id", "at", "allowed"]), times
 
 
-def on_table(events: DataFrame, step: Step) -> DataFrame:
-    """key, event_id, at, allowed: decisions in the order of time. Each decides on those before, so a key's events are gone through in turn, in its group."""
+def on_table(events: DataFrame, step: Step, forget_after: float) -> DataFrame:
+    """key, event_id, at, allowed: decisions in the order of time.
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _decided(step, key[0], rows, [])[0]
+    Each decides on those before, but after a gap of forget_after seconds nothing is remembered. So a key's events are cut at such gaps, found by a window, and
+    each run is gone through by itself: batches come sorted, and what is kept between them is one run's short list of times, whatever the size of a key.
+    """
+    at, rows = F.col("at"), _keyed(events)
+    before = F.lag("at").over(Window.partitionBy("key").orderBy("at", "event_id"))
+    starts = F.coalesce(at - before >= forget_after, F.lit(True)).cast("int")
+    cut = rows.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(Window.partitionBy("key").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    # null keys are a key of their own
+    dealt = cut.repartition("key", "_run").sortWithinPartitions("key", "_run", "at", "event_id").select("key", "event_id", "at", "success", "_run")
 
-    return _keyed(events).groupBy("key").applyInPandas(work, OUT)
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, times = None, []
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                own = (r.key, r[4])
+                if own != run:
+                    run, times = own, []
+                allowed, times = step(times, r.at, bool(r.success))
+                out.append(allowed)
+            yield batch[["key", "event_id", "at"]].assign(allowed=out)
+
+    return dealt.mapInPandas(work, OUT)
 
 
 def on_stream(events: DataFrame, step: Step, forget_after: float) -> DataFrame:
@@ -76,12 +95,12 @@ def on_stream(events: DataFrame, step: Step, forget_after: float) -> DataFrame:
 
 
 def throttled(events: DataFrame) -> DataFrame:
-    return on_stream(events, admit, 2 * MINUTE) if events.isStreaming else on_table(events, admit)
+    return on_stream(events, admit, 2 * MINUTE) if events.isStreaming else on_table(events, admit, MINUTE)
 
 
 def locked(events: DataFrame, kind: str = "access") -> DataFrame:
     step = attempt(FAILURES[kind])
-    return on_stream(events, step, TEN_MINUTES) if events.isStreaming else on_table(events, step)
+    return on_stream(events, step, TEN_MINUTES) if events.isStreaming else on_table(events, step, TEN_MINUTES)
 
 
 def live(jobs: DataFrame, now: float, ttl: float = 7200.0) -> DataFrame:
