@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from refloom.functions.text import sub
+from refloom.functions.text import either, strip, sub
 from refloom.operators.render import field
 
 # Known types, lengths that fields are cut to, and the least length of a rule.
 KNOWN_TYPES = "journal book thesis report newspaper web conference law standard av interview unknown".split()
 CAPS = {"topic": 60, "rule": 600, "example": 600, "evidence": 300, "journal": 60}
 SHORTEST_RULE, KEPT_RECORDS = 5, 300
+SHORTEST_STYLE, LONGEST_STYLE = 100, 40_000
+HOUSE_STYLE, OTHER_ORG, NO_ORG, NO_NAME = "munpyeonhyeop", "기타", "기타(미기입)", "이름 없는 기준"
 
 
 def json_store(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -142,6 +145,38 @@ def all_unique(codes: DataFrame, column: str) -> DataFrame:
     return own.agg((F.count("*") == F.countDistinct(column)).alias("ok"))
 
 
+def styles(texts: DataFrame) -> DataFrame:
+    """texts (name, text, source and, for files that could not be read, error) as a user's own styles: style_id, name, source, text, error.
+
+    The id is made of name and text. A style of under 100 characters has an error and no id; a longer one than 40,000 is cut.
+    """
+    own = strip(field("text"))
+    failed = field("error") if "error" in texts.columns else F.lit("")
+    error = either(failed, F.when(F.length(own) < SHORTEST_STYLE, "a style needs 100 characters or more").otherwise(""))
+    rows = texts.withColumns({"text": F.substring(own, 1, LONGEST_STYLE), "name": either(F.trim(field("name")), F.lit(NO_NAME)), "error": F.nullif(error, F.lit(""))})
+    return rows.withColumn("style_id", F.when(F.col("error").isNull(), F.concat(F.lit("st_"), F.substring(F.sha2(F.concat_ws("\n", "name", "text"), 256), 1, 10))))
+
+
+def job_options(requests: DataFrame) -> DataFrame:
+    """requests with the checked options of their job, or an error: switches are on if "1", corrections only with verification, names are cut to their lengths."""
+    org, user = F.trim(field("org")), F.trim(field("user_name"))
+    org = F.when(org == OTHER_ORG, either(F.trim(field("org_etc")), F.lit(NO_ORG))).otherwise(org)
+    on = {s: field(s) == "1" for s in ("verify", "crosscheck", "english", "autofix", "apply_extra")}
+    error = F.when(user == "", "a user's name is needed").when(org == "", "an organisation is needed")
+    return requests.withColumns(on | {"autofix": on["autofix"] & on["verify"], "style_id": either(field("style_id"), F.lit(HOUSE_STYLE)), "user_name": F.substring(user, 1, 40), "org": F.substring(org, 1, 60), "error": error}).drop("org_etc")
+
+
+def remembered(rows: DataFrame, key: str, cache: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows with answer and failed, cache with the new answers): each key that the cache (key, answer) lacks is asked for once.
+
+    That nothing is known is an answer too (null) and is remembered; an answer that failed is not. ask: keys to key, answer, failed.
+    """
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct().join(cache.select(key), key, "left_anti")
+    new = ask(keys).select(key, "answer", F.coalesce("failed", F.lit(False)).alias("failed"))
+    known = cache.select(key, "answer").withColumn("failed", F.lit(False)).unionByName(new)
+    return rows.join(known, key, "left"), cache.select(key, "answer").unionByName(new.where("NOT failed").select(key, "answer"))
+
+
 def code_hash(code: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), code), 256)
 

@@ -232,6 +232,51 @@ def english_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("seq"), (F.col("doc_id") % 4 == 0).alias("official"), "title_en")
 
 
+@query(
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '이름 없는 기준' ELSE p_name END AS name, CASE WHEN p_partkey % 4 > 0 THEN 110 + length(p_name) ELSE length(p_name) END AS n, p_partkey % 4 > 0 AS kept, "
+    "CASE WHEN p_partkey % 4 = 0 THEN 'a style needs 100 characters or more' END AS error FROM part"
+)
+def own_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as styles: short ones have an error, nameless ones a name."""
+    k = F.col("p_partkey")
+    texts = table(spark, sf_dir, "part").select(k, F.when(k % 3 == 0, " ").otherwise(F.col("p_name")).alias("name"), F.concat(F.lit("  "), "p_name", F.when(k % 4 > 0, F.repeat(F.lit("x"), F.lit(110))).otherwise(""), F.lit("\n")).alias("text"), F.lit("typed").alias("source"))
+    return stores.styles(texts).select("p_partkey", "name", F.length("text").alias("n"), F.col("style_id").isNotNull().alias("kept"), "error")
+
+
+@query(
+    "SELECT c_custkey, c_custkey % 2 = 0 AS verify, c_custkey % 2 = 0 AND c_custkey % 3 = 0 AS autofix, CASE WHEN c_custkey % 5 = 0 THEN 'munpyeonhyeop' ELSE c_mktsegment END AS style_id, "
+    "CASE c_custkey % 4 WHEN 0 THEN '기타(미기입)' WHEN 1 THEN c_mktsegment WHEN 2 THEN repeat('y', 60) ELSE '' END AS org, "
+    "CASE WHEN c_custkey % 7 = 0 THEN 'a user''s name is needed' WHEN c_custkey % 4 = 3 THEN 'an organisation is needed' END AS error FROM customer"
+)
+def checked_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    flag = lambda n: F.when(k % n == 0, "1").otherwise("0")
+    requests = table(spark, sf_dir, "customer").select(
+        k, flag(2).alias("verify"), flag(3).alias("autofix"), *(F.lit("1").alias(c) for c in ("crosscheck", "english", "apply_extra")), F.when(k % 5 == 0, "").otherwise(F.col("c_mktsegment")).alias("style_id"),
+        F.when(k % 7 == 0, " ").otherwise("somebody").alias("user_name"), F.when(k % 4 == 0, "기타").when(k % 4 == 1, F.col("c_mktsegment")).when(k % 4 == 2, "기타").otherwise("").alias("org"), F.when(k % 4 == 2, F.repeat(F.lit("y"), F.lit(70))).otherwise("").alias("org_etc"),
+    )
+    return stores.job_options(requests).select("c_custkey", "verify", "autofix", "style_id", "org", "error")
+
+
+def _remembered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    cache = e.where("user_id % 4 = 0").select("user_id", F.lit("old").alias("answer")).distinct()
+    ask = lambda keys: keys.select("user_id", F.when(F.col("user_id") % 4 == 1, "new").alias("answer"), (F.col("user_id") % 4 == 3).alias("failed"))
+    return stores.remembered(e, "user_id", cache, ask)
+
+
+@query("SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'old' WHEN user_id % 4 = 1 THEN 'new' END AS answer, user_id % 4 = 3 AS failed FROM events")
+def remembered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from a cache and, once for each other key, from a service."""
+    return _remembered(spark, sf_dir)[0].select("event_id", "answer", "failed")
+
+
+@query("SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN 'old' WHEN user_id % 4 = 1 THEN 'new' END AS answer FROM events WHERE user_id % 4 <> 3")
+def remembered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache afterwards: that nothing is known is remembered, failures are not."""
+    return _remembered(spark, sf_dir)[1]
+
+
 # ---------------------------------------------------------------- expiry and strings
 
 

@@ -61,31 +61,40 @@ def articles(answers: DataFrame, xml_column: str = "xml") -> DataFrame:
     )
 
 
+REFERENCE_FIELDS = "title author pubi-year registration-day journal-name conference-name site-name volume isseue page doi url pubilisher degree university".split()
+REFERENCE = ", ".join(f"`{f}` string" for f in ("_type-code", *REFERENCE_FIELDS))
+
+
 def references(answers: DataFrame, xml_column: str = "xml") -> DataFrame:
-    """answers with the entries of an article's own reference list: kind by code, laws by their titles; only the first author is known."""
-    n = F.col("node")
-    code = F.xpath_string(n, F.lit("/reference/@type-code"))
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in REFERENCE_KINDS.items() for x in p]), code), F.lit("unknown"))
-    title, author = first_of(n, "/reference/title"), first_of(n, "/reference/author")
-    made = nodes(answers, "reference", xml_column).select(
-        *(c for c in answers.columns if c != xml_column),
+    """answers with the entries of an article's own reference list: kind by code, laws by their titles; only the first author is known. Each element is
+    parsed once; one that is no XML has no title and is left out."""
+    keys = [c for c in answers.columns if c != xml_column]
+    read = nodes(answers, "reference", xml_column).select(*keys, "pos", F.from_xml("node", REFERENCE).alias("_r"))
+
+    def of(*fields: str) -> Column:
+        return either(*(without_tags(F.col("_r")[f]) for f in fields))
+
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in REFERENCE_KINDS.items() for x in p]), F.coalesce(F.col("_r")["_type-code"], F.lit(""))), F.lit("unknown"))
+    title, author = F.col("title"), F.col("_author")
+    made = read.select(*keys, "pos", "_r", of("title").alias("title"), of("author").alias("_author")).where("title <> ''")
+    return made.select(
+        *keys,
         "pos",
-        title.alias("title"),
+        "title",
         F.when((kind == "unknown") & title.rlike(LAW_TITLE), "law").otherwise(kind).alias("type"),
         F.when(F.concat(title, author).rlike("[가-힣]"), "ko").otherwise("west").alias("lang"),
         F.when(author == "", F.array().cast("array<string>")).otherwise(F.array(author)).alias("authors"),
-        digits(first_of(n, "/reference/pubi-year", "/reference/registration-day")).alias("year"),
-        first_of(n, "/reference/journal-name", "/reference/conference-name", "/reference/site-name").alias("container"),
-        first_of(n, "/reference/volume").alias("volume"),
-        first_of(n, "/reference/isseue").alias("issue"),
-        first_of(n, "/reference/page").alias("pages"),
-        bare_doi(first_of(n, "/reference/doi")).alias("doi"),
-        first_of(n, "/reference/url").alias("url"),
-        first_of(n, "/reference/pubilisher").alias("publisher"),
-        first_of(n, "/reference/degree").alias("degree"),
-        first_of(n, "/reference/university").alias("institution"),
+        digits(of("pubi-year", "registration-day")).alias("year"),
+        of("journal-name", "conference-name", "site-name").alias("container"),
+        of("volume").alias("volume"),
+        of("isseue").alias("issue"),
+        of("page").alias("pages"),
+        bare_doi(of("doi")).alias("doi"),
+        of("url").alias("url"),
+        of("pubilisher").alias("publisher"),
+        of("degree").alias("degree"),
+        of("university").alias("institution"),
     )
-    return made.where("title <> ''")
 
 
 def reference_texts(answers: DataFrame, xml_column: str = "xml", least: int = 15) -> DataFrame:
@@ -97,19 +106,22 @@ def reference_texts(answers: DataFrame, xml_column: str = "xml", least: int = 15
 
 
 def library_records(answers: DataFrame, xml_column: str = "xml") -> DataFrame:
-    """answers with the META fields of records that are lists of (name, value) items; of repeated names the last counts. The title's name varies by kind."""
-    names, values = (F.transform(F.expr(f"xpath(node, '//item/{k}/text()')"), without_tags) for k in ("name", "value"))
-    pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
+    """answers with the META fields of records that are lists of (name, value) items; of repeated names the last counts. The title's name varies by kind.
+    Each record is parsed once; one that is no XML has empty fields."""
+    keys = [c for c in answers.columns if c != xml_column]
+    read = nodes(answers, "recode", xml_column).select(*keys, "pos", F.from_xml("node", "item array<struct<name:string,value:string>>")["item"].alias("_items"))
+    pairs = F.transform(F.coalesce("_items", F.array()), lambda i: F.struct(without_tags(i["name"]).alias("n"), without_tags(i["value"]).alias("v")))
+    read = read.select(*keys, "pos", pairs.alias("_pairs"))
 
     def last(w: str) -> Column:
-        return F.coalesce(F.try_element_at(F.filter(pairs, lambda p: p["n"] == F.lit(w)), F.lit(-1))["v"], F.lit(""))
+        return F.coalesce(F.try_element_at(F.filter("_pairs", lambda p: p["n"] == F.lit(w)), F.lit(-1))["v"], F.lit(""))
 
     def of(*wanted: str) -> Column:
         return either(*map(last, wanted))
 
     title = F.split_part(F.split_part(of("기사명", "논문명", "자료명", "서명"), F.lit(" = "), F.lit(1)), F.lit(" /"), F.lit(1))
-    return nodes(answers, "recode", xml_column).select(
-        *(c for c in answers.columns if c != xml_column),
+    return read.select(
+        *keys,
         "pos",
         strip(sub(title, r"[/\s]+$", "")).alias("title"),
         digits(of("발행년도", "학위년도", "발행년")).alias("year"),
