@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from refloom.functions.text import lstrip, rstrip, strip, sub
 
 # Words that stay small in titles, and words that mark a body's name.
-SMALL_WORDS = "a an the and or of in on for to with at by from as but nor vs".split()
-BODY_LINK_WORDS = "of on the for and in at &".split()
+SMALL_WORDS = ["a", "an", "the", "and", "or", "of", "in", "on", "for", "to", "with", "at", "by", "from", "as", "but", "nor", "vs"]
+BODY_LINK_WORDS = ["of", "on", "the", "for", "and", "in", "at", "&"]
 BODY_WORDS = (
     "association society institute institution university college school library libraries group committee council department division ministry agency bureau center "
     "centre foundation organization organisation board commission office museum archives federation union corporation company press national international federal "

@@ -18,7 +18,7 @@ NARRATIVE = (
     rf"(?U)([A-Z][A-Za-z\-']{{2,}})(?:\s+(?:et al\.?|and|&)\s*[A-Z]?[A-Za-z\-']*|와|과)?\s*\(\s*({CITED_YEAR})",
 )
 NAME = r"^([가-힣]{2,5}|[A-Z][A-Za-z\-']{2,}|[一-鿿]{2,6})$"
-STOP_WORDS = "그림 부록 제시 발행 개정 조사 연구 분석 결과 이용 적용 기준 Table Figure Appendix Chapter Section Vol No The In According".split()
+STOP_WORDS = ["그림", "부록", "제시", "발행", "개정", "조사", "연구", "분석", "결과", "이용", "적용", "기준", "Table", "Figure", "Appendix", "Chapter", "Section", "Vol", "No", "The", "In", "According"]
 
 
 def citations(docs: DataFrame, body_column: str = "body", id_column: str = "doc_id") -> DataFrame:

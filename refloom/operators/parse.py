@@ -40,7 +40,7 @@ BOOK = r"(?U)[가-힣A-Za-z.\s]{1,20}\s*[:：]\s*\S"
 BODY_END = "(도서관|위원회|연구원|연구소|재단|협회|학회|공사|공단|부|처|청|원)$"
 PUBLISHER_END = r"(?U)(출판|출판사|협회|문화사|서관|미디어|아카데미|프레스)\s*\.?\s*$"
 PUBLISHER_LIKE = "(협회|출판|문화사|서관|미디어|아카데미|정보|Press|Publish|Association|Books|House|사)$"
-CITIES = "서울 부산 대구 인천 광주 대전 울산 세종 파주 고양 수원 성남 청주".split() + "chicago,london,new york,boston,oxford,cambridge,berlin,tokyo,paris,amsterdam,philadelphia,los angeles,san francisco,reading,westport".split(",")
+CITIES = ["서울", "부산", "대구", "인천", "광주", "대전", "울산", "세종", "파주", "고양", "수원", "성남", "청주", "chicago", "london", "new york", "boston", "oxford", "cambridge", "berlin", "tokyo", "paris", "amsterdam", "philadelphia", "los angeles", "san francisco", "reading", "westport"]
 VOLUME_REWRITES = (
     (r"(?U)[Vv]ol\.?\s*(\d+)", " $1"),
     (r"(?U)[Nn]o\.?\s*(\d+)", "($1)"),

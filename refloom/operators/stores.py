@@ -13,7 +13,7 @@ from refloom.functions.text import either, strip, sub
 from refloom.operators.render import field
 
 # Known types, lengths that fields are cut to, and the least length of a rule.
-KNOWN_TYPES = "journal book thesis report newspaper web conference law standard av interview unknown".split()
+KNOWN_TYPES = ["journal", "book", "thesis", "report", "newspaper", "web", "conference", "law", "standard", "av", "interview", "unknown"]
 CAPS = {"topic": 60, "rule": 600, "example": 600, "evidence": 300, "journal": 60}
 SHORTEST_RULE, KEPT_RECORDS = 5, 300
 SHORTEST_STYLE, LONGEST_STYLE = 100, 40_000

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from refloom.functions.names import clean_names
 from refloom.functions.text import bare_doi, either, main_title, strip, sub, without_tags
 
-META = "title container year volume issue pages doi publisher isbn title_en record_id source".split()
+META = ["title", "container", "year", "volume", "issue", "pages", "doi", "publisher", "isbn", "title_en", "record_id", "source"]
 # Kinds of an article's references by code, and titles that are laws.
 REFERENCE_KINDS = {"01": "journal", "02": "conference", "03": "book", "04": "report", "05": "thesis", "06": "web"}
 LAW_TITLE = r"(?U)법률\s*제\s*\d+호|대통령령\s*제\s*\d+호|시행령|시행규칙|조례"
@@ -61,7 +61,8 @@ def articles(answers: DataFrame, xml_column: str = "xml") -> DataFrame:
     )
 
 
-REFERENCE_FIELDS = "title author pubi-year registration-day journal-name conference-name site-name volume isseue page doi url pubilisher degree university".split()
+# Names of a reference's elements, spelt as the service spells them.
+REFERENCE_FIELDS = ["title", "author", "pubi-year", "registration-day", "journal-name", "conference-name", "site-name", "volume", "isseue", "page", "doi", "url", "pubilisher", "degree", "university"]
 REFERENCE = ", ".join(f"`{f}` string" for f in ("_type-code", *REFERENCE_FIELDS))
 
 
