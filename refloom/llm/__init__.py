@@ -1,4 +1,4 @@
-"""Training-data operators: ten DataFrame operators for large text corpora.
+"""Training-data operators: thirteen DataFrame operators for large text corpora.
 
 Nothing else in the package imports this subpackage.
 """

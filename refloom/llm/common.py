@@ -79,6 +79,33 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         _written[first:] = [p for p in _written[first:] if p in kept]
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", hot: int = 20_000) -> DataFrame:
+    """rows joined with facts, which has one row for each key, so that no task holds a hot key's rows.
+
+    weight: the column of facts that counts a key's rows; total: their sum. A key with at least one in `hot` of all rows is hot. There can be `hot` of
+    them at most, whatever the size of the table, so these are broadcast; any other key has too few rows to matter to the task that gets it.
+    how: inner or left. The weight is left out of the result.
+    """
+    is_hot = F.col(weight) * F.lit(hot) >= F.lit(total)
+    few, rest = F.broadcast(facts.where(is_hot).drop(weight)), facts.where(~is_hot).drop(weight)
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(rest, on, how))
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with `number`, their place (1, 2, 3 ...) in a total order of all rows, without a window over the table.
+
+    Rows are dealt to ranges and sorted in each; a row's number is its place in its range plus the sizes of those before, of which the driver sees one
+    number a range. The ranges are written first, so a lost executor can't deal them anew. An order with ties numbers equal rows as they come.
+    """
+    place = F.monotonically_increasing_id()  # the range above 33 bits, the place in it below
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place))
+    dealt = dealt.withColumn("_range", F.shiftright("_place", 33).cast("int"))
+    sizes = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    before = dict(zip((k for k, _ in sizes), np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
+    offset = F.element_at(F.map_from_arrays(F.lit(list(before)), F.lit(list(before.values()))), F.col("_range")) if before else F.lit(0)
+    return dealt.withColumn("number", (offset + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_place", "_range")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches hold whole texts, so fewer rows each bound the memory of executors and their Python workers."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import byte_bpe, decontaminate, fingerprint, lz_dedup, ppm_language, secret_scan, sharding, simhash, suffix_dedup, zstd_quality
+from refloom.llm import byte_bpe, decontaminate, exact_dedup, fingerprint, importance, lz_dedup, ppm_language, secret_scan, sharding, simhash, suffix_dedup, whitening, zstd_quality
 from refloom.llm.common import held_out, table
 
 
@@ -66,6 +66,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lz_dedup": op2_lz_dedup,
@@ -77,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_importance": op11_importance,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_whitening": op13_whitening,
 }
 SECRETS_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -139,6 +155,30 @@ judged AS (SELECT doc_id, item_id, len(e) AS n, list_sum(e) AS total, list_max(l
 SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_tokens, CAST(max(total) AS BIGINT) AS n_equal, CAST(max(total) AS DOUBLE) / max(n) AS share FROM judged WHERE best * 5 >= least(13, n) * 4 GROUP BY 1, 2
 """
 
+#: crc32 goes over the bytes of each distinct word with a table that is made from its polynomial.
+IMPORTANCE_SQL = r"""
+WITH crc AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+f AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d) GROUP BY 1, 2),
+words AS (SELECT f, sum(s) AS s, sum(t) AS t FROM (SELECT f, n AS s, 0 AS t FROM f UNION ALL SELECT unnest(w), 0, 1 FROM b) GROUP BY 1),
+hexed AS (SELECT f, s, t, hex(encode(f)) AS x FROM words),
+bytes AS (SELECT f, s, t, list_transform(range(1, length(x), 2), lambda k: CAST((instr('0123456789ABCDEF', x[k]) - 1) * 16 + instr('0123456789ABCDEF', x[k + 1]) - 1 AS BIGINT)) AS bytes FROM hexed),
+hashed AS (SELECT f, s, t, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, y: xor(c // 256, crc[(xor(c, y) % 256) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+sums AS (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM hashed GROUP BY 1),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000)))) AS BIGINT) AS gain FROM sums),
+weights AS (SELECT doc_id, sum(gain * n) AS total, sum(n) AS n FROM f JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY 1),
+rows AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 9), lambda k: CAST(instr('0123456789abcdef', sha256('2024:' || doc_id)[k]) - 1 AS BIGINT))), lambda h, x: h * 16 + x) AS h FROM d LEFT JOIN weights USING (doc_id)),
+scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM rows),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, CAST(score AS BIGINT) AS score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM ranked) THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+EXACT_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM t
+"""
+
 
 def _secrets_sql() -> str:
     scan = secret_scan
@@ -150,4 +190,4 @@ def _secrets_sql() -> str:
     return sql
 
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secrets_sql(), "op2_lz_dedup": FACTORS_SQL, "op10_decontaminate": LEAKS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secrets_sql(), "op2_lz_dedup": FACTORS_SQL, "op10_decontaminate": LEAKS_SQL, "op11_importance": IMPORTANCE_SQL, "op12_exact_dedup": EXACT_SQL}
