@@ -27,6 +27,16 @@ def whole(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: What tells rows apart where ids may repeat: the id and 128 bits of the text.
+KEY = ["id", "s1", "s2"]
+
+
+def signed(id_column: Column, docs: DataFrame, text_column: str = "text", *more: Column) -> DataFrame:
+    """KEY, text (null as empty) and more columns of docs. s1 and s2 are two hashes of the text with seeds of their own."""
+    text = whole(text_column)
+    return docs.select(id_column.alias("id"), F.xxhash64(text).alias("s1"), F.xxhash64(F.lit("second"), text).alias("s2"), text.alias("text"), *more)
+
+
 def held_out(column: str = "doc_id") -> Column:
     """True for rows kept from training: crc32 of the id's text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))

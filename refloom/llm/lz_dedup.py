@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import changes, cut, rolling, small_batches, text_slices, texts_of, whole, window_minima
+from refloom.llm.common import KEY, changes, cut, rolling, signed, small_batches, text_slices, texts_of, window_minima
 
 WINDOW = 50
 #: Words of an anchor. A block is a run of windows with the same anchor: the lowest-hashed anchor-long run of words in each of them.
@@ -22,12 +22,6 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def signature(words: list[bytes]) -> tuple[int, int]:
-    """128 bits of the word sequence, as two signed longs."""
-    x = xxhash.xxh3_128_digest(b" ".join(words))
-    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
-
-
 def anchored(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all anchor-long runs, and for every window the position of its anchor."""
     runs = rolling(hashes, anchor, ANCHOR_BASE)
@@ -35,39 +29,34 @@ def anchored(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray,
 
 
 def parsed_documents(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """A row for each document: id, s1 and s2 (signature), n_words, anchors (hashes of its anchors)."""
+    """A row for each document (columns id, s1, s2, text): id, s1, s2, n_words, anchors (hashes of its anchors)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in text_slices(batches):
-            s1, s2, n, anchors = [], [], [], []
+            n, anchors = [], []
             for text in texts_of(bounds, data):
                 words = text.split()
-                a, b = signature(words)
                 runs, at = anchored(word_hashes(words), window, anchor) if len(words) >= window else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                s1.append(a)
-                s2.append(b)
                 n.append(len(words))
                 anchors.append(np.unique(runs[at[changes(at)]]).view(np.int64))
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in anchors])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(anchors)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int64()), lists], ["id", "s1", "s2", "n_words", "anchors"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(n, pa.int64()), lists], ["id", "s1", "s2", "n_words", "anchors"])
 
-    return docs.mapInArrow(work, "id long, s1 long, s2 long, n_words long, anchors array<long>")
+    return docs.select(*KEY, "text").mapInArrow(work, "id long, s1 long, s2 long, n_words long, anchors array<long>")
 
 
 def reference_blocks(docs: DataFrame, live: DataFrame, window: int, anchor: int) -> DataFrame:
     """The blocks of documents at anchors that several documents have.
 
-    live: id, s1, anchors (hashes). Returns anchor, block (hash of the block's words), id, s1, start (first window), windows (their hashes).
+    live: id, s1, s2, anchors (hashes). Returns anchor, block (hash of the block's words), id, s1, s2, start (first window), windows (their hashes).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in text_slices(batches):
-            wanted = rows.column(3).to_pylist()
+            wanted = rows.column(4).to_pylist()
             for k, text in enumerate(texts_of(bounds, data)):
                 words = text.split()
-                if signature(words)[0] != rows.column(2)[k].as_py():
-                    continue  # another text with the same id
                 hashes = word_hashes(words)
                 runs, at = anchored(hashes, window, anchor)
                 starts = changes(at)
@@ -83,12 +72,12 @@ def reference_blocks(docs: DataFrame, live: DataFrame, window: int, anchor: int)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)), pa.array(inside.view(np.int64)))
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs[at[starts]].view(np.int64)), pa.array(np.array(blocks, np.uint64).view(np.int64)), pa.array([rows.column(0)[k].as_py()] * n, pa.int64()), pa.array([rows.column(2)[k].as_py()] * n, pa.int64()), pa.array(starts.astype(np.int32)), lists],
-                    ["anchor", "block", "id", "s1", "start", "windows"],
+                    [pa.array(runs[at[starts]].view(np.int64)), pa.array(np.array(blocks, np.uint64).view(np.int64)), *(pa.array([rows.column(c)[k].as_py()] * n, pa.int64()) for c in range(3)), pa.array(starts.astype(np.int32)), lists],
+                    ["anchor", "block", *KEY, "start", "windows"],
                 )
 
-    joined = docs.join(live, "id").select("id", "text", "s1", "anchors")
-    return joined.mapInArrow(work, "anchor long, block long, id long, s1 long, start int, windows array<long>")
+    joined = docs.join(live, KEY).select(*KEY, "text", "anchors")
+    return joined.mapInArrow(work, "anchor long, block long, id long, s1 long, s2 long, start int, windows array<long>")
 
 
 def greedy_factors(starts: list[int], ends: list[int], sources: list[int], places: list[int]) -> list[tuple[int, int, int, int]]:
@@ -125,12 +114,12 @@ def greedy_factors(starts: list[int], ends: list[int], sources: list[int], place
 
 
 def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Matches of every document (columns id, text) with documents of smaller ids, each of `window` words or more.
+    """Matches of every document (columns id, s1, s2, text, as signed() has them) with documents of smaller ids, each of `window` words or more.
 
-    Returns (parsed, firsts, found): parsed as parsed_documents() has it; firsts has s1, s2 and the smallest id with that text; found has id, s1,
+    Returns (parsed, firsts, found): parsed as parsed_documents() has it; firsts has s1, s2 and the smallest id with that text; found has id, s1, s2,
     spans (array of first word, end, smallest source id, first word there). greedy_factors() extends them over block edges and parses the document.
 
-    1. Texts with the same words are one: only the first takes part, the others are duplicates as a whole.
+    1. Equal texts are one: only the first takes part, the others are duplicates as a whole.
     2. Each window has an anchor that depends on its words alone, so equal windows have equal anchors. An anchor that one document
        has is no reference; its windows are literals.
     3. The windows of one anchor form a block. A block that an earlier document has matches as a whole, at its place there; so do the next ones
@@ -143,21 +132,21 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tupl
     parsed = cut(parsed_documents(docs, window, anchor))
     known = parsed.where("id IS NOT NULL")
     firsts = cut(known.groupBy("s1", "s2").agg(F.min("id").alias("id")))
-    anchors = known.where(F.col("n_words") >= window).join(firsts, ["s1", "s2", "id"], "left_semi").select("id", "s1", F.explode("anchors").alias("anchor"))
+    anchors = known.where(F.col("n_words") >= window).join(firsts, ["s1", "s2", "id"], "left_semi").select(*KEY, F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    live = anchors.join(shared, "anchor").groupBy("id", "s1").agg(F.collect_set("anchor").alias("anchors"))
+    live = anchors.join(shared, "anchor").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors"))
     blocks = cut(reference_blocks(docs, live, window, anchor))
 
     variants = cut(blocks.groupBy("anchor", "block").agg(F.min(F.struct("id", "start")).alias("first")))
     several = cut(variants.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     placed = blocks.join(variants, ["anchor", "block"])
     end = F.col("start") + F.size("windows") - 1 + window
-    entire = placed.where("id > first.id").select("id", "s1", F.struct(F.col("start"), end.alias("end"), F.col("first.id").alias("source"), F.col("first.start").alias("place")).alias("span"))
-    edges = placed.where("id = first.id").join(several, "anchor", "left_semi").select("anchor", "id", "s1", F.posexplode("windows").alias("k", "w"), "start")
+    entire = placed.where("id > first.id").select(*KEY, F.struct(F.col("start"), end.alias("end"), F.col("first.id").alias("source"), F.col("first.start").alias("place")).alias("span"))
+    edges = placed.where("id = first.id").join(several, "anchor", "left_semi").select("anchor", *KEY, F.posexplode("windows").alias("k", "w"), "start")
     at = F.col("start") + F.col("k")
     lowest = cut(edges.groupBy("anchor", "w").agg(F.min(F.struct("id", at.alias("place"))).alias("low"), F.max("id").alias("high")).where("low.id < high").select("anchor", "w", "low"))
-    single = edges.join(lowest, ["anchor", "w"]).where("id > low.id").select("id", "s1", F.struct(at.alias("start"), (at + window).alias("end"), F.col("low.id").alias("source"), F.col("low.place").alias("place")).alias("span"))
-    found = entire.unionByName(single).groupBy("id", "s1").agg(F.collect_list("span").alias("spans"))
+    single = edges.join(lowest, ["anchor", "w"]).where("id > low.id").select(*KEY, F.struct(at.alias("start"), (at + window).alias("end"), F.col("low.id").alias("source"), F.col("low.place").alias("place")).alias("span"))
+    found = entire.unionByName(single).groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
     return parsed, firsts, found
 
 
@@ -171,19 +160,17 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_
     any. Rows with the same id never take words from each other.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_column).cast("long").alias("id"), whole(text_column).alias("text"))
+    source = signed(F.col(id_column).cast("long"), docs, text_column)
     parsed, firsts, found = factors(source, window, anchor)
-    copies = parsed.where((F.col("id").isNotNull()) & (F.col("n_words") >= window)).join(firsts.withColumnRenamed("id", "first"), ["s1", "s2"]).where("id > first").select("id", "s1", F.col("first").alias("entire")).distinct()
-    plans = copies.join(found, ["id", "s1"], "full").select("id", F.struct("s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), F.col("spans.source").alias("sources"), F.col("spans.place").alias("places")).alias("plan"))
-    joined = source.join(plans.groupBy("id").agg(F.collect_list("plan").alias("plans")), "id", "left").select("id", "text", "plans")
+    copies = parsed.where((F.col("id").isNotNull()) & (F.col("n_words") >= window)).join(firsts.withColumnRenamed("id", "first"), ["s1", "s2"]).where("id > first").select(*KEY, F.col("first").alias("entire")).distinct()
+    plans = copies.join(found, KEY, "full").select(*KEY, F.struct("entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), F.col("spans.source").alias("sources"), F.col("spans.place").alias("places")).alias("plan"))
+    joined = source.join(plans, KEY, "left").select("id", "text", "plan")  # rows with one id can have several texts, each with its own plan
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in text_slices(batches):
             out: list[tuple] = []
-            for i, plans, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), texts_of(bounds, data), strict=True):
+            for i, p, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), texts_of(bounds, data), strict=True):
                 words = text.split()
-                sign = signature(words)[0] if plans else None  # rows with one id can have several texts
-                p = next((x for x in plans or () if x["s1"] == sign), None)
                 keep = np.ones(len(words), bool)
                 parts: list[tuple[int, int, int, int]] = []
                 if p and p["entire"] is not None:

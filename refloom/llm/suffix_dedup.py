@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refloom.llm.bwt import repeated_windows
-from refloom.llm.common import changes, cut, rolling, small_batches, text_slices, texts_of, whole, window_minima
+from refloom.llm.common import KEY, changes, cut, rolling, signed, small_batches, text_slices, texts_of, whole, window_minima
 
 WIDTH = 400
 #: Bytes of an anchor: the lowest-hashed run of so many bytes in a window. A region is a run of windows with the same anchor.
@@ -21,6 +21,8 @@ ANCHOR_BASE, WINDOW_BASE, CORE_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0x
 PART_BYTES = 750_000
 #: Parts that a task goes through one after the other, so that there are fewer and larger files.
 PARTS_PER_TASK = 8
+#: Windows of one region at most; one with more is cut.
+REGION = 1 << 16
 #: Windows of one core: those whose anchor lies in the same stretch of so many offsets.
 CORE_STEP = 16
 
@@ -39,11 +41,10 @@ def anchored(data: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.
 
 
 def parsed_documents(docs: DataFrame, width: int, anchor: int) -> DataFrame:
-    """A row for each document: id, s1 and s2 (signature), n_bytes, anchors (hashes of its regions' anchors, repeats included)."""
+    """A row for each document (columns id, s1, s2, text): id, s1, s2, n_bytes, anchors (hashes of its regions' anchors, repeats included)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in text_slices(batches):
-            signs = [signature(t) for t in texts_of(bounds, data)]
             anchors = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a < width:
@@ -55,40 +56,39 @@ def parsed_documents(docs: DataFrame, width: int, anchor: int) -> DataFrame:
                 anchors.append(np.concatenate([hashes[starts], hashes[starts][several]]).view(np.int64))
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in anchors])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(anchors)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([s[k] for s in signs], pa.int64()) for k in (0, 1)), pa.array(np.diff(bounds)), lists], ["id", "s1", "s2", "n_bytes", "anchors"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(np.diff(bounds)), lists], ["id", "s1", "s2", "n_bytes", "anchors"])
 
-    return docs.mapInArrow(work, "id long, s1 long, s2 long, n_bytes long, anchors array<long>")
+    return docs.select(*KEY, "text").mapInArrow(work, "id long, s1 long, s2 long, n_bytes long, anchors array<long>")
 
 
 def shared_regions(docs: DataFrame, live: DataFrame, width: int, anchor: int) -> DataFrame:
-    """The regions of documents at anchors that occur more than once: anchor, d1, d2 (signature), id, s1, start, size, offset, bytes.
+    """The regions of documents at anchors that occur more than once: anchor, d1, d2 (signature), id, s1, s2, start, size, offset, bytes.
 
-    offset is the anchor's place in the region, -1 if it occurs there several times.
+    offset is the anchor's place in the region, -1 if it occurs there several times. Such a region has no bound (a periodic text is one), so it is cut
+    into pieces of REGION windows, which are regions of the same anchor like any others.
     """
-    schema = "anchor long, d1 long, d2 long, id long, s1 long, start long, size long, offset int, bytes binary"
+    schema = "anchor long, d1 long, d2 long, id long, s1 long, s2 long, start long, size long, offset int, bytes binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in text_slices(batches):
             out: list[tuple] = []
-            for k, wanted in enumerate(rows.column(3).to_pylist()):
+            for k, wanted in enumerate(rows.column(4).to_pylist()):
                 text = data[bounds[k] : bounds[k + 1]]
                 raw = text.tobytes()
-                s1 = rows.column(2)[k].as_py()
-                if len(raw) < width or signature(raw)[0] != s1:
-                    continue  # another text with the same id
+                key = [rows.column(c)[k].as_py() for c in range(3)]
                 hashes, at = anchored(text, width, anchor)
                 starts = changes(hashes)
                 ends = np.append(starts[1:], len(hashes))
                 used = np.isin(hashes[starts], np.array(wanted, np.int64).view(np.uint64))
-                for a, b in zip(starts[used].tolist(), ends[used].tolist(), strict=True):
+                for a, b in ((x, min(x + REGION, b)) for a, b in zip(starts[used].tolist(), ends[used].tolist(), strict=True) for x in range(a, b, REGION)):
                     part = raw[a : b - 1 + width]
                     single = at[a] == at[b - 1] and at[b - 1] - a <= width - anchor
-                    out.append((int(hashes[a].view(np.int64)), *signature(part), rows.column(0)[k].as_py(), s1, a, len(part), int(at[a] - a) if single else -1, part))
+                    out.append((int(hashes[a].view(np.int64)), *signature(part), *key, a, len(part), int(at[a] - a) if single else -1, part))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _schema(schema), strict=True)], names)
 
-    return docs.join(live, "id").select("id", "text", "s1", "anchors").mapInArrow(work, schema)
+    return docs.join(live, KEY).select(*KEY, "text", "anchors").mapInArrow(work, schema)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -129,7 +129,7 @@ def trimmed(regions: list[bytes], anchors: np.ndarray, offsets: np.ndarray, widt
     return out
 
 
-FOUND = "kind int, id long, s1 long, start long, end long, anchor long, core long, windows array<long>, open array<long>"
+FOUND = "kind int, id long, s1 long, s2 long, start long, end long, anchor long, core long, windows array<long>, open array<long>"
 
 
 def _part(rows: list[dict], width: int, anchor: int) -> list[tuple]:
@@ -151,7 +151,7 @@ def _part(rows: list[dict], width: int, anchor: int) -> list[tuple]:
         mark = flags[k]
         if r["own"]:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], (mark > 0).astype(np.int8), [0]])))
-            out += [(0, r["id"], r["s1"], r["start"] + a, r["start"] + b, None, None, None, None) for a, b in edges.reshape(-1, 2).tolist()]
+            out += [(0, *(r[c] for c in KEY), r["start"] + a, r["start"] + b, None, None, None, None) for a, b in edges.reshape(-1, 2).tolist()]
         if r["salted"]:
             text = np.frombuffer(r["bytes"], np.uint8)
             windows = rolling(text, width, WINDOW_BASE)
@@ -163,15 +163,15 @@ def _part(rows: list[dict], width: int, anchor: int) -> list[tuple]:
             emitted = np.flatnonzero(mark != 1)  # of windows that are repeated here, one stands for its set
             opens = np.where((mark == 0) & r["own"], r["start"] + np.arange(len(mark)), -1)
             keys = stretch[emitted] * (len(text) + 1) + place[emitted]
-            for key in np.unique(keys).tolist():
-                mine = emitted[keys == key]
-                g, c = divmod(key, len(text) + 1)
-                out.append((1, r["id"], r["s1"], None, None, r["anchor"], int(inner[c].view(np.int64)) ^ g, windows[mine].view(np.int64).tolist(), opens[mine].tolist()))
+            order = np.argsort(keys, kind="stable")
+            for mine in np.split(emitted[order], changes(keys[order])[1:]) if len(emitted) else ():
+                g, c = int(stretch[mine[0]]), int(place[mine[0]])
+                out.append((1, *(r[x] for x in KEY), None, None, r["anchor"], int(inner[c].view(np.int64)) ^ g, windows[mine].view(np.int64).tolist(), opens[mine].tolist()))
     return out
 
 
 def _repeats(parts: DataFrame, width: int, anchor: int) -> DataFrame:
-    """parts: part, anchor, id, s1, start, offset, own, salted, bytes, sorted by part within partitions."""
+    """parts: part, anchor, id, s1, s2, start, offset, own, salted, bytes, sorted by part within partitions."""
 
     def emitted(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         found = _part(rows, width, anchor)
@@ -193,9 +193,9 @@ def _repeats(parts: DataFrame, width: int, anchor: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Repeated windows of documents (columns id, text; no nulls).
+    """Repeated windows of documents (columns id, s1, s2, text, as signed() has them; no null ids).
 
-    Returns (parsed, found): parsed as parsed_documents() has it; found has id, s1, spans (array of first window, end).
+    Returns (parsed, found): parsed as parsed_documents() has it; found has id, s1, s2, spans (array of first window, end).
 
     1. Equal texts are one; they are repeated as a whole, and one of them takes part further on.
     2. Equal windows have equal anchors, so only the regions of anchors that occur more than once matter. Equal regions are one, too, and
@@ -211,12 +211,12 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, part_byte
     long_enough = parsed.where(F.col("n_bytes") >= width)
     firsts = long_enough.groupBy("s1", "s2").agg(F.min("id").alias("id"))
     one_each = long_enough.join(firsts, ["s1", "s2", "id"], "left_semi").dropDuplicates(["s1", "s2", "id"])
-    anchors = one_each.select("id", "s1", F.explode("anchors").alias("anchor"))
+    anchors = one_each.select(*KEY, F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    live = anchors.join(shared, "anchor").groupBy("id", "s1").agg(F.collect_set("anchor").alias("anchors"))
+    live = anchors.join(shared, "anchor").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors"))
     regions = cut(shared_regions(docs, live, width, anchor))
 
-    variants = regions.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("id", "s1", "start")).alias("pick"), F.first("size").alias("size"), F.min("offset").alias("offset"))
+    variants = regions.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start")).alias("pick"), F.first("size").alias("size"), F.min("offset").alias("offset"))
     itself = F.count_if((F.col("n") == 1) & (F.col("offset") < 0))
     groups = variants.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("size").alias("group_bytes"), F.count_if(F.col("n") == 1).alias("singles"), itself.alias("itself")).where("kinds > 1 AND singles > 0 OR itself > 0")
     groups = cut(groups.select("anchor", F.greatest(F.lit(1), F.ceil(F.col("group_bytes") / part_bytes)).alias("salts"), "group_bytes"))
@@ -224,19 +224,19 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, part_byte
     n_parts = int(2 * total // part_bytes) + 1
     salt = F.when(F.col("salts") > 1, F.pmod("d1", "salts")).otherwise(F.lit(-1))
     chosen = variants.join(groups, "anchor").select("anchor", "d1", "d2", "pick.*", (F.col("n") == 1).alias("own"), (F.col("salts") > 1).alias("salted"), F.pmod(F.xxhash64("anchor", salt), F.lit(n_parts)).alias("part"))
-    rows = regions.join(chosen, ["anchor", "d1", "d2", "id", "s1", "start"]).select("part", "anchor", "id", "s1", "start", "offset", "own", "salted", "bytes")
+    rows = regions.join(chosen, ["anchor", "d1", "d2", *KEY, "start"]).select("part", "anchor", *KEY, "start", "offset", "own", "salted", "bytes")
     tasks = max(1, n_parts // PARTS_PER_TASK)
     found = cut(_repeats(rows.repartition(tasks, "part").sortWithinPartitions("part"), width, anchor)) if total else spark.createDataFrame([], FOUND)
 
-    spans = found.where("kind = 0").select("id", "s1", F.struct("start", "end").alias("span"))
+    spans = found.where("kind = 0").select(*KEY, F.struct("start", "end").alias("span"))
     several = cut(variants.where("n > 1").select("anchor", "d1", "d2"))
-    entire = regions.join(several, ["anchor", "d1", "d2"]).select("id", "s1", F.struct("start", (F.col("start") + F.col("size") - width + 1).alias("end")).alias("span"))
-    cores = found.where("kind = 1").select("anchor", "core", "id", "s1", "windows", "open")
+    entire = regions.join(several, ["anchor", "d1", "d2"]).select(*KEY, F.struct("start", (F.col("start") + F.col("size") - width + 1).alias("end")).alias("span"))
+    cores = found.where("kind = 1").select("anchor", "core", *KEY, "windows", "open")
     common = cores.groupBy("anchor", "core").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "core")
-    windows = cores.join(common, ["anchor", "core"]).select("anchor", "id", "s1", F.explode(F.arrays_zip("windows", "open")).alias("x")).select("anchor", "id", "s1", "x.windows", "x.open")
+    windows = cores.join(common, ["anchor", "core"]).select("anchor", *KEY, F.explode(F.arrays_zip("windows", "open")).alias("x")).select("anchor", *KEY, "x.windows", "x.open")
     equal = windows.groupBy("anchor", "windows").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "windows")
-    crossed = windows.where("open >= 0").join(equal, ["anchor", "windows"]).select("id", "s1", F.struct(F.col("open").alias("start"), (F.col("open") + 1).alias("end")).alias("span"))
-    return parsed, spans.unionByName(entire).unionByName(crossed).groupBy("id", "s1").agg(F.collect_list("span").alias("spans"))
+    crossed = windows.where("open >= 0").join(equal, ["anchor", "windows"]).select(*KEY, F.struct(F.col("open").alias("start"), (F.col("open") + 1).alias("end")).alias("span"))
+    return parsed, spans.unionByName(entire).unionByName(crossed).groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_column: str = "doc_id", text_column: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -248,20 +248,18 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_co
     """
     small_batches(docs.sparkSession)
     text = whole(text_column)
-    own = docs.select(F.col(id_column).cast("long").alias("own"), F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text, F.lit("no id"))).alias("id"), text.alias("text"))
-    source = own.select("id", "text")
+    own = signed(F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text, F.lit("no id"))), docs, text_column, F.col(id_column).cast("long").alias("own"))
+    source = own.drop("own")
     parsed, found = repeats(source, width, anchor, part_bytes)
     several = cut(parsed.where(F.col("n_bytes") >= width).groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2"))  # written, so that the join with it can split a text with very many copies
-    copies = parsed.join(several, ["s1", "s2"]).select("id", "s1", F.lit(True).alias("entire")).distinct()
-    plans = copies.join(found, ["id", "s1"], "full").select("id", F.struct("s1", "entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).alias("plan"))
-    joined = own.join(plans.groupBy("id").agg(F.collect_list("plan").alias("plans")), "id", "left").select("own", "text", "plans")
+    copies = parsed.join(several, ["s1", "s2"]).select(*KEY, F.lit(True).alias("entire")).distinct()
+    plans = copies.join(found, KEY, "full").select(*KEY, F.struct("entire", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).alias("plan"))
+    joined = own.join(plans, KEY, "left").select("own", "text", "plan")  # rows with one id can have several texts, each with its own plan
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in text_slices(batches):
             out: list[tuple] = []
-            for i, plans, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), texts_of(bounds, data), strict=True):
-                sign = signature(text)[0] if plans else None  # rows with one id can have several texts
-                p = next((x for x in plans or () if x["s1"] == sign), None)
+            for i, p, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), texts_of(bounds, data), strict=True):
                 runs: list[list[int]] = []
                 if p and p["entire"]:
                     runs = [[0, len(text)]]

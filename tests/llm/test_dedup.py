@@ -213,3 +213,46 @@ def simhash_syndrome(v):
     return s
 
 
+
+
+def one_id(n):
+    """n texts of id 0 and as many of other ids, with passages that some of them share; a few rows are repeated."""
+    rng = np.random.default_rng(n)
+    words = lambda k: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, k).tolist())
+    passages = [words(30) for _ in range(6)]
+    rows = [(0 if k % 2 else k, f"{words(9)} {passages[k % 6]} {words(k % 5)}") for k in range(n)]
+    return [*rows, *rows[:4], (None, rows[1][1]), (None, rows[1][1])]
+
+
+def test_rows_that_share_an_id(spark):
+    """Each text of an id has its own plan; results equal brute force."""
+    rows = one_id(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lz_dedup.deduplicate(docs, 20, 6).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_words) for r in found) == windows_removed(rows, 20)
+    found = suffix_dedup.deduplicate(docs, 100, 30, part_bytes=2000).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == bytes_removed(rows, 100)
+
+
+def test_plans_join_on_the_text_too(spark):
+    """No join of either operator is on the id alone, so rows that share an id don't meet each other."""
+    docs = spark.createDataFrame(one_id(20), "doc_id long, text string")
+    for found in (lz_dedup.deduplicate(docs, 20, 6), suffix_dedup.deduplicate(docs, 100, 30)):
+        plan = found._jdf.queryExecution().analyzed().toString()
+        joins = [line for line in plan.splitlines() if re.search(r"Join .*\(id#", line)]
+        assert joins and all("s1#" in line and "s2#" in line for line in joins)
+
+
+def test_texts_longer_than_a_slice(spark):
+    """A periodic text of several regions, a long one that repeats a passage of another, and one without repeats."""
+    rng = np.random.default_rng(1)
+    unique = " ".join(f"{x:x}" for x in rng.integers(0, 1 << 60, 330_000).tolist())
+    passage = unique[2_000_000:2_001_000]
+    rows = [(1, unique), (2, "short " + passage), (3, "ab " * 1_500_000)]
+    assert min(len(rows[0][1]), len(rows[2][1])) > common.SLICE_BYTES
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in suffix_dedup.deduplicate(docs).collect()}
+    assert [(found[k].n_removed, found[k].n_spans) for k in (1, 2, 3)] == [(1000, 1), (1000, 1), (4_500_000, 1)]
+    found = {r.doc_id: r for r in lz_dedup.deduplicate(docs).collect()}
+    kept = [w for w in passage.split(" ")[1:-1]]
+    assert found[1].n_removed == 0 and found[3].n_removed == 0 and found[2].n_removed == len(kept) and found[2].n_words == len(passage.split(" ")) + 1
