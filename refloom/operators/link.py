@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.functions.similarity import ratio, record_similarity, title_similarity
+from refloom.functions.similarity import record_key, title_similarity
 from refloom.functions.text import compare_key, first_page, hangul_key, plain_year, publisher_key, sub, title_key, year_number
+from refloom.operators import near
 from refloom.operators.render import field
 
 # Thresholds that results depend on.
@@ -25,68 +23,100 @@ PREPRINT_PREFIXES = {"10.48550": "arXiv", "10.2139": "SSRN", "10.1101": "bioRxiv
 def duplicates(entries: DataFrame, id_column: str = "doc_id", seq_column: str = "seq", threshold: float = DUPLICATE) -> DataFrame:
     """id, seq_a, seq_b, reason (doi or title), similarity: pairs in one list with the same DOI or titles that are alike.
 
-    Equal DOIs and equal titles are equi-joins. Other titles are compared only inside a list and only where their lengths allow the
-    threshold: twice the shorter over the sum can't be less.
+    Equal DOIs are an equi-join. Titles are searched among those of their list (near.alike()), which loses none that is alike enough; rows are joined on the list and
+    the title, never on the list alone.
     """
-    own = entries.select(id_column, seq_column, field("doi").alias("doi"), hangul_key(F.col("title")).alias("key")).withColumn("n", F.length("key"))
-    a = own.select(id_column, *(F.col(c).alias(f"{c}_a") for c in (seq_column, "doi", "key", "n")))
-    b = own.select(id_column, *(F.col(c).alias(f"{c}_b") for c in (seq_column, "doi", "key", "n")))
+    own = entries.select(id_column, seq_column, field("doi").alias("doi"), hangul_key(F.col("title")).alias("key"))
+    a = own.select(id_column, *(F.col(c).alias(f"{c}_a") for c in (seq_column, "doi", "key")))
+    b = own.select(id_column, *(F.col(c).alias(f"{c}_b") for c in (seq_column, "doi", "key")))
     later = F.col(f"{seq_column}_a") < F.col(f"{seq_column}_b")
     pair = [id_column, F.col(f"{seq_column}_a").alias("seq_a"), F.col(f"{seq_column}_b").alias("seq_b")]
     same_doi = a.join(b.withColumn("doi_a", F.col("doi_b")), [id_column, "doi_a"]).where(later & (F.col("doi_a") != "")).select(*pair, F.lit("doi").alias("reason"), F.lit(1.0).alias("similarity"))
-    equal = a.join(b.withColumn("key_a", F.col("key_b")), [id_column, "key_a"]).where(later & (F.col("key_a") != "")).select(*pair, F.lit("title").alias("reason"), F.lit(1.0).alias("similarity"))
-    bound = 2 * F.least("n_a", "n_b") >= threshold * (F.col("n_a") + F.col("n_b"))
-    near = a.join(b, id_column).where(later & (F.col("n_a") > 0) & (F.col("n_b") > 0) & bound & (F.col("key_a") != F.col("key_b")))
-    near = near.withColumn("similarity", ratio("key_a", "key_b")).where(F.col("similarity") >= threshold).select(*pair, F.lit("title").alias("reason"), "similarity")
+    texts = own.select(F.col(id_column).alias("block"), F.col("key").alias("text"))
+    found = near.alike(texts, texts, threshold).select(F.col("block").cast(own.schema[id_column].dataType).alias(id_column), F.col("a").alias("key_a"), F.col("b").alias("key_b"), "similarity")
+    alike = a.join(found, [id_column, "key_a"]).join(b, [id_column, "key_b"]).where(later).select(*pair, F.lit("title").alias("reason"), "similarity")
     first = Window.partitionBy(id_column, "seq_a", "seq_b").orderBy("reason")  # a DOI counts before a title
-    return same_doi.unionByName(equal).unionByName(near).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return same_doi.unionByName(alike).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def block_keys(titles: list[Column]) -> Column:
-    """Array of (kind, key): the distinct words and character runs of titles. Runs of five letters, or of two if there is Hangul, survive a typo elsewhere."""
+def article_titles(title: Column) -> list[tuple[str, Column]]:
+    """Under which names a title is searched, and as what (null: not): words, or all characters but blanks where no known script is left in one of the two."""
+    key, bare = title_key(title), sub(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", "")
+    return [("words", F.when(key != "", key)), ("all", bare), ("lost", F.when(key == "", bare))]
 
-    def cut_out(x: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x["solid"]) - x["size"] + 1, F.lit(1))), lambda i: F.substring(x["solid"], i, x["size"]))
 
-    def runs_of(solid: Column) -> Column:
-        # bound once, as the only element of an array, so that the key isn't made for each run
-        bound = F.transform(F.array(solid), lambda s: F.struct(s.alias("solid"), F.when(s.rlike("[가-힣]"), 2).otherwise(5).alias("size")))
-        return F.get(F.transform(bound, cut_out), F.lit(0))
+def article_records(title: Column) -> list[tuple[str, Column]]:
+    """What article_titles() meets: titles without a known script meet all, the others those without."""
+    key, bare = title_key(title), sub(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", "")
+    return [("words", F.when(key != "", key)), ("all", F.when(key == "", bare)), ("lost", F.when(key != "", bare))]
 
-    def named(kind: int, keys: list[Column]) -> Column:
-        return F.transform(F.array_distinct(F.concat(*keys)), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
 
-    words = [F.split(title_key(t), " ") for t in titles]
-    runs = [runs_of(F.replace(title_key(t), F.lit(" "), F.lit(""))) for t in titles]
-    return F.filter(F.concat(named(0, words), named(1, runs)), lambda x: x["key"] != "")
+def named_texts(rows: DataFrame, keep: list[str], source: Column, named: list[tuple[str, Column]]) -> DataFrame:
+    """keep, block (source and name), text: a row for each name under which a row is searched or found."""
+    each = F.array(*(F.struct(F.concat_ws("|", source, F.lit(n)).alias("block"), c.alias("text")) for n, c in named))
+    return rows.select(*keep, F.explode(each).alias("_x")).select(*keep, "_x.block", "_x.text").where("text <> ''")
 
 
-def rarest(rows: DataFrame, frequency: DataFrame, keys: list[str], titles: list[Column], n: tuple[int, int]) -> DataFrame:
-    """keys, kind, key: the n words and the n runs of each title that the fewest authority titles have, of those that any has."""
-    order = Window.partitionBy(*keys, "kind").orderBy("_count", "key")
-    ranked = rows.select(*keys, F.explode(block_keys(titles)).alias("_k")).select(*keys, "_k.kind", "_k.key").join(frequency, ["kind", "key"]).withColumn("_n", F.row_number().over(order))
-    return ranked.where(F.col("_n") <= F.when(F.col("kind") == 0, n[0]).otherwise(n[1])).select(*keys, "kind", "key")
+def candidates(asked: DataFrame, known: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """keys, source, c_pos, similarity of all pairs of entries and records whose titles are alike to the threshold, each pair once.
 
+    asked: keys, block, text; known: source, c_pos, block, text, as named_texts() makes them. All sources are searched in one index (near.alike()); a text that many
+    entries or records have is compared once. The similarity is that of the most alike of a record's titles.
+    """
+    pairs = near.alike(asked, known, threshold)
+    met = asked.withColumnRenamed("text", "a").join(pairs, ["block", "a"]).join(known.withColumnRenamed("text", "b"), ["block", "b"])
+    return met.groupBy(*keys, "source", "c_pos").agg(F.max("similarity").alias("similarity"))
 
-def candidates(entries: DataFrame, authority: DataFrame, keys: list[str], n: tuple[int, int] = (3, 6)) -> DataFrame:
-    """Entries beside the authority rows (pos and more) that share one of their rarest title words or character runs, each pair once. Authority columns
-    get c_. A record with a subtitle is also found by its title and subtitle together.
 
-    A pair shares one word or, of a title that has many runs, two runs. Rare keys keep blocks small however common the others are; where an entry's rarest key is common, its block is as large as that. Words find titles in
-    another order or with more words, runs find those with typos in any word. tests/test_candidates.py measures the recall.
-    """
-    titles = [F.col("title")] + ([F.concat_ws(" ", "title", F.nullif("subtitle", F.lit("")))] if "subtitle" in authority.columns else [])
-    keyed = authority.select("pos", *(t.alias(f"_t{k}") for k, t in enumerate(titles)))
-    titles = [F.coalesce(f"_t{k}", F.lit("")) for k in range(len(titles))]
-    frequency = keyed.select(F.explode(block_keys(titles)).alias("_k")).groupBy("_k.kind", "_k.key").agg(F.count("*").alias("_count"))
-    # a record keeps its rarest keys of the title and those of title and subtitle
-    known = [rarest(keyed, frequency, ["pos"], [t], n) for t in titles]
-    known = (known[0] if len(known) == 1 else known[0].unionByName(known[1]).distinct()).withColumnRenamed("pos", "c_pos")
-    asked = rarest(entries, frequency, keys, [F.coalesce("title", F.lit(""))], n).withColumn("_few", F.count("*").over(Window.partitionBy(*keys, "kind")) < n[1])
-    met = asked.join(known, ["kind", "key"]).groupBy(*keys, "c_pos").agg(F.count("*").alias("_met"), F.bool_or((F.col("kind") == 0) | F.col("_few")).alias("_sure"))
-    pairs = met.where("_sure OR _met > 1").select(*keys, "c_pos")
+def full_title(title: Column, subtitle: Column) -> Column:
+    """Title and subtitle together; null without a subtitle."""
+    return F.when(F.coalesce(subtitle, F.lit("")) != "", F.concat(F.coalesce(title, F.lit("")), F.lit(": "), subtitle))
+
+
+def known_articles(authority: DataFrame, source: Column) -> DataFrame:
+    """Texts of a table of articles (pos, title, perhaps subtitle): by title, and by title and subtitle together."""
+    rows = authority if "subtitle" in authority.columns else authority.withColumn("subtitle", F.lit(""))
+    named = article_records(F.col("title")) + [(n, F.when(F.coalesce("subtitle", F.lit("")) != "", c)) for n, c in article_records(full_title(F.col("title"), F.col("subtitle")))]
+    return named_texts(rows.select("title", "subtitle", source.alias("source"), F.col("pos").alias("c_pos")), ["source", "c_pos"], F.col("source"), named)
+
+
+def known_books(authority: DataFrame, source: Column) -> DataFrame:
+    """Texts of a table of catalogue records (pos, title)."""
+    return named_texts(authority.select("title", source.alias("source"), F.col("pos").alias("c_pos")), ["source", "c_pos"], F.col("source"), [("record", record_key(F.col("title")))])
+
+
+def asked_texts(entries: DataFrame, keys: list[str], source: Column, book: bool) -> DataFrame:
+    """Texts of entries that are searched among articles (titles of eight characters or more) or among catalogue records."""
+    if book:
+        return named_texts(entries, keys, source, [("record", record_key(F.col("title")))])
+    return named_texts(entries.where(F.length("title") >= 8), keys, source, article_titles(F.col("title")))
+
+
+def scored_articles(pairs: DataFrame) -> DataFrame:
+    """pairs (entry and c_ fields) with anchors and hits (how many of volume, issue and first page could and do agree), near_year (a year off at most, if both
+    are known) and score (the similarity and a bonus for each hit)."""
+    anchors, hits = F.lit(0), F.lit(0)
+    for own, other in ((field("volume"), field("c_volume")), (field("issue"), field("c_issue")), (first_page(F.col("pages")), first_page(F.col("c_pages")))):
+        anchors = anchors + F.when(own != "", 1).otherwise(0)
+        hits = hits + F.when((own != "") & (own == other), 1).otherwise(0)
+    want, have = year_number(F.col("year")), F.col("c_year").try_cast("int")
+    pairs = pairs.withColumns({"anchors": anchors, "hits": hits, "near_year": want.isNull() | have.isNull() | (F.abs(want - have) <= 1)})
+    return pairs.withColumn("score", F.col("similarity") + ANCHOR_BONUS * F.col("hits"))
+
+
+def acceptable(any_year: Column) -> Column:
+    """Of scored articles those that may be the work: near in time; or, if any year will do, not one that could agree in two places and agrees in none."""
+    return F.when(any_year, (F.col("anchors") < 2) | (F.col("hits") > 0)).otherwise(F.col("near_year"))
+
+
+def same_year() -> Column:
+    return (plain_year(F.col("year")) != "") & (plain_year(F.col("year")) == F.substring(field("c_year"), 1, 4))
+
+
+def _beside(entries: DataFrame, authority: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs with the fields of entries, and those of authority as c_ fields."""
     named = authority.select(*(F.col(c).alias(f"c_{c}") for c in authority.columns))
-    return pairs.join(named, "c_pos").join(entries, keys)
+    return pairs.drop("source").join(named, "c_pos").join(entries, keys)
 
 
 def best_articles(entries: DataFrame, authority: DataFrame, keys: list[str], threshold: float = ARTICLE, ignore_year: bool = False) -> DataFrame:
@@ -96,27 +126,17 @@ def best_articles(entries: DataFrame, authority: DataFrame, keys: list[str], thr
     each of volume, issue and first page that agrees; the first of equals wins. With ignore_year, a candidate that could agree in two of
     them and agrees in none is another work. authority: pos (rank), title, subtitle, year, volume, issue, pages.
     """
-    pairs = candidates(entries.where(F.length("title") >= 8), authority, keys)
-    second = F.when(field("c_subtitle") != "", F.concat("c_title", F.lit(": "), "c_subtitle")).otherwise(F.col("c_title"))
-    pairs = pairs.withColumn("similarity", F.greatest(title_similarity(F.col("title"), F.col("c_title")), title_similarity(F.col("title"), second))).where(F.col("similarity") >= threshold)
-    anchors, hits = F.lit(0), F.lit(0)
-    for own, other in ((field("volume"), field("c_volume")), (field("issue"), field("c_issue")), (first_page(F.col("pages")), first_page(F.col("c_pages")))):
-        anchors = anchors + F.when(own != "", 1).otherwise(0)
-        hits = hits + F.when((own != "") & (own == other), 1).otherwise(0)
-    pairs = pairs.withColumns({"anchors": anchors, "hits": hits})
-    want, have = year_number(F.col("year")), F.col("c_year").try_cast("int")
-    if ignore_year:
-        pairs = pairs.where((F.col("anchors") < 2) | (F.col("hits") > 0))
-    else:
-        pairs = pairs.where(want.isNull() | have.isNull() | (F.abs(want - have) <= 1))
-    return top(pairs.withColumn("score", F.col("similarity") + ANCHOR_BONUS * F.col("hits")), keys, [F.desc("score"), F.col("c_pos")])
+    one = F.lit("one")
+    pairs = candidates(asked_texts(entries, keys, one, False), known_articles(authority, one), threshold, keys)
+    pairs = scored_articles(_beside(entries, authority, pairs, keys)).where(acceptable(F.lit(ignore_year)))
+    return top(pairs, keys, [F.desc("score"), F.col("c_pos")])
 
 
 def best_books(entries: DataFrame, authority: DataFrame, keys: list[str], threshold: float = DOMESTIC) -> DataFrame:
     """For each entry the best record by rounded similarity, then by an equal year; the first of equals wins."""
-    pairs = candidates(entries, authority, keys).withColumn("similarity", record_similarity(F.col("title"), F.col("c_title"))).where(F.col("similarity") >= threshold)
-    same = (plain_year(F.col("year")) != "") & (plain_year(F.col("year")) == F.substring(field("c_year"), 1, 4))
-    return top(pairs.withColumns({"rounded": F.round("similarity", 3), "same_year": same}), keys, [F.desc("rounded"), F.desc("same_year"), F.col("c_pos")])
+    one = F.lit("one")
+    pairs = _beside(entries, authority, candidates(asked_texts(entries, keys, one, True), known_books(authority, one), threshold, keys), keys)
+    return top(pairs.withColumns({"rounded": F.round("similarity", 3), "same_year": same_year()}), keys, [F.desc("rounded"), F.desc("same_year"), F.col("c_pos")])
 
 
 def top(pairs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -142,12 +162,47 @@ def doi_cascade(entries: DataFrame, tiers: list[tuple[str, float, DataFrame]], k
     return rows.select(*keys, status.alias("status"), F.col("_f.source").alias("source"), F.when(F.col("_f").isNotNull(), F.col("similarity")).alias("similarity"), F.col("_f.title").alias("meta_title"))
 
 
-def cascade(entries: DataFrame, keys: list[str], tiers: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
-    """Matches of the first tier that has one for an entry: keys, tier and what all tiers return. Every tier is asked for all entries and the first one's
-    match is kept, so no tier's plan holds those before it."""
-    matched = (find(entries).withColumns({"tier": F.lit(name), "_tier": F.lit(n)}) for n, (name, find) in enumerate(tiers))
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), matched)
-    return top(every, keys, [F.col("_tier")]).drop("_tier")
+#: Routes of entries without a DOI: for each kind of entry the sources that are asked in turn, each with the least similarity and whether any year will do.
+ROUTES = {
+    "domestic article": (("kci", "kci", DOMESTIC, False), ("crossref", "crossref", ARTICLE, False)),
+    "thesis": (("nanet", "nanet", DOMESTIC, False),),
+    "book": (("nlk", "nlk", DOMESTIC, False), ("nanet", "nanet", DOMESTIC, False)),
+    "article": (("crossref", "crossref", ARTICLE, False), ("crossref any year", "crossref", ARTICLE_ANY_YEAR, True), ("openalex", "openalex", OTHER_ARTICLE, False), ("s2", "s2", OTHER_ARTICLE, False)),
+}
+CATALOGUES = ("kci", "nanet", "nlk")
+RECORD = ("pos", "doi", "title", "subtitle", "year", "volume", "issue", "pages", "publisher")
+
+
+def route_of() -> Column:
+    """Which of ROUTES an entry takes; null for none."""
+    ko = (field("lang") == "ko") & field("type").isin("journal", "thesis", "book", "report")
+    kind = F.when(field("type") == "journal", "domestic article").when(field("type") == "thesis", "thesis").otherwise("book")
+    return F.when(ko, kind).when(field("type") == "journal", "article")
+
+
+def cascade(entries: DataFrame, sources: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Matches of the first tier of an entry's route that has one: keys, tier, similarity and the record's c_ fields.
+
+    entries: keys, route and fields. One index holds the records of all sources, each tagged with its own; an entry is searched once among those of its route. All
+    tiers judge the same pairs (crossref with and without the year, too), and one ranking chooses the tier, then the record in it. So no source is
+    read twice, and the plan doesn't grow with the tiers.
+    """
+    tagged = None
+    for name, rows in sources.items():
+        own = rows.select(F.lit(name).alias("source"), *(F.col(c).cast("long" if c == "pos" else "string").alias(f"c_{c}") if c in rows.columns else F.lit("").alias(f"c_{c}") for c in RECORD))
+        tagged = own if tagged is None else tagged.unionByName(own)
+    tiers = F.create_map(*[x for route, steps in ROUTES.items() for x in (F.lit(route), F.array(*(F.struct(F.lit(n).alias("n"), F.lit(t).alias("tier"), F.lit(c).alias("source"), F.lit(float(m)).alias("limit"), F.lit(y).alias("any_year")) for n, (t, c, m, y) in enumerate(steps))))])
+    steps = F.try_element_at(tiers, F.col("route"))
+    is_book = F.col("source").isin(*CATALOGUES)
+    asked = entries.where(F.col("route").isNotNull()).select(*keys, "title", F.explode(F.array_distinct(F.transform(steps, lambda x: x["source"]))).alias("source"))
+    texts = asked_texts(asked.where(is_book), keys, F.col("source"), True).unionByName(asked_texts(asked.where(~is_book), keys, F.col("source"), False))
+    records = tagged.select("source", F.col("c_pos").alias("pos"), F.col("c_title").alias("title"), F.col("c_subtitle").alias("subtitle"))
+    known = known_books(records.where(is_book), F.col("source")).unionByName(known_articles(records.where(~is_book), F.col("source")))
+    pairs = candidates(texts, known, min(ARTICLE, DOMESTIC), keys).join(tagged, ["source", "c_pos"]).join(entries.select(*keys, *("year volume issue pages route".split())), keys)
+    scored = scored_articles(pairs).withColumns({"rounded": F.round("similarity", 3), "same_year": same_year(), "_step": F.explode(F.filter(steps, lambda x: x["source"] == F.col("source")))})
+    good = scored.where((F.col("similarity") >= F.col("_step.limit")) & (is_book | acceptable(F.col("_step.any_year"))))
+    order = [F.col("_step.n"), F.desc(F.when(is_book, F.col("rounded")).otherwise(F.col("score"))), F.desc(is_book & F.col("same_year")), F.col("c_pos")]
+    return top(good, keys, order).select(*keys, F.col("_step.tier").alias("tier"), "similarity", *(f"c_{c}" for c in RECORD))
 
 
 def verify(entries: DataFrame, authorities: dict[str, DataFrame], keys: list[str], links: DataFrame | None = None, failed: tuple[str, ...] = ()) -> DataFrame:
@@ -162,26 +217,9 @@ def verify(entries: DataFrame, authorities: dict[str, DataFrame], keys: list[str
     with_doi = entries.where(field("doi") != "")
     tiers = [(name, limit, table[name].select("doi", "title", F.lit(False).alias("unavailable")).where("doi <> ''")) for name, limit in DOI_TIERS]
     by_doi = doi_cascade(with_doi, tiers, keys)
-    rest = entries.where(field("doi") == "")
-    ko = (field("lang") == "ko") & field("type").isin("journal", "thesis", "book", "report")
-
-    def article(name: str, limit: float, any_year: bool = False) -> tuple[str, Callable[[DataFrame], DataFrame]]:
-        return f"{name} any year" if any_year else name, lambda e: best_articles(e, table[name], keys, limit, any_year)
-
-    def record(name: str) -> tuple[str, Callable[[DataFrame], DataFrame]]:
-        return name, lambda e: best_books(e, table[name], keys)
-
-    routes = [
-        (rest.where(ko & (field("type") == "journal")), [record("kci"), article("crossref", ARTICLE)]),
-        (rest.where(ko & (field("type") == "thesis")), [record("nanet")]),
-        (rest.where(ko & field("type").isin("book", "report")), [record("nlk"), record("nanet")]),
-        (rest.where(~ko & (field("type") == "journal")), [article("crossref", ARTICLE), article("crossref", ARTICLE_ANY_YEAR, True), article("openalex", OTHER_ARTICLE), article("s2", OTHER_ARTICLE)]),
-    ]
-    columns = [*keys, "tier", "similarity", "c_doi", "c_title", "c_year", "c_volume", "c_issue", "c_pages", "c_publisher"]
-    found = None
-    for rows, tiers_of in routes:
-        own = cascade(rows, keys, tiers_of).select(*columns)
-        found = own if found is None else found.unionByName(own)
+    rest = entries.where(field("doi") == "").withColumn("route", route_of())
+    found = cascade(rest, {name: authorities[name] for name in table if name in authorities}, keys).select(*keys, "tier", "similarity", "c_doi", "c_title", "c_year", "c_volume", "c_issue", "c_pages", "c_publisher")
+    ko = F.coalesce(F.col("route") != "article", F.lit(False))
     joined = rest.select(*keys, field("type").alias("_type"), field("lang").alias("_lang"), field("url").alias("_url"), ko.alias("_ko")).join(found, keys, "left")
     if links is not None:
         joined = joined.join(links.select(F.col("url").alias("_url"), F.col("ok").alias("_ok")).dropDuplicates(["_url"]), "_url", "left")
@@ -196,20 +234,23 @@ def verify(entries: DataFrame, authorities: dict[str, DataFrame], keys: list[str
         .when(F.col("_url") != "", F.when(F.coalesce("_ok", F.lit(False)), "link_ok").otherwise("link_dead"))
         .otherwise("skipped")
     )
-    titled = joined.select(*keys, status.alias("status"), F.col("tier").alias("source"), *columns[len(keys) + 1 :])
+    titled = joined.select(*keys, status.alias("status"), F.col("tier").alias("source"), *found.columns[len(keys) + 1 :])
     doi = by_doi.select(*keys, "status", "source", "similarity", F.col("meta_title").alias("c_title"))
     return titled.unionByName(doi, allowMissingColumns=True)
 
 
 def listed_journals(entries: DataFrame, listing: DataFrame, threshold: float = OPEN_LIST) -> DataFrame:
-    """Distinct container names that a listing (column title) has: by equal keys, the rest by similarity of those that share a rare word."""
+    """Distinct container names that a listing (column title) has: by equal keys, the rest by similarity, found in an exact index."""
     names = entries.where((field("type") == "journal") & (F.length("container") >= 3)).select("container").distinct().withColumn("_key", title_key(F.col("container")))
     keys = listing.select(title_key(F.col("title")).alias("_key")).distinct()
     equal = names.join(keys, "_key", "left_semi").select("container")
     left = names.join(equal, "container", "left_anti").select(F.col("container").alias("title"))
-    near = candidates(left, listing.select("title").distinct().withColumn("pos", F.xxhash64("title")), ["title"])
-    near = near.where(title_similarity(F.col("title"), F.col("c_title")) >= threshold).select(F.col("title").alias("container")).distinct()
-    return equal.unionByName(near)
+    own, one = left.select("title", F.col("title").alias("_name")), F.lit("one")
+    texts = named_texts(own, ["_name"], one, article_titles(F.col("title")))
+    listed = named_texts(listing.select("title").distinct(), [], one, article_records(F.col("title")))
+    found = near.alike(texts, listed, threshold)
+    near_names = texts.withColumnRenamed("text", "a").join(found, ["block", "a"], "left_semi").select(F.col("_name").alias("container")).distinct()
+    return equal.unionByName(near_names)
 
 
 def retraction(updates: Column) -> Column:

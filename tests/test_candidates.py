@@ -1,11 +1,12 @@
-"""Recall of the candidates of fuzzy title searches, against all pairs."""
+"""Fuzzy title searches against all pairs."""
 
 import difflib
 import random
 
 from pyspark.sql import functions as F
 
-from refloom.functions.text import title_key
+from refloom.functions.similarity import record_key
+from refloom.functions.text import hangul_key, title_key
 from refloom.operators import link
 
 
@@ -18,23 +19,89 @@ def misspelt(rng, title, n):
     return "".join(letters)
 
 
-def test_recall_on_misspelt_titles(spark):
-    """Of all pairs that are alike enough, nine tenths at least are candidates: typos in any word, one-word titles, titles with subtitles, more words."""
-    rng = random.Random(6)
+def titles(rng):
     stock = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
     common = ["introduction", "of", "the", "analysis", "study"]
-    west = [(" ".join(rng.choices(stock, k=rng.randint(2, 7)) + rng.choices(common, k=rng.randint(0, 3))), rng.choice(["", " ".join(rng.choices(stock, k=4))])) for _ in range(250)]
-    korean = [("".join(rng.choice("한국문학연구사회정책교육경제역사철학방법이론") for _ in range(rng.randint(6, 14))), "") for _ in range(100)]
-    records = [(k, t, s) for k, (t, s) in enumerate(west + korean)]
+    west = [(" ".join(rng.choices(stock, k=rng.randint(2, 7)) + rng.choices(common, k=rng.randint(0, 3))), rng.choice(["", " ".join(rng.choices(stock, k=4))])) for _ in range(120)]
+    korean = [("".join(rng.choice("한국문학연구사회정책교육경제역사철학방법이론") for _ in range(rng.randint(8, 14))), "") for _ in range(60)]
+    others = [("دراسة في قوائم المراجع", ""), ("دراسة في قائمة المراجع", ""), ("!!! ??? ...", "")]
+    return west + korean + others
+
+
+def test_all_articles_that_are_alike(spark):
+    """Typos in any word, words that moved, one-word titles, titles with subtitles, scripts that have no key: every pair and its similarity."""
+    rng = random.Random(6)
+    records = [(k, t, s) for k, (t, s) in enumerate(titles(rng))]
     asked = []
-    for k, t, s in records:
+    for _, t, s in records:
         full = f"{t}: {s}" if s and rng.random() < 0.5 else t
-        asked.append((len(asked), misspelt(rng, full, rng.randint(0, 3 if len(full) > 15 else 1))))
-    authority = spark.createDataFrame(records, "pos long, title string, subtitle string")
-    entries = spark.createDataFrame(asked, "seq long, title string")
-    key = {r.t: r.k for r in spark.createDataFrame([(x,) for x in {t for _, t in asked} | {t for _, t, _ in records} | {f"{t}: {s}" for _, t, s in records}], "t string").select("t", title_key(F.col("t")).alias("k")).collect()}
-    alike = {(i, pos) for i, q in asked for pos, t, s in records for x in {t, f"{t}: {s}" if s else t} if difflib.SequenceMatcher(None, key[q], key[x]).ratio() >= link.ARTICLE}
-    found = {(r.seq, r.c_pos) for r in link.candidates(entries, authority, ["seq"]).collect()}
-    recall = len(alike & found) / len(alike)
-    print("recall", recall, len(alike), "candidates", len(found))
-    assert recall >= 0.95 and len(found) < 0.2 * len(asked) * len(records)
+        words = full.split()
+        asked.append((len(asked), " ".join(words[1:] + words[:1]) if rng.random() < 0.2 else misspelt(rng, full, rng.randint(0, 3 if len(full) > 15 else 1))))
+    authority, entries = spark.createDataFrame(records, "pos long, title string, subtitle string"), spark.createDataFrame(asked, "seq long, title string")
+    every = {t for _, t in asked} | {t for _, t, _ in records} | {f"{t}: {s}" for _, t, s in records}
+    key = {r.t: r.k for r in spark.createDataFrame([(x,) for x in every], "t string").select("t", title_key(F.col("t")).alias("k")).collect()}
+
+    def likeness(a, b):
+        x, y = (key[a], key[b]) if key[a] and key[b] else ("".join(a.lower().split()), "".join(b.lower().split()))
+        return difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+
+    one = F.lit("one")
+    for threshold in (link.ARTICLE, link.OTHER_ARTICLE, link.ARTICLE_ANY_YEAR):
+        expected = {}
+        for i, q in asked:
+            for pos, t, s in records:
+                best = max(likeness(q, x) for x in {t, f"{t}: {s}" if s else t})
+                if len(q) >= 8 and best >= threshold:
+                    expected[i, pos] = round(best, 9)
+        found = link.candidates(link.asked_texts(entries, ["seq"], one, False), link.known_articles(authority, one), threshold, ["seq"]).collect()
+        assert {(r.seq, r.c_pos): round(r.similarity, 9) for r in found} == expected and len(expected) > 100
+
+
+def test_all_records_that_are_alike(spark):
+    rng = random.Random(9)
+    records = [(k, t) for k, (t, _) in enumerate(titles(rng))]
+    asked = [(k, misspelt(rng, t, rng.randint(0, 3))) for k, t in records]
+    keys = spark.createDataFrame([(x,) for x in {t for _, t in [*asked, *records]}], "t string").select("t", record_key(F.col("t")).alias("k")).collect()
+    key = {r.t: r.k for r in keys}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, key[a], key[b]).ratio() if key[a] and key[b] else 0.0
+    expected = {(i, pos): round(ratio(q, t), 9) for i, q in asked for pos, t in records if ratio(q, t) >= link.DOMESTIC}
+    one = F.lit("one")
+    found = link.candidates(link.asked_texts(spark.createDataFrame(asked, "seq long, title string"), ["seq"], one, True), link.known_books(spark.createDataFrame(records, "pos long, title string"), one), link.DOMESTIC, ["seq"]).collect()
+    assert {(r.seq, r.c_pos): round(r.similarity, 9) for r in found} == expected
+
+
+def test_duplicates_equal_all_pairs(spark):
+    """Lists of their own, equal titles and DOIs, titles that differ in a few letters, empty titles."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 60))) for _ in range(25)]
+    rows = [(k % 4, k, "10.1/x" if k % 11 == 0 else "", misspelt(rng, rng.choice(base), rng.randint(0, 3)) if k % 17 else "") for k in range(160)]
+    found = link.duplicates(spark.createDataFrame(rows, "doc_id long, seq long, doi string, title string")).collect()
+    keys = {r.t: r.k for r in spark.createDataFrame([(t,) for _, _, _, t in rows], "t string").select("t", hangul_key(F.col("t")).alias("k")).distinct().collect()}
+    expected = {}
+    for d, i, doi, t in rows:
+        for e, j, other, u in rows:
+            if d == e and i < j:
+                x, y = keys[t], keys[u]
+                s = difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+                if doi and doi == other:
+                    expected[d, i, j] = ("doi", 1.0)
+                elif s >= link.DUPLICATE:
+                    expected[d, i, j] = ("title", round(s, 9))
+    assert {(r.doc_id, r.seq_a, r.seq_b): (r.reason, round(r.similarity, 9)) for r in found} == expected and len(found) == len(expected)
+
+
+def test_journals_equal_all_pairs(spark):
+    rng = random.Random(5)
+    listing = [f"Journal of {w} studies" for w in ("reference", "archive", "library", "metadata")] + ["문헌정보학회지", "مجلة المراجع"]
+    names = [misspelt(rng, t, rng.randint(0, 4)) for t in listing for _ in range(12)] + ["ab", "Nature"]
+    entries = spark.createDataFrame([("journal", n) for n in names], "type string, container string")
+    table = spark.createDataFrame([(t,) for t in listing], "title string")
+    key = {r.t: r.k for r in spark.createDataFrame([(x,) for x in {*names, *listing}], "t string").select("t", title_key(F.col("t")).alias("k")).collect()}
+    for threshold in (link.OPEN_LIST, link.DOMESTIC_LIST):
+        expected = set()
+        for n in names:
+            for t in listing:
+                x, y = (key[n], key[t]) if key[n] and key[t] else ("".join(n.lower().split()), "".join(t.lower().split()))
+                if len(n) >= 3 and (key[n] == key[t] or difflib.SequenceMatcher(None, x, y).ratio() >= threshold):
+                    expected.add(n)
+        assert {r.container for r in link.listed_journals(entries, table, threshold).collect()} == expected
