@@ -3,55 +3,131 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.similarity import edits
 from refloom.functions.text import collapse, solid_key, without_authors
+from refloom.operators import near
+from refloom.operators.shared import Written
 
 # Accepted likeness, and the least that a title or a DOI inside the other string gives.
 ACCEPT, TITLE_FOUND, DOI_FOUND = 0.45, 0.90, 0.99
 
 
-def _pairs_of_one(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one document's rows, each left one (with a seq) in turn takes the best right one (with a pos) that is still free; the first of equals."""
-    left, right = rows[rows["seq"].notna()].sort_values("seq"), rows[rows["pos"].notna()].sort_values("pos")
-    free, out = dict(zip(right["pos"], zip(right["key"], right["low"], strict=True), strict=True)), []
-    doc = left["doc_id"].iloc[0] if len(left) else None
-    for row in left.itertuples():
-        best, at = 0.0, None
+#: From here on a pair is strong: all strong pairs are found first, and only entries that need more are compared with all lines.
+STRONG = 0.90
+#: Rows of either side in a tile, for strong pairs (found by bounds that cost little) and for all others.
+STRONG_TILE, TILE = 1024, 192
+PAIR = ["doc_id", "seq", "pos", "score"]
+
+
+def scored(left: DataFrame, right: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """doc_id, seq, pos, score of the pairs of a list that reach the threshold, from tiles of both sides.
+
+    left: doc_id, seq, key, title_key, doi, place (1, 2, 3 ... in the list's order or more); right: doc_id, pos, key, low. A DOI or a long title that stands in the other
+    string lifts the score. Of an entry's pairs in a tile as many are kept as its place says: each entry before it takes one line at most.
+    """
+    own = left.select(F.col("doc_id").cast("string").alias("block"), F.col("seq").alias("number"), "key", F.col("title_key").alias("more"), "doi", "place")
+    other = right.select(F.col("doc_id").cast("string").alias("block"), F.col("pos").alias("number"), "key", F.col("low").alias("more"), F.lit("").alias("doi"), F.lit(0).alias("place"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = difflib.SequenceMatcher(autojunk=False)
-        matcher.set_seq1(row.key)
-        for pos, (key, low) in free.items():
-            # bounds that cost little come first: only what could be better is compared in full
-            floor = max(DOI_FOUND if row.doi and row.doi in low else 0.0, TITLE_FOUND if len(row.title_key) >= 8 and row.title_key in key else 0.0)
-            matcher.set_seq2(key)
-            score = floor
-            if max(matcher.real_quick_ratio(), floor) > best and max(matcher.quick_ratio(), floor) > best:
-                score = max(floor, matcher.ratio() if row.key or key else 0.0)
-            if score > best:
-                best, at = score, pos
-        if at is not None and best >= ACCEPT:
-            out.append((doc, row.seq, at, best))
-            del free[at]
-    return pd.DataFrame(out, columns=["doc_id", "seq", "pos", "score"])
+        for doc, mine, theirs in near.tile_groups(batches):
+            a, titles, dois, places = (mine.column(c).to_pylist() for c in ("key", "more", "doi", "place"))
+            b, lows = (theirs.column(c).to_pylist() for c in ("key", "more"))
+            seq, pos = mine.column("number").to_pylist(), theirs.column("number").to_pylist()
+            scores: dict[tuple[int, int], float] = {}
+            for i, (title, doi) in enumerate(zip(titles, dois, strict=True)):
+                if len(title) >= 8:
+                    scores |= {(i, j): TITLE_FOUND for j, key in enumerate(b) if title in key}
+                if doi:
+                    scores |= {(i, j): DOI_FOUND for j, low in enumerate(lows) if doi in low}
+                if not a[i]:  # nothing equals nothing
+                    scores |= {(i, j): 1.0 for j, key in enumerate(b) if not key}
+            rows, columns = near.screened(a, b, threshold)
+            order, last = np.argsort(columns, kind="stable"), -1
+            for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
+                if j != last:
+                    matcher.set_seq2(b[j])
+                    last = j
+                floor = scores.get((i, j), 0.0)
+                score = near.similarity(a[i], b[j], max(threshold, floor), matcher)
+                if score > floor:
+                    scores[i, j] = score
+            by_row: dict[int, list[tuple[float, int]]] = {}
+            for (i, j), score in scores.items():
+                by_row.setdefault(i, []).append((-score, pos[j]))
+            out = [(int(doc), seq[i], p, -s) for i, found in by_row.items() for s, p in sorted(found)[: places[i]]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.float64()), strict=True)], PAIR)
+
+    return near.tiled(own, other, ("number", "key", "more", "doi", "place"), tile).mapInArrow(work, "doc_id long, seq long, pos long, score double")
+
+
+def chosen_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """doc_id, seq, pos, score: in the order of a list's entries, each takes the best line that is still free, the first of equals.
+
+    The order is kept without going through a list one by one. All strong pairs are found first, by bounds; entries without one are compared with all lines. Then in
+    rounds, over all lists at once:
+
+    * of an entry's pairs only as many matter as there are open entries before it, and one more;
+    * a pair is safe if no open entry before has a pair with its line. An entry never goes below its best safe pair, so what lies below is dropped, and frees lines for others;
+    * an entry whose best pair is safe takes it; the line is gone for the rest;
+    * an entry that may lose all its strong pairs holds up those after it in its list, for it could take any line. If it does lose them, it is compared
+      with all lines that are left.
+
+    The first open entry of each list is settled in every round; as a rule nearly all are in a few. Each round is written and read back.
+    """
+    written = Written(left.sparkSession)
+    strong = written.cut(scored(left, right, STRONG, STRONG_TILE).withColumn("full", F.lit(False)))
+    weak = left.join(strong.select("doc_id", "seq").distinct(), ["doc_id", "seq"], "left_anti")
+    pairs = written.cut(strong.unionByName(scored(weak, right, ACCEPT, TILE).withColumn("full", F.lit(True))))
+    written.drop(keep=1)
+    settled: DataFrame | None = None
+    results = Written(left.sparkSession)
+    while not pairs.isEmpty():
+        entry, in_list = Window.partitionBy("doc_id", "seq"), Window.partitionBy("doc_id").orderBy("seq")
+        open_before = pairs.select("doc_id", "seq").distinct().withColumn("turn", F.row_number().over(in_list))
+        ranked = pairs.withColumn("rank", F.row_number().over(entry.orderBy(F.desc("score"), "pos"))).join(open_before, ["doc_id", "seq"]).where("rank <= turn")
+        first = ranked.groupBy("doc_id", "pos").agg(F.min("seq").alias("first"))
+        ranked = ranked.join(first, ["doc_id", "pos"]).withColumn("safe", F.col("first") == F.col("seq"))
+        rows = ranked.groupBy("doc_id", "seq", "full", "turn").agg(F.min(F.when(F.col("safe"), F.col("rank"))).alias("floor"), F.count("*").alias("n"))
+        threat = rows.where(~F.col("full") & F.col("floor").isNull() & (F.col("n") < F.col("turn"))).groupBy("doc_id").agg(F.min("seq").alias("threat"))
+        judged = ranked.join(rows.select("doc_id", "seq", "floor"), ["doc_id", "seq"]).join(threat, "doc_id", "left")
+        calm = F.col("threat").isNull() | (F.col("seq") < F.col("threat"))
+        judged = written.cut(judged.where(~calm | F.col("floor").isNull() | (F.col("rank") <= F.col("floor"))).withColumn("taken", calm & F.col("safe") & (F.col("rank") == 1)).select(*PAIR, "full", "taken"))
+        taken = judged.where("taken").select(*PAIR)
+        settled = results.cut(taken if settled is None else settled.unionByName(taken))
+        left_over = judged.join(taken.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").join(taken.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").select(*PAIR, "full")
+        left_over = written.cut(left_over)
+        lost = judged.where("NOT full").select("doc_id", "seq").distinct().join(left_over.select("doc_id", "seq").unionByName(taken.select("doc_id", "seq")).distinct(), ["doc_id", "seq"], "left_anti")
+        lost = written.cut(left.join(lost, ["doc_id", "seq"], "left_semi"))
+        if not lost.isEmpty():
+            free = right.join(settled.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti")
+            left_over = written.cut(left_over.unionByName(scored(lost, free, ACCEPT, TILE).withColumn("full", F.lit(True))))
+        pairs = left_over
+        written.drop(keep=2)  # the pairs that are left, with or without the table of those that lost theirs
+        results.drop(keep=1)
+    written.drop()
+    return settled if settled is not None else left.sparkSession.createDataFrame([], "doc_id long, seq long, pos long, score double")
 
 
 def align(items: DataFrame, published: DataFrame, ignore_authors: bool = False) -> DataFrame:
     """doc_id, kind (pair, agent_only, published_only), seq, pos, raw, agent, published, same, sim, diff.
 
     items: doc_id, seq, raw, formatted, title, doi. published: doc_id, pos, text. A pair is the same if both strings agree but for blanks, without
-    the authors if those are ignored; else diff has the edits. The greedy choice depends on the order of the items, so it is made per document;
-    all else is joins.
+    the authors if those are ignored; else diff has the edits. chosen_pairs() makes the greedy choice; all else is joins.
     """
     left = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), F.coalesce("raw", F.lit("")).alias("raw"), collapse(F.coalesce("formatted", F.lit(""))).alias("agent"), solid_key(F.col("title")).alias("title_key"), F.trim(F.lower(F.coalesce("doi", F.lit("")))).alias("doi"))
     left = left.withColumn("key", solid_key(F.col("agent")))
     right = published.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"key": solid_key(F.col("text")), "low": F.lower("text"), "published": collapse(F.col("text"))})
-    # one grouping of both sides: a row of either has its side's fields
-    sides = left.select("doc_id", "seq", "key", "title_key", "doi").unionByName(right.select("doc_id", "pos", "key", "low"), allowMissingColumns=True)
-    chosen = sides.groupBy("doc_id").applyInPandas(_pairs_of_one, "doc_id long, seq long, pos long, score double")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
+    chosen = chosen_pairs(left.select("doc_id", "seq", "key", "title_key", "doi", place.alias("place")), right.select("doc_id", "pos", "key", "low"))
     joined = chosen.join(left.select("doc_id", "seq", "raw", "agent"), ["doc_id", "seq"]).join(right.select("doc_id", "pos", "published"), ["doc_id", "pos"])
     own, other = F.col("agent"), F.col("published")
     if ignore_authors:
