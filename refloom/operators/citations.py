@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +62,39 @@ def entry_keys(entries: DataFrame, id_column: str = "doc_id", seq_column: str =
     return entries.select(id_column, seq_column, F.explode(F.array_distinct(names)).alias("name"), years.alias("years")).select(id_column, seq_column, "name", F.explode("years").alias("year"))
 
 
+#: Names that one automaton holds at most; a longer list is searched with several.
+NAMES = 50_000
+
+
+def names_in(bodies: DataFrame, names: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """id, name: the distinct non-empty names (id, name) that stand in their text (id, body), as written or in lower case.
+
+    A text's names travel to it as one array, and one automaton finds all of them in a single pass over the text, so a text is neither copied nor read for each
+    name. A list of over NAMES names takes a pass for each so many.
+    """
+    kind = bodies.schema[id_column].dataType.simpleString()
+    lists = names.where("name <> ''").groupBy(id_column).agg(F.collect_set("name").alias("_all"))
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_all) - 1) div {NAMES}")), lambda k: F.slice("_all", k * NAMES + 1, F.lit(NAMES)))
+    lists = lists.select(id_column, F.explode(parts).alias("_names"))
+    sent = bodies.select(id_column, F.coalesce("body", F.lit("")).alias("_body")).join(lists, id_column).select(id_column, "_body", F.lower("_body").alias("_low"), "_names")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for k in range(len(batch)):
+                body, low, wanted = (batch.column(c)[k].as_py() for c in (1, 2, 3))
+                automaton = ahocorasick.Automaton()
+                for n in wanted:
+                    automaton.add_word(n, n)
+                automaton.make_automaton()
+                here = {n for text in (body, low) for _, n in automaton.iter(text)}
+                rows += [k] * len(here)
+                found += here
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], [id_column, "name"])
+
+    return sent.mapInArrow(work, f"{id_column} {kind}, name string")
+
+
 def cross_check(bodies: DataFrame, entries: DataFrame, id_column: str = "doc_id", seq_column: str = "seq") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cited, not_listed, not_cited).
 
@@ -80,8 +117,7 @@ def cross_check(bodies: DataFrame, entries: DataFrame, id_column: str = "doc_id"
 
     used = keys.join(cited.where("matched").select(id_column, F.col("key").alias("name"), "year").distinct(), [id_column, "name", "year"], "left_semi").select(id_column, seq_column).distinct()
     rest = keys.join(used, [id_column, seq_column], "left_anti")
-    body = bodies.select(id_column, F.coalesce("body", F.lit("")).alias("_body"))
-    told = rest.join(body, id_column).where((F.col("name") != "") & (F.contains("_body", F.col("name")) | F.contains(F.lower("_body"), F.col("name")))).select(id_column, seq_column).distinct()
+    told = rest.join(names_in(bodies, rest.select(id_column, "name"), id_column).distinct(), [id_column, "name"], "left_semi").select(id_column, seq_column).distinct()
     unused = rest.select(id_column, seq_column).distinct().join(told, [id_column, seq_column], "left_anti")
     not_cited = entries.join(unused, [id_column, seq_column], "left_semi").select(id_column, seq_column, F.substring("raw", 1, 120).alias("raw"), F.substring(F.array_join("authors", ", "), 1, 60).alias("authors"), "year")
     return cited.drop("key"), not_listed, not_cited

@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.operators import parse, segment
 
 Service = Callable[[pd.DataFrame], pd.DataFrame]
 # Rows of a call, and bounds of what is sent or taken back.
-BATCH, MATCH_BATCH, LONGEST_SECTION, SHORTEST_ENTRY = 12, 24, 60_000, 15
+BATCH, MATCH_BATCH, LONGEST_SECTION, SHORTEST_ENTRY, LONGEST_STYLE = 12, 24, 60_000, 15, 30_000
 
 
 def called(rows: DataFrame, service: Service, schema: str, batch: int = BATCH) -> DataFrame:
@@ -37,15 +37,32 @@ def called(rows: DataFrame, service: Service, schema: str, batch: int = BATCH) -
 
 
 def entries(sections: DataFrame, service: Service | None = None) -> DataFrame:
-    """doc_id, seq, raw of sections (doc_id, section): split by the service where it answers, else by rule."""
+    """doc_id, seq, raw of sections (doc_id, section): split by the service where it answers, else by rule.
+
+    A service reads LONGEST_SECTION characters at a time (one entry that is longer goes whole); of a longer section it is sent parts that end where an entry ends, so none
+    is lost.
+    """
     ruled = segment.entries(sections)
     if service is None:
         return ruled
-    sent = sections.select("doc_id", F.substring("section", 1, LONGEST_SECTION).alias("section"))
-    answers = called(sent, service, f"doc_id {sections.schema['doc_id'].dataType.simpleString()}, entries array<string>", 1)
-    split = answers.select("doc_id", F.posexplode(F.filter("entries", lambda e: F.length(e) >= SHORTEST_ENTRY)).alias("pos", "raw"))
-    taken = split.select("doc_id", (F.col("pos") + 1).alias("seq"), "raw")
-    return taken.unionByName(ruled.join(taken.select("doc_id").distinct(), "doc_id", "left_anti"))
+    kind = sections.schema["doc_id"].dataType.simpleString()
+    short = sections.where(F.length("section") <= LONGEST_SECTION).select("doc_id", F.lit(0).cast("long").alias("part"), "section")
+    # a longer section goes in parts, each of whole entries as the rules find them
+    length = F.sum(F.length("raw") + 1).over(Window.partitionBy("doc_id").orderBy("seq"))
+    placed = ruled.withColumn("part", F.floor((length - 1) / LONGEST_SECTION))
+    long = sections.where(F.length("section") > LONGEST_SECTION).select("doc_id")
+    parts = placed.join(long, "doc_id", "left_semi").groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "raw"))), lambda e: e["raw"]), "\n").alias("section"))
+
+    def asked(frame: pd.DataFrame) -> pd.DataFrame:
+        return service(frame[["doc_id", "section"]]).assign(part=frame["part"].iloc[0])[["doc_id", "part", "entries"]]
+
+    answers = called(short.unionByName(parts), asked, f"doc_id {kind}, part long, entries array<string>", 1)
+    split = answers.select("doc_id", "part", F.posexplode(F.filter("entries", lambda e: F.length(e) >= SHORTEST_ENTRY)).alias("pos", "raw"))
+    # what has no answer keeps the rules' entries: a short section as a whole, a long one by part
+    own = ruled.join(long, "doc_id", "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(placed.join(long, "doc_id", "left_semi"))
+    rest = own.join(split.select("doc_id", "part").distinct(), ["doc_id", "part"], "left_anti").select("doc_id", "part", F.col("seq").alias("pos"), "raw")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "pos"))
+    return split.unionByName(rest).select("doc_id", place.alias("seq"), "raw")
 
 
 def structured(raws: DataFrame, service: Service | None = None) -> DataFrame:
@@ -65,12 +82,15 @@ def structured(raws: DataFrame, service: Service | None = None) -> DataFrame:
 
 
 def custom_style(entries_: DataFrame, style: DataFrame, service: Service | None = None) -> DataFrame:
-    """doc_id, seq, formatted, group, error in a user's own style, which only a service can read; without one each row has an error."""
+    """doc_id, seq, formatted, group, error in a user's own style, which only a service can read; without one each row has an error. error also tells of
+    a style of which the service could read a part only."""
     if service is None:
         return entries_.select("doc_id", "seq", F.lit(None).cast("string").alias("formatted"), F.lit(None).cast("string").alias("group"), F.lit("a custom style needs a service").alias("error"))
     kind = entries_.schema["doc_id"].dataType.simpleString()
-    sent = entries_.select("doc_id", "seq", "raw", "style_id").join(style.select("style_id", F.substring("text", 1, 30_000).alias("style")), "style_id")
-    return called(sent, service, f"doc_id {kind}, seq int, formatted string, group string").withColumn("error", F.lit(None).cast("string"))
+    sent = entries_.select("doc_id", "seq", "raw", "style_id").join(style.select("style_id", F.substring("text", 1, LONGEST_STYLE).alias("style"), (F.length("text") > LONGEST_STYLE).alias("_cut")), "style_id")
+    found = called(sent.drop("_cut"), service, f"doc_id {kind}, seq int, formatted string, group string")
+    note = F.when(F.col("_cut"), f"the service read the first {LONGEST_STYLE} characters of the style")
+    return found.join(sent.select("doc_id", "seq", note.alias("error")), ["doc_id", "seq"], "left")
 
 
 def changed_lines(items: DataFrame, service: Service | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ from refloom.functions.text import either, strip, sub
 from refloom.operators.render import field
 
 # Known types, lengths that fields are cut to, and the least length of a rule.
-KNOWN_TYPES = ["journal", "book", "thesis", "report", "newspaper", "web", "conference", "law", "standard", "av", "interview", "unknown"]
+KNOWN_TYPES = ["journal", "book", "book_chapter", "thesis", "report", "newspaper", "web", "conference", "law", "standard", "interview", "av", "unknown"]
+MOST_DELETED = 500
 CAPS = {"topic": 60, "rule": 600, "example": 600, "evidence": 300, "journal": 60}
 SHORTEST_RULE, KEPT_RECORDS = 5, 300
 SHORTEST_STYLE, LONGEST_STYLE = 100, 40_000
@@ -60,10 +61,44 @@ def new_rules(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFr
     return added, incoming.join(added.select("seq"), "seq", "left_anti")
 
 
-def latest(log: DataFrame, key: str, version: str) -> DataFrame:
-    """State of a change log: the last version of each key; those whose last change is a deletion are gone."""
-    ranked = log.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).where("_n = 1").drop("_n")
-    return ranked.where("op <> 'delete'").drop("op")
+def last_changes(log: DataFrame, key: str, version: str, as_of: int | None = None) -> DataFrame:
+    """The last change of each key, up to a version if one is given. Of changes with one version (only a log that accepted() didn't guard has any) the
+    deletion counts, then the greatest row, so the result doesn't depend on the order in which rows are read."""
+    rows = log if as_of is None else log.where(F.col(version) <= as_of)
+    order = [F.desc(version), F.desc(F.col("op") == "delete"), F.desc(F.struct(*(F.col(c).cast("string") for c in sorted(log.columns))))]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def latest(log: DataFrame, key: str, version: str, as_of: int | None = None) -> DataFrame:
+    """State of a change log, now or as of a version: the last change of each key; those whose last change is a deletion are gone."""
+    return last_changes(log, key, version, as_of).where("op <> 'delete'").drop("op")
+
+
+def accepted(log: DataFrame, changes: DataFrame, key: str, version: str) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, rejected): changes that were made on the state as it is.
+
+    changes: key, expected (the version that the writer saw, null for a key that it saw none of), writer, op and values. A change is rejected if its key has another
+    version by now; of several writers that expect the same, the first by name is accepted. Accepted rows get the next version of their key.
+    """
+    now = log.groupBy(key).agg(F.max(version).alias("_now"))
+    judged = changes.join(now, key, "left").withColumn("_fits", F.col("expected").eqNullSafe(F.col("_now")))
+    judged = judged.withColumn("_n", F.when(F.col("_fits"), F.row_number().over(Window.partitionBy(key, "_fits").orderBy("writer"))))
+    good = F.coalesce(F.col("_fits") & (F.col("_n") == 1), F.lit(False))
+    appended = judged.where(good).withColumn(version, F.coalesce("_now", F.lit(0)) + 1).select(*log.columns)
+    return appended, judged.where(~good).select(*changes.columns)
+
+
+def compacted(log: DataFrame, key: str, version: str, upto: int) -> DataFrame:
+    """A shorter log with the same state as of `upto` and of every later version: of older changes only each key's last one stays. A deletion stays too, as an older
+    writer may still expect the version before it."""
+    old = log.where(F.col(version) <= upto)
+    return last_changes(old, key, version).select(*log.columns).unionByName(log.where(F.col(version) > upto))
+
+
+def bulk_deleted(state: DataFrame, ids: DataFrame, key: str, version: Column, org: str | None) -> DataFrame:
+    """Log rows that delete the first MOST_DELETED of the ids (ids: key, seq) that a viewer may see; others are left alone."""
+    asked = first_per_key(ids, [key], F.col("seq")).orderBy("seq", key).limit(MOST_DELETED)
+    return changed_rows(scoped(state, org), asked, key, version, "delete")
 
 
 def changed_rows(state: DataFrame, ids: DataFrame, key: str, version: Column, op: str, **values: Column) -> DataFrame:

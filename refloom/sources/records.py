@@ -168,3 +168,118 @@ def shortened_titles(title: Column) -> Column:
 def rescued_json(c: Column, ddl: str) -> Column:
     """A JSON answer, or the outermost braces in one that has other text around it; null if neither parses."""
     return F.coalesce(F.when(c.rlike(r"^\s*\{"), F.from_json(c, ddl)), F.from_json(F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit("")), ddl))
+
+
+# ---------------------------------------------------------------- answers of article services in JSON
+# Authors that are kept of a record, and how a registry writes DOIs as links.
+MOST_AUTHORS, DOI_LINK = 30, "https://doi.org/"
+ARTICLE_META = ["title", "subtitle", "container", "year", "volume", "issue", "pages", "doi", "publisher", "isbn", "authors", "source"]
+
+
+def parsed_answers(answers: DataFrame, json_column: str = "json") -> DataFrame:
+    """answers with v, their JSON as a variant (null if damaged or absent), and unavailable for those."""
+    parsed = answers.withColumn("v", F.try_parse_json(F.col(json_column)))
+    return parsed.withColumn("unavailable", F.col("v").isNull()).drop(json_column)
+
+
+def items(parsed: DataFrame, path: str) -> DataFrame:
+    """parsed_answers() with a row for each element of the array at a path, numbered by pos; v is the element. Answers without one have no row."""
+    each = F.try_variant_get("v", path, "array<variant>")
+    return parsed.select(*(c for c in parsed.columns if c not in ("v", "unavailable")), F.posexplode(each).alias("pos", "v"))
+
+
+def at(path: str, kind: str = "string") -> Column:
+    """What v has at a path, null if nothing or something else."""
+    return F.try_variant_get("v", path, kind)
+
+
+def text_at(path: str) -> Column:
+    return F.coalesce(at(path), F.lit(""))
+
+
+def joined_at(path: str) -> Column:
+    """Strings of a list as one."""
+    return F.coalesce(F.array_join(at(path, "array<string>"), " "), F.lit(""))
+
+
+def _article(rows: DataFrame, **fields: Column) -> DataFrame:
+    """rows with the ARTICLE_META fields instead of v; those that a service doesn't have are empty."""
+    made = {f: F.coalesce(fields[f], F.lit("")) if f in fields else F.lit("") for f in ARTICLE_META if f != "authors"}
+    made["authors"] = F.coalesce(F.slice(fields["authors"], 1, MOST_AUTHORS), F.array().cast("array<string>")) if "authors" in fields else F.array().cast("array<string>")
+    return rows.withColumns({f: made[f] for f in ARTICLE_META}).drop("v")
+
+
+def crossref_works(rows: DataFrame) -> DataFrame:
+    """Works of Crossref (column v): words of title, subtitle and container joined, the first date part, persons as "family, given", groups by name."""
+    person = F.transform(at("$.author", "array<struct<family:string,given:string,name:string>>"), lambda a: F.when(F.coalesce(a["family"], F.lit("")) != "", F.concat_ws(", ", a["family"], F.nullif(a["given"], F.lit("")))).otherwise(a["name"]))
+    first = F.slice(person, 1, MOST_AUTHORS)  # of the first ones, those that have a name
+    return _article(
+        rows,
+        title=joined_at("$.title"),
+        subtitle=joined_at("$.subtitle"),
+        container=joined_at("$['container-title']"),
+        year=at("$.issued['date-parts'][0][0]"),
+        volume=at("$.volume"),
+        issue=at("$.issue"),
+        pages=F.replace(text_at("$.page"), F.lit("--"), F.lit("-")),
+        doi=at("$.DOI"),
+        publisher=at("$.publisher"),
+        isbn=at("$.ISBN[0]"),
+        authors=F.filter(first, lambda a: F.coalesce(a, F.lit("")) != ""),
+        source=F.lit("Crossref"),
+    )
+
+
+def openalex_works(rows: DataFrame) -> DataFrame:
+    """Works of OpenAlex (column v): pages from first and last, DOI without its resolver, display names."""
+    last = text_at("$.biblio.last_page")
+    pages = F.when(text_at("$.biblio.first_page") != "", F.concat(text_at("$.biblio.first_page"), F.when(last != "", F.concat(F.lit("-"), last)).otherwise("")))
+    names = F.transform(F.slice(at("$.authorships", "array<struct<author:struct<display_name:string>>>"), 1, MOST_AUTHORS), lambda a: a["author"]["display_name"])
+    return _article(
+        rows,
+        title=at("$.title"),
+        container=at("$.primary_location.source.display_name"),
+        year=at("$.publication_year"),
+        volume=at("$.biblio.volume"),
+        issue=at("$.biblio.issue"),
+        pages=pages,
+        doi=F.replace(text_at("$.doi"), F.lit(DOI_LINK), F.lit("")),
+        authors=F.filter(names, lambda a: F.coalesce(a, F.lit("")) != ""),
+        source=F.lit("OpenAlex"),
+    )
+
+
+def datacite_works(rows: DataFrame) -> DataFrame:
+    """Attributes of a DataCite record (column v): the first title, creators by name."""
+    return _article(
+        rows,
+        title=at("$.titles[0].title"),
+        container=at("$.container.title"),
+        year=at("$.publicationYear"),
+        doi=at("$.doi"),
+        publisher=at("$.publisher"),
+        authors=F.filter(F.transform(at("$.creators", "array<struct<name:string>>"), lambda a: a["name"]), lambda a: F.coalesce(a, F.lit("")) != ""),
+        source=F.lit("DataCite"),
+    )
+
+
+def s2_works(rows: DataFrame) -> DataFrame:
+    """Papers of Semantic Scholar (column v)."""
+    return _article(rows, title=at("$.title"), container=at("$.venue"), year=at("$.year"), doi=at("$.externalIds.DOI"), source=F.lit("Semantic Scholar"))
+
+
+#: Where each service's answers hold records: the list of a search, or one record by DOI.
+SERVICES = {"crossref": ("$.message.items", "$.message", crossref_works), "openalex": ("$.results", "$", openalex_works), "datacite": ("$.data", "$.data.attributes", datacite_works), "s2": ("$.data", "$", s2_works)}
+
+
+def found_works(answers: DataFrame, service: str, json_column: str = "json") -> DataFrame:
+    """answers of a search with pos and the ARTICLE_META fields of each record that it lists."""
+    path, _, mapped = SERVICES[service]
+    return mapped(items(parsed_answers(answers, json_column), path))
+
+
+def known_work(answers: DataFrame, service: str, json_column: str = "json") -> DataFrame:
+    """answers that hold one record, with its ARTICLE_META fields and unavailable; a damaged answer has empty fields, so that a lookup goes on."""
+    _, path, mapped = SERVICES[service]
+    parsed = parsed_answers(answers, json_column)
+    return mapped(parsed.withColumn("v", F.try_variant_get("v", path, "variant") if path != "$" else F.col("v")))
