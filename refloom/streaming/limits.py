@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 # Accepted requests a minute, and failures in ten minutes by kind.
 ACCEPTED, MINUTE = 12, 60.0
 FAILURES, TEN_MINUTES = {"access": 15, "admin": 5}, 600.0
 OUT = "key string, event_id long, at double, allowed boolean"
+NAMES = ["key", "event_id", "at", "allowed"]
 STATE = "times array<double>"
 
 Step = Callable[[list[float], float, bool], tuple[bool, list[float]]]
@@ -78,8 +82,8 @@ def on_table(events: DataFrame, step: Step, forget_after: float) -> DataFrame:
     return dealt.mapInPandas(work, OUT)
 
 
-def on_stream(events: DataFrame, step: Step, forget_after: float) -> DataFrame:
-    """on_table() on a stream. A key's state is a short list of times; it is dropped when nothing came for forget_after seconds."""
+def on_arrival(events: DataFrame, step: Step, forget_after: float) -> DataFrame:
+    """Decisions on a stream as events arrive, those of a batch in the order of time. A key's state is a short list of times; it is dropped when nothing came for forget_after seconds."""
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -94,13 +98,91 @@ def on_stream(events: DataFrame, step: Step, forget_after: float) -> DataFrame:
     return _keyed(events).groupBy("key").applyInPandasWithState(work, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def throttled(events: DataFrame) -> DataFrame:
-    return on_stream(events, admit, 2 * MINUTE) if events.isStreaming else on_table(events, admit, MINUTE)
+class Ordered(StatefulProcessor):
+    """Decides a key's events in the order of their time, whatever the order in which they come.
+
+    waiting (a map from time and number to success) holds events until the watermark has passed them; a timer at an event's time then lets all up to it go through the
+    step. times is what the step remembers. It is dropped by a timer of its own when nothing came for forget_after seconds; None: never.
+    """
+
+    def __init__(self, step: Step, forget_after: float | None):
+        self.step, self.forget_after = step, forget_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at double, event_id long", "success boolean")
+        self.times = handle.getValueState("times", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the base class's names
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                self.waiting.updateValue((float(r.at), int(r.event_id)), (bool(r.success),))
+                self.handle.registerTimer(_milliseconds(r.at))
+        yield pd.DataFrame(columns=NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted((k, v[0]) for k, v in self.waiting.iterator() if _milliseconds(k[0]) <= now)
+        times = list(self.times.get()[0]) if self.times.exists() else []
+        out = []
+        for (at, event_id), success in due:
+            allowed, times = self.step(times, at, success)
+            out.append((key[0], event_id, at, allowed))
+            self.waiting.removeKey((at, event_id))
+        if due and times:
+            self.times.update((times,))
+            if self.forget_after is not None:
+                self.handle.registerTimer(_milliseconds(max(times) + self.forget_after))
+        elif due or (times and self.forget_after is not None and now >= _milliseconds(max(times) + self.forget_after)):
+            self.times.clear()
+        yield pd.DataFrame(out, columns=NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def _milliseconds(at: float) -> int:
+    return math.ceil(at * 1000)
+
+
+def on_stream(events: DataFrame, step: Step, forget_after: float | None, late: str) -> DataFrame:
+    """on_table() on a stream: events may come in any order and `late` behind the latest; later ones are dropped. An event is decided when none before it can
+    come any more, so decisions are those of the table. State is kept by RocksDB, which the session must name as its provider."""
+    timed = _keyed(events).withColumn("ts", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("ts", late)
+    return timed.groupBy("key").transformWithStateInPandas(Ordered(step, forget_after), OUT, "Append", "eventTime")
+
+
+def breaker(opened: list[float], at: float, refused: bool) -> tuple[bool, list[float]]:
+    """A call goes out until one was refused; from then on none does."""
+    return (False, opened) if opened else (True, [at] if refused else [])
+
+
+def unbroken(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """key, event_id, at, allowed of calls (key, event_id, at, refused): those after a key's first refusal are not made. On a table that is a minimum by key; on a stream the
+    refusal is kept for good."""
+    if calls.isStreaming:
+        return on_stream(calls.withColumn("success", F.col("refused")), breaker, None, late)
+    rows = _keyed(calls.withColumn("success", F.col("refused")))
+    first = rows.where("success").groupBy("key").agg(F.min(F.struct("at", "event_id")).alias("_first"))
+    joined = rows.alias("r").join(first.alias("f"), F.col("r.key").eqNullSafe(F.col("f.key")), "left")
+    return joined.select("r.key", "r.event_id", "r.at", F.coalesce(F.struct("r.at", "r.event_id") <= F.col("_first"), F.lit(True)).alias("allowed"))
+
+
+def _limited(events: DataFrame, step: Step, window: float, kept: float, late: str | None) -> DataFrame:
+    if not events.isStreaming:
+        return on_table(events, step, window)
+    return on_arrival(events, step, kept) if late is None else on_stream(events, step, window, late)
+
+
+def throttled(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Decisions of admit(). On a stream they are made on arrival, as whoever asks waits for them; with `late` they wait for events that come so much later, and are those
+    of the table."""
+    return _limited(events, admit, MINUTE, 2 * MINUTE, late)
 
 
-def locked(events: DataFrame, kind: str = "access") -> DataFrame:
-    step = attempt(FAILURES[kind])
-    return on_stream(events, step, TEN_MINUTES) if events.isStreaming else on_table(events, step, TEN_MINUTES)
+def locked(events: DataFrame, kind: str = "access", late: str | None = None) -> DataFrame:
+    """Decisions of attempt(), as throttled() makes them."""
+    return _limited(events, attempt(FAILURES[kind]), TEN_MINUTES, TEN_MINUTES, late)
 
 
 def live(jobs: DataFrame, now: float, ttl: float = 7200.0) -> DataFrame:
