@@ -190,11 +190,11 @@ def changes(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def bounded_sample(rows: DataFrame, by: str, per_class: int, id_column: str = "doc_id", max_classes: int = 2000) -> DataFrame:
+def bounded_sample(rows: DataFrame, by: str, per_class: int, id_column: str = "doc_id", max_classes: int = 2000, total_bytes: int | None = None) -> DataFrame:
     """per_class rows at most of each class of `by`, chosen by a hash of the id: the same ones in every run.
 
     A class keeps each row with a chance of twice its share before the rows are ranked, so a huge class is thinned before any shuffle.
-    Adds class_size, the class's row count. Rows with a null class or id are left out. More than max_classes classes, which bound the driver's
+    With total_bytes, a class keeps the first of its rows whose texts fit into its part of that, one at least. Adds class_size, the class's row count. Rows with a null class or id are left out. More than max_classes classes, which bound the driver's
     list of them, are an error: none is left out silently.
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(id_column).isNotNull())
@@ -207,4 +207,8 @@ def bounded_sample(rows: DataFrame, by: str, per_class: int, id_column: str = "d
     draw = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     thinned = rows.withColumn("class_size", F.try_element_at(known, F.col(by)).cast("long")).where(draw * F.col("class_size") < 2 * per_class + 16)
     order = Window.partitionBy(by).orderBy(draw, F.col(id_column), "text")
-    return thinned.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")
+    ranked = thinned.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class)
+    if total_bytes is not None:
+        held = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        ranked = ranked.withColumn("_held", held).where((F.col("_rank") == 1) | (F.col("_held") <= total_bytes // len(sizes))).drop("_held")
+    return ranked.drop("_rank")

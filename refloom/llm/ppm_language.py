@@ -50,14 +50,21 @@ def context_counts(sample: DataFrame) -> DataFrame:
     return sample.select("lang", "text").mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+#: Cells (places times languages) up to which code lengths are also kept as a matrix; and cells that scoring holds at a time.
+MATRIX_CELLS, BLOCK_CELLS = 1 << 26, 1 << 22
+
+
 @dataclass(frozen=True)
 class Model:
-    """Frozen statistics: code lengths in bits, a column for each language.
+    """Frozen statistics: code lengths in bits.
 
-    symbols maps bytes to 0 ... width - 1, of which the last stands for all bytes that were never seen. first, second and third give the
-    row of the longest known context for the last one, two and three symbols; row 0 is the empty context. runs gives the row of a context and a
-    symbol in bits, -1 if no language has that run; then escapes has the bits of the step to the context's `shorter` one. Only runs that some
-    language has take a row in bits, so the tables don't grow with languages times contexts times symbols.
+    symbols maps bytes to 0 ... width - 1, of which the last stands for all bytes that were never seen. first, second and third give the row of the longest known context for
+    the last one, two and three symbols; row 0 is the empty context, and shorter has each context's next shorter one. places are the runs that some language has, as context
+    times width plus symbol, ascending; parent is the place of the run without its first symbol, -1 in the empty context.
+
+    What a language pays at a place differs from what it pays at the parent only if it knows the context. Those differences are kept (start, lang, bits), and what a language that
+    knows a context pays for a run that no language has there (escape_start, escape_lang, escape_bits). So the model grows with what was learned from each language, not
+    with languages times runs. base has the empty context's places for all languages. matrix, escape_matrix: the same summed up, for few languages.
     """
 
     languages: list[str]
@@ -66,80 +73,123 @@ class Model:
     first: np.ndarray
     second: np.ndarray
     third: np.ndarray
-    runs: np.ndarray
-    bits: np.ndarray
-    escapes: np.ndarray
     shorter: np.ndarray
+    places: np.ndarray
+    parent: np.ndarray
+    base: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    bits: np.ndarray
+    escape_start: np.ndarray
+    escape_lang: np.ndarray
+    escape_bits: np.ndarray
+    matrix: np.ndarray | None
+    escape_matrix: np.ndarray | None
+
 
+def _rows(keys: list[np.ndarray], values: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of each language (keys below n) as rows: where each key's entries start, their languages, their values."""
+    key, lang = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+    order = np.argsort(key, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n))]), lang[order], np.concatenate(values)[order].astype(np.float32)
 
-def build(counts: list[tuple[str, int, int]]) -> Model:
+
+def build(lang: list[str], gram: np.ndarray, counted: np.ndarray, cells: int = MATRIX_CELLS) -> Model:
     """Escape method C: after a context with n bytes of d kinds, a kind with count c has c / (n + d), the others share d / (n + d).
 
-    They share it as the next shorter context gives it, less what the longer one has. A context that a language never had is skipped.
+    They share it as the next shorter context gives it, less what the longer one has. A context that a language never had is skipped. lang, gram, counted: what
+    context_counts() gives, all of it.
     """
-    languages = sorted({lang for lang, _, _ in counts})
+    languages = sorted(set(lang))
     if not languages:
-        none = np.zeros(1, np.int32)
-        return Model([], np.zeros(256, np.int32), 1, none, none, none, none, np.zeros((1, 0), np.float32), np.zeros((1, 0), np.float32), none)
-    lang_of = {lang: k for k, lang in enumerate(languages)}
-    table = np.array([(lang_of[lang], gram >> 40, gram & 0xFFFFFFFF, n) for lang, gram, n in counts], np.int64).reshape(-1, 4)
-    seen = np.unique(table[table[:, 1] == 1, 2])
+        none, no_bits = np.zeros(1, np.int32), np.zeros((1, 0), np.float32)
+        return Model([], np.zeros(256, np.int32), 1, none, none, none, none, np.zeros(1, np.int64), none - 1, no_bits, np.zeros(2, np.int64), none[:0], no_bits[0], np.zeros(2, np.int64), none[:0], no_bits[0], None, None)
+    numbers = {x: k for k, x in enumerate(languages)}
+    owner = np.array([numbers[x] for x in lang], np.int64)
+    length, value = gram >> 40, gram & 0xFFFFFFFF
+    seen = np.unique(value[length == 1])
     width = len(seen) + 1
     symbols = np.full(256, width - 1, np.int32)
     symbols[seen] = np.arange(len(seen))
     rest = 256 - len(seen)
-    base = np.append(np.full(len(seen), 1 / 256), rest / 256)
-
-    contexts: dict[tuple[int, int], int] = {(0, 0): 0}
-    for length in range(2, ORDER + 2):
-        for value in np.unique(table[table[:, 1] == length, 2] >> 8).tolist():
-            contexts[length - 1, value] = len(contexts)
-    orders = np.array([order for order, _ in contexts], np.int64)
-    shorter = np.array([0 if order < 1 else contexts.get((order - 1, value & ((1 << 8 * (order - 1)) - 1)), 0) for order, value in contexts], np.int64)
-    row_of = np.array([contexts[length - 1, gram >> 8] for length, gram in table[:, 1:3].tolist()], np.int64)
-    places = row_of * width + symbols[table[:, 2] & 255]
-    used = np.unique(np.concatenate([places, np.arange(width)]))  # the empty context has all symbols
-    runs = np.full(len(contexts) * width, -1, np.int32)
-    runs[used] = np.arange(len(used))
-    bits = np.zeros((len(used), len(languages)), np.float32)
-    escapes = np.zeros((len(contexts), len(languages)), np.float32)
-    probability, count = np.empty((len(contexts), width)), np.zeros((len(contexts), width))
-    for k in range(len(languages)):  # one language at a time has a dense table
-        mine = table[:, 0] == k
-        count[:] = 0
-        count.reshape(-1)[places[mine]] = table[mine, 3]
-        total, kinds = count.sum(1), (count > 0).sum(1)
-        for order in range(ORDER + 1):
-            rows = np.flatnonzero(orders == order)
-            below = np.broadcast_to(base, (1, width)) if order == 0 else probability[shorter[rows]]
-            c, n, d = count[rows], total[rows][:, None], kinds[rows][:, None]
-            left = np.where(c > 0, 0, below)
-            spare = left.sum(1, keepdims=True)
+
+    known = np.unique((length - 1) << 40 | value >> 8)  # contexts by length, then bytes; the empty one first
+    order = known >> 40
+    without_first = np.maximum(order - 1, 0) << 40 | known & ((1 << 8 * np.maximum(order - 1, 0)) - 1)
+    shorter = np.minimum(np.searchsorted(known, without_first), len(known) - 1)
+    shorter = np.where(known[shorter] == without_first, shorter, 0)
+    row = np.searchsorted(known, (length - 1) << 40 | value >> 8)
+    own_place = row * width + symbols[value & 255]
+    places = np.unique(np.concatenate([own_place, np.arange(width)]))  # the empty context has all symbols
+    at_row, at_symbol = places // width, places % width
+    parent = np.where(at_row > 0, np.searchsorted(places, shorter[at_row] * width + at_symbol), -1)
+    of_order = [np.flatnonzero(order[at_row] == k) for k in range(ORDER + 1)]
+
+    base = np.zeros((width, len(languages)), np.float32)
+    matrix = np.zeros((len(places), len(languages)), np.float32) if len(places) * len(languages) <= cells else None
+    escape_matrix = np.zeros((len(known), len(languages)), np.float32) if matrix is not None else None
+    keys, values, escape_keys, escape_values = [], [], [], []
+    for k in range(len(languages)):
+        mine = owner == k
+        c = np.zeros(len(places))
+        c[np.searchsorted(places, own_place[mine])] = counted[mine]
+        n, kinds = np.bincount(at_row, c, len(known)), np.bincount(at_row, c > 0, len(known))
+        p = np.zeros(len(places))
+        escape = np.zeros(len(known))
+        for o, here in enumerate(of_order):
+            below = np.where(at_symbol[here] == width - 1, rest / 256, 1 / 256) if o == 0 else p[parent[here]]
+            r, count = at_row[here], c[here]
+            taken = np.bincount(r, np.where(count > 0, below, 0), len(known))
+            full = kinds == (width if rest else len(seen))  # nothing is left for others
+            share = np.where(full, 0, kinds / np.maximum(n + kinds, 1) / np.maximum(1 - taken, 1e-12))
             with np.errstate(invalid="ignore", divide="ignore"):
-                share = d / (n + d) / spare
-                mixed = np.where(c > 0, c / (n + d), share * left)
-                mixed = np.where(spare > 0, mixed, c / n)
-                escapes[rows, k] = np.where((n > 0) & (spare > 0), -np.log2(np.maximum(share, 1e-12)), 0)[:, 0]
-            probability[rows] = np.where(n > 0, mixed, below)
-        flat = probability.reshape(-1)[used]
-        if rest:  # each of the bytes that were never seen has its part
-            flat = np.where(used % width == width - 1, flat / rest, flat)
-        bits[:, k] = -np.log2(np.maximum(flat, 1e-12))
-
-    first = np.zeros(width, np.int32)
-    second = np.zeros((width, width), np.int32)
-    third = np.zeros((width, width, width), np.int32)
-    for order, array in ((1, first), (2, second), (3, third)):
-        if order > 1:
-            array[:] = (first, second)[order - 2][None]
-        for (o, value), row in contexts.items():
-            if o == order:
-                array[tuple(symbols[value >> 8 * (order - 1 - i) & 255] for i in range(order))] = row
-    return Model(languages, symbols, width, first, second.reshape(-1), third.reshape(-1), runs, bits, escapes, shorter.astype(np.int32))
-
-
-def code_lengths(model: Model, bounds: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Bits of each text under each language; the first bytes of a text have the shorter contexts that it offers."""
+                seen_here = np.where(full[r], count / n[r], np.where(count > 0, count / (n[r] + kinds[r]), share[r] * below))
+            p[here] = np.where(n[r] > 0, seen_here, below)
+            here_rows = np.unique(r)
+            escape[here_rows] = np.where((n > 0) & ~full, -np.log2(np.maximum(share, 1e-12)), 0)[here_rows]
+        own = np.where(places % width == width - 1, p / max(rest, 1), p)  # each of the bytes that were never seen has its part
+        cost = -np.log2(np.maximum(own, 1e-12))
+        base[:, k] = cost[:width]
+        knows = (n[at_row] > 0) & (at_row > 0)
+        changed = np.flatnonzero(knows)
+        keys.append(changed)
+        values.append(cost[changed] - cost[parent[changed]])
+        pays = np.flatnonzero(n > 0)
+        escape_keys.append(pays)
+        escape_values.append(escape[pays])
+        if matrix is not None:
+            matrix[:, k] = cost
+            escape_matrix[:, k] = escape
+
+    first, second, third = np.zeros(width, np.int32), np.zeros((width, width), np.int32), np.zeros((width, width, width), np.int32)
+    for o, array in ((1, first), (2, second), (3, third)):
+        if o > 1:
+            array[:] = (first, second)[o - 2][None]
+        rows = np.flatnonzero(order == o)
+        array[tuple(symbols[known[rows] >> 8 * (o - 1 - i) & 255] for i in range(o))] = rows
+    start, lang_at, bits = _rows(keys, values, len(places))
+    escape_start, escape_lang, escape_bits = _rows(escape_keys, escape_values, len(known))
+    return Model(languages, symbols, width, first, second.reshape(-1), third.reshape(-1), shorter.astype(np.int32), places, parent.astype(np.int32), base, start, lang_at, bits, escape_start, escape_lang, escape_bits, matrix, escape_matrix)
+
+
+def _found(model: Model, keys: np.ndarray) -> np.ndarray:
+    """Places of keys, -1 for those that no language has."""
+    at = np.minimum(np.searchsorted(model.places, keys), len(model.places) - 1)
+    return np.where(model.places[at] == keys, at, -1)
+
+
+def _add_entries(out: np.ndarray, text: np.ndarray, at: np.ndarray, start: np.ndarray, lang: np.ndarray, bits: np.ndarray) -> None:
+    """Add the entries at places (or contexts) to the sums of texts and languages."""
+    size = start[at + 1] - start[at]
+    total = int(size.sum())
+    if total:
+        entry = np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(total)
+        out += np.bincount(np.repeat(text, size) * out.shape[1] + lang[entry], bits[entry], out.size).reshape(out.shape)
+
+
+def code_lengths(model: Model, bounds: np.ndarray, data: np.ndarray, block: int = BLOCK_CELLS) -> np.ndarray:
+    """Bits of each text under each language; the first bytes of a text have the shorter contexts that it offers. Works through blocks of bytes, so memory is bounded
+    by a slice's bytes, not by bytes times languages."""
     w, s = model.width, model.symbols[data]
     row = np.zeros(len(s), np.int64)
     if len(s) > 3:
@@ -150,34 +200,51 @@ def code_lengths(model: Model, bounds: np.ndarray, data: np.ndarray) -> np.ndarr
     row[at + 1] = model.first[s[at]]
     at = starts[starts + 2 < ends]
     row[at + 2] = model.second[s[at].astype(np.int64) * w + s[at + 1]]
-    place = model.runs[row * w + s]
-    bits = np.zeros((len(s), len(model.languages)), np.float32)
-    left = np.flatnonzero(place < 0)
-    while len(left):  # ORDER times at most: the empty context has every symbol
-        bits[left] += model.escapes[row[left]]
-        row[left] = model.shorter[row[left]]
-        place[left] = model.runs[row[left] * w + s[left]]
-        left = left[place[left] < 0]
-    bits += model.bits[place]
+    text = np.repeat(np.arange(len(starts)), ends - starts)
     out = np.zeros((len(starts), len(model.languages)))
-    used = starts < ends
-    if used.any():
-        out[used] = np.add.reduceat(bits, starts[used], axis=0, dtype=np.float64)
+    step = max(1, block // max(len(model.languages), 4))
+    for a in range(0, len(s), step):
+        r, symbol, own = row[a : a + step].copy(), s[a : a + step], text[a : a + step]
+        first = int(own[0])
+        sums = np.zeros((int(own[-1]) - first + 1, len(model.languages)))
+        own = own - first
+        place = _found(model, r * w + symbol)
+        left = np.flatnonzero(place < 0)
+        bits = np.zeros((len(r), len(model.languages)), np.float32) if model.matrix is not None else None
+        while len(left):  # ORDER times at most: the empty context has every symbol
+            if bits is not None:
+                bits[left] += model.escape_matrix[r[left]]
+            else:
+                _add_entries(sums, own[left], r[left], model.escape_start, model.escape_lang, model.escape_bits)
+            r[left] = model.shorter[r[left]]
+            place[left] = _found(model, r[left] * w + symbol[left])
+            left = left[place[left] < 0]
+        if bits is not None:
+            bits += model.matrix[place]
+            texts = np.unique(own)
+            sums[texts] += np.add.reduceat(bits, np.searchsorted(own, texts), axis=0, dtype=np.float64)
+        else:
+            counts = np.bincount(own * w + symbol, minlength=len(sums) * w).reshape(len(sums), w)
+            sums += counts @ model.base
+            above = model.parent[place] >= 0
+            while above.any():
+                _add_entries(sums, own[above], place[above], model.start, model.lang, model.bits)
+                place = np.where(above, model.parent[place], place)
+                above = model.parent[place] >= 0
+        out[first : first + len(sums)] += sums
     return out
 
 
-def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = 300, longest: int = 1 << 20, max_grams: int = 400_000, max_languages: int = 2000) -> Model:
-    """Fit on a bounded sample: per_language whole texts of each language at most, none of over `longest` bytes, none of the held-out fold.
+def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = 300, longest: int = 1 << 20, sample_bytes: int = 16 << 20, max_languages: int = 2000) -> Model:
+    """Fit on a bounded sample: per_language whole texts of each language at most, none of over `longest` bytes, none of the held-out fold, and of those so many as fit into the
+    language's part of sample_bytes (one at least).
 
-    Runs of ORDER + 1 bytes that occur once are dropped, and of the rest the max_grams most frequent are kept, shorter ones first: the model's bound.
-    More than max_languages languages are an error.
+    That is the only bound: every run of 1 to ORDER + 1 bytes of the sample counts. More than max_languages languages are an error.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(lang_column).alias("lang"), lowered(text_column).alias("text"))
     rows = rows.where(~held_out("doc_id") & (F.octet_length("text") <= longest))
-    counts = context_counts(bounded_sample(rows, "lang", per_language, max_classes=max_languages))
-    counts = counts.where((F.col("n") > 1) | (F.shiftright("gram", 40) <= ORDER))
-    top = counts.orderBy(F.shiftright("gram", 40), F.desc("n"), "lang", "gram").limit(max_grams)
-    return build([(r.lang, r.gram, r.n) for r in top.collect()])
+    counts = context_counts(bounded_sample(rows, "lang", per_language, max_classes=max_languages, total_bytes=sample_bytes)).toArrow()
+    return build(counts.column("lang").to_pylist(), counts.column("gram").to_numpy(), counts.column("n").to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -110,11 +110,21 @@ def test_code_lengths_are_exact():
                 key = lang, int.from_bytes(text[k : k + length], "big") | length << 40
                 counts[key] = counts.get(key, 0) + 1
     rows = [(lang, gram, n) for (lang, gram), n in counts.items()]
-    model = ppm_language.build(rows)
-    assert model.languages == ["x", "y"]
-    for text in (b"", b"a", b"ab", b"abc cab", b"zq! abd", corpus["y"][:50]):
-        bits = ppm_language.code_lengths(model, np.array([0, len(text)]), np.frombuffer(text, np.uint8))[0]
-        assert bits == pytest.approx([plain_bits(rows, lang, text) for lang in "xy"], rel=1e-4, abs=1e-4)
+    lang, gram, n = zip(*rows, strict=True)
+    for cells in (1 << 20, 0):  # as a matrix, and as differences along the tree
+        model = ppm_language.build(list(lang), np.array(gram), np.array(n), cells)
+        assert model.languages == ["x", "y"] and (model.matrix is None) == (cells == 0)
+        cases = [b"", b"a", b"ab", b"abc cab", b"zq! abd", corpus["y"][:50], b"", corpus["x"][:300] + bytes(range(256))]
+        expected = [[plain_bits(rows, lang, text) for lang in "xy"] for text in cases]
+        data, bounds = np.frombuffer(b"".join(cases), np.uint8), np.cumsum([0, *map(len, cases)])
+        for block in (1 << 20, 28):
+            assert ppm_language.code_lengths(model, bounds, data, block) == pytest.approx(np.array(expected), rel=1e-4, abs=1e-3)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    rows = [(k, "ab"[k % 2], "x" * 100) for k in range(200)] + [(900, "c", "x" * 5000)]
+    found = bounded_sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), "lang", 80, total_bytes=3000)
+    assert {r.lang: r["count"] for r in found.groupBy("lang").count().collect()} == {"a": 10, "b": 10, "c": 1}
 
 
 def test_languages_of_held_out_rows(spark):
@@ -165,7 +175,7 @@ def test_three_hundred_languages(spark):
         rows += [(8 * k + j, " ".join(rng.choices(syllables, k=25)), f"l{k:03d}") for j in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = ppm_language.learn(docs)
-    assert len(model.languages) == 300 and sum(x.nbytes for x in (model.bits, model.runs, model.escapes, model.third)) < 150 << 20
+    assert len(model.languages) == 300 and sum(x.nbytes for x in vars(model).values() if isinstance(x, np.ndarray)) < 150 << 20
     found = {r.doc_id: r.lang_pred for r in ppm_language.identify(docs, model).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     assert np.mean([found[i] == lang for i, _, lang in held]) >= 0.95
