@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.llm import byte_bpe, decontaminate, near_copies, ppm_language, secret_scan
-from refloom.llm.common import table, temporary
+from refloom.llm.common import table, temporary, tidied
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,12 +30,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates the document with the smallest id, once. Rows without an id can't be named as copies and stay.
 
     Near-duplicates share 0.8 of their five-word shingles: operator 9's anchors propose pairs, bands those that lie beyond its reach, and the whole sets decide.
-    Rows with one id are the same document only if their shingles are the same too.
+    Rows with one id are the same document only if their shingles are the same too; of those the first by text stays.
     """
     rows = near_copies.grouped(docs)
     node, least = F.col(near_copies.NODE), F.col(near_copies.LEAST)
-    kept = rows.where((F.col("doc_id") == least["id"]) & (node == least[near_copies.NODE])).dropDuplicates(["doc_id", near_copies.NODE])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = rows.where((F.col("doc_id") == least["id"]) & (node == least[near_copies.NODE]))
+    row = F.struct(*(F.col(n) for n in docs.columns))
+    first = F.min_by(row, F.struct("text", F.to_json(row))).alias("_row")
+    kept = kept.groupBy("doc_id", near_copies.NODE).agg(first)
+    return kept.select(*(F.col("_row")[n].alias(n) for n in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +62,11 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", identify_language),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("benchmark_decontamination", drop_benchmark_leaks),
-    ("secret_scans", redact_secrets),
-    ("byte_bpe", tokenize),
+    ("language_id", tidied(identify_language)),
+    ("simhash_near_dedup", tidied(drop_near_duplicates)),
+    ("benchmark_decontamination", tidied(drop_benchmark_leaks)),
+    ("secret_scans", tidied(redact_secrets)),
+    ("byte_bpe", tidied(tokenize)),
 ]
 
 #: The models and hashes have no SQL form; tests compare the stages with brute-force versions.

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,51 +44,84 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="refloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names. A temporary one only where none is named and all runs on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="refloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return folder
 
 
-_written: list[str] = []
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    The result has no lineage, so a lost executor costs no more than the reads of it. The files stay until the folder goes, or until the temporary()
-    block ends in which they were written.
+    The result has no lineage, so a lost executor costs no more than the reads of it. The files stay until the folder goes, or until the temporary() or tidied() block ends in
+    which they were written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """What cut() writes inside the block is deleted at its end, but for what the block's function is given and writes."""
-    first, kept = len(_written), set()
+    """What cut() writes inside the block is deleted at its end, but for what the block's function is given and writes. Each thread has its own."""
+    before, written, kept = _written.get(), [], set()
+    token = _written.set(written)
 
     def keep(df: DataFrame) -> DataFrame:
         out = cut(df)
-        kept.add(_written[-1])
+        kept.add(written[-1])
         return out
 
     try:
         yield keep
     finally:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in [p for p in _written[first:] if p not in kept]:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
-        _written[first:] = [p for p in _written[first:] if p in kept]
+        _written.reset(token)
+        _delete(spark, [p for p in written if p not in kept])
+        if before is not None:
+            before.extend(kept)
+
+
+def tidied(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage (first argument: the session) that deletes what it has written on its way, but for the tables that its result reads."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args: object) -> DataFrame:
+        before, written = _written.get(), []
+        token = _written.set(written)
+        try:
+            result = query(spark, *args)
+            read = {f.rsplit("/", 2)[-2] for f in result.inputFiles()}
+            kept = [p for p in written if p.rsplit("/", 1)[-1] in read]
+            _delete(spark, [p for p in written if p not in kept])
+        finally:
+            _written.reset(token)
+        if before is not None:
+            before.extend(kept)
+        return result
+
+    return run
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", hot: int = 20_000) -> DataFrame:

@@ -27,7 +27,9 @@ BITS = 4
 #: Shingles are counted in so many slots, as a power of two; the counts order them, so a coarse count costs work and not results.
 SLOT_BITS = 18
 WORD_BASE = 0x9E3779B97F4A7C15
-NODE, KEYS, PRINT, LEAST = "_near_node", "_near_keys", "_near_print", "_near_least"
+NODE, CHECK, KEYS, PRINT, LEAST = "_near_node", "_near_check", "_near_keys", "_near_print", "_near_least"
+#: Sets that meet in one task at a shingle of their prefixes; where more have it, they are cut into tiles.
+TILE = 2048
 _draw = np.random.default_rng(SEED)
 MASKS, FACTORS = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64), _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -56,21 +58,31 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def coded(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with NODE, a hash of the text's shingle set, KEYS, its bands' keys as bytes (empty for a text without words), and PRINT, its SimHash fingerprint."""
+    """docs with NODE and CHECK, 64 and 64 more bits of a hash of the text's shingle set, KEYS, its bands' keys as bytes (empty for a text without words), and PRINT, its SimHash fingerprint."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds, data in text_slices(batches, text_column, 1 << 20):
             sets = [shingles(t) for t in texts_of(bounds, data)]
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            nodes, checks = (np.array([digest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64) for digest, seed in ((xxhash.xxh3_64_intdigest, SEED), (xxhash.xxh64_intdigest, SEED + 1)))
             used = [k for k, s in enumerate(sets) if len(s)]
             keys = [b""] * len(sets)
             for k, own in zip(used, band_keys([sets[k] for k in used]) if used else (), strict=True):
                 keys[k] = own.tobytes()
             prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(nodes), pa.array(keys, pa.binary()), pa.array(prints)], [*rows.schema.names, NODE, KEYS, PRINT])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(nodes), pa.array(checks), pa.array(keys, pa.binary()), pa.array(prints)], [*rows.schema.names, NODE, CHECK, KEYS, PRINT])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField(NODE, T.LongType()), T.StructField(KEYS, T.BinaryType()), T.StructField(PRINT, T.LongType())]))
+    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField(NODE, T.LongType()), T.StructField(CHECK, T.LongType()), T.StructField(KEYS, T.BinaryType()), T.StructField(PRINT, T.LongType())]))
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows, written, where each NODE is one set: of sets that share a NODE but differ in CHECK, all but one get another NODE. There is hardly ever one, so what has to be joined
+    is next to nothing."""
+    shared = cut(rows.groupBy(NODE).agg(F.min(CHECK).alias("_low"), F.max(CHECK).alias("_high")).where("_low <> _high").select(NODE, "_low"))
+    if shared.isEmpty():
+        return rows
+    other = F.col("_low").isNotNull() & (F.col(CHECK) != F.col("_low"))
+    return cut(rows.join(shared, NODE, "left").withColumn(NODE, F.when(other, F.xxhash64(NODE, CHECK)).otherwise(F.col(NODE))).select(*rows.columns))
 
 
 def printed_pairs(nodes: DataFrame) -> DataFrame:
@@ -113,12 +125,13 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def apart(sets: DataFrame) -> DataFrame:
+def apart(sets: DataFrame, tile: int = TILE) -> DataFrame:
     """Pairs a, b with unlike labels that can be alike, all of them. sets: node, label, shingles.
 
     Prefix filter: in one order of all shingles, the rarest first, sets with a likeness of ALIKE share one of their first few: of n, the first n minus ALIKE of n,
     and one more. Where the first shingle that two sets share stands, what follows it bounds what they have in common. Copies of one text that have too
-    little in common begin with shingles of their own, so a large group of them makes few pairs.
+    little in common begin with shingles of their own, so a large group of them makes few pairs. A shingle that over `tile` prefixes have is cut into tiles, and each two
+    of them meet in a task of their own.
     """
     counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
 
@@ -166,6 +179,12 @@ def apart(sets: DataFrame) -> DataFrame:
         yield from done(held)
 
     rows = sets.select("node", "label", "shingles").mapInArrow(prefixes, "shingle long, node long, label long, size long, rest long")
+    hot = cut(rows.groupBy("shingle").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"))
+    if not hot.isEmpty():
+        own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+        met = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.xxhash64("shingle", F.least(x, F.col("own")), F.greatest(x, F.col("own"))))
+        places = F.explode(F.when(F.col("tiles").isNull(), F.array("shingle")).otherwise(met))
+        rows = rows.join(hot, "shingle", "left").withColumn("own", own).select(places.alias("shingle"), "node", "label", "size", "rest")
     return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(work, "a long, b long").distinct()
 
 
@@ -214,8 +233,8 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     Equal sets are one node, whatever their number. Rows with null ids take part but name no group.
     """
-    rows = cut(coded(docs, text_column))
+    rows = told_apart(cut(coded(docs, text_column)))
     own = rows.groupBy(NODE).agg(F.min(id_column).alias("id"))
     joined = cut(own.join(components(links(rows, text_column)).withColumnRenamed("node", NODE), NODE, "left").withColumn("component", F.coalesce("component", NODE)))
     least = joined.groupBy("component").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", NODE))).alias(LEAST))
-    return rows.drop(KEYS, PRINT).join(joined.join(least, "component").select(NODE, LEAST), NODE)
+    return rows.drop(CHECK, KEYS, PRINT).join(joined.join(least, "component").select(NODE, LEAST), NODE)

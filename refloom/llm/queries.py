@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.llm import byte_bpe, decontaminate, exact_dedup, fingerprint, importance, lz_dedup, ppm_language, secret_scan, sharding, simhash, suffix_dedup, whitening, zstd_quality
-from refloom.llm.common import held_out, table
+from refloom.llm.common import held_out, table, tidied
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,19 +80,8 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_secret_scan": op1_secret_scan,
-    "op2_lz_dedup": op2_lz_dedup,
-    "op3_suffix_dedup": op3_suffix_dedup,
-    "op4_zstd_quality": op4_zstd_quality,
-    "op6_ppm_language": op6_ppm_language,
-    "op5_byte_bpe": op5_byte_bpe,
-    "op7_sharding": op7_sharding,
-    "op8_fingerprint": op8_fingerprint,
-    "op9_simhash": op9_simhash,
-    "op10_decontaminate": op10_decontaminate,
-    "op11_importance": op11_importance,
-    "op12_exact_dedup": op12_exact_dedup,
-    "op13_whitening": op13_whitening,
+    q.__name__: tidied(q)
+    for q in (op1_secret_scan, op2_lz_dedup, op3_suffix_dedup, op4_zstd_quality, op6_ppm_language, op5_byte_bpe, op7_sharding, op8_fingerprint, op9_simhash, op10_decontaminate, op11_importance, op12_exact_dedup, op13_whitening)
 }
 SECRETS_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

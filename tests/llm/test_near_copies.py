@@ -90,3 +90,32 @@ def test_bands_meet():
         keys = near_copies.band_keys([s for x in sets for s in (x, x[: n])])
         same = keys[::2] == keys[1::2]
         assert same.any(axis=1).all() and abs(same.mean() - 0.8**4) < 0.03
+
+
+def test_hot_shingles_in_tiles(spark, monkeypatch):
+    """Prefix shingles that more sets have than a tile holds: the same pairs."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(40), rng.randint(4, 12))) for _ in range(60)]
+    frame = spark.createDataFrame([(k, k, [x * 7919 for x in s]) for k, s in enumerate(sets)], "node long, label long, shingles array<long>")
+    expected = {(i, j) for i, j in combinations(range(60), 2) if 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})}
+    for tile in (3, 2048):
+        pairs = {(r.a, r.b) for r in near_copies.apart(frame, tile).collect()}
+        assert expected <= pairs
+        assert {(r.a, r.b) for r in near_copies.alike(near_copies.apart(frame, tile), frame.withColumn("shingles", F.sort_array("shingles"))).collect()} == expected
+
+
+def test_sets_that_share_64_bits_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 7, 1), (2, 7, 1), (3, 7, 2), (4, 8, 5), (5, 7, 3)], f"doc_id long, {near_copies.NODE} long, {near_copies.CHECK} long")
+    found = {r[0]: r[1] for r in near_copies.told_apart(rows).collect()}
+    assert found[1] == found[2] == 7 and found[4] == 8 and len({found[1], found[3], found[5], found[4]}) == 4
+
+
+def test_of_equal_ids_the_first_text_stays(spark):
+    """Two texts with one id and one shingle set differ in letter case: which of them stays doesn't depend on the rows' order."""
+    text = " ".join(f"WORD{k}" for k in range(20))
+    rows = [(1, text, "b"), (1, text.lower(), "a"), (1, text.lower(), "c")]
+    for order in (rows, rows[::-1]):
+        found = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3), "").collect()
+        assert [(r.doc_id, r.text, r.source) for r in found] == [(1, text, "b")]

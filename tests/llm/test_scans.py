@@ -343,7 +343,7 @@ def test_every_query_is_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(names)
 
 
