@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions import similarity, text
-from refloom.operators import align, citations, reports, segment, stores
+from refloom.operators import align, citations, link, reports, segment, stores
 from refloom.plans import lookups
 from refloom.plans.bibliography import BIBLIOGRAPHY_SQL as BIB
 from refloom.plans.bibliography import bibliography, table
 from refloom.plans.queries import USAGE, _usage, query, structured
-from refloom.sources import records
+from refloom.sources import html, records
 
 # ---------------------------------------------------------------- answers of article services
 
@@ -148,6 +148,22 @@ def unnamed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.cross_check(*_cited(spark, sf_dir))[2].select("doc_id", "seq")
 
 
+def _page_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names with a letter lost or changed, from the titles of all pages; and the listing: titles of every second page."""
+    title = html.page_record(table(spark, sf_dir, "pages")).select("page_id", "title")
+    at = (F.col("page_id") % 11 + 2).cast("int")
+    lost = F.concat(F.substring("title", 1, 12), F.expr("substring(title, 14)"))
+    changed = F.overlay("title", F.lit("x"), at, 1)
+    name = F.when(F.col("page_id") % 3 == 0, lost).when(F.col("page_id") % 3 == 1, changed).otherwise(F.col("title"))
+    return title.select(F.lit("journal").alias("type"), name.alias("container")), title.where("page_id % 2 = 0").select("title")
+
+
+@query()
+def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that a listing has by the likeness that counts in production; names and listing grow with the pages."""
+    return link.listed_journals(*_page_names(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- stores
 
 

@@ -1,11 +1,17 @@
 """Journals of a list by likeness, against a brute-force comparison of all names."""
 
 import difflib
+from pathlib import Path
 
-from refloom.functions.text import title_key
-from refloom.plans import bibliography
+import pytest
+from pyspark.sql import functions as F
+
+from refloom.functions.text import hangul_key, title_key
+from refloom.plans import bibliography, queries, served
 from refloom.plans.queries import QUERIES
 
+TABLES = Path("/root/testdata/sf0.001")
+
 
 def test_similar_journals_agree_with_brute_force(spark, tmp_path):
     tables = {
@@ -24,3 +30,36 @@ def test_similar_journals_agree_with_brute_force(spark, tmp_path):
     found = [r.container for r in QUERIES["similar_journals"](spark, str(tmp_path)).collect()]
     assert sorted(found) == sorted(expected)
     assert set(r.container for r in QUERIES["listed_journals"](spark, str(tmp_path)).collect()) < expected
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="the driver's tables are not here")
+def test_similar_titles_agree_with_brute_force(spark):
+    names, listing = served._page_names(spark, str(TABLES))
+    names = [r.container for r in names.where("length(container) >= 3").distinct().collect()]
+    keys = {r.t: r.k for part in (names, [r.title for r in listing.collect()]) for r in spark.createDataFrame([(x,) for x in part], "t string").select("t", title_key(F.col("t")).alias("k")).collect()}
+    listed = [r.title for r in listing.distinct().collect()]
+    solid = lambda t: "".join(t.lower().split())
+    alike = lambda a, b: keys[a] == keys[b] or difflib.SequenceMatcher(None, *((keys[a], keys[b]) if keys[a] and keys[b] else (solid(a), solid(b)))).ratio() >= 0.90
+    expected = {n for n in names if any(alike(n, t) for t in listed)}
+    found = [r.container for r in QUERIES["similar_titles"](spark, str(TABLES)).collect()]
+    assert sorted(found) == sorted(expected) and len(expected) > 20
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="the driver's tables are not here")
+def test_duplicate_entries_agree_with_all_pairs(spark):
+    """The registered query over its whole smallest table."""
+    rows = [(r.doc_id, r.seq, r.doi, r.key) for r in queries._shared_dois(spark, str(TABLES)).select("doc_id", "seq", "doi", hangul_key(F.col("title")).alias("key")).collect()]
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    expected = {}
+    for doc, own in by.items():
+        own.sort(key=lambda r: r[1])
+        for k, (_, i, doi, x) in enumerate(own):
+            for _, j, other, y in own[k + 1 :]:
+                if doi and doi == other:
+                    expected[doc, i, j] = "doi"
+                elif x and y and difflib.SequenceMatcher(None, x, y).ratio() >= 0.92:
+                    expected[doc, i, j] = "title"
+    found = [(r.doc_id, r.seq_a, r.seq_b, r.reason) for r in QUERIES["duplicate_entries"](spark, str(TABLES)).collect()]
+    assert {r[:3]: r[3] for r in found} == expected and len(found) == len(expected)
