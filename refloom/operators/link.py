@@ -68,6 +68,11 @@ def candidates(asked: DataFrame, known: DataFrame, threshold: float, keys: list[
     return met.groupBy(*keys, "source", "c_pos").agg(F.max("similarity").alias("similarity"))
 
 
+def equal_texts(asked: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """candidates() at a similarity of 1: an equi-join."""
+    return asked.join(known, ["block", "text"]).select(*keys, "source", "c_pos").distinct().withColumn("similarity", F.lit(1.0))
+
+
 def full_title(title: Column, subtitle: Column) -> Column:
     """Title and subtitle together; null without a subtitle."""
     return F.when(F.coalesce(subtitle, F.lit("")) != "", F.concat(F.coalesce(title, F.lit("")), F.lit(": "), subtitle))
@@ -113,6 +118,9 @@ def same_year() -> Column:
     return (plain_year(F.col("year")) != "") & (plain_year(F.col("year")) == F.substring(field("c_year"), 1, 4))
 
 
+NOTHING_BETTER = "similarity = 1 AND hits = anchors"
+
+
 def _beside(entries: DataFrame, authority: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """pairs with the fields of entries, and those of authority as c_ fields."""
     named = authority.select(*(F.col(c).alias(f"c_{c}") for c in authority.columns))
@@ -127,9 +135,15 @@ def best_articles(entries: DataFrame, authority: DataFrame, keys: list[str], thr
     them and agrees in none is another work. authority: pos (rank), title, subtitle, year, volume, issue, pages.
     """
     one = F.lit("one")
-    pairs = candidates(asked_texts(entries, keys, one, False), known_articles(authority, one), threshold, keys)
-    pairs = scored_articles(_beside(entries, authority, pairs, keys)).where(acceptable(F.lit(ignore_year)))
-    return top(pairs, keys, [F.desc("score"), F.col("c_pos")])
+    asked, known = asked_texts(entries, keys, one, False), known_articles(authority, one)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        good = scored_articles(_beside(entries, authority, pairs, keys)).where(acceptable(F.lit(ignore_year)))
+        return top(good, keys, [F.desc("score"), F.col("c_pos")])
+
+    # a record with the same title that agrees in all that is known has the highest score there is: the others alone are searched by likeness
+    settled = best(equal_texts(asked, known, keys)).where(NOTHING_BETTER)
+    return settled.unionByName(best(candidates(asked.join(settled.select(*keys), keys, "left_anti"), known, threshold, keys)))
 
 
 def best_books(entries: DataFrame, authority: DataFrame, keys: list[str], threshold: float = DOMESTIC) -> DataFrame:
@@ -198,11 +212,19 @@ def cascade(entries: DataFrame, sources: dict[str, DataFrame], keys: list[str])
     texts = asked_texts(asked.where(is_book), keys, F.col("source"), True).unionByName(asked_texts(asked.where(~is_book), keys, F.col("source"), False))
     records = tagged.select("source", F.col("c_pos").alias("pos"), F.col("c_title").alias("title"), F.col("c_subtitle").alias("subtitle"))
     known = known_books(records.where(is_book), F.col("source")).unionByName(known_articles(records.where(~is_book), F.col("source")))
-    pairs = candidates(texts, known, min(ARTICLE, DOMESTIC), keys).join(tagged, ["source", "c_pos"]).join(entries.select(*keys, *("year volume issue pages route".split())), keys)
-    scored = scored_articles(pairs).withColumns({"rounded": F.round("similarity", 3), "same_year": same_year(), "_step": F.explode(F.filter(steps, lambda x: x["source"] == F.col("source")))})
-    good = scored.where((F.col("similarity") >= F.col("_step.limit")) & (is_book | acceptable(F.col("_step.any_year"))))
-    order = [F.col("_step.n"), F.desc(F.when(is_book, F.col("rounded")).otherwise(F.col("score"))), F.desc(is_book & F.col("same_year")), F.col("c_pos")]
-    return top(good, keys, order).select(*keys, F.col("_step.tier").alias("tier"), "similarity", *(f"c_{c}" for c in RECORD))
+    own = entries.select(*keys, *("year volume issue pages route".split()))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """The record of the first tier that accepts one; first: whether that is the route's first tier and no record can be better."""
+        scored = scored_articles(pairs.join(tagged, ["source", "c_pos"]).join(own, keys)).withColumns({"rounded": F.round("similarity", 3), "same_year": same_year(), "_step": F.explode(F.filter(steps, lambda x: x["source"] == F.col("source")))})
+        good = scored.where((F.col("similarity") >= F.col("_step.limit")) & (is_book | acceptable(F.col("_step.any_year"))))
+        order = [F.col("_step.n"), F.desc(F.when(is_book, F.col("rounded")).otherwise(F.col("score"))), F.desc(is_book & F.col("same_year")), F.col("c_pos")]
+        perfect = (F.col("_step.n") == 0) & F.when(is_book, F.col("same_year")).otherwise(F.expr(NOTHING_BETTER))
+        return top(good, keys, order).select(*keys, F.col("_step.tier").alias("tier"), "similarity", *(f"c_{c}" for c in RECORD), perfect.alias("first"))
+
+    settled = best(equal_texts(texts, known, keys)).where("first")
+    rest = texts.join(settled.select(*keys), keys, "left_anti")
+    return settled.unionByName(best(candidates(rest, known, min(ARTICLE, DOMESTIC), keys))).drop("first")
 
 
 def verify(entries: DataFrame, authorities: dict[str, DataFrame], keys: list[str], links: DataFrame | None = None, failed: tuple[str, ...] = ()) -> DataFrame:
