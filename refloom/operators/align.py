@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.similarity import edits
@@ -151,3 +151,20 @@ def rule_drafts(aligned: DataFrame) -> DataFrame:
     return aligned.where("kind = 'pair' AND NOT same").select(
         "doc_id", "seq", F.lit("발행본 표기 차이").alias("topic"), F.concat(F.lit("발행본 표기를 따른다: "), F.substring("published", 1, 200)).alias("rule"), F.substring("published", 1, 300).alias("example")
     )
+
+
+def change_kind(a: Column, b: Column) -> Column:
+    """What a step from a to b changes: spacing, case, punctuation, number or wording."""
+    spaceless = [F.regexp_replace(c, r"(?U)\s+", "") for c in (a, b)]
+    both = F.concat(a, b)
+    return (
+        F.when(spaceless[0] == spaceless[1], "spacing").when(F.lower(a) == F.lower(b), "case").when(~both.rlike(r"[\p{L}\p{N}]"), "punctuation").when(~both.rlike(r"\p{L}"), "number").otherwise("wording")
+    )
+
+
+def repeated_changes(aligned: DataFrame, least: int = 2) -> DataFrame:
+    """kind, a, b, n, lists: steps that published lines take again and again, in at least `least` pairs, with the number of lists that show them. They are what a rule can be
+    drafted from; rule_drafts() has the single pairs."""
+    steps = aligned.where("kind = 'pair' AND NOT same").select("doc_id", "seq", F.explode("diff").alias("d")).where("d.tag <> 'equal'")
+    found = steps.select("doc_id", "seq", change_kind(F.col("d.a"), F.col("d.b")).alias("kind"), F.col("d.a").alias("a"), F.col("d.b").alias("b")).distinct()
+    return found.groupBy("kind", "a", "b").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("lists")).where(F.col("n") >= least)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.operators import parse, segment
@@ -132,3 +132,22 @@ def mined_rules(raws: DataFrame, least: int = 2) -> DataFrame:
     doi = F.when(F.col("raw").rlike(r"(?i)doi"), "DOI given")
     found = raws.select("journal", F.explode(F.filter(F.array(year, title, doi), lambda p: p.isNotNull())).alias("pattern"))
     return found.groupBy("journal", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def form(raw: Column) -> Column:
+    """How a reference is written: links are <link>, years <year>, other numbers <n>, runs of words <words>; punctuation and brackets stay as they are."""
+    link, year, number, words = "\x01", "\x02", "\x03", "\x04"  # stand-ins that no pattern takes for letters
+    c = F.regexp_replace(raw, r"(?i)(?:https?://|doi:\s*)[^\s]+", link)
+    c = F.regexp_replace(c, r"\b(?:18|19|20)[0-9]{2}[a-z]?\b", year)
+    c = F.regexp_replace(c, "[0-9]+", number)
+    c = F.regexp_replace(c, r"\p{L}+(?:[ '’-]+\p{L}+)*", words)
+    for mark, name in ((link, "<link>"), (year, "<year>"), (number, "<n>"), (words, "<words>")):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c
+
+
+def mined_forms(raws: DataFrame, least: int = 2) -> DataFrame:
+    """journal, form, n, share: how a journal's references are written, each form that occurs often enough with its share of the journal's references."""
+    counts = raws.groupBy("journal", form(F.col("raw")).alias("form")).agg(F.count("*").alias("n"))
+    total = counts.groupBy("journal").agg(F.sum("n").alias("_total"))
+    return counts.join(total, "journal").where(F.col("n") >= least).select("journal", "form", "n", F.round(F.col("n") / F.col("_total"), 4).alias("share"))

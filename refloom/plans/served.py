@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions import similarity, text
-from refloom.operators import align, citations, link, reports, segment, stores
+from refloom.operators import align, citations, link, reports, segment, stages, stores
 from refloom.plans import lookups
 from refloom.plans.bibliography import BIBLIOGRAPHY_SQL as BIB
 from refloom.plans.bibliography import bibliography, table
@@ -148,6 +148,18 @@ def unnamed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.cross_check(*_cited(spark, sf_dir))[2].select("doc_id", "seq")
 
 
+FORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)(?:https?://|doi:\s*)[^\s]+', chr(1), 'g'), '\b(?:18|19|20)[0-9]{2}[a-z]?\b', chr(2), 'g'), '[0-9]+', chr(3), 'g'), '\p{L}+(?:[ ''’-]+\p{L}+)*', chr(4), 'g')"
+
+
+@query(
+    BIB + f", f AS (SELECT container AS journal, replace(replace(replace(replace({FORM}, chr(1), '<link>'), chr(2), '<year>'), chr(3), '<n>'), chr(4), '<words>') AS form FROM bib), c AS (SELECT journal, form, count(*) AS n FROM f GROUP BY 1, 2) "
+    "SELECT journal, form, n, round(n / share_of, 4) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY journal) AS share_of FROM c) WHERE n >= 5"
+)
+def reference_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each journal's references are written, by the order of their parts and marks."""
+    return stages.mined_forms(bibliography(spark, sf_dir).select(F.col("container").alias("journal"), "raw"), 5)
+
+
 def _page_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Names with a letter lost or changed, from the titles of all pages; and the listing: titles of every second page."""
     title = html.page_record(table(spark, sf_dir, "pages")).select("page_id", "title")

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from refloom.operators import citations, reports, segment, stages, stores
+from refloom.operators import align, citations, reports, segment, stages, stores
 from refloom.sources import records
 
 
@@ -116,3 +116,26 @@ def test_damaged_answers(spark):
         assert records.found_works(frame, service).count() == 0
     many = '{"message": {"author": [' + ", ".join('{"family": "F%d"}' % k for k in range(40)) + "]}}"
     assert len(records.known_work(spark.createDataFrame([(1, many)], "n int, json string"), "crossref").first().authors) == 30
+
+
+def test_forms_of_references(spark):
+    raws = ["Waa, B. (1990a). On lists - again. List Journal, 12(3), 4-5. https://doi.org/10.1/x", "김철수 (2001). 목록의 형식. 목록학회지, 3.", "Number 12345 of 1899 and 2100."]
+    found = [r.f for r in spark.createDataFrame([(x,) for x in raws], "raw string").select(stages.form(F.col("raw")).alias("f")).collect()]
+    assert found == ["<words>, <words>. (<year>). <words>. <words>, <n>(<n>), <n>-<n>. <link>", "<words> (<year>). <words>. <words>, <n>.", "<words> <n> <words> <year> <words> <n>."]
+    forms = stages.mined_forms(spark.createDataFrame([("j", raws[1])] * 3 + [("j", raws[2]), ("k", raws[2])], "journal string, raw string"))
+    assert [(r.journal, r.n, r.share) for r in forms.collect()] == [("j", 3, 0.75)]
+
+
+def test_repeated_changes(spark):
+    """Steps that lines of several lists take: what kind they are, how often, in how many lists."""
+    items, lines = [], []
+    for doc in range(3):
+        for k in range(4):
+            title = "".join(chr(97 + (doc * 7 + k * 5 + j) % 26) for j in range(30))
+            items.append((doc, k, "", f"Waa. {title}, 19{k}0: x", "", ""))
+            lines.append((doc, k, f"Waa. {title}; 19{k}0: x" if k else f"Waa. {title}, 19{k}0: X"))
+    aligned = align.align(spark.createDataFrame(items, "doc_id long, seq long, raw string, formatted string, title string, doi string"), spark.createDataFrame(lines, "doc_id long, pos long, text string"))
+    found = {(r.kind, r.a, r.b): (r.n, r.lists) for r in align.repeated_changes(aligned).collect()}
+    assert found == {("punctuation", ",", ";"): (9, 3), ("case", "x", "X"): (3, 3)}
+    kinds = spark.createDataFrame([("a b", "ab"), ("12", "13"), ("volume", "vol."), ("", "-")], "a string, b string").select(align.change_kind(F.col("a"), F.col("b")).alias("k")).collect()
+    assert [r.k for r in kinds] == ["spacing", "number", "wording", "punctuation"]
