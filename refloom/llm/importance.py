@@ -18,6 +18,8 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BUCKETS = 10_000
 #: A feature longer than this is never broadcast.
 LONG_FEATURE = 200
+#: A feature that makes up one of so many of all occurrences is joined by broadcast; there are so many of them at most.
+FREQUENT = 100_000
 
 
 def features_of(text: bytes, longest: int) -> tuple[int, Counter]:
@@ -91,7 +93,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least_words:
     total = features.agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0]
     known = features.where("s > 0").join(F.broadcast(gains(features, buckets)), "bucket").select("feature", "gain", F.when(F.octet_length("feature") <= LONG_FEATURE, F.col("s")).otherwise(0).alias("s"))
     single = counted.select("row", F.explode("features").alias("x")).select("row", "x.feature", "x.n")
-    parts = spread_join(single, known, ["feature"], "s", max(total, 1)).select("row", (F.col("gain") * F.col("n")).alias("sum"), *(F.lit(None).cast("long").alias(c) for c in ("id", "n_words", "n_features")))
+    parts = spread_join(single, known, ["feature"], "s", max(total, 1), hot=FREQUENT).select("row", (F.col("gain") * F.col("n")).alias("sum"), *(F.lit(None).cast("long").alias(c) for c in ("id", "n_words", "n_features")))
     parts = parts.unionByName(counted.select("row", F.lit(0).cast("long").alias("sum"), "id", "n_words", "n_features"))
     rows = parts.groupBy("row").agg(F.sum("sum").alias("sum"), *(F.max(c).alias(c) for c in ("id", "n_words", "n_features")))
     weight = F.when(F.col("n_features") > 0, F.expr("(sum - pmod(sum, n_features)) div n_features")).otherwise(0).cast("long")
