@@ -201,6 +201,11 @@ def practice(entries: DataFrame, papers_key: str = "doc_id") -> DataFrame:
     )
 
 
+def with_journal(rows: DataFrame, journals: DataFrame) -> DataFrame:
+    """rows with the journal of their society (column org), null for one that the dimension (org, journal) lacks."""
+    return rows.join(journals.select("org", "journal").dropDuplicates(["org"]), "org", "left")
+
+
 def repeated_patterns(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     """Patterns that occur often enough to make a rule."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)

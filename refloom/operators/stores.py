@@ -212,6 +212,42 @@ def remembered(rows: DataFrame, key: str, cache: DataFrame, ask: Callable[[DataF
     return rows.join(known, key, "left"), cache.select(key, "answer").unionByName(new.where("NOT failed").select(key, "answer"))
 
 
+CODES = ("access_codes", "editor_codes", "chair_codes")
+LONGEST_CODE = 60
+
+
+def saved_settings(current: DataFrame, changes: DataFrame, models: list[str]) -> DataFrame:
+    """Settings after a change: id, model, access_code, monthly_budget_usd, usd_krw, the maps of CODES (society to code), key (what becomes of the service's key: set,
+    cleared or kept; the key itself is no setting and is stored nowhere here) and error. With an error nothing is changed.
+
+    current: id and the settings; changes: id, api_key, clear, and settings as text, null for those that were not sent. An unknown model becomes the first of models. An
+    empty number or code unsets it. Codes are JSON objects, cut to their length, without empty names or codes. No two codes of a store may be equal, whatever their role.
+    """
+    sent = changes.select("id", *(F.col(c).alias(f"_{c}") for c in ("api_key", "clear", "model", "access_code", "monthly_budget_usd", "usd_krw", *CODES)))
+    rows = current.join(sent, "id")
+    made, errors = {}, []
+    for c in ("monthly_budget_usd", "usd_krw"):
+        text = F.replace(F.trim(F.col(f"_{c}")), F.lit(","), F.lit(""))
+        number = text.try_cast("double")
+        errors.append(F.when(text.isNotNull() & (text != "") & (number.isNull() | F.isnan(number)), "a budget or a rate is a number"))
+        made[c] = F.when(text.isNull(), F.col(c)).when(text != "", F.greatest(F.lit(0.0), number))
+    for c in CODES:
+        found = F.from_json(F.col(f"_{c}"), "map<string,string>")
+        shaped = F.coalesce(F.col(f"_{c}").rlike(r"^\s*\{"), F.lit(False)) & found.isNotNull()
+        errors.append(F.when(F.col(f"_{c}").isNotNull() & ~shaped, "codes are an object of names and codes"))
+        cut = F.transform(F.map_entries(found), lambda e: F.struct(F.substring(F.trim(e["key"]), 1, LONGEST_CODE).alias("k"), F.substring(F.trim(F.coalesce(e["value"], F.lit(""))), 1, LONGEST_CODE).alias("v")))
+        kept = F.filter(cut, lambda e: (e["k"] != "") & (e["v"] != ""))
+        made[c] = F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.map_from_entries(kept))
+    made["access_code"] = F.when(F.col("_access_code").isNull(), F.col("access_code")).otherwise(F.substring(F.trim("_access_code"), 1, LONGEST_CODE))
+    made["model"] = F.when(F.col("_model").isin(models), F.col("_model")).otherwise(F.lit(models[0]))
+    every = F.concat(*(F.coalesce(F.map_values(made[c]), F.array().cast("array<string>")) for c in CODES), F.filter(F.array(F.trim(F.coalesce(made["access_code"], F.lit("")))), lambda c: c != ""))
+    broken = F.coalesce(*errors)
+    judged = rows.withColumn("error", F.coalesce(broken, F.when(broken.isNull() & (F.size(F.array_distinct(every)) < F.size(every)), "two codes are equal")))
+    good = F.col("error").isNull()
+    key = F.when(good & (F.col("_clear") == "1"), "cleared").when(good & (F.trim(field("_api_key")) != ""), "set").otherwise("kept")
+    return judged.select("id", *(F.when(good, made[c]).otherwise(F.col(c)).alias(c) for c in ("model", "access_code", "monthly_budget_usd", "usd_krw", *CODES)), key.alias("key"), "error")
+
+
 def code_hash(code: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), code), 256)
 

@@ -11,7 +11,7 @@ from refloom.plans import lookups
 from refloom.plans.bibliography import BIBLIOGRAPHY_SQL as BIB
 from refloom.plans.bibliography import bibliography, table
 from refloom.plans.queries import USAGE, _usage, query, structured
-from refloom.sources import html, records
+from refloom.sources import exports, html, records
 
 # ---------------------------------------------------------------- answers of article services
 
@@ -220,6 +220,26 @@ def rejected_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.accepted(log, changes, "k", "version")[1].select("k", "writer")
 
 
+@query(
+    "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 1 THEN 'a budget or a rate is a number' WHEN 2 THEN 'two codes are equal' WHEN 3 THEN 'codes are an object of names and codes' END AS error, "
+    "CASE WHEN c_custkey % 5 = 0 THEN 1500.5 WHEN c_custkey % 5 = 4 THEN NULL ELSE 9.0 END AS budget, CASE WHEN c_custkey % 5 = 0 THEN c_name WHEN c_custkey % 5 = 4 THEN '' ELSE 'old' END AS access_code, "
+    "CASE WHEN c_custkey % 5 = 0 THEN 'BUILDING=x' || c_custkey WHEN c_custkey % 5 = 4 THEN 'A=1' ELSE 'A=1' END AS codes, CASE WHEN c_custkey % 5 = 0 THEN 'set' WHEN c_custkey % 5 = 4 THEN 'cleared' ELSE 'kept' END AS key, CASE c_custkey % 5 WHEN 0 THEN 'large' WHEN 4 THEN 'small' ELSE 'old' END AS model FROM customer"
+)
+def settings_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of many stores after a change each: valid ones, a budget that is no number, codes that clash or are no object, values that are unset."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 5
+    text = F.col("c_custkey").cast("string")
+    current = c.select(F.col("c_custkey").alias("id"), F.lit("old").alias("model"), F.lit("old").alias("access_code"), F.lit(9.0).alias("monthly_budget_usd"), F.lit(None).cast("double").alias("usd_krw"), F.create_map(F.lit("A"), F.lit("1")).alias("access_codes"), *(F.create_map().cast("map<string,string>").alias(x) for x in ("editor_codes", "chair_codes")))
+    changes = c.select(
+        F.col("c_custkey").alias("id"), F.when(k == 0, "sk-1").otherwise("").alias("api_key"), F.when(k == 4, "1").otherwise("0").alias("clear"), F.when(k == 0, "large").otherwise("unknown").alias("model"), F.when(k == 0, F.col("c_name")).when(k == 4, " ").alias("access_code"),
+        F.when(k == 0, "1,500.5").when(k == 1, "much").when(k == 4, "").alias("monthly_budget_usd"), F.lit(None).cast("string").alias("usd_krw"), F.when(k == 0, F.concat(F.lit('{"BUILDING": " x'), text, F.lit(' ", "": "1", "B": ""}'))).when(k == 3, "[1]").alias("access_codes"),
+        F.when(k == 2, '{"Z": "1"}').alias("editor_codes"), F.lit(None).cast("string").alias("chair_codes"),
+    )
+    found = stores.saved_settings(current, changes, ["small", "large"])
+    codes = F.array_join(F.transform(F.map_entries("access_codes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("id", "error", F.col("monthly_budget_usd").alias("budget"), "access_code", codes.alias("codes"), "key", "model")
+
+
 @query(
     USAGE + "SELECT 'month' AS level, substr(time, 1, 7) AS period, NULL AS org, count(*) AS uses, sum(files) AS files, sum(refs) AS refs, count(DISTINCT u) AS users FROM usage GROUP BY 2 UNION ALL SELECT 'day', substr(time, 1, 10), NULL, count(*), sum(files), sum(refs), count(DISTINCT u) FROM usage GROUP BY 2 "
     "UNION ALL SELECT 'org', NULL, CASE WHEN org = '' THEN '(미입력)' ELSE org END, count(*), sum(files), sum(refs), count(DISTINCT u) FROM usage GROUP BY 3 UNION ALL SELECT 'all', NULL, NULL, count(*), sum(files), sum(refs), count(DISTINCT u) FROM usage"
@@ -229,6 +249,31 @@ def usage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.usage_levels(_usage(spark, sf_dir)).drop("users_estimate", "sketch")
 
 
+ORGS = (("BUILDING", "Journal of Building"), ("MACHINERY", "Machinery Review"))
+
+
+@query("SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'Journal of Building' WHEN 'MACHINERY' THEN 'Machinery Review' END AS journal FROM customer")
+def society_journals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Societies beside the journal that each of them has, if it is one of those that are supported."""
+    known = spark.createDataFrame(ORGS, "org string, journal string")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("org"))
+    return reports.with_journal(rows, known).select("id", "journal")
+
+
+@query(
+    BIB + "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN count(*) END AS total, CASE WHEN doc_id % 7 <> 0 THEN count_if(seq % 3 = 0) END AS changed, CASE WHEN doc_id % 7 <> 0 THEN count_if(seq % 5 = 0) END AS verified, "
+    "CASE WHEN doc_id % 7 <> 0 THEN count_if(seq % 4 = 0) END AS crosscheck_issues, CASE WHEN doc_id % 7 = 0 THEN 'no reference list found' END AS error FROM bib GROUP BY doc_id"
+)
+def batch_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a file: its counts, or why it could not be read."""
+    b = bibliography(spark, sf_dir).select("doc_id", "seq")
+    k = F.col("seq")
+    items = b.where("doc_id % 7 <> 0").select("doc_id", (k % 3 == 0).alias("changed"), (k % 2 == 0).alias("has_issues"), F.when(k % 5 == 0, "verified").otherwise("suspect").alias("status"), F.lit(False).alias("severe"), F.lit(0).alias("n_suggestions"), F.lit(0).alias("n_tips"))
+    counts = reports.summary(items, b.where("doc_id % 7 <> 0 AND seq % 4 = 0"))
+    errors = b.where("doc_id % 7 = 0").select("doc_id", F.lit("no reference list found").alias("error")).distinct()
+    return exports.batch_report(counts, errors).select("doc_id", "total", "changed", "verified", "crosscheck_issues", "error")
+
+
 # ---------------------------------------------------------------- lookups and text functions
 
 

@@ -139,3 +139,23 @@ def test_repeated_changes(spark):
     assert found == {("punctuation", ",", ";"): (9, 3), ("case", "x", "X"): (3, 3)}
     kinds = spark.createDataFrame([("a b", "ab"), ("12", "13"), ("volume", "vol."), ("", "-")], "a string, b string").select(align.change_kind(F.col("a"), F.col("b")).alias("k")).collect()
     assert [r.k for r in kinds] == ["spacing", "number", "wording", "punctuation"]
+
+
+def test_settings_with_errors_change_nothing(spark):
+    maps = "access_codes map<string,string>, editor_codes map<string,string>, chair_codes map<string,string>"
+    current = spark.createDataFrame([(k, "m", "common", 5.0, 1300.0, {"A": "1"}, {"A": "2"}, {}) for k in range(6)], f"id int, model string, access_code string, monthly_budget_usd double, usd_krw double, {maps}")
+    rows = [
+        (0, "", "0", "n", None, None, None, None, None, None),  # nothing sent but the model
+        (1, "key", "0", "?", "", "", "1,200", '{" B ": " 9 ", "C": ""}', None, None),
+        (2, "key", "1", "m", None, "-3", None, None, "{}", None),
+        (3, "key", "1", "m", "2", None, None, None, None, None),  # the common code is an editor's
+        (4, "key", "0", "m", None, "NaN", None, None, None, None),
+        (5, "key", "0", "m", None, None, None, '{"a": ', None, None),
+    ]
+    changes = spark.createDataFrame(rows, "id int, api_key string, clear string, model string, access_code string, monthly_budget_usd string, usd_krw string, access_codes string, editor_codes string, chair_codes string")
+    found = {r.id: r for r in stores.saved_settings(current, changes, ["m", "n"]).collect()}
+    assert (found[0].model, found[0].access_code, found[0].key, found[0].error) == ("n", "common", "kept", None)
+    assert (found[1].model, found[1].access_code, found[1].monthly_budget_usd, found[1].usd_krw, found[1].access_codes, found[1].key) == ("m", "", None, 1200.0, {"B": "9"}, "set")
+    assert (found[2].monthly_budget_usd, found[2].editor_codes, found[2].key) == (0.0, {}, "cleared")
+    for k, error in ((3, "two codes are equal"), (4, "a budget or a rate is a number"), (5, "codes are an object of names and codes")):
+        assert found[k].error == error and found[k].key == "kept" and found[k].access_code == "common" and found[k].monthly_budget_usd == 5.0
