@@ -102,6 +102,41 @@ def changed_lines(items: DataFrame, service: Service | None = None) -> DataFrame
     return items.join(delta, ["doc_id", "seq"], "left").withColumn("formatted", F.coalesce(F.nullif("changed", F.lit("")), "formatted")).drop("changed")
 
 
+RuledService = Callable[[pd.DataFrame, str, str], pd.DataFrame]
+
+
+def rule_lines(rules: DataFrame) -> str:
+    """A store of rules (seq, rule, perhaps example) as the lines that a service reads. It is a dimension that people fill by hand."""
+    example = F.coalesce(F.col("example"), F.lit("")) if "example" in rules.columns else F.lit("")
+    line = F.concat(F.lit("- "), "rule", F.when(example != "", F.concat(F.lit(" (예: "), example, F.lit(")"))).otherwise(""))
+    return "\n".join(r.line for r in rules.orderBy("seq").select(line.alias("line")).collect()) or "(없음)"
+
+
+def applied_rules(items: DataFrame, standards: DataFrame, directives: DataFrame, service: RuledService | None = None) -> DataFrame:
+    """items (doc_id, seq, formatted) with note and conflict after further standards and directives (seq, rule, example).
+
+    The service is given BATCH references, numbered from 0, and both kinds of rules; it answers index, formatted, note and conflict for what it changed or could not change. Answers are
+    merged by their place in the batch: places that aren't there count for nothing, the last of several for one place counts, an empty string changes nothing. All other
+    references stay letter for letter, as do those of a batch that failed. Without a service or without rules nothing changes.
+    """
+    blank = items.withColumns({"note": F.lit(""), "conflict": F.lit("")})
+    if service is None or (standards.isEmpty() and directives.isEmpty()):
+        return blank
+    texts = rule_lines(standards), rule_lines(directives)
+
+    def asked(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.reset_index(drop=True)
+        answers = service(pd.DataFrame({"index": range(len(part)), "reference": part["formatted"]}), *texts)
+        answers = answers[answers["index"].between(0, len(part) - 1)].drop_duplicates("index", keep="last")
+        own = part.loc[answers["index"], ["doc_id", "seq"]].reset_index(drop=True)
+        return own.assign(_new=answers["formatted"].fillna("").tolist(), _note=answers["note"].fillna("").tolist(), _conflict=answers["conflict"].fillna("").tolist())
+
+    keys = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in ("doc_id", "seq"))
+    delta = called(items.select("doc_id", "seq", "formatted"), asked, f"{keys}, _new string, _note string, _conflict string").dropDuplicates(["doc_id", "seq"])
+    merged = blank.join(delta, ["doc_id", "seq"], "left")
+    return merged.withColumns({"formatted": F.coalesce(F.nullif("_new", F.lit("")), "formatted"), "note": F.coalesce("_note", "note"), "conflict": F.coalesce("_conflict", "conflict")}).drop("_new", "_note", "_conflict")
+
+
 def matched_rules(items: DataFrame, rules: DataFrame, service: Service | None = None) -> DataFrame:
     """doc_id, seq, rule_id: rules that fit an item, by the service (unknown ids are dropped) or by type."""
     if service is None:

@@ -159,3 +159,24 @@ def test_settings_with_errors_change_nothing(spark):
     assert (found[2].monthly_budget_usd, found[2].editor_codes, found[2].key) == (0.0, {}, "cleared")
     for k, error in ((3, "two codes are equal"), (4, "a budget or a rate is a number"), (5, "codes are an object of names and codes")):
         assert found[k].error == error and found[k].key == "kept" and found[k].access_code == "common" and found[k].monthly_budget_usd == 5.0
+
+
+def test_rules_are_applied_by_place(spark):
+    """Sparse answers, places that are not there, several for one place, empty ones, a batch that fails; what is not named stays letter for letter."""
+    items = spark.createDataFrame([(1, k, f"entry {k}") for k in range(30)], "doc_id long, seq long, formatted string").coalesce(1)
+    standards = spark.createDataFrame([(2, "second", None), (1, "first", "as here")], "seq int, rule string, example string")
+    directives = spark.createDataFrame([(1, "always")], "seq int, rule string")
+
+    def service(frame, own, other):
+        assert own == "- first (예: as here)\n- second" and other == "- always" and frame["index"].tolist() == list(range(len(frame)))
+        if "entry 24" in frame["reference"].tolist():
+            raise ValueError("busy")
+        return pd.DataFrame({"index": [1, 1, 3, 5, 99, -1], "formatted": ["lost", "new", "", None, "x", "y"], "note": ["a", "b", "c", None, "", ""], "conflict": [None, "", "with the standard", "", "", ""]})
+
+    found = {r.seq: (r.formatted, r.note, r.conflict) for r in stages.applied_rules(items, standards, directives, service).collect()}
+    for k in range(30):
+        place = k % 12
+        expected = (f"entry {k}", "", "") if k >= 24 or place not in (1, 3) else ("new", "b", "") if place == 1 else (f"entry {k}", "c", "with the standard")
+        assert found[k] == expected
+    none = standards.limit(0)
+    assert {(r.note, r.conflict) for r in stages.applied_rules(items, none, none, service).collect()} == {("", "")} and stages.applied_rules(items, standards, directives).count() == 30
