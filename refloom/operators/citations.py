@@ -66,14 +66,14 @@ def entry_keys(entries: DataFrame, id_column: str = "doc_id", seq_column: str =
 NAMES = 50_000
 
 
-def names_in(bodies: DataFrame, names: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, name: the distinct non-empty names (id, name) that stand in their text (id, body), as written or in lower case.
+def named_in(bodies: DataFrame, keys: DataFrame, value_column: str, id_column: str = "doc_id") -> DataFrame:
+    """Distinct id and value of the keys (id, name, value) whose name is not empty and stands in their text (id, body), as written or in lower case.
 
     A text's names travel to it as one array, and one automaton finds all of them in a single pass over the text, so a text is neither copied nor read for each
     name. A list of over NAMES names takes a pass for each so many.
     """
-    kind = bodies.schema[id_column].dataType.simpleString()
-    lists = names.where("name <> ''").groupBy(id_column).agg(F.collect_set("name").alias("_all"))
+    kinds = [bodies.schema[id_column].dataType.simpleString(), keys.schema[value_column].dataType.simpleString()]
+    lists = keys.where("name <> ''").groupBy(id_column).agg(F.collect_set(F.struct("name", F.col(value_column).alias("value"))).alias("_all"))
     parts = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_all) - 1) div {NAMES}")), lambda k: F.slice("_all", k * NAMES + 1, F.lit(NAMES)))
     lists = lists.select(id_column, F.explode(parts).alias("_names"))
     sent = bodies.select(id_column, F.coalesce("body", F.lit("")).alias("_body")).join(lists, id_column).select(id_column, "_body", F.lower("_body").alias("_low"), "_names")
@@ -81,18 +81,26 @@ def names_in(bodies: DataFrame, names: DataFrame, id_column: str = "doc_id") ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
-            for k in range(len(batch)):
-                body, low, wanted = (batch.column(c)[k].as_py() for c in (1, 2, 3))
+            for k, (body, low, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                values: dict[str, list] = {}
+                for x in wanted:
+                    values.setdefault(x["name"], []).append(x["value"])
                 automaton = ahocorasick.Automaton()
-                for n in wanted:
+                for n in values:
                     automaton.add_word(n, n)
                 automaton.make_automaton()
-                here = {n for text in (body, low) for _, n in automaton.iter(text)}
+                here = {v for n in {n for text in (body, low) for _, n in automaton.iter(text)} for v in values[n]}
                 rows += [k] * len(here)
                 found += here
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], [id_column, "name"])
+            kind = batch.schema.field(3).type.value_type.field("value").type
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, kind)], [id_column, value_column])
+
+    return sent.mapInArrow(work, f"{id_column} {kinds[0]}, {value_column} {kinds[1]}").distinct()
 
-    return sent.mapInArrow(work, f"{id_column} {kind}, name string")
+
+def names_in(bodies: DataFrame, names: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """id, name: the distinct names (id, name) that stand in their text."""
+    return named_in(bodies, names.select(id_column, "name", F.col("name").alias("_value")), "_value", id_column).withColumnRenamed("_value", "name")
 
 
 def cross_check(bodies: DataFrame, entries: DataFrame, id_column: str = "doc_id", seq_column: str = "seq") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -117,7 +125,7 @@ def cross_check(bodies: DataFrame, entries: DataFrame, id_column: str = "doc_id"
 
     used = keys.join(cited.where("matched").select(id_column, F.col("key").alias("name"), "year").distinct(), [id_column, "name", "year"], "left_semi").select(id_column, seq_column).distinct()
     rest = keys.join(used, [id_column, seq_column], "left_anti")
-    told = rest.join(names_in(bodies, rest.select(id_column, "name"), id_column).distinct(), [id_column, "name"], "left_semi").select(id_column, seq_column).distinct()
+    told = named_in(bodies, rest.select(id_column, "name", seq_column), seq_column, id_column)
     unused = rest.select(id_column, seq_column).distinct().join(told, [id_column, seq_column], "left_anti")
     not_cited = entries.join(unused, [id_column, seq_column], "left_semi").select(id_column, seq_column, F.substring("raw", 1, 120).alias("raw"), F.substring(F.array_join("authors", ", "), 1, 60).alias("authors"), "year")
     return cited.drop("key"), not_listed, not_cited
