@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ def scored(left: DataFrame, right: DataFrame, threshold: float, tile: int) -> Da
     other = right.select(F.col("doc_id").cast("string").alias("block"), F.col("pos").alias("number"), "key", F.col("low").alias("more"), F.lit("").alias("doi"), F.lit(0).alias("place"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = difflib.SequenceMatcher(autojunk=False)
+        comparer = near.Comparer(autojunk=False)
         for doc, mine, theirs in near.tile_groups(batches):
             a, titles, dois, places = (mine.column(c).to_pylist() for c in ("key", "more", "doi", "place"))
             b, lows = (theirs.column(c).to_pylist() for c in ("key", "more"))
@@ -50,13 +49,11 @@ def scored(left: DataFrame, right: DataFrame, threshold: float, tile: int) -> Da
                 if not a[i]:  # nothing equals nothing
                     scores |= {(i, j): 1.0 for j, key in enumerate(b) if not key}
             rows, columns = near.screened(a, b, threshold)
-            order, last = np.argsort(columns, kind="stable"), -1
+            order = np.argsort(columns, kind="stable")
             for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
-                if j != last:
-                    matcher.set_seq2(b[j])
-                    last = j
+                comparer.against(b[j])
                 floor = scores.get((i, j), 0.0)
-                score = near.similarity(a[i], b[j], max(threshold, floor), matcher)
+                score = comparer.score(a[i], max(threshold, floor))
                 if score > floor:
                     scores[i, j] = score
             by_row: dict[int, list[tuple[float, int]]] = {}

@@ -175,11 +175,42 @@ def near_pairs(left: DataFrame, right: DataFrame, threshold: float, tile: int =
     return first.where(rest >= needed).select("block", F.col("l_id").alias("l"), F.col("r_id").alias("r")).distinct()
 
 
-def similarity(a: str, b: str, threshold: float, matcher: difflib.SequenceMatcher) -> float:
-    """The matcher's ratio where it reaches the threshold, else 0; its second string is b. Bounds by length and by characters in common come first."""
-    matcher.set_seq1(a)
-    score = matcher.ratio() if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold else 0.0
-    return score if score >= threshold else 0.0
+class Comparer:
+    """Similarities of many strings with one: their sequence similarity where it reaches a threshold, else 0.
+
+    Two bounds come first: by length, and by the longest common subsequence, which all matched runs together are one of. Its length takes a few operations on
+    whole numbers a character (a bit for each character of the one string), a small part of what matching takes.
+    """
+
+    def __init__(self, autojunk: bool = True):
+        self.matcher, self.own, self.masks, self.ready = difflib.SequenceMatcher(autojunk=autojunk), None, {}, False
+
+    def against(self, b: str) -> None:
+        if b == self.own:
+            return
+        self.own, self.masks, self.ready = b, {}, False
+        for k, c in enumerate(b):
+            self.masks[c] = self.masks.get(c, 0) | 1 << k
+
+    def common(self, a: str) -> int:
+        """Length of the longest common subsequence."""
+        every = (1 << len(self.own)) - 1
+        left = every
+        for c in a:
+            met = left & self.masks.get(c, 0)
+            left = (left + met | left - met) & every
+        return len(self.own) - left.bit_count()
+
+    def score(self, a: str, threshold: float) -> float:
+        total = len(a) + len(self.own)
+        if not a or not self.own or 2 * min(len(a), len(self.own)) / total < threshold or 2 * self.common(a) / total < threshold:
+            return 0.0
+        if not self.ready:
+            self.matcher.set_seq2(self.own)
+            self.ready = True
+        self.matcher.set_seq1(a)
+        score = self.matcher.ratio()
+        return score if score >= threshold else 0.0
 
 
 def bounded_ratio(threshold: float) -> Column:
@@ -187,13 +218,10 @@ def bounded_ratio(threshold: float) -> Column:
 
     @F.pandas_udf("double")
     def compared(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        matcher, last = difflib.SequenceMatcher(), None
+        out, comparer = [], Comparer()
         for x, y in zip(a, b, strict=True):
-            if x and y and y != last:  # what is kept about the second string serves all that it is compared with
-                matcher.set_seq2(y)
-                last = y
-            out.append(similarity(x, y, threshold, matcher) if x and y else 0.0)
+            comparer.against(y or "")
+            out.append(comparer.score(x or "", threshold))
         return pd.Series(out)
 
     return compared
@@ -265,17 +293,15 @@ def by_tiles(left: DataFrame, right: DataFrame, threshold: float, tile: int = TI
     """block, a, b, similarity of all pairs of distinct texts (columns block, text) that are alike, from tiles of both sides."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = difflib.SequenceMatcher()
+        comparer = Comparer()
         for block, own, other in tile_groups(batches):
             a, b = own.column("text").to_pylist(), other.column("text").to_pylist()
             rows, columns = screened(a, b, threshold)
             order = np.argsort(columns, kind="stable")
-            out, last = [], -1
+            out = []
             for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
-                if j != last:
-                    matcher.set_seq2(b[j])
-                    last = j
-                score = similarity(a[i], b[j], threshold, matcher)
+                comparer.against(b[j])
+                score = comparer.score(a[i], threshold)
                 if score:
                     out.append((a[i], b[j], score))
             if out:

@@ -81,3 +81,20 @@ def test_bounded_ratio(spark):
     frame = spark.createDataFrame(rows, "a string, b string").coalesce(1)
     found = [r.s for r in frame.select(near.bounded_ratio(0.8)("a", "b").alias("s")).collect()]
     assert found == [difflib.SequenceMatcher(None, x or "", y).ratio() if x and difflib.SequenceMatcher(None, x, y).ratio() >= 0.8 else 0.0 for x, y in rows]
+
+
+def test_common_subsequences_bound_the_similarity():
+    """Their length is that of the plain table, and no similarity is beyond it."""
+    rng = random.Random(7)
+    texts = [t for t in strings(rng) if len(t) < 80]
+    comparer = near.Comparer()
+    for x, y in zip(texts, texts[2:], strict=False):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for k, d in enumerate(y):
+                last, row[k + 1] = row[k + 1], last + 1 if c == d else max(row[k], row[k + 1])
+        comparer.against(y)
+        assert comparer.common(x) == row[-1]
+        ratio = difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+        assert comparer.score(x, 1e-9) == ratio and comparer.score(x, ratio + 1e-9) == 0.0
