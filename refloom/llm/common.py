@@ -193,16 +193,26 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** n modulo 2 ** 64."""
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    return np.cumprod(out, out=out)
 
 
 def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Hashes of all runs of `width` values: equal runs have equal hashes wherever they stand."""
+    """Hashes of all runs of `width` values: equal runs have equal hashes wherever they stand. Works in place: of a long text there are three arrays at a time."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64) * powers(base, len(values) - 1), dtype=np.uint64)])
-    return mixed((sums[width:] - sums[:n]) * powers(pow(base, -1, 1 << 64), n - 1))  # base is odd, so it has an inverse
+    sums = powers(base, len(values) - 1)
+    sums *= values.astype(np.uint64, copy=False) if values.dtype.kind != "u" else values
+    np.cumsum(sums, out=sums)
+    out = sums[width - 1 :].copy()
+    out[1:] -= sums[: n - 1]
+    del sums
+    out *= powers(pow(base, -1, 1 << 64), n - 1)  # base is odd, so it has an inverse
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # as mixed() does
+        out ^= out >> np.uint64(shift)
+        out *= np.uint64(factor)
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -211,7 +221,7 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     if n < width:
         return np.zeros(0, np.int64)
     # a window's minimum is that of two overlapping runs whose length is a power of two
-    best, run = np.arange(n), 1
+    best, run = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64), 1
     while run * 2 <= width:
         left, right = best[: len(best) - run], best[run:]
         best = np.where(values[right] < values[left], right, left)
