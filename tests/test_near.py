@@ -98,3 +98,37 @@ def test_common_subsequences_bound_the_similarity():
         assert comparer.common(x) == row[-1]
         ratio = difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
         assert comparer.score(x, 1e-9) == ratio and comparer.score(x, ratio + 1e-9) == 0.0
+
+
+@pytest.mark.parametrize("threshold", THRESHOLDS)
+def test_rows_of_bits_lose_no_pair(threshold, monkeypatch):
+    monkeypatch.setattr(near, "SMALL", 0)
+    for chunk, columns in ((64, 4096), (64, 50)):
+        monkeypatch.setattr(near, "CHUNK", chunk)
+        monkeypatch.setattr(near, "COLUMNS", columns)
+        texts = strings(random.Random(7))
+        rows, found = near.screened(texts, texts, threshold)
+        alike = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if x and y and difflib.SequenceMatcher(None, x, y).ratio() >= threshold}
+        assert alike <= set(zip(rows.tolist(), columns_of := found.tolist(), strict=True)) and len(columns_of) < len(texts) ** 2
+
+
+def test_random_letters_are_screened():
+    """Random hexadecimal titles share letters and pairs of them; few pairs are left to compare all the same."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(600)]
+    rows, found = near.screened(texts[:300], texts[300:], 0.8)
+    assert len(rows) < 20
+    near_one = texts[0][:10] + "z" + texts[0][11:40] + texts[0][45:]
+    assert (0, 299) in set(zip(*(x.tolist() for x in near.screened(texts[:300], [*texts[301:], near_one], 0.8)), strict=True))
+
+
+def test_nothing_asked_reads_nothing(spark):
+    """Where no text is searched, the other side is not counted."""
+
+    def broken(batches):
+        raise ValueError("read")
+        yield from batches
+
+    none = spark.createDataFrame([("x", "")], "block string, text string")
+    other = none.mapInArrow(broken, "block string, text string")
+    assert near.alike(none, other, 0.9).count() == 0
