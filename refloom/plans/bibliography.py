@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in one task at most where each is rendered and parsed: few bytes, much work.
+TASK_ROWS = 20_000
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows, n of them, dealt to all cores, in more parts the more rows there are, so that no task grows with the table."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+
+
 def letters(c: Column) -> Column:
     return F.translate(c.cast("string"), "0123456789", "abcdefghij")
 
@@ -21,7 +30,8 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq (unique), first, second (author, maybe empty), year, title, container, volume, issue, pages, doi (for some), raw."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     n_parts = parts.count()
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("p_partkey", F.col("o_orderkey") % n_parts).join(parts, "p_partkey")
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("p_partkey", F.col("o_orderkey") % n_parts).join(parts, "p_partkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     page = k % 400 + 1
     rows = rows.select(
@@ -39,8 +49,7 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     who = F.concat("first", F.when(F.col("second") == "", "").otherwise(F.concat(F.lit(" & "), "second")))
     link = F.when(F.col("doi") == "", "").otherwise(F.concat(F.lit(" https://doi.org/"), "doi"))
-    # few bytes, much work: each row is rendered and parsed, so the rows are dealt to all cores
-    rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    rows = dealt(rows, orders.count())
     return rows.withColumn("raw", F.concat(who, F.lit(" ("), "year", F.lit("). "), "title", F.lit(". "), "container", F.lit(", "), "volume", F.lit("("), "issue", F.lit("), "), "pages", F.lit("."), link))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.plans.bibliography import table
+from refloom.plans.bibliography import dealt, table
 
 _WORD = "translate(CAST(k AS STRING), '0123456789', 'abcdefghij')"
 _HANGUL = "translate(CAST(k AS STRING), '0123456789', '가나다라마바사자차카')"
@@ -74,6 +74,5 @@ TYPED_SQL = f"WITH keys AS (SELECT o_custkey AS doc_id, o_orderkey AS seq, o_ord
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq (unique), t (number of the kind), the fields, raw and styled (the entry in the house style)."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % KINDS).alias("t"))
-    # few bytes, much work: each row is parsed, so the rows are dealt to all cores
-    keys = keys.repartition(spark.sparkContext.defaultParallelism)
+    keys = dealt(keys, keys.count())
     return keys.select("doc_id", "seq", "t", *(F.expr(sql).alias(name) for name, sql in _COLUMNS.items()))

@@ -2,6 +2,7 @@
 
 import difflib
 import io
+import os
 import random
 import time
 import zipfile
@@ -323,3 +324,29 @@ def test_stages_fall_back_to_rules(spark):
     assert stages.english_titles(entries, entries.limit(1).withColumn("title_en", F.lit("T"))).count() == 1
     assert stages.custom_style(entries, entries).where("error IS NOT NULL").count() == 3
     assert {r.pattern for r in stages.mined_rules(raws.withColumn("journal", F.lit("J"))).collect()} == {"year in parentheses with period"}
+
+
+def test_articles_parse_each_record_once_for_all_texts(spark):
+    xml = (
+        "<r><record><articleInfo article-id='A1'><article-title lang='original'> 가나 &amp; <b>다</b> </article-title><article-title lang='english'>Other</article-title><journalName>J</journalName>"
+        "<pub-year>2001.05</pub-year><volume/><lpage>9</lpage><doi>https://doi.org/10.1/x</doi><author english='Kim'>김 <name>x</name></author><author> </author></articleInfo></record>"
+        "<record><title>T2</title><issue-date>19990101</issue-date></record></r>"
+    )
+    found = records.articles(spark.createDataFrame([(1, xml), (2, None)], "k int, xml string"))
+    rows = {r.pos: r for r in found.collect()}
+    assert [rows[0][c] for c in ("title", "container", "year", "volume", "pages", "doi", "title_en", "record_id", "authors", "authors_en")] == ["가나 & 다", "J", "2001", "", "9", "10.1/x", "Other", "A1", ["김"], ["Kim"]]
+    assert [rows[1][c] for c in ("title", "year", "record_id", "authors", "authors_en")] == ["T2", "1999", "", [], []]
+    plan = found._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("xpath_string") + plan.count("xpathstringevaluator") == 1
+
+
+def test_parts_grow_with_the_entries(spark, tmp_path, monkeypatch):
+    from refloom.plans import bibliography, typed
+
+    tables = "/root/testdata/sf0.001"
+    if not os.path.exists(tables):
+        pytest.skip("the driver's tables are not here")
+
+    monkeypatch.setattr(bibliography, "TASK_ROWS", 100)
+    for rows in (bibliography.bibliography(spark, tables), typed.typed(spark, tables)):
+        assert rows.rdd.getNumPartitions() == 15
