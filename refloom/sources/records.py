@@ -16,9 +16,13 @@ LAW_TITLE = r"(?U)법률\s*제\s*\d+호|대통령령\s*제\s*\d+호|시행령|
 UPDATES = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("date_parts", T.ArrayType(T.IntegerType()))]))
 
 
-def first_of(xml: Column, *paths: str) -> Column:
-    """Text of the first path that has any."""
-    return either(*(strip(F.xpath_string(xml, F.lit(p))) for p in paths))
+#: Stands between the texts of several paths: no XML may hold it.
+BETWEEN = "\x1e"
+
+
+def texts_of(xml: Column, paths: list[str]) -> Column:
+    """Texts of the first element of each path, empty where there is none: all paths in one expression, so the XML is parsed once."""
+    return F.split(F.xpath_string(xml, F.lit("concat(" + f", '{BETWEEN}', ".join(f"string({p})" for p in paths) + ")")), BETWEEN)
 
 
 def digits(c: Column, n: int = 4) -> Column:
@@ -36,25 +40,38 @@ def failed_answer(xml: Column) -> Column:
     return (message != "") & ~message.rlike("(?i)no data|데이터가 없|결과가 없|NORMAL|정상")
 
 
+# Where an article's fields stand.
+ARTICLE_PATHS = (
+    "//article-title //articleTitle //title //journal-name //journalName //pub-year //pubYear //issue-date //volume //issue //fpage //lpage //doi //article-title[@lang='english'] //articleInfo/@article-id"
+).split()
+
+
 def articles(answers: DataFrame, xml_column: str = "xml") -> DataFrame:
     """answers with the META fields, authors and authors_en of each record element."""
     n = F.col("node")
-    pages = [first_of(n, "//fpage"), first_of(n, "//lpage")]
-    english = F.transform(F.expr("xpath(node, '//author/@english')"), strip)
-    return nodes(answers, "record", xml_column).select(
-        *(c for c in answers.columns if c != xml_column),
+    keys = [c for c in answers.columns if c != xml_column]
+    read = nodes(answers, "record", xml_column).select(*keys, "pos", "node", texts_of(n, ARTICLE_PATHS).alias("_texts"))
+
+    def of(*paths: str) -> Column:
+        return either(*(strip(F.get("_texts", F.lit(ARTICLE_PATHS.index(p)))) for p in paths))
+
+    pages = [of("//fpage"), of("//lpage")]
+    # an attribute that is nowhere in the text needs no second look
+    english = F.transform(F.when(F.contains(n, F.lit("english")), F.expr("xpath(node, '//author/@english')")).otherwise(F.array().cast("array<string>")), strip)
+    return read.select(
+        *keys,
         "pos",
-        first_of(n, "//article-title", "//articleTitle", "//title").alias("title"),
-        first_of(n, "//journal-name", "//journalName").alias("container"),
-        digits(first_of(n, "//pub-year", "//pubYear", "//issue-date")).alias("year"),
-        first_of(n, "//volume").alias("volume"),
-        first_of(n, "//issue").alias("issue"),
+        of("//article-title", "//articleTitle", "//title").alias("title"),
+        of("//journal-name", "//journalName").alias("container"),
+        digits(of("//pub-year", "//pubYear", "//issue-date")).alias("year"),
+        of("//volume").alias("volume"),
+        of("//issue").alias("issue"),
         F.array_join(F.filter(F.array(*pages), lambda p: p != ""), "-").alias("pages"),
-        bare_doi(first_of(n, "//doi")).alias("doi"),
+        bare_doi(of("//doi")).alias("doi"),
         F.lit("").alias("publisher"),
         F.lit("").alias("isbn"),
-        first_of(n, "//article-title[@lang='english']").alias("title_en"),
-        F.xpath_string(n, F.lit("//articleInfo/@article-id")).alias("record_id"),
+        of("//article-title[@lang='english']").alias("title_en"),
+        F.get("_texts", F.lit(ARTICLE_PATHS.index("//articleInfo/@article-id"))).alias("record_id"),
         F.lit("kci").alias("source"),
         F.filter(F.transform(F.expr("xpath(node, '//author/text()')"), strip), lambda a: a != "").alias("authors"),
         F.filter(english, lambda a: a != "").alias("authors_en"),
