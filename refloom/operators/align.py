@@ -22,6 +22,8 @@ ACCEPT, TITLE_FOUND, DOI_FOUND = 0.45, 0.90, 0.99
 STRONG = 0.90
 #: Rows of either side in a tile, for strong pairs (found by bounds that cost little) and for all others.
 STRONG_TILE, TILE = 1024, 192
+#: Pairs that are sent on together.
+BATCH = 8192
 PAIR = ["doc_id", "seq", "pos", "score"]
 
 
@@ -36,6 +38,11 @@ def scored(left: DataFrame, right: DataFrame, threshold: float, tile: int) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comparer = near.Comparer(autojunk=False)
+        out: list[tuple[int, int, int, float]] = []
+
+        def written() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.float64()), strict=True)], PAIR)
+
         for doc, mine, theirs in near.tile_groups(batches):
             a, titles, dois, places = (mine.column(c).to_pylist() for c in ("key", "more", "doi", "place"))
             b, lows = (theirs.column(c).to_pylist() for c in ("key", "more"))
@@ -59,9 +66,12 @@ def scored(left: DataFrame, right: DataFrame, threshold: float, tile: int) -> Da
             by_row: dict[int, list[tuple[float, int]]] = {}
             for (i, j), score in scores.items():
                 by_row.setdefault(i, []).append((-score, pos[j]))
-            out = [(int(doc), seq[i], p, -s) for i, found in by_row.items() for s, p in sorted(found)[: places[i]]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.float64()), strict=True)], PAIR)
+            out += [(int(doc), seq[i], p, -s) for i, found in by_row.items() for s, p in sorted(found)[: places[i]]]
+            if len(out) >= BATCH:  # lists are small: many go into one batch
+                yield written()
+                out = []
+        if out:
+            yield written()
 
     return near.tiled(own, other, ("number", "key", "more", "doi", "place"), tile).mapInArrow(work, "doc_id long, seq long, pos long, score double")
 
@@ -80,6 +90,8 @@ def chosen_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
     The first open entry of each list is settled in every round; as a rule nearly all are in a few. Each round is written and read back.
     """
+    inputs = Written(left.sparkSession)  # every round reads both sides: what they were made from is not made again
+    left, right = inputs.cut(left), inputs.cut(right)
     written = Written(left.sparkSession)
     strong = written.cut(scored(left, right, STRONG, STRONG_TILE).withColumn("full", F.lit(False)))
     weak = left.join(strong.select("doc_id", "seq").distinct(), ["doc_id", "seq"], "left_anti")
@@ -111,6 +123,7 @@ def chosen_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         written.drop(keep=2)  # the pairs that are left, with or without the table of those that lost theirs
         results.drop(keep=1)
     written.drop()
+    inputs.drop()
     return settled if settled is not None else left.sparkSession.createDataFrame([], "doc_id long, seq long, pos long, score double")
 
 

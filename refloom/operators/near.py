@@ -38,10 +38,12 @@ TILE = 1000
 TILE_TEXTS, COLUMNS = (16384, 65536), 4096
 #: Texts whose grams are numbered at a time.
 CHUNK = 4096
-#: Pairs of a tile up to which a matrix product counts what they have in common, and its columns.
-SMALL, SMALL_COLUMNS = 4096, 2048
+#: Pairs of a tile up to which a matrix product counts what they have in common, and its columns for pairs of letters and for letters.
+SMALL, SMALL_COLUMNS, LETTER_COLUMNS = 4096, 2048, 128
 #: Occurrences of a gram in a text that are told apart in a row of bits.
 REPEATS = 4
+#: From so many characters on, a matcher leaves popular characters out.
+LONG = 200
 #: What two texts that meet in a gram cost, as a multiple of one pair in a tile.
 GRAM_COST = 300
 
@@ -198,14 +200,14 @@ class Comparer:
         self.matcher, self.own, self.masks, self.ready = difflib.SequenceMatcher(autojunk=autojunk), None, {}, False
 
     def against(self, b: str) -> None:
-        if b == self.own:
-            return
-        self.own, self.masks, self.ready = b, {}, False
-        for k, c in enumerate(b):
-            self.masks[c] = self.masks.get(c, 0) | 1 << k
+        if b != self.own:
+            self.own, self.masks, self.ready = b, {}, False
 
     def common(self, a: str) -> int:
         """Length of the longest common subsequence."""
+        if not self.masks:
+            for k, c in enumerate(self.own):
+                self.masks[c] = self.masks.get(c, 0) | 1 << k
         every = (1 << len(self.own)) - 1
         left = every
         for c in a:
@@ -215,7 +217,11 @@ class Comparer:
 
     def score(self, a: str, threshold: float) -> float:
         total = len(a) + len(self.own)
-        if not a or not self.own or 2 * min(len(a), len(self.own)) / total < threshold or 2 * self.common(a) / total < threshold:
+        if not a or not self.own or 2 * min(len(a), len(self.own)) / total < threshold:
+            return 0.0
+        if (not self.matcher.autojunk or len(self.own) < LONG) and (a in self.own or self.own in a):  # the one string is the longest run
+            return 2 * min(len(a), len(self.own)) / total
+        if 2 * self.common(a) / total < threshold:
             return 0.0
         if not self.ready:
             self.matcher.set_seq2(self.own)
@@ -246,17 +252,33 @@ def _table(texts: list[str], q: int, columns: int) -> np.ndarray:
     return np.bincount(at, minlength=len(texts) * columns).astype(np.float32).reshape(len(texts), columns)
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """For each text, how often it has each letter; of many kinds some share a column, which can only raise what two texts share."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    at = owner * LETTER_COLUMNS + points % LETTER_COLUMNS
+    return np.bincount(at, minlength=len(texts) * LETTER_COLUMNS).astype(np.int32).reshape(len(texts), LETTER_COLUMNS)
+
+
 def _screened_small(left: list[str], right: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """screened() by products of counts, which are at least the number of common grams."""
+    """screened() by the letters that both have, and by products of counts of pairs of letters, which are at least the number of common ones; these
+    only where the letters leave more than a few pairs."""
     la, lb = (np.array([len(t) for t in texts], np.int64) for texts in (left, right))
     total = la[:, None] + lb[None]
     fits = 2 * np.minimum(la[:, None], lb[None]) >= (threshold - 1e-9) * total
-    for q in (2, 1):
-        needed = least_shared(total, q, threshold)
-        if fits.any() and (needed > 0).any():
-            columns = min(SMALL_COLUMNS, 512) if q == 1 else SMALL_COLUMNS
-            fits &= _table(left, q, columns) @ _table(right, q, columns).T >= needed - 0.5
-    return np.nonzero(fits)
+    rows, columns = np.nonzero(fits)
+    if len(rows):
+        letters = _letters([*left, *right])
+        own, other = letters[: len(left)], letters[len(left) :]
+        shared = np.concatenate([np.minimum(own[rows[k : k + CHUNK]], other[columns[k : k + CHUNK]]).sum(1) for k in range(0, len(rows), CHUNK)])
+        kept = 2 * shared >= (threshold - 1e-9) * total[rows, columns]
+        rows, columns = rows[kept], columns[kept]
+    needed = least_shared(total[rows, columns], 2, threshold)
+    if len(rows) > 2 * len(left) and (needed > 0).any():
+        product = _table(left, 2, SMALL_COLUMNS) @ _table(right, 2, SMALL_COLUMNS).T
+        kept = product[rows, columns] >= needed - 0.5
+        rows, columns = rows[kept], columns[kept]
+    return rows, columns
 
 
 class Bits:

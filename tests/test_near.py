@@ -132,3 +132,34 @@ def test_nothing_asked_reads_nothing(spark):
     none = spark.createDataFrame([("x", "")], "block string, text string")
     other = none.mapInArrow(broken, "block string, text string")
     assert near.alike(none, other, 0.9).count() == 0
+
+
+def test_strings_that_hold_each_other_need_no_matching(monkeypatch):
+    pairs = [("abcd", "xxabcdyy"), ("xxabcdyy", "abcd"), ("same", "same"), ("a" * 150, "b" * 3 + "a" * 150 + "ab" * 9)]
+    expected = [difflib.SequenceMatcher(None, a, b, autojunk=junk).ratio() for a, b in pairs for junk in (True, False)]
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: 1 / 0)
+    found = []
+    for a, b in pairs:
+        for junk in (True, False):
+            comparer = near.Comparer(autojunk=junk)
+            comparer.against(b)
+            found.append(comparer.score(a, 0.1))
+    assert found == expected
+
+
+def test_popular_letters_still_count_where_they_are_left_out():
+    a, b = "ab" * 20, "ab" * 150
+    comparer = near.Comparer(autojunk=True)
+    comparer.against(b)
+    assert comparer.score(a, 0.01) == (r if (r := difflib.SequenceMatcher(None, a, b).ratio()) >= 0.01 else 0.0)
+
+
+def test_small_tiles_are_screened_by_letters_and_lose_no_pair():
+    rnd = random.Random(3)
+    left = ["".join(rnd.choice("abcd가나") for _ in range(rnd.randint(1, 30))) for _ in range(40)]
+    right = [t[:k] + rnd.choice("abz") + t[k:] for t in left for k in (0, 3)]
+    for threshold in (0.45, 0.8, 0.92):
+        kept = set(zip(*(x.tolist() for x in near.screened(left, right, threshold)), strict=True))
+        assert kept >= {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= threshold}
+    few = near.screened(["0123456789abcdef" * 8, "가" * 128], ["0123456789abcdef" * 8, "z" * 128], 0.9)
+    assert [x.tolist() for x in few] == [[0], [0]]
