@@ -62,9 +62,7 @@ def sentence_case(c: Column) -> Column:
 
 def is_body(name: Column) -> Column:
     """A corporate name: two or more words with a linking word or a word such as association among them."""
-    words = F.filter(F.split(strip(name), r"(?U)[\s,]+"), lambda w: w != "")
-    low = F.transform(words, lambda w: rstrip(lstrip(F.lower(w), "."), "."))
-    return (F.size(words) >= 2) & F.arrays_overlap(low, F.array(*[F.lit(w) for w in [*BODY_LINK_WORDS, *BODY_WORDS]]))
+    return F.lower(name).rlike(rf"(?U)(?:^|[\s,])\.*(?:{'|'.join([*BODY_LINK_WORDS, *BODY_WORDS])})\.*(?:[\s,]|\z)") & name.rlike(r"(?U)[^\s,][\s,]+[^\s,]")
 
 
 def western_name(name: Column) -> Column:
@@ -82,13 +80,16 @@ def western_name(name: Column) -> Column:
 def author_line(authors: Column, note: Column, lang: Column) -> Column:
     """Authors as one string: western ones turned and joined with an ampersand, others joined by commas; the role follows."""
     named = F.filter(authors, lambda a: strip(a) != "")
-    west = F.transform(named, western_name)
     n = F.size(named)
-    joined = (
-        F.when(n == 1, F.get(west, F.lit(0)))
-        .when(n == 2, F.concat(F.get(west, F.lit(0)), F.lit(" & "), F.get(west, F.lit(1))))
-        .otherwise(F.concat(F.array_join(F.slice(west, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", & "), F.coalesce(F.try_element_at(west, F.lit(-1)), F.lit(""))))
-    )
+
+    def turned(west: Column) -> Column:
+        size = F.size(west)
+        last = F.coalesce(F.try_element_at(west, F.lit(-1)), F.lit(""))
+        many = F.concat(F.array_join(F.slice(west, F.lit(1), F.greatest(size - 1, F.lit(0))), ", "), F.lit(", & "), last)
+        return F.when(size == 1, F.get(west, F.lit(0))).when(size == 2, F.concat(F.get(west, F.lit(0)), F.lit(" & "), F.get(west, F.lit(1)))).otherwise(many)
+
+    # the names are turned once, whatever uses them
+    joined = F.get(F.transform(F.array(F.transform(named, western_name)), turned), F.lit(0))
     role = strip(F.coalesce(note, F.lit("")))
     joined = F.concat(joined, F.when(role == "", "").when(role.endswith("."), F.concat(F.lit(" "), role)).otherwise(F.concat(F.lit(" "), role, F.lit("."))))
     other = F.concat(F.array_join(F.transform(named, strip), ", "), F.when(role == "", "").otherwise(F.concat(F.lit(" "), role)))

@@ -13,6 +13,10 @@ HANGUL, HAN, KANA = "가-힣", "一-鿿", "぀-ゟ゠-ヿ"
 YEAR = r"(?:18|19|20)\d{2}"
 DOI_LINK = r"(?iU)(?:https?://(?:dx\.)?doi\.org/|doi[:\s]\s*)(10\.\d{4,9}/[^\s,;”\"]+)"
 URL = r"(?U)https?://[^\s。)\]”\"]+"
+#: All that Unicode calls white space, as (?U)\s does.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: ASCII characters that no key has.
+ASCII_MARKS = "".join(chr(k) for k in range(128) if not chr(k).isalnum())
 LEGAL_FORMS = r"(?iU)\(\s*[주유재사합]\s*\)|㈜|주식회사|유한회사|재단법인|사단법인|도서출판|\b(?:inc|ltd|co|corp|company)\b\.?"
 
 
@@ -22,7 +26,7 @@ def sub(c: Column, pattern: str, new: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without blanks of any kind at either end."""
-    return sub(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column, chars: str) -> Column:
@@ -60,9 +64,14 @@ def script_class(c: Column) -> Column:
     return F.when(head.rlike(f"[{HANGUL}]"), "ko").when(head.rlike(f"[{HAN}{KANA}]"), "east").when(head.rlike("[A-Za-z]"), "west").otherwise("ko")
 
 
+def folded(c: Column) -> Column:
+    """Text in lower case, with the four characters that patterns without case take for the ASCII letters s, k and i as these."""
+    return F.lower(F.translate(c, "ſKıİ", "skii"))
+
+
 def compare_key(c: Column) -> Column:
     """Text without blanks, punctuation and quotes; hyphens stay, so that page ranges differ from numbers."""
-    return sub(F.coalesce(c, F.lit("")), r"(?U)[\s.,;:：()\[\]“”\"'·]+", "")
+    return F.translate(F.coalesce(c, F.lit("")), f"{BLANKS}.,;:：()[]“”\"'·", "")
 
 
 def publisher_key(c: Column) -> Column:
@@ -76,14 +85,20 @@ def title_key(c: Column) -> Column:
     return strip(sub(F.lower(F.coalesce(c, F.lit(""))), f"[^{kept}]+", " "))
 
 
+def _bare_key(c: Column, kept: str) -> Column:
+    """Digits, Latin letters and the characters of a class only, in lower case. ASCII goes without a pattern; only strings with other characters need one."""
+    low = F.translate(F.lower(F.coalesce(c, F.lit(""))), ASCII_MARKS, "")
+    return F.when(low.rlike(r"^[0-9a-z]*\z"), low).otherwise(sub(low, f"[^0-9a-z{kept}]", ""))
+
+
 def solid_key(c: Column) -> Column:
     """Digits, Latin letters, Hangul and Han only, in lower case."""
-    return sub(F.lower(F.coalesce(c, F.lit(""))), f"[^0-9a-z{HANGUL}{HAN}]", "")
+    return _bare_key(c, HANGUL + HAN)
 
 
 def hangul_key(c: Column) -> Column:
     """Digits, Latin letters and Hangul only, in lower case."""
-    return sub(F.lower(F.coalesce(c, F.lit(""))), f"[^0-9a-z{HANGUL}]", "")
+    return _bare_key(c, HANGUL)
 
 
 def without_authors(c: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions import names
-from refloom.functions.text import DOI_LINK, URL, YEAR, doi_of, either, group, lstrip, rstrip, script_class, squeeze, strip, sub, url_of
+from refloom.functions.text import BLANKS, DOI_LINK, URL, YEAR, doi_of, either, folded, group, lstrip, rstrip, script_class, squeeze, strip, sub, url_of
 
 TEXT_FIELDS = "raw type lang author_note year date orig_year title container editors volume issue pages article_no edition place publisher degree institution country report_no doi url medium".split()
 FIELDS = [*TEXT_FIELDS, "authors", "notes"]
@@ -20,16 +21,18 @@ YEAR_IN_PARENS = rf"\(({YEAR}[a-z]?|{YEAR}/{YEAR}|{YEAR}[.,][^)]*|발행년불
 QUOTED = r"""(?U)^([^"“『「]{2,70}?)[.,]?\s*["“『「]([^"”』」]+)["”』」][.,]?\s*(.*)$"""
 SENTENCE_END = r"""(?U)\.\s+(?=[A-Z가-힣“"'『「])"""
 ROLE = r"(?U)(편저|공편|엮음|옮김|번역|감독|연출|편|eds?\.|Eds?\.|ed\.|Translated by)\s*$"
-TYPES: list[tuple[str, str]] = [
-    ("thesis", r"(?iU)(석사|박사)\s*학위\s*논문|Doctoral dissertation|Master'?s thesis|Unpublished (doctoral|master)"),
-    ("law", r"(?U)법률\s*제?\s*\d+호|공포번호|시행령|시행규칙|(^|\s)Chapter\s+[A-Z0-9][A-Z0-9\-.]*\.?$"),
-    ("standard", r"(?U)NAK\s?\d|ISO[/ ]?\d|KS\s?[A-Z]{1,2}\s?\d|IEC\s?\d|Standardization|표준"),
-    ("av", r"(?iU)\[(영화|TV\s*프로그램|CD|DVD|음반|Television|Motion picture|Film)\]"),
-    ("interview", r"(?iU)\[(인터뷰|Interview)\]|와의\s*면담"),
-    ("conference", r"(?iU)학술대회|학술발표대회|발표\s*논문집|Proceedings of|Paper presented|워크샵|워크숍|심포지엄"),
+#: Type, pattern, and words in lower case of which a string that matches has one: most strings have none, and need no pattern.
+TYPES: list[tuple[str, str, tuple[str, ...]]] = [
+    ("thesis", r"(?iU)(석사|박사)\s*학위\s*논문|Doctoral dissertation|Master'?s thesis|Unpublished (doctoral|master)", ("학위", "doctoral", "master")),
+    ("law", r"(?U)법률\s*제?\s*\d+호|공포번호|시행령|시행규칙|(^|\s)Chapter\s+[A-Z0-9][A-Z0-9\-.]*\.?$", ("법률", "공포번호", "시행", "chapter")),
+    ("standard", r"(?U)NAK\s?\d|ISO[/ ]?\d|KS\s?[A-Z]{1,2}\s?\d|IEC\s?\d|Standardization|표준", ("nak", "iso", "ks", "iec", "standardization", "표준")),
+    ("av", r"(?iU)\[(영화|TV\s*프로그램|CD|DVD|음반|Television|Motion picture|Film)\]", ("[",)),
+    ("interview", r"(?iU)\[(인터뷰|Interview)\]|와의\s*면담", ("[", "면담")),
+    ("conference", r"(?iU)학술대회|학술발표대회|발표\s*논문집|Proceedings of|Paper presented|워크샵|워크숍|심포지엄", ("학술", "논문집", "proceedings", "presented", "워크", "심포지엄")),
 ]
 NEWS_NAME, NEWS_DATE = r"(?U)(일보|신문|Times|Post|Herald|Tribune)[\s,.]", rf"(?U)\({YEAR}[.,]\s*\d"
 REPORT = r"(?iU)연구보고서?|정책연구|조사분석|간행물\s*번호|Report No|백서|우수사례집|매뉴얼|지침서?"
+REPORT_WORDS = ("연구보고", "정책연구", "조사분석", "간행물", "report", "백서", "우수사례집", "매뉴얼", "지침")
 JOURNAL = (
     r"(?U)[,\s]\d{1,4}\s*\(\d{1,3}\)\s*[,:：]",
     r"(?U)[,\s]\d{1,4}\s*[,:：]\s*\d{1,5}\s*[-–]\s*\d{1,5}",
@@ -45,17 +48,25 @@ VOLUME_REWRITES = (
     (r"(?U)[Vv]ol\.?\s*(\d+)", " $1"),
     (r"(?U)[Nn]o\.?\s*(\d+)", "($1)"),
     (r"(?U)[Pp]p?\.\s*(\d+)", "$1"),
+)
+KOREAN_VOLUMES = (
     (r"(?U)제?\s*(\d+)\s*권\s*,?\s*제?\s*(\d+)\s*호", " $1($2)"),
     (r"(?U)제?\s*(\d+)\s*권", " $1"),
     (r"(?U)제?\s*(\d+)\s*집", " $1"),
+)
+PAGE_REWRITES = (
     (r"(?U)(\d+)\s*[-–~]\s*(\d+)\s*(쪽|면|p\b)?", "$1-$2"),
     (r"(?U)(\d)\s*,?\s*\(\s*(\d{1,3})\s*\)", "$1($2)"),
     (r"(?U)\s{2,}", " "),
 )
 SERIAL = r"[가-힣A-Za-z一-鿿&:：\-·\s]{2,60}?"
-SERIAL_TAIL = rf"(?iU)^(.*?)({SERIAL})[,\s]+(\d{{1,4}})\s*(?:\((\d{{1,3}})\))?\s*[,:：\s]\s*(paper\s*\d+|e\d{{3,7}}|\d{{1,5}}\s*[-–]\s*\d{{1,5}}|\d{{1,5}})\s*\.?\s*$"
+NUMBERS = r"[,\s]+(\d{1,4})\s*(?:\((\d{1,3})\))?\s*[,:：\s]\s*(paper\s*\d+|e\d{3,7}|\d{1,5}\s*[-–]\s*\d{1,5}|\d{1,5})\s*\.?\s*$"
+SERIAL_TAIL = rf"(?iU)^(.*?)({SERIAL}){NUMBERS}"
 SERIAL_NO_PAGES = rf"(?U)^(.*?)({SERIAL})[,\s]+(\d{{1,4}})\s*\((\d{{1,3}})\)\s*[,.]?\s*$"
 SEPARATOR = "\x1e"
+#: A name's characters as SERIAL has them, letters of either case and what counts as such named one by one. A name starts where no such character precedes it.
+NAME_CHARACTERS = rf"[A-Za-zſKıİ가-힣一-鿿&:：\-·{BLANKS}]"
+SERIAL_HEAD = rf"^([^\n\r\x85\u2028\u2029{SEPARATOR}]*?)(?<!{NAME_CHARACTERS})({NAME_CHARACTERS}{{2,60}}+){SEPARATOR}"
 BOOK_TAIL = r"(?U)^(.+?)[.?]?\s*(?:\(([^)]*(?:판|ed\.)[^)]*)\))?\s*[.]?\s*([가-힣A-Za-z.\s]{1,25}?)\s*[:：]\s*([^.]+)\.?$"
 THESIS = r"(?iU)(석사\s*학위\s*논문|박사\s*학위\s*논문|Doctoral dissertation|Master'?s thesis)\s*,?\s*([^,.]+)?(?:,\s*([^.]+))?"
 REPORT_TAIL = r"(?U)^(.+?)\s*(?:\(([^)]+)\))?\s*\.\s*([^.]+)?\.?$"
@@ -117,12 +128,16 @@ def dates(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"year": year, "date": F.coalesce(date, F.lit("")), "orig_year": F.when(~ko & ~en & paired, group(t, pair, 1)).otherwise("")})
 
 
-def entry_type(text: Column, date: Column, url: Column) -> Column:
-    """The first rule that applies; their order is the meaning."""
+def entry_type(text: Column, low: Column, date: Column, url: Column) -> Column:
+    """The first rule that applies; their order is the meaning. low: the text as folded() gives it."""
     found = F.when(F.lit(False), "")
-    for name, pattern in TYPES:
-        found = found.when(text.rlike(pattern), name)
-    found = found.when(text.rlike(NEWS_NAME) & text.rlike(NEWS_DATE), "newspaper").when((date != "") & (url != ""), "web").when(text.rlike(REPORT), "report")
+
+    def has(words: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+
+    for name, pattern, words in TYPES:
+        found = found.when(has(words) & text.rlike(pattern), name)
+    found = found.when(text.rlike(NEWS_DATE) & text.rlike(NEWS_NAME), "newspaper").when((date != "") & (url != ""), "web").when(has(REPORT_WORDS) & text.rlike(REPORT), "report")
     for pattern in JOURNAL:
         found = found.when(text.rlike(pattern), "journal")
     return found.when(text.rlike(BOOK), "book").when(url != "", "web").otherwise("unknown")
@@ -187,11 +202,23 @@ def two_parts(c: Column) -> tuple[Column, Column]:
     return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
 
 
-def serial_parts(c: Column) -> Column:
-    """Head, container, volume, issue and pages of an article's tail, or the first four of one without pages, or the string alone.
+def serial_parts(rows: DataFrame) -> DataFrame:
+    """Adds _parts: head, container, volume, issue and pages of an article's tail (_serial), or the first four of one without pages, or the string alone. Null
+    for other types.
 
-    The patterns try many splits, so each is matched once: the match is rewritten with separators between its groups.
+    SERIAL_TAIL tries many splits. Where its numbers stand is found first, as they only stand at the end; then what precedes them is split. That is the same unless
+    the first such place has no whole name of 60 characters or less before it; then the whole pattern is tried. Matches are rewritten with separators between their groups.
     """
+    c = col("_serial")
+    rows = rows.withColumn("_marked", F.when(col("type") == "journal", F.regexp_replace(c, f"(?iU){NUMBERS}", SEPARATOR + SEPARATOR.join(("$1", "$2", "$3")))))
+    rows = rows.withColumn("_cut", F.split(F.regexp_replace(col("_marked"), SERIAL_HEAD, SEPARATOR.join(("$1", "$2", ""))), SEPARATOR))
+    short = F.split(F.regexp_replace(c, SERIAL_NO_PAGES, SEPARATOR.join(f"${k}" for k in range(1, 5))), SEPARATOR)
+    parts = F.when(F.contains(c, F.lit(SEPARATOR)), whole_tail(c)).when(F.size("_cut") == 5, col("_cut")).when(col("_marked") == c, short).otherwise(whole_tail(c))
+    return rows.withColumn("_parts", F.when(col("type") == "journal", parts))
+
+
+def whole_tail(c: Column) -> Column:
+    """The parts by the whole pattern."""
     full = F.split(F.regexp_replace(c, SERIAL_TAIL, SEPARATOR.join(f"${k}" for k in range(1, 6))), SEPARATOR)
     short = F.split(F.regexp_replace(c, SERIAL_NO_PAGES, SEPARATOR.join(f"${k}" for k in range(1, 5))), SEPARATOR)
     return F.get(F.transform(F.array(full), lambda p: F.when(F.size(p) == 5, p).otherwise(short)), F.lit(0))
@@ -323,11 +350,14 @@ def type_fields(rows: DataFrame) -> DataFrame:
     year = sub(col("year"), "[a-z]$", "")
     again = F.concat(F.lit(r"(?U)[,\s(]+"), year, F.lit(r"[a-z]?[).:：]?\s*"))
     rows = rows.withColumn("_rest", F.when(year.rlike(r"^\d{4}$"), squeeze(strip(F.regexp_replace(col("_rest"), again, F.lit(" "))))).otherwise(strip(col("_rest"))))
-    serial = col("_rest")
-    for pattern, new in VOLUME_REWRITES:
-        serial = sub(serial, pattern, new)
-    rows = rows.withColumn("_serial", F.when(col("type") == "journal", serial).otherwise(""))
-    rows = rows.withColumn("_parts", F.when(col("type") == "journal", serial_parts(col("_serial"))))
+
+    def rewritten(c: Column, rewrites: tuple[tuple[str, str], ...]) -> Column:
+        return reduce(lambda s, pair: sub(s, *pair), rewrites, c)
+
+    rows = rows.withColumn("_serial", F.when(col("type") == "journal", rewritten(col("_rest"), VOLUME_REWRITES)).otherwise(""))
+    korean = F.contains("_serial", F.lit("권")) | F.contains("_serial", F.lit("집"))
+    rows = rows.withColumn("_serial", F.when(korean, rewritten(col("_serial"), KOREAN_VOLUMES)).otherwise(col("_serial")))
+    rows = serial_parts(rows.withColumn("_serial", rewritten(col("_serial"), PAGE_REWRITES)))
     made = {name: make() for name, make in BY_TYPE.items()}
     other = other_fields()
     none = F.array().cast("array<string>")
@@ -351,7 +381,8 @@ def parse(rows: DataFrame) -> DataFrame:
     """
     others = [c for c in rows.columns if c not in FIELDS]
     rows = dates(identifiers(rows.select(*others, F.coalesce("raw", F.lit("")).alias("raw"))))
-    rows = rows.withColumn("type", entry_type(col("_text"), col("date"), col("url")))
+    rows = rows.withColumn("_low", folded(col("_text")))
+    rows = rows.withColumn("type", entry_type(col("_text"), col("_low"), col("date"), col("url")))
     rows = type_fields(refined_type(authors_and_title(rows)))
     rows = rows.withColumn("notes", F.concat(note(col("year") == "", NOTE_YEAR), col("_split_notes"), col("_notes"), note(col("title") == "", NOTE_TITLE)))
     return rows.withColumns({"editors": F.lit(""), "medium": F.lit("")}).select(*others, *FIELDS)

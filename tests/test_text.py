@@ -1,9 +1,12 @@
 """Normalisers, names and letter case on literals, scripts other than Latin among them."""
 
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
 from refloom.functions import names, text
+from refloom.operators import parse
 
 
 def values(spark, rows, *columns):
@@ -79,3 +82,27 @@ def test_author_lines(spark):
 def test_clean_names(spark):
     rows = [(["이경란(충남대학교 문헌정보학과)", "Wilson, T.D.; Department of X", "y" * 61, " "],)]
     assert values(spark, rows, names.clean_names(F.col("c0")))[0][0] == ["이경란", "Wilson, T.D"]
+
+
+def test_blanks_are_those_of_unicode(spark):
+    points = [k for k in range(0x3100) if not 0xD800 <= k < 0xE000]
+    rows = spark.createDataFrame([(k, chr(k)) for k in points], "k int, c string")
+    assert {r.k for r in rows.where(F.col("c").rlike(r"(?U)^\s\z")).collect()} == {r.k for r in rows.where(text.strip(F.col("c")) == "").collect()} == set(map(ord, text.BLANKS))
+
+
+def test_serial_parts_equal_the_whole_pattern(spark):
+    tails = ["Journal of X, 12(3), 45-60.", "A 3 4 5", "Ab, 12, 34", "X, 1 (2) 3", ",, 5, 6", "Jıournal İssue K 5, e1234", "9. ab 7, paper 3", "a" * 70 + " 3, 4", "Name, 7(1).", "No numbers", "x\x1ey, 5, 6-7", "1 2, 3, 4 5"]
+    rows = spark.createDataFrame([("journal", t) for head in ("", "Title of a work. ", "제목은 ", "Q " * 40) for t in (head + x for x in tails)], "type string, _serial string")
+    found = parse.serial_parts(rows).withColumn("whole", parse.whole_tail(F.col("_serial"))).collect()
+    assert [r._parts for r in found] == [r.whole for r in found]
+
+
+def test_words_lose_no_type(spark):
+    """What a type's pattern finds has one of the type's words, in any letter case and with the letters that count as s, k and i."""
+    found = ["석사 학위 논문", "DOCTORAL DİſſERTATION", "Maſter'ſ theſıs", "unpublished master", "법률 제12호", "공포번호", "시행령", "시행규칙", "in Chapter A-1.", "NAK 1", "ISO/2", "KS X 1", "IEC 3", "Standardization", "표준", "[영화]", "[tv 프로그램]",
+             "[dvd]", "[fılm]", "[İntervıew]", "와의 면담", "학술대회", "학술발표대회", "발표 논문집", "PROCEEDİNGS of", "Paper preſented", "워크샵", "워크숍", "심포지엄", "연구보고서", "정책연구", "조사분석", "간행물 번호", "RePort No", "백서", "우수사례집", "매뉴얼", "지침"]
+    rules = [*parse.TYPES, ("report", parse.REPORT, parse.REPORT_WORDS)]
+    matched = reduce(lambda a, b: a | b, (F.col("t").rlike(p) for _, p, _ in rules))
+    guarded = reduce(lambda a, b: a | b, (F.col("t").rlike(p) & reduce(lambda a, b: a | b, (F.contains(text.folded(F.col("t")), F.lit(w)) for w in words)) for _, p, words in rules))
+    rows = spark.createDataFrame([(t,) for t in found], "t string").select("t", matched.alias("m"), guarded.alias("g")).collect()
+    assert [r.t for r in rows if not (r.m and r.g)] == []
