@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.text import group, plain_year, rstrip, strip, sub
@@ -31,19 +31,24 @@ def citations(docs: DataFrame, body_column: str = "body", id_column: str = "doc_
     Parenthetical citations come before narrative ones, Korean narrative ones before western ones; inside each, the order is that of the text.
     """
     body = F.coalesce(F.col(body_column), F.lit(""))
-    inside = docs.select(id_column, F.posexplode(F.regexp_extract_all(body, F.lit(IN_PARENS), F.lit(0))).alias("pos", "match"))
-    inside = inside.where(~F.col("match").rlike(NOT_A_CITATION))
-    inside = inside.select(id_column, F.lit(0).alias("pass"), "pos", "match", F.posexplode(F.split(F.expr("substring(match, 2, length(match) - 2)"), ";")).alias("part", "segment"))
+
+    def matches(number: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.lit(number).alias("pass"), i.alias("pos"), m.alias("match")))
+
+    # one pass over the texts finds all kinds; a row has the kind that it is of
+    found = docs.select(id_column, F.explode(F.concat(*(matches(k, p) for k, p in enumerate((IN_PARENS, *NARRATIVE))))).alias("_m")).select(id_column, "_m.*")
+    inside, match = F.col("pass") == 0, F.col("match")
+    found = found.where(~inside | ~match.rlike(NOT_A_CITATION))
+    segments = F.when(inside, F.split(F.expr("substring(match, 2, length(match) - 2)"), ";")).otherwise(F.array(F.lit("")))
+    found = found.select(id_column, "pass", "pos", "match", F.posexplode(segments).alias("part", "segment"))
     segment = strip(F.col("segment"))
-    inside = inside.withColumn("year", group(segment, CITED_YEAR)).where("year <> ''")
+    told = [(group(match, pattern, 1), group(match, pattern, 4 - k)) for k, pattern in enumerate(NARRATIVE, 1)]  # the year is the last group
+    found = found.withColumn("year", F.when(inside, group(segment, CITED_YEAR)).when(F.col("pass") == 1, told[0][1]).otherwise(told[1][1])).where(~inside | (F.col("year") != ""))
     named = strip(rstrip(strip(before(segment, CITED_YEAR)), ","))
     named = rstrip(strip(sub(named, r"(?U)\s*(외|et al\.?|&.*|와$|과$)\s*$", "")), ",")
     first = strip(F.get(F.split(named, "[,·]"), F.lit(0)))
-    found = inside.withColumn("name", first).where(F.col("name").rlike(NAME)).select(id_column, "pass", "pos", "part", "name", "year", "match")
-    for number, pattern in enumerate(NARRATIVE, 1):
-        told = docs.select(id_column, F.lit(number).alias("pass"), F.posexplode(F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).alias("pos", "match"))
-        last = 4 - number  # the year's group
-        found = found.unionByName(told.select(id_column, "pass", "pos", F.lit(0).alias("part"), group(F.col("match"), pattern, 1).alias("name"), group(F.col("match"), pattern, last).alias("year"), "match"))
+    found = found.withColumn("name", F.when(inside, first).when(F.col("pass") == 1, told[0][0]).otherwise(told[1][0]))
+    found = found.where(~inside | F.col("name").rlike(NAME)).select(id_column, "pass", "pos", "part", "name", "year", "match")
     found = found.withColumn("name", rstrip(strip(F.col("name")), ",")).withColumn("year", plain_year(F.col("year")))
     found = found.where((F.col("name") != "") & ~F.col("name").isin(STOP_WORDS))
     order = Window.partitionBy(id_column, "name", "year").orderBy("pass", "pos", "part")

@@ -141,3 +141,10 @@ def test_whole_way(spark):
     again = done.items.where("seq = 1").withColumn("formatted", F.lit("new"))
     assert {r.formatted for r in manuscripts.reverified(done.items, again).where("seq = 1").collect()} == {"new"}
     done.release()
+
+
+def test_citations_read_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "Kim (2001) and (Lee, 2002; Park, 2003). 김철수(2004)")], "doc_id long, body string")
+    found = citations.citations(docs)
+    assert found._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 1
+    assert {(r.name, r.year) for r in found.collect()} == {("Kim", "2001"), ("Lee", "2002"), ("Park", "2003"), ("김철수", "2004")}
