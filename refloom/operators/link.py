@@ -9,6 +9,7 @@ from refloom.functions.similarity import record_key, title_similarity
 from refloom.functions.text import compare_key, first_page, hangul_key, plain_year, publisher_key, sub, title_key, year_number
 from refloom.operators import near
 from refloom.operators.render import field
+from refloom.operators.shared import Written
 
 # Thresholds that results depend on.
 DUPLICATE, ARTICLE, ARTICLE_ANY_YEAR, OTHER_ARTICLE, DOMESTIC = 0.92, 0.82, 0.93, 0.85, 0.80
@@ -23,20 +24,18 @@ PREPRINT_PREFIXES = {"10.48550": "arXiv", "10.2139": "SSRN", "10.1101": "bioRxiv
 def duplicates(entries: DataFrame, id_column: str = "doc_id", seq_column: str = "seq", threshold: float = DUPLICATE) -> DataFrame:
     """id, seq_a, seq_b, reason (doi or title), similarity: pairs in one list with the same DOI or titles that are alike.
 
-    Equal DOIs are an equi-join. Titles are searched among those of their list (near.alike()), which loses none that is alike enough; rows are joined on the list and
-    the title, never on the list alone.
+    Equal DOIs are an equi-join. Titles are searched among those of their list (near.later_pairs()), which loses none that is alike enough. A DOI counts before a title.
+    Entries are made once: they are written to the shared folder, where the result reads them.
     """
-    own = entries.select(id_column, seq_column, field("doi").alias("doi"), hangul_key(F.col("title")).alias("key"))
-    a = own.select(id_column, *(F.col(c).alias(f"{c}_a") for c in (seq_column, "doi", "key")))
-    b = own.select(id_column, *(F.col(c).alias(f"{c}_b") for c in (seq_column, "doi", "key")))
-    later = F.col(f"{seq_column}_a") < F.col(f"{seq_column}_b")
-    pair = [id_column, F.col(f"{seq_column}_a").alias("seq_a"), F.col(f"{seq_column}_b").alias("seq_b")]
-    same_doi = a.join(b.withColumn("doi_a", F.col("doi_b")), [id_column, "doi_a"]).where(later & (F.col("doi_a") != "")).select(*pair, F.lit("doi").alias("reason"), F.lit(1.0).alias("similarity"))
-    texts = own.select(F.col(id_column).alias("block"), F.col("key").alias("text"))
-    found = near.alike(texts, texts, threshold).select(F.col("block").cast(own.schema[id_column].dataType).alias(id_column), F.col("a").alias("key_a"), F.col("b").alias("key_b"), "similarity")
-    alike = a.join(found, [id_column, "key_a"]).join(b, [id_column, "key_b"]).where(later).select(*pair, F.lit("title").alias("reason"), "similarity")
-    first = Window.partitionBy(id_column, "seq_a", "seq_b").orderBy("reason")  # a DOI counts before a title
-    return same_doi.unionByName(alike).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    own = Written(entries.sparkSession).cut(entries.select(id_column, seq_column, field("doi").alias("doi"), hangul_key(F.col("title")).alias("key")))
+    a, b = (own.where("doi <> ''").select(id_column, F.col(seq_column).alias(f"seq_{side}"), "doi") for side in "ab")
+    pair = [id_column, "seq_a", "seq_b"]
+    by_doi = F.lit(2.0)  # beyond any similarity
+    same_doi = a.join(b, [id_column, "doi"]).where("seq_a < seq_b").select(*pair, by_doi.alias("_best"))
+    found = near.later_pairs(own.select(F.col(id_column).alias("block"), F.col(seq_column).alias("number"), F.col("key").alias("text")), threshold)
+    alike = found.select(F.col("block").alias(id_column), F.col("l").alias("seq_a"), F.col("r").alias("seq_b"), F.col("similarity").alias("_best"))
+    best = same_doi.unionByName(alike).groupBy(*pair).agg(F.max("_best").alias("_best"))
+    return best.select(*pair, F.when(F.col("_best") == by_doi, "doi").otherwise("title").alias("reason"), F.least("_best", F.lit(1.0)).alias("similarity"))
 
 
 def article_titles(title: Column) -> list[tuple[str, Column]]:

@@ -105,3 +105,17 @@ def test_journals_equal_all_pairs(spark):
                 if len(n) >= 3 and (key[n] == key[t] or difflib.SequenceMatcher(None, x, y).ratio() >= threshold):
                     expected.add(n)
         assert {r.container for r in link.listed_journals(entries, table, threshold).collect()} == expected
+
+
+def test_duplicates_make_their_entries_once(spark):
+    """Parsing costs more than the search: each entry is made in one task only."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(k // 5, k, "10.1/a" if k % 3 else "", f"On the nature of lists {k % 4}") for k in range(100)], "doc_id long, seq long, doi string, title string")
+    found = link.duplicates(rows.mapInArrow(counted, rows.schema))
+    assert found.count() > 100 and found.where("reason = 'title'").count() > 20 and made.value == 100

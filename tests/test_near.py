@@ -163,3 +163,22 @@ def test_small_tiles_are_screened_by_letters_and_lose_no_pair():
         assert kept >= {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= threshold}
     few = near.screened(["0123456789abcdef" * 8, "가" * 128], ["0123456789abcdef" * 8, "z" * 128], 0.9)
     assert [x.tolist() for x in few] == [[0], [0]]
+
+
+@pytest.mark.parametrize("threshold", THRESHOLDS)
+def test_pairs_of_small_and_large_blocks_equal_all_pairs(spark, threshold, monkeypatch):
+    """Copies, rows of equal number, null blocks, numbers and texts; blocks that go whole to a task and such as don't; few pairs and bits at a time."""
+    monkeypatch.setattr(near, "PAIRS", 50)
+    monkeypatch.setattr(near, "SIGNATURE", 64)
+    rng = random.Random(11)
+    stock = strings(rng)
+    rows = [(rng.choice("aabcd"), rng.randrange(60), rng.choice(stock)) for _ in range(150)] + [("a", 61, "the same title of a work"), ("a", 62, "the same title of a work"), (None, 1, "x"), ("a", None, "x"), ("e", 1, None), ("f", 1, "alone")]
+    expected = Counter()
+    for block, l, x in rows:
+        for other, r, y in rows:
+            if block and block == other and None not in (l, r) and l < r and x and y and (s := difflib.SequenceMatcher(None, x, y).ratio()) >= threshold:
+                expected[block, l, r, round(s, 9)] += 1
+    frame = spark.createDataFrame(rows, "block string, number int, text string").repartition(3)
+    for most in (0, 40, 1000):
+        found = Counter((r.block, r.l, r.r, round(r.similarity, 9)) for r in near.later_pairs(frame, threshold, most).collect())
+        assert found == expected
