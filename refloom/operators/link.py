@@ -282,14 +282,17 @@ def verify(entries: DataFrame, authorities: dict[str, DataFrame], keys: list[str
 
 
 def listed_journals(entries: DataFrame, listing: DataFrame, threshold: float = OPEN_LIST) -> DataFrame:
-    """Distinct container names that a listing (column title) has: by equal keys, the rest by similarity, found in an exact index."""
-    names = entries.where((field("type") == "journal") & (F.length("container") >= 3)).select("container").distinct().withColumn("_key", title_key(F.col("container")))
+    """Distinct container names that a listing (column title) has: by equal keys, the rest by similarity, found in an exact index. Names and listing are made once and
+    written to the shared folder."""
+    written = Written(entries.sparkSession)
+    listing = written.cut(listing.select("title").distinct())
+    names = written.cut(entries.where((field("type") == "journal") & (F.length("container") >= 3)).select("container").distinct()).withColumn("_key", title_key(F.col("container")))
     keys = listing.select(title_key(F.col("title")).alias("_key")).distinct()
     equal = names.join(keys, "_key", "left_semi").select("container")
     left = names.join(equal, "container", "left_anti").select(F.col("container").alias("title"))
     own, one = left.select("title", F.col("title").alias("_name")), F.lit("one")
     texts = named_texts(own, ["_name"], one, article_titles(F.col("title")))
-    listed = named_texts(listing.select("title").distinct(), [], one, article_records(F.col("title")))
+    listed = named_texts(listing, [], one, article_records(F.col("title")))
     found = near.alike(texts, listed, threshold)
     near_names = texts.withColumnRenamed("text", "a").join(found, ["block", "a"], "left_semi").select(F.col("_name").alias("container")).distinct()
     return equal.unionByName(near_names)

@@ -43,6 +43,8 @@ TILE_TEXTS, COLUMNS = (16384, 65536), 4096
 CHUNK = 4096
 #: Pairs of a tile up to which a matrix product counts what they have in common, and its columns for pairs of letters and for letters.
 SMALL, SMALL_COLUMNS, LETTER_COLUMNS = 4096, 2048, 128
+#: Texts whose grams are made in one task.
+TEXTS = 10_000
 #: Occurrences of a gram in a text that are told apart in a row of bits.
 REPEATS = 4
 #: From so many characters on, a matcher leaves popular characters out.
@@ -449,7 +451,9 @@ def tiled(left: DataFrame, right: DataFrame, keep: tuple[str, ...], tile: int |
         return placed.select("block", "l_tile", "r_tile", F.lit(number).alias("side"), *keep)
 
     key = ["block", "l_tile", "r_tile"]
-    return dealt(left, 0, "l", "r").unionByName(dealt(right, 1, "r", "l")).repartition(*key).sortWithinPartitions(*key, "side")
+    spark = left.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a given number: few bytes in a tile, much work
+    return dealt(left, 0, "l", "r").unionByName(dealt(right, 1, "r", "l")).repartition(parts, *key).sortWithinPartitions(*key, "side")
 
 
 def tile_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table, pa.Table]]:
@@ -498,32 +502,40 @@ def by_tiles(left: DataFrame, right: DataFrame, threshold: float, tile: int | tu
     return tiled(left, right, ("text",), tile).mapInArrow(work, "block string, a string, b string, similarity double")
 
 
-def by_grams(left: DataFrame, right: DataFrame, threshold: float, tile: int = TILE, known: np.ndarray | None = None) -> DataFrame:
-    """The same from the index of grams. A text's hash is its id: a collision makes one pair more to compare, and loses none."""
+def by_grams(left: DataFrame, right: DataFrame, threshold: float, tile: int = TILE, known: np.ndarray | None = None, parts: int = 0) -> DataFrame:
+    """The same from the index of grams. A text's hash is its id: a collision makes one pair more to compare, and loses none. parts: tasks that pairs are dealt to,
+    whatever their bytes (0: as they come)."""
     own, other = (rows.withColumn("id", F.xxhash64("text")) for rows in (left, right))
     pairs = near_pairs(own, other, threshold, tile, known)
     pairs = pairs.join(other.select("block", F.col("id").alias("r"), F.col("text").alias("b")), ["block", "r"]).join(own.select("block", F.col("id").alias("l"), F.col("text").alias("a")), ["block", "l"])
+    pairs = pairs.repartition(parts, "a", "b") if parts else pairs
     return pairs.select("block", "a", "b", bounded_ratio(threshold)("a", "b").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Distinct block, a, b, similarity of texts a of left and b of right (columns block, text) in one block that are alike to the threshold.
 
-    Each text is searched once, however many rows have it; null and empty texts are like nothing. From counts of grams and of texts by block follows which way costs
-    less: by_grams() for texts whose grams are rare, by_tiles() for others. Results don't depend on it.
+    Each text is searched once, however many rows have it; null and empty texts are like nothing. The texts of either side are made once and written to the shared
+    folder: counts and both ways read them there. From counts of grams and of texts by block follows which way costs less: by_grams() for texts whose grams are
+    rare, by_tiles() for others. Results don't depend on it.
     """
-    own, other = (rows.where("text <> ''").select(F.col("block").cast("string").alias("block"), "text").distinct() for rows in (left, right))
-    nothing = left.sparkSession.createDataFrame([], "block string, a string, b string, similarity double")
-    if left.where("text <> ''").isEmpty():  # the other side may be large
+    spark = left.sparkSession
+    distinct = lambda rows: Written(spark).cut(rows.where("text <> ''").select(F.col("block").cast("string").alias("block"), "text").distinct())
+    own = distinct(left)
+    nothing = spark.createDataFrame([], "block string, a string, b string, similarity double")
+    if own.isEmpty():  # the other side may be large
         return nothing
+    other = own if right is left else distinct(right)
     sizes = own.groupBy("block").agg(F.count("*").alias("n")).join(other.groupBy("block").agg(F.count("*").alias("m")), "block")
     pairs = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0]
     if not pairs:
         return nothing
     lengths = gram_lengths(threshold)
-    known = _counts(other, lengths, threshold, False)
-    meetings = float(_counts(own, lengths, threshold, True).astype(float) @ known)
-    return by_grams(own, other, threshold, known=known) if meetings * GRAM_COST < pairs else by_tiles(own, other, threshold)
+    parts = [max(spark.sparkContext.defaultParallelism, -(-rows.count() // TEXTS)) for rows in (own, other)]
+    own_dealt, other_dealt = (rows.repartition(n) for rows, n in zip((own, other), parts, strict=True))  # few bytes, much work
+    known = _counts(other_dealt, lengths, threshold, False)
+    meetings = float(_counts(own_dealt, lengths, threshold, True).astype(float) @ known)
+    return by_grams(own_dealt, other_dealt, threshold, known=known, parts=sum(parts)) if meetings * GRAM_COST < pairs else by_tiles(own, other, threshold)
 
 
 def _signatures(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:

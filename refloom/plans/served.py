@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions import similarity, text
 from refloom.operators import align, citations, link, reports, segment, stages, stores
+from refloom.operators.shared import Written
 from refloom.plans import lookups
 from refloom.plans.bibliography import BIBLIOGRAPHY_SQL as BIB
 from refloom.plans.bibliography import bibliography, table
@@ -162,7 +163,7 @@ def reference_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Names with a letter lost or changed, from the titles of all pages; and the listing: titles of every second page."""
-    title = html.page_record(table(spark, sf_dir, "pages")).select("page_id", "title")
+    title = Written(spark).cut(html.page_record(table(spark, sf_dir, "pages")).select("page_id", "title"))  # pages are read once
     at = (F.col("page_id") % 11 + 2).cast("int")
     lost = F.concat(F.substring("title", 1, 12), F.expr("substring(title, 14)"))
     changed = F.overlay("title", F.lit("x"), at, 1)

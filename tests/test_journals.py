@@ -63,3 +63,17 @@ def test_duplicate_entries_agree_with_all_pairs(spark):
                     expected[doc, i, j] = "title"
     found = [(r.doc_id, r.seq_a, r.seq_b, r.reason) for r in QUERIES["duplicate_entries"](spark, str(TABLES)).collect()]
     assert {r[:3]: r[3] for r in found} == expected and len(found) == len(expected)
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="the driver's tables are not here")
+def test_similar_titles_read_each_page_once(spark, monkeypatch):
+    read, table = spark.sparkContext.accumulator(0), served.table
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(served, "table", lambda *a: (rows := table(*a)).mapInArrow(counted, rows.schema))
+    assert QUERIES["similar_titles"](spark, str(TABLES)).count() > 20
+    assert read.value == table(spark, str(TABLES), "pages").count()
