@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.text import YEAR, squeeze, strip, sub
@@ -40,12 +40,13 @@ def sections(docs: DataFrame, text_column: str = "text") -> DataFrame:
     the first closing heading, if that is not among its first 50 characters.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    headed = text.rlike(LAST_HEADING)
+    rows = docs.withColumn("_after", F.regexp_extract(text, LAST_HEADING, 2))  # a column of its own: made once
+    headed = (F.col("_after") != "") | text.rlike(LAST_HEADING)
     early = F.regexp_extract(text, LAST_MENTION, 1)
     mentioned = text.rlike(LAST_MENTION) & (F.length(early) > F.length(text) * 0.3)
-    section = F.when(headed, F.regexp_extract(text, LAST_HEADING, 2)).when(mentioned, F.regexp_extract(text, LAST_MENTION, 2)).otherwise("")
+    section = F.when(headed, F.col("_after")).when(mentioned, F.regexp_extract(text, LAST_MENTION, 2)).otherwise("")
     body = F.when(headed, F.regexp_extract(text, LAST_HEADING, 1)).when(mentioned, early).otherwise(text)
-    rows = docs.withColumn("body", body).withColumn("section", section)
+    rows = rows.withColumn("body", body).withColumn("section", section).drop("_after")
     end = F.regexp_instr("section", F.lit(END_HEADING)) - 1
     return rows.withColumn("section", strip(F.when(end > 50, F.substring("section", F.lit(1), end)).otherwise(F.col("section"))))
 
@@ -63,36 +64,56 @@ def lines_of(docs: DataFrame, column: str, id_column: str = "doc_id") -> DataFra
     return rows.withColumn("line", strip(F.col("raw_line"))).where("line <> ''")
 
 
+def entry_array(section: Column) -> Column:
+    """The entries of a list, in its order.
+
+    Lines hold no line end, so one stands before each line that opens an entry, a blank before the others: the text is gone through once, in its own row.
+    """
+    split = F.transform(F.split(F.coalesce(section, F.lit("")), LINE_ENDS), lambda x: F.struct(x.alias("raw_line"), strip(x).alias("line")))
+
+    def placed(x: Column, i: Column) -> Column:
+        raw_line, line = x["raw_line"], x["line"]
+        year = line.rlike(r"(?U)^[가-힣]{2,15}[.,]") & line.rlike(YEAR)
+        opens = (i == 0) | (~_any(raw_line, CONTINUES) & (_any(line, BEGINS) | year))
+        return F.concat(F.when(opens, "\n").otherwise(" "), line)
+
+    joined = F.array_join(F.transform(F.filter(split, lambda x: x["line"] != ""), placed), "")
+    number = r"(?U)^\s*(\[\d{1,3}\]|\d{1,3}[.)])\s*"
+    raw = F.transform(F.split(F.substr(joined, F.lit(2)), "\n"), lambda x: strip(squeeze(sub(x, number, ""))))
+    return F.filter(raw, lambda x: F.length(x) >= SHORTEST)
+
+
 def entries(docs: DataFrame, section_column: str = "section", id_column: str = "doc_id") -> DataFrame:
     """One row for each entry of a reference list: id, seq (from 1), raw.
 
     A line opens an entry if it is the list's first or looks like a beginning and not like a continuation; others go on with the entry
-    before. Numbers at the start are dropped, entries of under 15 characters too. Null and empty lists have no entries.
+    before. Numbers at the start are dropped, entries of under 15 characters too. Null and empty lists have no entries. Lists that share an id are each their own.
     """
-    ordered = Window.partitionBy(id_column).orderBy("pos")
-    year = F.col("line").rlike(r"(?U)^[가-힣]{2,15}[.,]") & F.col("line").rlike(YEAR)
-    opens = (F.row_number().over(ordered) == 1) | (~_any(F.col("raw_line"), CONTINUES) & (_any(F.col("line"), BEGINS) | year))
-    rows = lines_of(docs, section_column, id_column).withColumn("opens", opens.cast("int"))
-    rows = rows.withColumn("entry", F.sum("opens").over(ordered))
-    joined = rows.groupBy(id_column, "entry").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("parts"))
-    raw = F.array_join(F.transform("parts", lambda p: p["line"]), " ")
-    raw = strip(squeeze(sub(raw, r"(?U)^\s*(\[\d{1,3}\]|\d{1,3}[.)])\s*", "")))
-    kept = joined.select(id_column, "entry", raw.alias("raw")).where(F.length("raw") >= SHORTEST)
-    return kept.withColumn("seq", F.row_number().over(Window.partitionBy(id_column).orderBy("entry"))).select(id_column, "seq", "raw")
+    found = docs.select(id_column, F.posexplode(entry_array(F.col(section_column))).alias("_at", "raw"))
+    return found.select(id_column, (F.col("_at") + 1).alias("seq"), "raw")
+
+
+def is_list(n_entries: Column, n_dated: Column) -> Column:
+    """Three or more entries, 60 % of them dated."""
+    return (n_entries >= 3) & (n_dated >= 0.6 * n_entries)
+
+
+DATED = r"\(?\d{4}"
 
 
 def list_only(found: DataFrame, id_column: str = "doc_id", raw_column: str = "raw") -> DataFrame:
     """id, n_entries, n_dated, is_list: whether a whole text reads as a reference list: three or more entries, 60 % with a four-digit number."""
-    dated = F.count_if(F.col(raw_column).rlike(r"\(?\d{4}"))
-    return found.groupBy(id_column).agg(F.count("*").alias("n_entries"), dated.alias("n_dated")).withColumn("is_list", (F.col("n_entries") >= 3) & (F.col("n_dated") >= 0.6 * F.col("n_entries")))
+    dated = F.count_if(F.col(raw_column).rlike(DATED))
+    return found.groupBy(id_column).agg(F.count("*").alias("n_entries"), dated.alias("n_dated")).withColumn("is_list", is_list(F.col("n_entries"), F.col("n_dated")))
 
 
 def reference_lists(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, body, section, error: sections() with the whole text as list where no heading is found but the text reads as one, else an error."""
+    """id, body, section, error: sections() with the whole text as list where no heading is found but the text reads as one, else an error. Each text is
+    judged in its own row, and only where it has no section."""
     cut = sections(docs.select(id_column, F.col(text_column).alias("text")), "text")
-    gate = list_only(entries(cut.where("section = ''").select(id_column, F.col("text").alias("section")), id_column=id_column), id_column).select(id_column, "is_list")
-    rows = cut.join(gate, id_column, "left")
-    whole = (F.col("section") == "") & F.coalesce("is_list", F.lit(False))
+    dated = F.transform(F.when(F.col("section") == "", entry_array(F.col("text"))), lambda x: x.rlike(DATED))
+    rows = cut.withColumn("_dated", dated).withColumn("_whole", F.coalesce(is_list(F.size("_dated"), F.size(F.filter("_dated", lambda x: x))), F.lit(False)))
+    whole = F.col("_whole")
     return rows.select(
         id_column,
         F.when(whole, "").otherwise(F.col("body")).alias("body"),

@@ -148,3 +148,24 @@ def test_citations_read_each_text_once(spark):
     found = citations.citations(docs)
     assert found._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 1
     assert {(r.name, r.year) for r in found.collect()} == {("Kim", "2001"), ("Lee", "2002"), ("Park", "2003"), ("김철수", "2004")}
+
+
+def test_lists_are_cut_in_their_own_rows(spark):
+    """No shuffle, each text read once, also where no heading is found; lists that share an id are not mixed; every kind of line end, lines that go on, odd characters."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    bare = "\n".join(f"[{k}] Waner, A. (199{k}). On lists of kind {k}. List Journal, {k}(2), 3-4." for k in range(1, 5))
+    text = "Body\nReferences\r\n[1] Waner, A. (1990). On lists\x01of kinds.\x0b  and their   ends, \n\x0c12-14.\x85[2] Doner, B. (1991). Other lists of kinds. \n[3] Short.\nhttps://example.org/x"
+    docs = spark.createDataFrame([(1, text), (1, bare), (None, bare), (2, None), (3, "no list")], "doc_id long, text string")
+    found = segment.entries(segment.reference_lists(docs.mapInArrow(counted, docs.schema)))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.doc_id, r.seq, r.raw) for r in found.collect()]
+    assert read.value == 5
+    own = [(k, f"Waner, A. (199{k}). On lists of kind {k}. List Journal, {k}(2), 3-4.") for k in range(1, 5)]
+    cut = [(1, "Waner, A. (1990). On lists\x01of kinds. and their ends, 12-14."), (2, "Doner, B. (1991). Other lists of kinds."), (3, "Short. https://example.org/x")]
+    assert sorted(rows, key=str) == sorted([*((1, *x) for x in cut), *((1, *x) for x in own), *((None, *x) for x in own)], key=str)
