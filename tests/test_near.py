@@ -182,3 +182,30 @@ def test_pairs_of_small_and_large_blocks_equal_all_pairs(spark, threshold, monke
     for most in (0, 40, 1000):
         found = Counter((r.block, r.l, r.r, round(r.similarity, 9)) for r in near.later_pairs(frame, threshold, most).collect())
         assert found == expected
+
+
+@pytest.mark.parametrize(("threshold", "lengths"), [(0.8, (64,)), (0.85, (63, 64, 65)), (0.93, (63, 64, 65, 70, 71))])
+def test_pieces_lose_no_pair(threshold, lengths, monkeypatch):
+    """Random and edited strings of several lengths, a few at a time; what is alike is met, and little else."""
+    monkeypatch.setattr(near, "SMALL", 0)
+    monkeypatch.setattr(near, "PIECED", 0)
+    monkeypatch.setattr(near, "PIECE_TEXTS", 128)
+    rng = random.Random(2)
+    left = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (64, *lengths) for _ in range(60)]
+    right = [misspelt(rng, t, rng.randint(0, 12)) for t in left] + ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(100)]
+    right = [t for t in right if len(t) in lengths]
+    used = []
+    by_pieces = near._by_pieces
+    monkeypatch.setattr(near, "_by_pieces", lambda *a: used.append(len(a[0])) or by_pieces(*a))
+    found = set(zip(*(x.tolist() for x in near.screened(left, right, threshold)), strict=True))
+    alike = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if difflib.SequenceMatcher(None, x, y).ratio() >= threshold}
+    assert used and len(alike) > 20 and alike <= found and len(found) < 3 * len(alike)
+
+
+def test_tiles_are_read_again_and_not_written_again(spark):
+    """Many tiles: the pairs come from a product of rows that are whole tiles, so what is shuffled doesn't grow with the other side."""
+    rows = spark.createDataFrame([("x", f"title {k * 7919 % 1000}") for k in range(120)], "block string, text string")
+    pairs = near.by_tiles(rows, rows, 0.95, 50)
+    assert "CartesianProduct" in pairs._jdf.queryExecution().executedPlan().toString()
+    texts = {r.text for r in rows.collect()}
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in texts for b in texts if difflib.SequenceMatcher(None, a, b).ratio() >= 0.95}
