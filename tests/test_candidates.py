@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from refloom.functions.similarity import record_key
 from refloom.functions.text import hangul_key, title_key
 from refloom.operators import link
+from refloom.plans import lookups
 
 
 def misspelt(rng, title, n):
@@ -119,3 +120,26 @@ def test_duplicates_make_their_entries_once(spark):
     rows = spark.createDataFrame([(k // 5, k, "10.1/a" if k % 3 else "", f"On the nature of lists {k % 4}") for k in range(100)], "doc_id long, seq long, doi string, title string")
     found = link.duplicates(rows.mapInArrow(counted, rows.schema))
     assert found.count() > 100 and found.where("reason = 'title'").count() > 20 and made.value == 100
+
+
+def test_lookups_and_routes_make_their_rows_once(spark):
+    """Lines and entries are made in one task each, however many routes and searches read them; a record of a far year is found where any year will do."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    titles = ["On the nature of reference lists", "A history of library catalogues", "Metadata in the age of archives"]
+    rows = spark.createDataFrame([(k, titles[k % 3][:-1] + "zs"[k % 2], "1999" if k % 3 else "", "journal", "west") for k in range(30)], "seq long, title string, year string, type string, lang string")
+    entries = rows.selectExpr("*", "'' AS volume", "'' AS issue", "'' AS pages", "'' AS doi", "'' AS url")
+    records = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(zip(titles, ("1950", "1998", "1950"), strict=True))], "pos long, title string, year string")
+    authority = records.selectExpr("pos", "title", "'' AS subtitle", "year", "'' AS volume", "'' AS issue", "'' AS pages", "'' AS doi", "'' AS publisher", "'' AS isbn")
+    found = link.verify(entries.mapInArrow(counted, entries.schema), {"crossref": authority}, ["seq"]).collect()
+    tier = {0: "crossref", 1: "crossref", 2: "crossref any year"}
+    assert {r.seq: r.source for r in found} == {k: tier[k % 3] for k in range(30)} and made.value == 30
+    made.value = 0
+    lines = rows.selectExpr("seq AS query_id", "title AS q")
+    found = lookups.lookup(lines.mapInArrow(counted, lines.schema), authority).collect()
+    assert {r.query_id: r.pos for r in found} == {k: k % 3 for k in range(30)} and made.value == 30
