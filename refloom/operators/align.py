@@ -25,6 +25,8 @@ STRONG_TILE, TILE = 1024, 192
 #: Pairs that are sent on together.
 BATCH = 8192
 PAIR = ["doc_id", "seq", "pos", "score"]
+#: Rows of either side up to which a list goes whole to one task, and rows of such lists in a task.
+LIST_ROWS, TASK_ROWS = 1000, 100_000
 
 
 def scored(left: DataFrame, right: DataFrame, threshold: float, tile: int) -> DataFrame:
@@ -127,27 +129,139 @@ def chosen_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return settled if settled is not None else left.sparkSession.createDataFrame([], "doc_id long, seq long, pos long, score double")
 
 
+class Greedy:
+    """Choices within one list that a task holds whole: those of chosen_pairs(), in the order of the entries."""
+
+    def __init__(self) -> None:
+        self.comparer = near.Comparer(autojunk=False)
+
+    def _alike(self, a: list[str], b: list[str], threshold: float) -> dict[int, dict[int, float]]:
+        out: dict[int, dict[int, float]] = {}
+        rows, columns = near.screened(a, b, threshold)
+        order = np.argsort(columns, kind="stable")
+        for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
+            self.comparer.against(b[j])
+            score = self.comparer.score(a[i], threshold)
+            if score:
+                out.setdefault(i, {})[j] = score
+        return out
+
+    def chosen(self, a: list[str], titles: list[str], dois: list[str], b: list[str], lows: list[str]) -> list[tuple[int, int, float]]:
+        """(entry, line, score): a, titles, dois of the entries in their order; b and lows of the lines in theirs."""
+        strong = self._alike(a, b, STRONG)
+        for i, (own, title, doi) in enumerate(zip(a, titles, dois, strict=True)):
+            floors = [(TITLE_FOUND, [j for j, key in enumerate(b) if title in key] if len(title) >= 8 else []), (DOI_FOUND, [j for j, low in enumerate(lows) if doi in low] if doi else []), (1.0, [j for j, key in enumerate(b) if not key] if not own else [])]
+            for floor, lines in floors:  # nothing equals nothing
+                for j in lines:
+                    scores = strong.setdefault(i, {})
+                    scores[j] = max(scores.get(j, 0.0), floor)
+        lone = [i for i in range(len(a)) if i not in strong]
+        weak = {lone[k]: scores for k, scores in self._alike([a[i] for i in lone], b, ACCEPT).items()} if lone and b else {}
+        free, out = set(range(len(b))), []
+        for i in range(len(a)):
+            scores = strong.get(i)
+            if scores is None:
+                scores = weak.get(i, {})
+            elif not free & scores.keys():  # its strong ones are gone: all that are left count
+                lines = sorted(free)
+                scores = {lines[k]: score for k, score in self._alike([a[i]], [b[j] for j in lines], ACCEPT).get(0, {}).items()}
+            best = min(((-score, j) for j, score in scores.items() if j in free), default=None)
+            if best:
+                free.discard(best[1])
+                out.append((i, best[1], -best[0]))
+        return out
+
+
+def whole_lists(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """doc_id, kind, seq, pos, raw, agent, published, score of lists that a task holds whole. Both sides are shuffled once, together, and nothing is joined; n: their rows.
+
+    left: doc_id, seq, key, title_key, doi, raw, agent; right: doc_id, pos, key, low, published.
+    """
+    own = left.select("doc_id", F.lit(0).alias("side"), F.col("seq").alias("number"), "key", F.col("title_key").alias("more"), "doi", "raw", F.col("agent").alias("shown"))
+    other = right.select("doc_id", F.lit(1).alias("side"), F.col("pos").alias("number"), "key", F.col("low").alias("more"), F.lit("").alias("doi"), F.lit("").alias("raw"), F.col("published").alias("shown"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        greedy = Greedy()
+
+        def aligned(rows: pa.Table) -> pa.RecordBatch:
+            """The rows of whole lists, in order."""
+            rows = rows.combine_chunks()
+            docs, sides = rows.column("doc_id").to_numpy(), rows.column("side").to_numpy()
+            key, more, doi = (rows.column(c).to_pylist() for c in ("key", "more", "doi"))
+            starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])).tolist()
+            mine: list[int | None] = []
+            theirs: list[int | None] = []
+            scores: list[float | None] = []
+            for first, last in zip(starts, [*starts[1:], len(docs)], strict=True):
+                cut = first + int(np.searchsorted(sides[first:last], 1))
+                found = greedy.chosen(key[first:cut], more[first:cut], doi[first:cut], key[cut:last], more[cut:last]) if first < cut < last else []
+                entries, lines = {i for i, _, _ in found}, {j for _, j, _ in found}
+                alone, extra = [first + i for i in range(cut - first) if i not in entries], [cut + j for j in range(last - cut) if j not in lines]
+                mine += [first + i for i, _, _ in found] + alone + [None] * len(extra)
+                theirs += [cut + j for _, j, _ in found] + [None] * len(alone) + extra
+                scores += [s for _, _, s in found] + [None] * (len(alone) + len(extra))
+            own, other = pa.array(mine, pa.int64()), pa.array(theirs, pa.int64())
+            kind = pa.array(["pair" if i is not None and j is not None else "agent_only" if j is None else "published_only" for i, j in zip(mine, theirs, strict=True)], pa.string())
+            at = pa.array([j if i is None else i for i, j in zip(mine, theirs, strict=True)], pa.int64())
+            taken = [rows.column(c).take(k).combine_chunks() for c, k in (("doc_id", at), ("number", own), ("number", other), ("raw", own), ("shown", own), ("shown", other))]
+            return pa.RecordBatch.from_arrays([taken[0], kind, *taken[1:], pa.array(scores, pa.float64())], ["doc_id", "kind", "seq", "pos", "raw", "agent", "published", "score"])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            docs = held.column("doc_id").to_numpy()
+            last = int(np.searchsorted(docs, docs[-1])) if len(docs) else 0
+            if last:  # the last list may go on
+                yield aligned(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and len(held):
+            yield aligned(held)
+
+    parts = max(left.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    dealt = own.unionByName(other).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "side", "number")
+    return dealt.mapInArrow(work, "doc_id long, kind string, seq long, pos long, raw string, agent string, published string, score double")
+
+
 def align(items: DataFrame, published: DataFrame, ignore_authors: bool = False) -> DataFrame:
     """doc_id, kind (pair, agent_only, published_only), seq, pos, raw, agent, published, same, sim, diff.
 
     items: doc_id, seq, raw, formatted, title, doi. published: doc_id, pos, text. A pair is the same if both strings agree but for blanks, without
-    the authors if those are ignored; else diff has the edits. chosen_pairs() makes the greedy choice; all else is joins.
+    the authors if those are ignored; else diff has the edits. Lists of up to LIST_ROWS rows on either side go whole to a task; for longer ones chosen_pairs() makes the
+    greedy choice and all else is joins.
     """
-    left = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), F.coalesce("raw", F.lit("")).alias("raw"), collapse(F.coalesce("formatted", F.lit(""))).alias("agent"), solid_key(F.col("title")).alias("title_key"), F.trim(F.lower(F.coalesce("doi", F.lit("")))).alias("doi"))
+    left = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), collapse(F.coalesce("raw", F.lit(""))).alias("raw"), collapse(F.coalesce("formatted", F.lit(""))).alias("agent"), solid_key(F.col("title")).alias("title_key"), F.trim(F.lower(F.coalesce("doi", F.lit("")))).alias("doi"))
     left = left.withColumn("key", solid_key(F.col("agent")))
     right = published.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"key": solid_key(F.col("text")), "low": F.lower("text"), "published": collapse(F.col("text"))})
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
-    chosen = chosen_pairs(left.select("doc_id", "seq", "key", "title_key", "doi", place.alias("place")), right.select("doc_id", "pos", "key", "low"))
-    joined = chosen.join(left.select("doc_id", "seq", "raw", "agent"), ["doc_id", "seq"]).join(right.select("doc_id", "pos", "published"), ["doc_id", "pos"])
+    sizes = [rows.groupBy("doc_id").agg(F.count("*").alias("n")) for rows in (left, right)]
+    counted = [size.agg(F.sum("n"), F.count_if((F.col("n") > LIST_ROWS) | F.col("doc_id").isNull())).first() for size in sizes]
+    small, long = (left, right), None
+    if any(more for _, more in counted):
+        large = sizes[0].unionByName(sizes[1]).where(F.col("n") > LIST_ROWS).select("doc_id").distinct()
+        large = Written(left.sparkSession).cut(large.unionByName(large.sparkSession.createDataFrame([(None,)], "doc_id long")))
+        same_list = lambda rows: rows.alias("r").join(F.broadcast(large.alias("l")), F.expr("r.doc_id <=> l.doc_id"), "left_anti")
+        small = tuple(same_list(rows) for rows in small)
+        long = _joined(*(rows.alias("r").join(F.broadcast(large.alias("l")), F.expr("r.doc_id <=> l.doc_id"), "left_semi") for rows in (left, right)))
+    rows = whole_lists(*small, sum(n or 0 for n, _ in counted))
+    rows = rows if long is None else rows.unionByName(long)
     own, other = F.col("agent"), F.col("published")
     if ignore_authors:
         own, other = without_authors(own), without_authors(other)
-    pairs = joined.withColumns({"kind": F.lit("pair"), "same": own == other, "sim": F.round("score", 3)})
-    pairs = pairs.withColumn("diff", F.when(~F.col("same"), edits(own, other)))
-    columns = ["doc_id", "kind", "seq", "pos", "raw", "agent", "published", "same", "sim", "diff"]
-    lone = left.select("doc_id", "seq", collapse(F.col("raw")).alias("raw"), "agent").join(chosen.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").withColumns({"kind": F.lit("agent_only"), "same": F.lit(False)})
-    extra = right.select("doc_id", "pos", "published").join(chosen.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").withColumns({"kind": F.lit("published_only"), "same": F.lit(False)})
-    return pairs.withColumn("raw", collapse(F.col("raw"))).select(columns).unionByName(lone, allowMissingColumns=True).unionByName(extra, allowMissingColumns=True).select(columns)
+    pair = F.col("kind") == "pair"
+    rows = rows.withColumns({"same": pair & (own == other), "sim": F.when(pair, F.round("score", 3))})
+    unlike = pair & ~F.col("same")  # the others send nothing to be compared
+    rows = rows.withColumn("same", F.coalesce("same", F.lit(False))).withColumn("diff", F.when(unlike, edits(*(F.when(unlike, c).otherwise("") for c in (own, other)))))
+    return rows.select("doc_id", "kind", "seq", "pos", "raw", "agent", "published", "same", "sim", "diff")
+
+
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of whole_lists() for lists of any length."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
+    chosen = chosen_pairs(left.select("doc_id", "seq", "key", "title_key", "doi", place.alias("place")), right.select("doc_id", "pos", "key", "low"))
+    pairs = chosen.join(left.select("doc_id", "seq", "raw", "agent"), ["doc_id", "seq"]).join(right.select("doc_id", "pos", "published"), ["doc_id", "pos"]).withColumn("kind", F.lit("pair"))
+    lone = left.select("doc_id", "seq", "raw", "agent").join(chosen.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").withColumn("kind", F.lit("agent_only"))
+    extra = right.select("doc_id", "pos", "published").join(chosen.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").withColumn("kind", F.lit("published_only"))
+    return pairs.unionByName(lone, allowMissingColumns=True).unionByName(extra, allowMissingColumns=True).select("doc_id", "kind", "seq", "pos", "raw", "agent", "published", "score")
 
 
 def corpus_rows(aligned: DataFrame, parents: DataFrame) -> DataFrame:

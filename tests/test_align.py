@@ -75,3 +75,17 @@ def test_an_early_weak_match_takes_a_later_exact_one(spark):
 
 def test_without_rows(spark):
     assert pairs(spark, [(1, 1, "", "abc", "", "")], [(2, 1, "abc")]) == []
+
+
+def test_whole_lists_are_shuffled_once(spark, monkeypatch):
+    """Lists that a task holds whole need no joins and no tables on the way; long ones among them and null ids give the same rows as a plain loop."""
+    items, lines = lists(random.Random(4), 4, 12)
+    frames = spark.createDataFrame(items, ITEMS), spark.createDataFrame(lines, "doc_id long, pos long, text string")
+    plan = align.align(*frames)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and "FileScan" not in plan
+    assert pairs(spark, items, lines) == plain(items, lines)
+    sizes = sorted(sum(r[0] == d for r in lines) for d in range(4))
+    monkeypatch.setattr(align, "LIST_ROWS", (sizes[1] + sizes[2]) // 2)
+    assert pairs(spark, items, lines) == plain(items, lines)
+    nobody = align.align(frames[0].selectExpr("CAST(NULL AS LONG) AS doc_id", "seq", "raw", "formatted", "title", "doi").limit(3), frames[1])
+    assert nobody.where("kind = 'agent_only'").count() == 3
