@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from refloom.functions.text import group, plain_year, rstrip, strip, sub
 from refloom.operators.parse import before
 from refloom.operators.render import field
+from refloom.operators.shared import Written
 
 # Citation patterns, and words that look like names but aren't.
 CITED_YEAR = r"(?:1[89]\d{2}|20\d{2})[a-z]?"
@@ -113,7 +114,7 @@ def cross_check(bodies: DataFrame, entries: DataFrame, id_column: str = "doc_id"
 
     cited: citations() and matched, whether (name, year) or (name in lower case, year) is a key of the list. not_listed: those that aren't, with
     name_only_match: the name is a key with another year. not_cited: entries of which no key is cited and no name stands in the text, as written
-    or in lower case; they keep id, seq, raw (120 characters), authors (60), year.
+    or in lower case; they keep id, seq, raw (120 characters), authors (60), year. What is cited is written to the shared folder, where all three read it.
     """
     found = citations(bodies, id_column=id_column)
     keys = entry_keys(entries, id_column, seq_column)
@@ -121,7 +122,8 @@ def cross_check(bodies: DataFrame, entries: DataFrame, id_column: str = "doc_id"
     lowered = distinct.select(id_column, F.col("name").alias("_low"), "year", F.col("_k").alias("_l"))
     hit = found.withColumn("_low", F.lower("name")).join(distinct, [id_column, "name", "year"], "left").join(lowered, [id_column, "_low", "year"], "left")
     hit = hit.withColumn("key", F.when(F.col("_k"), F.col("name")).when(F.col("_l"), F.col("_low")))
-    cited = hit.select(id_column, "name", "year", "snippet", "key", F.col("key").isNotNull().alias("matched"))
+    # all three tables read what is cited: the texts are searched once
+    cited = Written(bodies.sparkSession).cut(hit.select(id_column, "name", "year", "snippet", "key", F.col("key").isNotNull().alias("matched")))
     known = keys.select(id_column, "name").distinct()
     alone = known.select(id_column, F.col("name").alias("_own"), F.lit(True).alias("_n"))
     lone = cited.where(~F.col("matched")).withColumn("_low", F.lower("name"))

@@ -169,3 +169,15 @@ def test_lists_are_cut_in_their_own_rows(spark):
     own = [(k, f"Waner, A. (199{k}). On lists of kind {k}. List Journal, {k}(2), 3-4.") for k in range(1, 5)]
     cut = [(1, "Waner, A. (1990). On lists\x01of kinds. and their ends, 12-14."), (2, "Doner, B. (1991). Other lists of kinds."), (3, "Short. https://example.org/x")]
     assert sorted(rows, key=str) == sorted([*((1, *x) for x in cut), *((1, *x) for x in own), *((None, *x) for x in own)], key=str)
+
+
+def test_cited_works_are_searched_once(spark):
+    """What is cited is searched in the texts once, for all three tables."""
+    from refloom.operators import citations, segment
+
+    docs = spark.createDataFrame([(k, "As told (Waa, 1990) and (Zork, 1991).\nReferences\n[1] Waa, B. (1990). On lists of every kind. List Journal, 1(2), 3-4.") for k in range(4)], "doc_id long, text string")
+    entries = spark.createDataFrame([(k, 1, "Waa, B. (1990). On lists.", ["Waa, B."], "1990", "", "On lists", "west") for k in range(4)], "doc_id long, seq long, raw string, authors array<string>, year string, orig_year string, title string, lang string")
+    cited, not_listed, not_cited = citations.cross_check(segment.reference_lists(docs), entries)
+    assert cited.count() == 8 and cited.where("matched").count() == 4 and not_cited.count() == 0
+    assert [(r.doc_id, r.name) for r in not_listed.orderBy("doc_id").collect()] == [(k, "Zork") for k in range(4)]
+    assert all("regexp_extract_all" not in t._jdf.queryExecution().executedPlan().toString() for t in (cited, not_listed))
