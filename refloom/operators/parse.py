@@ -31,14 +31,17 @@ TYPES: list[tuple[str, str, tuple[str, ...]]] = [
     ("conference", r"(?iU)학술대회|학술발표대회|발표\s*논문집|Proceedings of|Paper presented|워크샵|워크숍|심포지엄", ("학술", "논문집", "proceedings", "presented", "워크", "심포지엄")),
 ]
 NEWS_NAME, NEWS_DATE = r"(?U)(일보|신문|Times|Post|Herald|Tribune)[\s,.]", rf"(?U)\({YEAR}[.,]\s*\d"
+NEWS_WORDS = ("일보", "신문", "Times", "Post", "Herald", "Tribune")
 REPORT = r"(?iU)연구보고서?|정책연구|조사분석|간행물\s*번호|Report No|백서|우수사례집|매뉴얼|지침서?"
 REPORT_WORDS = ("연구보고", "정책연구", "조사분석", "간행물", "report", "백서", "우수사례집", "매뉴얼", "지침")
-JOURNAL = (
-    r"(?U)[,\s]\d{1,4}\s*\(\d{1,3}\)\s*[,:：]",
-    r"(?U)[,\s]\d{1,4}\s*[,:：]\s*\d{1,5}\s*[-–]\s*\d{1,5}",
-    r"(?U)(학회지|학보|저널|논집|논총|연구\s*[,.]|Journal|Review|Quarterly|Research|Bulletin|Proceedings)[\s,.]",
-    r"(?U)제?\s*\d{1,3}\s*권\s*제?\s*\d{1,3}\s*호",
-)
+#: Patterns of articles, each with strings of which a text that matches has one.
+JOURNAL: list[tuple[str, tuple[str, ...]]] = [
+    (r"(?U)[,\s]\d{1,4}\s*\(\d{1,3}\)\s*[,:：]", ("(",)),
+    (r"(?U)[,\s]\d{1,4}\s*[,:：]\s*\d{1,5}\s*[-–]\s*\d{1,5}", ("-", "–")),
+    (r"(?U)(학회지|학보|저널|논집|논총|연구\s*[,.]|Journal|Review|Quarterly|Research|Bulletin|Proceedings)[\s,.]", ("학회지", "학보", "저널", "논집", "논총", "연구", "Journal", "Review", "Quarterly", "Research", "Bulletin", "Proceedings")),
+    (r"(?U)제?\s*\d{1,3}\s*권\s*제?\s*\d{1,3}\s*호", ("권",)),
+]
+COLONS = (":", "：")
 BOOK = r"(?U)[가-힣A-Za-z.\s]{1,20}\s*[:：]\s*\S"
 BODY_END = "(도서관|위원회|연구원|연구소|재단|협회|학회|공사|공단|부|처|청|원)$"
 PUBLISHER_END = r"(?U)(출판|출판사|협회|문화사|서관|미디어|아카데미|프레스)\s*\.?\s*$"
@@ -70,6 +73,11 @@ SERIAL_HEAD = rf"^([^\n\r\x85\u2028\u2029{SEPARATOR}]*?)(?<!{NAME_CHARACTERS})({
 BOOK_TAIL = r"(?U)^(.+?)[.?]?\s*(?:\(([^)]*(?:판|ed\.)[^)]*)\))?\s*[.]?\s*([가-힣A-Za-z.\s]{1,25}?)\s*[:：]\s*([^.]+)\.?$"
 THESIS = r"(?iU)(석사\s*학위\s*논문|박사\s*학위\s*논문|Doctoral dissertation|Master'?s thesis)\s*,?\s*([^,.]+)?(?:,\s*([^.]+))?"
 REPORT_TAIL = r"(?U)^(.+?)\s*(?:\(([^)]+)\))?\s*\.\s*([^.]+)?\.?$"
+CONFERENCE_TAIL = r"(?U)^(.+?)[.?]\s*(.+)$"
+#: Types whose fields are groups of a pattern, and how many groups it has.
+TAILS = {"book": (BOOK_TAIL, 4), "thesis": (THESIS, 3), "report": (REPORT_TAIL, 3), "conference": (CONFERENCE_TAIL, 2)}
+#: An entry with an identifier, or a word before one, has one of these strings.
+IDENTIFIER_MARKS = ("10.", "://", "출처", "Available", "Retrieved")
 NOTE_YEAR, NOTE_SPLIT, NOTE_AUTHORS, NOTE_TITLE = "발행연도 확인 필요", "저자·연도 구분 확인 필요", "저자명 확인 필요", "제목 확인 필요"
 NOTE_NO_PAGES, NOTE_VOLUME, NOTE_IMPRINT = "면수 확인 필요(온라인 학술지는 아티클 넘버)", "권·호·면수 확인 필요", "출판지·출판사 확인 필요"
 NOTE_SCHOOL, NOTE_DEGREE = "학위수여기관 확인 필요", "학위명·수여기관 확인 필요"
@@ -97,50 +105,60 @@ def sentence_head(c: Column) -> tuple[Column, Column]:
     return strip(F.when(cut, F.substring(c, F.lit(1), at)).otherwise("")), F.when(cut, strip(F.substring(c, at + gap + 1, F.length(c)))).otherwise(c)
 
 
+def has(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words stands in the text: cheaper than a pattern that needs one of them."""
+    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
+
+
 def identifiers(rows: DataFrame) -> DataFrame:
     """Adds lang, doi, url and _text: the entry with one period at its end, one kind of middle dot, and no identifiers."""
     text = F.concat(rstrip(squeeze(strip(col("raw"))), "."), F.lit("."))
     rows = rows.withColumn("_text", F.translate(text, "․‧", "··"))
-    rows = rows.withColumns({"lang": script_class(col("_text")), "doi": doi_of(col("_text"))})
-    rows = rows.withColumn("_text", sub(col("_text"), DOI_LINK, " "))
-    rows = rows.withColumn("url", url_of(col("_text"))).withColumn("_text", sub(col("_text"), URL, " "))
-    return rows.withColumn("_text", strip(squeeze(sub(col("_text"), r"(?U)(출처|Available|Retrieved from|Retrieved)\s*[:：]?\s*", " "))))
+    rows = rows.withColumns({"lang": script_class(col("_text")), "_marked": has(col("_text"), IDENTIFIER_MARKS)})
+
+    def if_marked(c: Column, otherwise: Column) -> Column:
+        return F.when(col("_marked"), c).otherwise(otherwise)
+
+    rows = rows.withColumn("doi", if_marked(doi_of(col("_text")), F.lit("")))
+    rows = rows.withColumn("_text", if_marked(sub(col("_text"), DOI_LINK, " "), col("_text")))
+    rows = rows.withColumn("url", if_marked(url_of(col("_text")), F.lit("")))
+    rows = rows.withColumn("_text", if_marked(sub(col("_text"), URL, " "), col("_text")))
+    # what has no mark is the text as it was made above, which has neither blanks at its ends nor two in a row
+    return rows.withColumn("_text", if_marked(strip(squeeze(sub(col("_text"), r"(?U)(출처|Available|Retrieved from|Retrieved)\s*[:：]?\s*", " "))), col("_text"))).drop("_marked")
 
 
 def dates(rows: DataFrame) -> DataFrame:
     """Adds year, date and orig_year. A full date wins, then a year in parentheses, then one at the end or before a colon."""
     t = col("_text")
-    plain = rf"\(({YEAR})([a-z])?\)"
+    plain = rf"\(({YEAR}[a-z]?)\)"
     pair = rf"\(({YEAR})/({YEAR})\)"
-    ko, en = t.rlike(KO_DATE), t.rlike(EN_DATE)
+    # a pair alone gives no year
+    kind = F.when(t.rlike(KO_DATE), "ko").when(t.rlike(EN_DATE), "en").when(~t.rlike(plain), "none").when(t.rlike(pair), "pair").otherwise("plain")
+    rows = rows.withColumn("_dated", kind)
+    is_ = {k: col("_dated") == k for k in ("ko", "en", "pair", "plain")}
     number = [group(t, KO_DATE, k).try_cast("int").cast("string") for k in (2, 3)]
     day = group(t, EN_DATE, 3)
     tail, mid = rf"(?U)[,\s(]({YEAR})[a-z]?\s*[.):]*\s*$", rf"(?U)[\s,(]({YEAR})[):：]"
-    paired = t.rlike(plain) & t.rlike(pair)  # a pair alone gives no year
-    date = F.when(ko, F.concat(group(t, KO_DATE, 1), F.lit(". "), number[0], F.lit(". "), number[1], F.lit("."))).when(en, F.concat(group(t, EN_DATE, 1), F.lit(", "), group(t, EN_DATE, 2), F.when(day != "", F.concat(F.lit(" "), day)).otherwise("")))
+    date = F.when(is_["ko"], F.concat(group(t, KO_DATE, 1), F.lit(". "), number[0], F.lit(". "), number[1], F.lit("."))).when(is_["en"], F.concat(group(t, EN_DATE, 1), F.lit(", "), group(t, EN_DATE, 2), F.when(day != "", F.concat(F.lit(" "), day)).otherwise("")))
     year = (
-        F.when(ko, group(t, KO_DATE, 1))
-        .when(en, group(t, EN_DATE, 1))
-        .when(paired, group(t, pair, 2))
-        .when(t.rlike(plain), F.concat(group(t, plain, 1), group(t, plain, 2)))
+        F.when(is_["ko"], group(t, KO_DATE, 1))
+        .when(is_["en"], group(t, EN_DATE, 1))
+        .when(is_["pair"], group(t, pair, 2))
+        .when(is_["plain"], group(t, plain, 1))
         .otherwise(either(group(t, tail, 1), group(t, mid, 1), F.when(t.contains("(발행년불명)"), "발행년불명"), F.when(t.rlike(r"(?i)\(n\.d\.\)"), "n.d.")))
     )
-    return rows.withColumns({"year": year, "date": F.coalesce(date, F.lit("")), "orig_year": F.when(~ko & ~en & paired, group(t, pair, 1)).otherwise("")})
+    return rows.withColumns({"year": year, "date": F.coalesce(date, F.lit("")), "orig_year": F.when(is_["pair"], group(t, pair, 1)).otherwise("")}).drop("_dated")
 
 
 def entry_type(text: Column, low: Column, date: Column, url: Column) -> Column:
     """The first rule that applies; their order is the meaning. low: the text as folded() gives it."""
     found = F.when(F.lit(False), "")
-
-    def has(words: tuple[str, ...]) -> Column:
-        return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
-
     for name, pattern, words in TYPES:
-        found = found.when(has(words) & text.rlike(pattern), name)
-    found = found.when(text.rlike(NEWS_DATE) & text.rlike(NEWS_NAME), "newspaper").when((date != "") & (url != ""), "web").when(has(REPORT_WORDS) & text.rlike(REPORT), "report")
-    for pattern in JOURNAL:
-        found = found.when(text.rlike(pattern), "journal")
-    return found.when(text.rlike(BOOK), "book").when(url != "", "web").otherwise("unknown")
+        found = found.when(has(low, words) & text.rlike(pattern), name)
+    found = found.when(has(text, NEWS_WORDS) & text.rlike(NEWS_DATE) & text.rlike(NEWS_NAME), "newspaper").when((date != "") & (url != ""), "web").when(has(low, REPORT_WORDS) & text.rlike(REPORT), "report")
+    for pattern, words in JOURNAL:
+        found = found.when(has(text, words) & text.rlike(pattern), "journal")
+    return found.when(has(text, COLONS) & text.rlike(BOOK), "book").when(url != "", "web").otherwise("unknown")
 
 
 def authors_and_title(rows: DataFrame) -> DataFrame:
@@ -152,11 +170,13 @@ def authors_and_title(rows: DataFrame) -> DataFrame:
     t = col("_text")
     paren = group(t, YEAR_IN_PARENS)
     at = F.regexp_instr(t, F.lit(YEAR_IN_PARENS)) - 1
-    dated = (paren != "") & (at <= 70)
-    head, tail = sentence_head(t)
-    rows = rows.withColumns({"_at": at, "_paren": paren, "_head": head, "_tail": tail})
-    layout = F.when(dated, "year").when(t.rlike(QUOTED), "quote").when((col("_head") != "") & ~col("_head").rlike(YEAR), "sentence").otherwise("title")
-    rows = rows.withColumn("_layout", layout)
+    dated = (col("_paren") != "") & (col("_at") <= 70)
+    rows = rows.withColumns({"_at": at, "_paren": paren})
+    rows = rows.withColumn("_layout", F.when(dated, "year").when(t.rlike(QUOTED), "quote"))
+    # sentences are looked for where nothing better is found
+    head, tail = (F.when(col("_layout").isNull(), c).otherwise("") for c in sentence_head(t))
+    rows = rows.withColumns({"_head": head, "_tail": tail})
+    rows = rows.withColumn("_layout", F.coalesce("_layout", F.when((col("_head") != "") & ~col("_head").rlike(YEAR), "sentence").otherwise("title")))
     is_ = {k: col("_layout") == k for k in ("year", "quote", "sentence", "title")}
     named = (
         F.when(is_["year"], rstrip(strip(F.substring(t, F.lit(1), col("_at"))), ".,"))
@@ -248,10 +268,29 @@ def journal_fields() -> dict[str, Column]:
     }
 
 
+def tail_groups(rows: DataFrame) -> DataFrame:
+    """Adds _groups: for the types of TAILS the groups of their pattern in _rest, from 1 on, null if it doesn't match. For the others null.
+
+    A pattern is searched once, not once for each group: its matches are rewritten with separators between the groups.
+    """
+    r = col("_rest")
+    marked, apart = F.when(F.lit(False), r), F.when(F.lit(False), F.array(r))
+    for name, (pattern, n) in TAILS.items():
+        every = range(1, n + 1)
+        marked = marked.when(col("type") == name, F.regexp_replace(r, pattern, "".join(f"{SEPARATOR}${k}" for k in every) + SEPARATOR))
+        apart = apart.when((col("type") == name) & r.rlike(pattern), F.array(F.lit(""), *(group(r, pattern, k) for k in every)))
+    rows = rows.withColumn("_marked", marked)
+    return rows.withColumn("_groups", F.when(F.contains(r, F.lit(SEPARATOR)), apart).when(col("_marked") != r, F.split("_marked", SEPARATOR)))
+
+
+def tail_group(number: int) -> Column:
+    return F.get("_groups", F.lit(number))
+
+
 def book_fields() -> dict[str, Column]:
     r = col("_rest")
-    full = r.rlike(BOOK_TAIL)
-    place, publisher = strip(group(r, BOOK_TAIL, 3)), strip(group(r, BOOK_TAIL, 4))
+    full = col("_groups").isNotNull()
+    place, publisher = strip(tail_group(3)), strip(tail_group(4))
     swapped = (place != "") & (publisher != "") & ~is_city(place) & is_city(publisher) & is_publisher(place)
     head, tail = sentence_head(r)
     title = rstrip(strip(either(head, F.split_part(r, F.lit("."), F.lit(1)))), ".,")
@@ -260,8 +299,8 @@ def book_fields() -> dict[str, Column]:
     paired = imprint.rlike(pair) & (F.size(names.words_of(group(imprint, pair, 2))) <= 2)
     own = F.when(col("_fixed"), col("title")).otherwise(title)
     return {
-        "title": F.when(full, rstrip(strip(group(r, BOOK_TAIL, 1)), ".,")).otherwise(title),
-        "edition": F.when(full, strip(group(r, BOOK_TAIL, 2))).otherwise(""),
+        "title": F.when(full, rstrip(strip(tail_group(1)), ".,")).otherwise(title),
+        "edition": F.when(full, strip(tail_group(2))).otherwise(""),
         "place": F.when(full, F.when(swapped, publisher).otherwise(place)).when(paired, strip(group(imprint, pair, 2))).otherwise(""),
         "publisher": F.when(full, F.when(swapped, place).otherwise(publisher)).when(paired, strip(group(imprint, pair, 1))).when(imprint != own, imprint).otherwise(""),
         "_notes": note(~full & ~paired, NOTE_IMPRINT),
@@ -270,25 +309,25 @@ def book_fields() -> dict[str, Column]:
 
 def thesis_fields() -> dict[str, Column]:
     r = col("_rest")
-    found = r.rlike(THESIS)
-    head, degree = rstrip(strip(before(r, THESIS)), ".,"), group(r, THESIS, 1)
-    school = strip(group(r, THESIS, 2))
+    found = col("_groups").isNotNull()
+    head, degree = rstrip(strip(before(r, THESIS)), ".,"), tail_group(1)
+    school = strip(tail_group(2))
     return {
         "title": F.when(found, either(head, col("title"))).otherwise(strip(F.split_part(r, F.lit("."), F.lit(1)))),
         "degree": F.when(found, F.when(degree.rlike("[가-힣]"), sub(degree, r"(?U)\s", "")).otherwise(degree)).otherwise(""),
         "institution": F.when(found, school).otherwise(""),
-        "country": F.when(found, strip(group(r, THESIS, 3))).otherwise(""),
+        "country": F.when(found, strip(tail_group(3))).otherwise(""),
         "_notes": F.concat(note(found & (school == ""), NOTE_SCHOOL), note(~found, NOTE_DEGREE)),
     }
 
 
 def report_fields() -> dict[str, Column]:
     r = col("_rest")
-    found = r.rlike(REPORT_TAIL)
+    found = col("_groups").isNotNull()
     return {
-        "title": F.when(found, rstrip(strip(group(r, REPORT_TAIL, 1)), ".")).otherwise(rstrip(strip(r), ".")),
-        "report_no": F.when(found, strip(group(r, REPORT_TAIL, 2))).otherwise(""),
-        "publisher": F.when(found, strip(group(r, REPORT_TAIL, 3))).otherwise(""),
+        "title": F.when(found, rstrip(strip(tail_group(1)), ".")).otherwise(rstrip(strip(r), ".")),
+        "report_no": F.when(found, strip(tail_group(2))).otherwise(""),
+        "publisher": F.when(found, strip(tail_group(3))).otherwise(""),
     }
 
 
@@ -304,13 +343,13 @@ def news_fields() -> dict[str, Column]:
 
 
 def conference_fields() -> dict[str, Column]:
-    r, parted = col("_rest"), r"(?U)^(.+?)[.?]\s*(.+)$"
-    found = r.rlike(parted)
-    held = rstrip(strip(group(r, parted, 2)), ".")
+    r = col("_rest")
+    found = col("_groups").isNotNull()
+    held = rstrip(strip(tail_group(2)), ".")
     page = r"(?U)[,\s](\d{1,5}\s*[-–]\s*\d{1,5})\s*\.?\s*$"
     paged = held.rlike(page)
     return {
-        "title": F.when(found, strip(group(r, parted, 1))).otherwise(rstrip(strip(r), ".")),
+        "title": F.when(found, strip(tail_group(1))).otherwise(rstrip(strip(r), ".")),
         "container": F.when(found & paged, rstrip(strip(before(held, page)), ".,")).when(found, held).otherwise(""),
         "pages": F.when(found & paged, sub(group(held, page, 1), r"(?U)\s*[-–]\s*", "-")).otherwise(""),
     }
@@ -349,7 +388,9 @@ def type_fields(rows: DataFrame) -> DataFrame:
     """Fills the fields of each type from what follows the authors. A quoted title stays (but for laws)."""
     year = sub(col("year"), "[a-z]$", "")
     again = F.concat(F.lit(r"(?U)[,\s(]+"), year, F.lit(r"[a-z]?[).:：]?\s*"))
-    rows = rows.withColumn("_rest", F.when(year.rlike(r"^\d{4}$"), squeeze(strip(F.regexp_replace(col("_rest"), again, F.lit(" "))))).otherwise(strip(col("_rest"))))
+    # the pattern is another one for each year: it is built only where the year stands again
+    once = F.when(F.contains("_rest", year), F.regexp_replace(col("_rest"), again, F.lit(" "))).otherwise(col("_rest"))
+    rows = rows.withColumn("_rest", F.when(year.rlike(r"^\d{4}$"), squeeze(strip(once))).otherwise(strip(col("_rest"))))
 
     def rewritten(c: Column, rewrites: tuple[tuple[str, str], ...]) -> Column:
         return reduce(lambda s, pair: sub(s, *pair), rewrites, c)
@@ -357,7 +398,7 @@ def type_fields(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_serial", F.when(col("type") == "journal", rewritten(col("_rest"), VOLUME_REWRITES)).otherwise(""))
     korean = F.contains("_serial", F.lit("권")) | F.contains("_serial", F.lit("집"))
     rows = rows.withColumn("_serial", F.when(korean, rewritten(col("_serial"), KOREAN_VOLUMES)).otherwise(col("_serial")))
-    rows = serial_parts(rows.withColumn("_serial", rewritten(col("_serial"), PAGE_REWRITES)))
+    rows = tail_groups(serial_parts(rows.withColumn("_serial", rewritten(col("_serial"), PAGE_REWRITES))))
     made = {name: make() for name, make in BY_TYPE.items()}
     other = other_fields()
     none = F.array().cast("array<string>")

@@ -181,3 +181,35 @@ def test_cited_works_are_searched_once(spark):
     assert cited.count() == 8 and cited.where("matched").count() == 4 and not_cited.count() == 0
     assert [(r.doc_id, r.name) for r in not_listed.orderBy("doc_id").collect()] == [(k, "Zork") for k in range(4)]
     assert all("regexp_extract_all" not in t._jdf.queryExecution().executedPlan().toString() for t in (cited, not_listed))
+
+
+def test_groups_of_a_tail_are_those_of_its_pattern(spark):
+    tails = {
+        "book": ["A title (2nd ed.). London: Press.", "제목 (개정판). 서울: 글터.", "No place here.", "A: b", "😀 A title. Paris: Press", "One\x1eTwo. Paris: Press", "", "Line\nof two. Paris: Press"],
+        "thesis": ["On lists. Doctoral dissertation, X University, Korea.", "목록. 석사 학위 논문, 가나대학교.", "On lists", "Master's thesis", "a\x1eb. Master's thesis, X"],
+        "report": ["A report (No. 3). Press.", "A report", "a\x1eb (1). c", ". ."],
+        "conference": ["A talk. Proceedings of lists, 1-2.", "A talk", "a\x1eb? c"],
+        "unknown": ["A title (2nd ed.). London: Press."],
+    }
+    rows = [(t, r) for t, own in tails.items() for r in own * 2] + [(None, "A. B: c"), ("book", None)]
+    found = parse.tail_groups(spark.createDataFrame(rows, "type string, _rest string"))
+    own = {t: F.when(F.col("_rest").rlike(p), F.array(*(F.regexp_extract("_rest", p, k) for k in range(1, n + 1)))) for t, (p, n) in parse.TAILS.items()}
+    expected = F.coalesce(*(F.when(F.col("type") == t, c) for t, c in own.items()))
+    some = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.get("_groups", k))
+    for row in found.select("type", "_rest", F.filter(some, lambda g: g.isNotNull()).alias("got"), expected.alias("want")).collect():
+        assert (row.got or None) == (row.want and row.want[:4]) or (row.want is not None and row.got[: len(row.want)] == row.want), row
+
+
+def test_a_tail_is_searched_once(spark):
+    """The pattern of books stands in one rewriting, and in the groups of texts that hold a separator, not in each field."""
+    rows = parse.tail_groups(spark.createDataFrame([("book", "A title. London: Press.", False, "")], "type string, _rest string, _fixed boolean, title string"))
+    plan = rows.select(*(c.alias(name) for name, c in parse.book_fields().items()))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count(parse.BOOK_TAIL) <= 2 + parse.TAILS["book"][1]
+
+
+def test_odd_entries_parse_as_ever(spark):
+    rows = [(1, None), (2, ""), (3, " . "), (4, "Doe, J. (2014). On 2014 lists, 2014. London: Press, 2014."), (4, "Doe, J. (2014). On 2014 lists, 2014. London: Press, 2014."), (5, "Doe, J. (2014). Lists. http://a.example/b doi: 10.1234/ab Available: x")]
+    found = {r.k: r for r in parse.parse(spark.createDataFrame(rows, "k int, raw string")).collect()}
+    assert found[1].title == found[2].title == "" and found[1].type == "unknown" and found[1].authors == []
+    assert (found[4].year, found[4].publisher) == ("2014", "Press") and "2014" not in found[4].title + found[4].place
+    assert (found[5].doi, found[5].url) == ("10.1234/ab", "http://a.example/b")
