@@ -81,19 +81,23 @@ def formatted(rows: DataFrame) -> DataFrame:
     }
     unknown = [F.when(named & (t != ""), own()).otherwise(""), added("", c, "."), F.when(field("publisher") == "", "").otherwise(imprint), url]
 
-    def line(own_parts: list[Column]) -> Column:
-        every = F.array(head, *own_parts)
-        lost = (url != "") & (field("doi") == "") & ~F.exists(every, lambda p: F.contains(p, url))
-        return F.array_join(F.filter(F.concat(every, F.array(F.when(lost, url).otherwise(""))), lambda p: F.trim(p) != ""), " ")
+    # the parts of a line in turn, each made once by the entry's type
+    every = ["_part0", *(f"_part{n}" for n in range(1, len(unknown) + 1))]
 
-    whole = reduce(lambda chain, item: chain.when(kind == item[0], line(item[1])), parts.items(), F.when(F.lit(False), ""))
+    def nth(n: int) -> Column:
+        own_part = reduce(lambda chain, item: chain.when(kind == item[0], item[1][n] if n < len(item[1]) else ""), parts.items(), F.when(F.lit(False), ""))
+        return own_part.otherwise(unknown[n])
+
+    rows = rows.withColumns(dict(zip(every, [head, *(nth(n) for n in range(len(unknown)))], strict=True)))
+    lost = (url != "") & (field("doi") == "") & ~reduce(lambda a, b: a | b, (F.contains(p, url) for p in every))
+    whole = F.concat_ws(" ", *(F.when(F.trim(p) != "", F.col(p)) for p in every), F.when(lost & (F.trim(url) != ""), url))
     law = strip(F.replace(F.concat(t, F.lit(". "), field("report_no"), F.lit(".")), F.lit(" ."), F.lit(".")))
     code = added(" (", field("report_no"), ")")
     stated = F.when(named, F.concat(who, F.lit(". ("), year, F.lit("). "), field("title"), code)).otherwise(F.concat(t, F.lit(". ("), year, F.lit("). "), code))
     standard = strip(squeeze(F.concat(rstrip(stated, "."), F.lit("."), added(" ", url))))
-    tidy = strip(sub(squeeze(whole.otherwise(line(unknown))), r"(?U)\.\s*\.", "."))
+    tidy = strip(sub(squeeze(whole), r"(?U)\.\s*\.", "."))
     result = F.when(kind == "law", law).when(kind == "standard", standard).otherwise(tidy)
-    return rows.withColumn("formatted", result).drop("_title", "_container", "_year", "_when", "_who")
+    return rows.withColumn("formatted", result).drop("_title", "_container", "_year", "_when", "_who", *every)
 
 
 def issues() -> Column:
