@@ -143,3 +143,23 @@ def test_lookups_and_routes_make_their_rows_once(spark):
     lines = rows.selectExpr("seq AS query_id", "title AS q")
     found = lookups.lookup(lines.mapInArrow(counted, lines.schema), authority).collect()
     assert {r.query_id: r.pos for r in found} == {k: k % 3 for k in range(30)} and made.value == 30
+
+
+def test_entries_of_identifiers_are_shuffled_once(spark):
+    from refloom.plans import lookups
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entries = spark.createDataFrame([(1, "On the nature of lists", "2001"), (1, "On the nature of lists", "2001"), (2, "Another work", "2001"), (3, "On the nature of lists", "2005"), (4, "No record", ""), (5, None, None), (None, "On the nature of lists", "2001"), (6, "Without an identifier", "2001")], "seq long, title string, year string")
+        identifiers = spark.createDataFrame([(1, "10.1234/a"), (2, "10.1234/A"), (3, "https://doi.org/10.1234/a"), (4, "10.1234/none"), (5, "10.1234/a"), (None, "10.1234/a")], "seq long, identifier string")
+        authority = spark.createDataFrame([(1, "On the nature of lists", "", "2001", "10.1234/a"), (2, "On the nature of lists", "", "2001", "10.1234/a")], "pos long, title string, subtitle string, year string, doi string").selectExpr("*", *(f"'' AS {c}" for c in ("volume", "issue", "pages", "isbn", "publisher")))
+        found = lookups.with_identifier(entries, identifiers, authority, ["seq"])
+        assert sorted((r.seq, r.status, r.pos) for r in found.collect() if r.seq not in (4,)) == [*[(1, "verified", 1)] * 4, (2, "mismatch", 1), (3, "mismatch", 1), (5, "mismatch", 1)]
+        assert [(r.status, r.pos) for r in found.where("seq = 4").collect()] == [("not_found", None)]
+        queries = entries.join(identifiers, "seq").selectExpr("struct(seq) AS query_id", "identifier AS q")
+        alone = lookups.lookup(queries, authority).where("pos IS NOT NULL").select("query_id.*", "pos")
+        dealt = [rows._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(query_id") for rows in (found, alone)]
+        assert dealt[0] <= dealt[1]  # entries are not dealt by the query's struct, too
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
